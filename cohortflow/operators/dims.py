@@ -113,3 +113,35 @@ def fertile_window(fert: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         (F.col("first_fertile") - 1).alias("ages_before_fert"),
         (F.col("n_ages") - F.col("last_fertile")).alias("ages_after_fert"),
     )
+
+
+def fertile_flags(fert: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """(by..., age, fertile): any period of the group has a rate above 0."""
+    return fert.groupBy(*by, "age").agg(F.bool_or(F.col("fert") > 0).alias("fertile"))
+
+
+def model_input(surv: DataFrame, fert: DataFrame, by: Sequence[str] = ("region",),
+                prop_f: float = 1 / (1 + 1.05)) -> DataFrame:
+    """One record per population with everything the projection needs.
+
+    K (age groups), Time (periods), prop_f, surv_mean [Time][K],
+    fert_mean [Time][n_fert] (fertile ages only), n_fert_ages, ages before
+    and after the fertile window, plus the ordered ``ages`` and ``years``.
+    Matrices are keyed (sorted by year, then age), never positional.
+    """
+    by = list(by)
+    sm = to_matrix(surv, "year", "age", "surv", by=by).withColumnRenamed("matrix", "surv_mean")
+    flags = fertile_flags(fert, by)
+    fert_f = fert.join(flags.where("fertile").select(*by, "age"), [*by, "age"], "left_semi")
+    fm = to_matrix(fert_f, "year", "age", "fert", by=by).select(*by, F.col("matrix").alias("fert_mean"))
+    win = fertile_window(fert, by=by)
+    ages = surv.groupBy(*by).agg(F.array_sort(F.collect_set("age")).alias("ages"))
+    out = sm.join(fm, by, "left").join(win, by, "left").join(ages, by, "left")
+    return out.select(
+        *by,
+        F.size("ages").alias("K"),
+        F.size("years").alias("Time"),
+        F.lit(float(prop_f)).alias("prop_f"),
+        "ages", "years", "surv_mean", "fert_mean",
+        "n_fert_ages", "ages_before_fert", "ages_after_fert",
+    )

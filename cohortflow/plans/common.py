@@ -33,3 +33,27 @@ def age_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def posexplode_array(df: DataFrame, keys, array_col: str, pos: str = "pos", value: str = "value") -> DataFrame:
     """Array column -> long rows (keys, 1-based pos, value) for comparison."""
     return df.select(*keys, F.posexplode(array_col).alias(pos, value)).withColumn(pos, F.col(pos) + 1)
+
+
+def survival_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survival(spark, sf_dir).select("age").distinct()
+
+
+def survey_axes(spark: SparkSession, sf_dir: str):
+    """(period edges, age edges, year domain, age domain) from the rate tables."""
+    from ..operators import survey
+    surv = survival(spark, sf_dir)
+    ydim = dims.year_dim(surv)
+    return (dims.period_edges(ydim), survey.age_edges(surv), ydim.select("value"),
+            surv.select("age").distinct())
+
+
+def banded_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from ..operators import survey
+    listed = survey.exclude_listed(fixture(spark, sf_dir, "v_band"), fixture(spark, sf_dir, "v_list"),
+                                   "tribe", "tribe_name")
+    return listed.where(F.col("age_member").isNotNull())
+
+
+# Fixed values of the banded-survey fixture: birth places counted as native.
+NATIVE_BIRTH_PLACES = ("small", "red")

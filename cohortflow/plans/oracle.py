@@ -219,3 +219,141 @@ O["period_edges"] = f"""
 {duck_cte('v_life')}, {SURV},
 e AS (SELECT CAST(value AS DOUBLE) AS edge FROM ydim UNION ALL SELECT max(value) + 5.0 FROM ydim)
 SELECT CAST(row_number() OVER (ORDER BY edge) AS INTEGER) AS pos, edge FROM e"""
+
+
+# ------------------------------------------------------------ slice 4: survey counts
+
+BINS = """
+pbins AS (SELECT value AS lo, coalesce(lead(value) OVER (ORDER BY value), value + 5) AS hi,
+                 lead(value) OVER (ORDER BY value) IS NULL AS is_last FROM ydim),
+ages AS (SELECT DISTINCT age FROM surv),
+abins AS (SELECT age AS lo, coalesce(CAST(lead(age) OVER (ORDER BY age) AS DOUBLE), 'inf'::DOUBLE) AS hi,
+                 lead(age) OVER (ORDER BY age) IS NULL AS is_last FROM ages)"""
+
+
+def in_bin(x: str, b: str) -> str:
+    return f"{x} >= {b}.lo AND ({x} < {b}.hi OR ({b}.is_last AND {x} <= {b}.hi))"
+
+
+O["count_cohort_age"] = f"""
+{duck_cte('v_life', 'v_person')}, {SURV}, {BINS},
+p AS (SELECT * FROM v_person WHERE basic_gender = 2
+      AND year_migration_m IS NOT NULL AND age_migration_m IS NOT NULL),
+b AS (SELECT CAST(pb.lo AS INTEGER) AS mig_year, CAST(ab.lo AS INTEGER) AS age FROM p
+      LEFT JOIN pbins pb ON {in_bin('p.year_migration_m', 'pb')}
+      LEFT JOIN abins ab ON {in_bin('p.basic_age', 'ab')}),
+c AS (SELECT mig_year, age, count(*) AS n FROM b WHERE mig_year IS NOT NULL AND age IS NOT NULL
+      GROUP BY mig_year, age),
+grid AS (SELECT CAST(y.value AS INTEGER) AS mig_year, CAST(a.age AS INTEGER) AS age FROM ydim y, ages a)
+SELECT grid.mig_year, grid.age, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM grid LEFT JOIN c ON c.mig_year = grid.mig_year AND c.age = grid.age"""
+
+O["count_native_age"] = f"""
+{duck_cte('v_life', 'v_person')}, {SURV}, {BINS},
+p AS (SELECT * FROM v_person WHERE basic_gender = 2 AND born_kenya_m = 1),
+b AS (SELECT CAST(ab.lo AS INTEGER) AS age FROM p LEFT JOIN abins ab ON {in_bin('p.basic_age', 'ab')}),
+c AS (SELECT age, count(*) AS n FROM b WHERE age IS NOT NULL GROUP BY age)
+SELECT CAST(a.age AS INTEGER) AS age, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM ages a LEFT JOIN c ON c.age = a.age"""
+
+O["count_full_outer"] = f"""
+{duck_cte('v_life', 'v_household')}, {SURV},
+dom AS (SELECT CAST(unnest(range(0, (SELECT max(age) FROM surv) + 1, 5)) AS INTEGER) AS age),
+hb AS (SELECT age AS lo, lead(age) OVER (ORDER BY age) AS hi FROM dom),
+h AS (SELECT TRY_CAST(age AS DOUBLE) AS x FROM v_household WHERE gender = 2 AND age IS NOT NULL),
+c AS (SELECT hb.lo AS age, count(*) AS n FROM h LEFT JOIN hb ON h.x >= hb.lo AND (hb.hi IS NULL OR h.x < hb.hi)
+      GROUP BY hb.lo)
+SELECT CAST(coalesce(c.age, dom.age) AS INTEGER) AS age, CAST(coalesce(c.n, 0) AS BIGINT) AS n
+FROM c FULL JOIN dom ON c.age = dom.age"""
+
+O["exclude_listed"] = f"""
+{duck_cte('v_band', 'v_list')}
+SELECT * FROM v_band b WHERE NOT EXISTS (SELECT 1 FROM v_list l WHERE l.tribe_name = b.tribe)"""
+
+O["restrict_to_domain"] = f"""
+{duck_cte('v_life', 'v_fert_wide')}, {SURV}, fert AS ({FERT})
+SELECT region, year, age, {r6('fert', 'fert')} FROM fert
+WHERE year IN (SELECT value FROM ydim) AND age IN (SELECT age FROM surv)"""
+
+BANDED = f"""
+{duck_cte('v_life', 'v_band', 'v_list')}, {SURV}, {BINS},
+s AS (SELECT b.* FROM v_band b
+      WHERE NOT EXISTS (SELECT 1 FROM v_list l WHERE l.tribe_name = b.tribe) AND age_member IS NOT NULL)"""
+
+
+def limits(src: str, keep: str) -> str:
+    parts = "string_split_regex(replace(age_member, 'Below 15', '0-15'), '[^A-Za-z0-9]+')"
+    return (f"SELECT {keep} n, TRY_CAST({parts}[1] AS INTEGER) AS lo, "
+            f"TRY_CAST({parts}[2] AS INTEGER) AS hi FROM {src}")
+
+
+O["banded_migrants"] = f"""
+{BANDED},
+m AS (SELECT age_member, TRY_CAST(mig AS DOUBLE) AS mig_year FROM s
+      WHERE mig IS NOT NULL OR mig <> 'Non applicable'),
+c AS (SELECT age_member, mig_year, count(*) AS n FROM m
+      WHERE mig_year > (SELECT min(value) FROM ydim) GROUP BY age_member, mig_year),
+lim AS ({limits('c', 'mig_year,')}),
+sp AS (SELECT mig_year, unnest(range(lo, hi)) AS age, n / (hi - lo) AS n FROM lim WHERE hi > lo),
+bn AS (SELECT CAST(pb.lo AS INTEGER) AS mig_year, CAST(ab.lo AS INTEGER) AS age, n FROM sp
+       LEFT JOIN pbins pb ON {in_bin('sp.mig_year', 'pb')}
+       LEFT JOIN abins ab ON {in_bin('sp.age', 'ab')}),
+su AS (SELECT mig_year, age, sum(n) AS n FROM bn WHERE mig_year IS NOT NULL AND age IS NOT NULL
+       GROUP BY mig_year, age),
+grid AS (SELECT CAST(y.value AS INTEGER) AS mig_year, CAST(a.age AS INTEGER) AS age FROM ydim y, ages a)
+SELECT grid.mig_year, grid.age, {r6('coalesce(su.n, 0.0)', 'n')}
+FROM grid LEFT JOIN su ON su.mig_year = grid.mig_year AND su.age = grid.age"""
+
+O["banded_natives"] = f"""
+{BANDED},
+c AS (SELECT age_member, count(*) AS n FROM s
+      WHERE cbirth IN ('small', 'red') AND (mig IS NOT NULL OR mig = 'Non applicable')
+      GROUP BY age_member),
+lim AS ({limits('c', '')}),
+sp AS (SELECT unnest(range(lo, hi)) AS age, n / (hi - lo) AS n FROM lim WHERE hi > lo),
+bn AS (SELECT CAST(ab.lo AS INTEGER) AS age, n FROM sp LEFT JOIN abins ab ON {in_bin('sp.age', 'ab')}),
+su AS (SELECT age, sum(n) AS n FROM bn WHERE age IS NOT NULL GROUP BY age)
+SELECT CAST(a.age AS INTEGER) AS age, {r6('coalesce(su.n, 0.0)', 'n')}
+FROM ages a LEFT JOIN su ON su.age = a.age"""
+
+
+# ------------------------------------------------------------ slice 5: arrays and model input
+
+O["to_matrix"] = O["count_cohort_age"].replace(
+    "SELECT grid.mig_year, grid.age, CAST(coalesce(c.n, 0) AS BIGINT) AS n\nFROM grid",
+    "SELECT CAST(dense_rank() OVER (ORDER BY grid.mig_year) AS INTEGER) AS row_pos,\n"
+    "       CAST(dense_rank() OVER (ORDER BY grid.age) AS INTEGER) AS col_pos, grid.mig_year,\n"
+    "       round(CAST(coalesce(c.n, 0) AS DOUBLE), 6) AS value\nFROM grid")
+
+ALIGNED = f"""
+fert AS ({FERT}),
+af AS (SELECT s.region, s.year, s.age, coalesce(f.fert, 0.0) AS fert
+       FROM surv s LEFT JOIN fert f ON f.region = s.region AND f.year = s.year AND f.age = s.age),
+fl AS (SELECT region, age, bool_or(fert > 0) AS fertile FROM af GROUP BY region, age),
+ix AS (SELECT *, row_number() OVER (PARTITION BY region ORDER BY age) AS idx FROM fl),
+fw AS (SELECT region, count(*) AS n_ages, count(*) FILTER (WHERE fertile) AS n_fert_ages,
+              min(age) FILTER (WHERE fertile) AS first_fertile_age,
+              max(age) FILTER (WHERE fertile) AS last_fertile_age,
+              min(idx) FILTER (WHERE fertile) - 1 AS ages_before_fert,
+              count(*) - max(idx) FILTER (WHERE fertile) AS ages_after_fert
+       FROM ix GROUP BY region)"""
+
+O["fertile_window"] = f"""
+{duck_cte('v_life', 'v_fert_wide')}, {SURV}, {ALIGNED}
+SELECT region, CAST(n_ages AS BIGINT) AS n_ages, CAST(n_fert_ages AS BIGINT) AS n_fert_ages,
+       CAST(first_fertile_age AS BIGINT) AS first_fertile_age, CAST(last_fertile_age AS BIGINT) AS last_fertile_age,
+       CAST(ages_before_fert AS BIGINT) AS ages_before_fert, CAST(ages_after_fert AS BIGINT) AS ages_after_fert
+FROM fw"""
+
+O["model_input"] = f"""
+{duck_cte('v_life', 'v_fert_wide')}, {SURV}, {ALIGNED},
+sk AS (SELECT region, count(DISTINCT age) AS K, count(DISTINCT year) AS Time, count(*) AS surv_cells,
+              sum(surv) AS surv_total FROM surv GROUP BY region),
+fk AS (SELECT af.region, count(*) AS fert_cells, sum(af.fert) AS fert_total FROM af
+       JOIN fl ON fl.region = af.region AND fl.age = af.age AND fl.fertile GROUP BY af.region)
+SELECT sk.region, CAST(K AS BIGINT) AS K, CAST(Time AS BIGINT) AS Time,
+       CAST(n_fert_ages AS BIGINT) AS n_fert_ages, CAST(ages_before_fert AS BIGINT) AS ages_before_fert,
+       CAST(ages_after_fert AS BIGINT) AS ages_after_fert, {r6('1.0 / (1.0 + 1.05)', 'prop_f')},
+       CAST(surv_cells AS BIGINT) AS surv_cells, {r6('surv_total', 'surv_total')},
+       CAST(fert_cells AS BIGINT) AS fert_cells, {r6('fert_total', 'fert_total')}
+FROM sk LEFT JOIN fk ON fk.region = sk.region LEFT JOIN fw ON fw.region = sk.region"""

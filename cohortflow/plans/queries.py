@@ -178,3 +178,94 @@ def q_year_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_period_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     edges = dims.period_edges(common.year_dim(spark, sf_dir))
     return common.posexplode_array(edges, [], "edges", "pos", "edge")
+
+
+# ------------------------------------------------------------ slice 4: survey counts
+
+from ..operators import survey  # noqa: E402
+
+
+@register
+def q_count_cohort_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
+    out = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
+    return out.withColumn("n", F.col("n").cast("bigint"))
+
+
+@register
+def q_count_native_age(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ae, _, ages = common.survey_axes(spark, sf_dir)
+    out = survey.count_native_age(fixture(spark, sf_dir, "v_person"), ae, ages)
+    return out.withColumn("n", F.col("n").cast("bigint"))
+
+
+@register
+def q_count_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    surv = common.survival(spark, sf_dir)
+    edges = survey.stepped_edges(surv)
+    domain = edges.select(F.explode("edges").alias("age")).where(F.col("age") < float("inf"))
+    return survey.count_full_outer(fixture(spark, sf_dir, "v_household"), edges, domain)
+
+
+@register
+def q_exclude_listed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return survey.exclude_listed(fixture(spark, sf_dir, "v_band"), fixture(spark, sf_dir, "v_list"),
+                                 "tribe", "tribe_name")
+
+
+@register
+def q_restrict_to_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    surv = common.survival(spark, sf_dir)
+    out = rates.restrict_to_domain(common.fertility(spark, sf_dir),
+                                   year=dims.year_dim(surv).select("value"), age=surv.select("age"))
+    return round_doubles(out)
+
+
+@register
+def q_banded_migrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
+    return round_doubles(survey.banded_migrants(common.banded_survey(spark, sf_dir), pe, ae, years, ages))
+
+
+@register
+def q_banded_natives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ae, _, ages = common.survey_axes(spark, sf_dir)
+    out = survey.banded_natives(common.banded_survey(spark, sf_dir), ae, ages, common.NATIVE_BIRTH_PLACES)
+    return round_doubles(out)
+
+
+# ------------------------------------------------------------ slice 5: arrays and model input
+
+@register
+def q_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
+    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
+    mat = dims.to_matrix(grid, "mig_year", "age", "n")
+    rows = mat.select(F.posexplode(F.arrays_zip("mig_years", "matrix")).alias("r", "z"))
+    cells = rows.select((F.col("r") + 1).alias("row_pos"), F.col("z.mig_years").alias("mig_year"),
+                        F.posexplode("z.matrix").alias("c", "value"))
+    return round_doubles(cells.select("row_pos", (F.col("c") + 1).alias("col_pos"), "mig_year", "value"))
+
+
+@register
+def q_fertile_window(spark: SparkSession, sf_dir: str) -> DataFrame:
+    af = rates.align_fertility(common.fertility(spark, sf_dir), common.survival(spark, sf_dir))
+    out = dims.fertile_window(af, by=["region"])
+    return out.select("region", *[F.col(c).cast("bigint").alias(c) for c in out.columns if c != "region"])
+
+
+@register
+def q_model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
+    surv = common.survival(spark, sf_dir)
+    af = rates.align_fertility(common.fertility(spark, sf_dir), surv)
+    mi = dims.model_input(surv, af)
+    flat_s = F.flatten("surv_mean")
+    flat_f = F.flatten("fert_mean")
+    from ..functions.scalar import arr_sum
+    out = mi.select(
+        "region", *[F.col(c).cast("bigint").alias(c) for c in
+                    ("K", "Time", "n_fert_ages", "ages_before_fert", "ages_after_fert")],
+        "prop_f",
+        F.size(flat_s).cast("bigint").alias("surv_cells"), arr_sum(flat_s).alias("surv_total"),
+        F.size(flat_f).cast("bigint").alias("fert_cells"), arr_sum(flat_f).alias("fert_total"))
+    return round_doubles(out)
