@@ -357,3 +357,94 @@ SELECT sk.region, CAST(K AS BIGINT) AS K, CAST(Time AS BIGINT) AS Time,
        CAST(surv_cells AS BIGINT) AS surv_cells, {r6('surv_total', 'surv_total')},
        CAST(fert_cells AS BIGINT) AS fert_cells, {r6('fert_total', 'fert_total')}
 FROM sk LEFT JOIN fk ON fk.region = sk.region LEFT JOIN fw ON fw.region = sk.region"""
+
+
+# ------------------------------------------------------------ slice 6: diagnostics
+
+from ..functions.scalar import norm_ppf_sql  # noqa: E402
+
+_P = "PARTITION BY run_id, variable"
+SPLIT = f"""
+c AS (SELECT *, row_number() OVER ({_P}, chain ORDER BY iteration) AS r,
+             count(*) OVER ({_P}, chain) AS nc,
+             dense_rank() OVER ({_P} ORDER BY chain) AS ci,
+             quantile_cont(value, 0.5) OVER ({_P}) AS med,
+             quantile_cont(value, 0.05) OVER ({_P}) AS q05,
+             quantile_cont(value, 0.95) OVER ({_P}) AS q95,
+             min(value) OVER ({_P}) = max(value) OVER ({_P}) AS is_const
+      FROM dr),
+sp AS (SELECT run_id, variable, value, med, q05, q95, is_const,
+              CASE WHEN r <= floor(nc / 2) THEN 2 * ci - 1 ELSE 2 * ci END AS sc,
+              CASE WHEN r <= floor(nc / 2) THEN r ELSE r - (nc - floor(nc / 2)) END AS pos
+       FROM c WHERE r <= floor(nc / 2) OR r > nc - floor(nc / 2)),
+rk AS (SELECT *, abs(value - med) AS fold, count(*) OVER ({_P}) AS S FROM sp),
+rk2 AS (SELECT *,
+          (rank() OVER ({_P} ORDER BY value)
+           + count(*) OVER ({_P} ORDER BY value RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0 AS rb,
+          (rank() OVER ({_P} ORDER BY fold)
+           + count(*) OVER ({_P} ORDER BY fold RANGE BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) / 2.0 AS rf
+        FROM rk),
+zz AS (SELECT *, {norm_ppf_sql('(rb - 0.375) / (S + 0.25)')} AS z,
+                 {norm_ppf_sql('(rf - 0.375) / (S + 0.25)')} AS zf FROM rk2)"""
+
+O["rhat"] = f"""
+{duck_cte('v_draws1')}, dr AS (SELECT * FROM v_draws1), {SPLIT},
+pc AS (SELECT run_id, variable, sc, count(*) AS n, avg(z) AS mz, var_samp(z) AS vz,
+              avg(zf) AS mf, var_samp(zf) AS vf, bool_or(is_const) AS cst
+       FROM zz GROUP BY run_id, variable, sc),
+rh AS (SELECT run_id, variable,
+              sqrt((max(n) * var_samp(mz) / avg(vz) + max(n) - 1) / max(n)) AS rb,
+              sqrt((max(n) * var_samp(mf) / avg(vf) + max(n) - 1) / max(n)) AS rf,
+              bool_or(cst) AS cst
+       FROM pc GROUP BY run_id, variable)
+SELECT run_id, variable, round(CASE WHEN cst THEN NULL ELSE greatest(rb, rf) END, 6) AS rhat FROM rh"""
+
+_K = "run_id, variable, series"
+ESS = f"""
+{duck_cte('v_draws1')}, dr AS (SELECT * FROM v_draws1), {SPLIT},
+ser AS (SELECT run_id, variable, sc, pos, 'bulk' AS series, z AS x FROM zz
+        UNION ALL SELECT run_id, variable, sc, pos, 'q05', CAST(value <= q05 AS DOUBLE) FROM zz
+        UNION ALL SELECT run_id, variable, sc, pos, 'q95', CAST(value <= q95 AS DOUBLE) FROM zz),
+cm AS (SELECT {_K}, sc, avg(x) AS cm, count(*) AS n FROM ser GROUP BY {_K}, sc),
+sx AS (SELECT s.*, cm.cm, cm.n FROM ser s JOIN cm USING ({_K}, sc)),
+ac AS (SELECT a.run_id, a.variable, a.series, a.sc, b.pos - a.pos AS t,
+              sum((a.x - a.cm) * (b.x - b.cm)) / max(a.n) AS acov
+       FROM sx a JOIN sx b ON a.run_id = b.run_id AND a.variable = b.variable AND a.series = b.series
+                          AND a.sc = b.sc AND b.pos >= a.pos
+       GROUP BY a.run_id, a.variable, a.series, a.sc, b.pos - a.pos),
+lagm AS (SELECT {_K}, t, avg(acov) AS A FROM ac GROUP BY {_K}, t),
+base AS (SELECT a.run_id, a.variable, a.series, avg(a.acov) AS acov0, count(*) AS m, max(cm.n) AS n,
+                var_samp(cm.cm) AS vmean, max(cm.cm) - min(cm.cm) AS spread, max(a.acov) AS maxvar
+         FROM ac a JOIN cm USING ({_K}, sc) WHERE a.t = 0 GROUP BY a.run_id, a.variable, a.series),
+b2 AS (SELECT *, acov0 * n / (n - 1) AS mean_var,
+              acov0 + CASE WHEN m > 1 THEN vmean ELSE 0 END AS var_plus,
+              spread = 0 AND maxvar = 0 AS flat FROM base),
+rho AS (SELECT l.*, b2.n, b2.m, b2.flat, 1 - (b2.mean_var - l.A) / b2.var_plus AS rho
+        FROM lagm l JOIN b2 USING ({_K})),
+pr AS (SELECT {_K}, CAST(floor(t / 2) AS INTEGER) AS k, sum(rho) AS P,
+              max(CASE WHEN t % 2 = 0 THEN rho END) AS even, max(n) AS n, max(m) AS m, bool_or(flat) AS flat
+       FROM rho GROUP BY {_K}, CAST(floor(t / 2) AS INTEGER) HAVING count(*) = 2),
+pr2 AS (SELECT *,
+          least(coalesce(min(CASE WHEN P IS NULL OR isnan(P) OR P <= 0 THEN k END) OVER w,
+                         greatest(0, ceil((n - 5) / 2))), greatest(0, ceil((n - 5) / 2))) AS kstop,
+          min(P) OVER (w ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS runmin
+        FROM pr WINDOW w AS (PARTITION BY {_K})),
+tau AS (SELECT {_K}, sum(CASE WHEN k < kstop THEN runmin ELSE 0 END) AS s,
+               max(CASE WHEN k = kstop THEN (CASE WHEN P >= 0 THEN even WHEN even > 0 THEN even ELSE 0 END) END)
+                 AS last, max(n) AS n, max(m) AS m, bool_or(flat) AS flat
+        FROM pr2 GROUP BY {_K}),
+es AS (SELECT {_K}, CASE WHEN NOT flat AND n >= 3
+                    THEN n * m / greatest(-1 + 2 * s + coalesce(last, 0), 1 / log10(n * m)) END AS ess FROM tau),
+fl AS (SELECT run_id, variable, bool_or(is_const) AS cst FROM zz GROUP BY run_id, variable),
+wide AS (SELECT run_id, variable, max(CASE WHEN series = 'bulk' THEN ess END) AS eb,
+                max(CASE WHEN series = 'q05' THEN ess END) AS el, max(CASE WHEN series = 'q95' THEN ess END) AS eh
+         FROM es GROUP BY run_id, variable)"""
+
+O["ess_bulk"] = f"""{ESS}
+SELECT w.run_id, w.variable, round(CASE WHEN fl.cst THEN NULL ELSE eb END, 6) AS ess_bulk
+FROM wide w JOIN fl USING (run_id, variable)"""
+
+O["ess_tail"] = f"""{ESS}
+SELECT w.run_id, w.variable,
+       round(CASE WHEN fl.cst OR el IS NULL OR eh IS NULL THEN NULL ELSE least(el, eh) END, 6) AS ess_tail
+FROM wide w JOIN fl USING (run_id, variable)"""

@@ -269,3 +269,27 @@ def q_model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(flat_s).cast("bigint").alias("surv_cells"), arr_sum(flat_s).alias("surv_total"),
         F.size(flat_f).cast("bigint").alias("fert_cells"), arr_sum(flat_f).alias("fert_total"))
     return round_doubles(out)
+
+
+# ------------------------------------------------------------ slice 6: diagnostics
+
+from ..operators import diagnostics  # noqa: E402
+
+
+@register
+def q_rhat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(diagnostics.rhat(fixture(spark, sf_dir, "v_draws1")))
+
+
+def _ess(spark, sf_dir):
+    return diagnostics.ess(fixture(spark, sf_dir, "v_draws1"))
+
+
+@register
+def q_ess_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_ess(spark, sf_dir).select("run_id", "variable", "ess_bulk"))
+
+
+@register
+def q_ess_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_ess(spark, sf_dir).select("run_id", "variable", "ess_tail"))
