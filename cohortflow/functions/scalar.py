@@ -100,6 +100,17 @@ def zeros(n) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
 
+def nullable_array(arr) -> Column:
+    """Same values, element type declared nullable.
+
+    ``aggregate`` takes its accumulator type from the initial value; with
+    non-nullable elements (e.g. ``array_repeat(0.0, k)``) a NULL produced in
+    a later step would be stored as 0.0. ``try_add(x, 0.0)`` is always
+    nullable and is not simplified away by the optimizer.
+    """
+    return F.transform(_c(arr), lambda v: F.try_add(v, F.lit(0.0)))
+
+
 def to_double_array(arr) -> Column:
     return F.transform(_c(arr), lambda v: v.cast("double"))
 

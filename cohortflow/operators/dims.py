@@ -143,5 +143,5 @@ def model_input(surv: DataFrame, fert: DataFrame, by: Sequence[str] = ("region",
         F.size("years").alias("Time"),
         F.lit(float(prop_f)).alias("prop_f"),
         "ages", "years", "surv_mean", "fert_mean",
-        "n_fert_ages", "ages_before_fert", "ages_after_fert",
+        *[F.col(c).cast("int").alias(c) for c in ("n_fert_ages", "ages_before_fert", "ages_after_fert")],
     )

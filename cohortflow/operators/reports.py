@@ -81,7 +81,8 @@ def overlay_rates(rate_summary: DataFrame, rates: DataFrame, rate_col: str,
     Adds the input rate, its distance to the posterior median and whether it
     lies inside the 90 % interval.
     """
-    r = rates.select(*keys, F.col(rate_col).alias("input_rate"))
+    extra = [c for c in rates.columns if c not in keys and c != rate_col]
+    r = rates.select(*extra, *keys, F.col(rate_col).alias("input_rate"))
     out = rate_summary.join(r, list(keys), "left")
     return out.withColumns({
         "diff_q50": F.col("input_rate") - F.col("q50"),

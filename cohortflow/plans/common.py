@@ -30,9 +30,22 @@ def age_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
     return dims.age_dim(survival(spark, sf_dir))
 
 
+def explode_pos(df: DataFrame, keys, array_col, pos: str, value: str) -> DataFrame:
+    """posexplode that keeps computed arrays from being re-inlined.
+
+    A plain ``posexplode`` makes the optimizer infer ``size(arr) > 0`` and
+    push it below the projections, which copies the array's whole
+    expression into the filter (evaluated again per row). The outer form
+    infers nothing; empty or NULL arrays are dropped by a filter on the
+    generated position instead.
+    """
+    out = df.select(*keys, F.posexplode_outer(array_col).alias(pos, value))
+    return out.where(F.col(pos).isNotNull())
+
+
 def posexplode_array(df: DataFrame, keys, array_col: str, pos: str = "pos", value: str = "value") -> DataFrame:
     """Array column -> long rows (keys, 1-based pos, value) for comparison."""
-    return df.select(*keys, F.posexplode(array_col).alias(pos, value)).withColumn(pos, F.col(pos) + 1)
+    return explode_pos(df, keys, array_col, pos, value).withColumn(pos, F.col(pos) + 1)
 
 
 def survival_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,3 +70,78 @@ def banded_survey(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # Fixed values of the banded-survey fixture: birth places counted as native.
 NATIVE_BIRTH_PLACES = ("small", "red")
+
+
+# ---------------------------------------------------------------- (population, draw) rows
+
+def _p(i) -> F.Column:
+    """Raw draw value i (0-based, cyclic over the 64 embedding dims)."""
+    idx = (i % 64) + 1
+    return F.element_at("embedding", idx.cast("int") if isinstance(idx, F.Column) else F.lit(idx)).cast("double")
+
+
+def _vec(n, offset, scale=4.0, shift=0.0):
+    return F.transform(F.sequence(F.lit(1), n), lambda a: F.lit(shift) + F.lit(scale) * _p(offset + a - 1))
+
+
+def _mat(rows, cols, offset, scale=4.0, shift=0.0):
+    return F.transform(F.sequence(F.lit(1), rows), lambda t: F.transform(
+        F.sequence(F.lit(1), cols), lambda a: F.lit(shift) + F.lit(scale) * _p(offset + (t - 1) * cols + a - 1)))
+
+
+def mig_share_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Origin-population age shares [period][age] per region, from both sheets."""
+    from ..operators import rates as r
+    wide = r.union_sheets([fixture(spark, sf_dir, "v_pop_wide"), fixture(spark, sf_dir, "v_pop_wide_proj")],
+                          keys=["region", "period"])
+    pop = r.tidy_rates(wide, "pop", ids=("region", "period", "sheet"))
+    surv = survival(spark, sf_dir)
+    shares = r.restrict_to_domain(r.age_shares(pop), year=dims.year_dim(surv).select("value"),
+                                  age=surv.select("age"))
+    m = dims.to_matrix(shares, "year", "age", "pop_prop", by=["region"])
+    return m.select("region", F.col("matrix").alias("mig_props"))
+
+
+def draw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row per (population, draw): model input joined to the draw's raw
+    parameters (read from the embedding dims) — the projection's input."""
+    from ..operators import rates as r
+    surv = survival(spark, sf_dir)
+    mi = dims.model_input(surv, r.align_fertility(fertility(spark, sf_dir), surv))
+    prof = r.initial_age_profile(r.age_shares(population(spark, sf_dir))).select("region", "profile")
+    rows = fixture(spark, sf_dir, "v_rows").join(mi, "region").join(prof, "region", "left") \
+        .join(mig_share_matrix(spark, sf_dir), "region", "left")
+    K, T, NF = F.col("K"), F.col("Time"), F.col("n_fert_ages")
+    return rows.select(
+        "region", "draw", "chain", "iteration", "K", "Time", "prop_f", "n_fert_ages",
+        "ages_before_fert", "ages_after_fert", "surv_mean", "fert_mean", "profile", "mig_props",
+        F.abs(_p(0)).alias("sigma_surv"), F.abs(_p(1)).alias("sigma_fert"),
+        (F.abs(_p(2)) + F.lit(0.1)).alias("sigma_pop"),
+        _mat(T, K, 3).alias("logit_surv_raw"),
+        _mat(T, NF, 5).alias("log_fert_sub_raw"),
+        (F.lit(4.0) * _p(7)).alias("log_pop_0_total_true_raw"),
+        _vec(K, 9).alias("log_pop_0_ratios_raw"),
+        F.transform(F.sequence(F.lit(1), K), lambda a: F.exp(_p(11 + a - 1))).alias("gamma_dirichlet"),
+        _vec(T, 13, shift=4.0).alias("log_pop_mig_init_total"),
+        _mat(T, K, 17).alias("log_pop_mig_init_ratios"),
+    )
+
+
+def projected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """draw_rows plus per-draw survival, fertility and reproduction arrays."""
+    from ..operators import cohort as c
+    from ..session import balance
+    d = balance(draw_rows(spark, sf_dir), "region", "draw")
+    d = d.withColumns({
+        "surv": c.survival_from_draw("surv_mean", "logit_surv_raw", "sigma_surv"),
+        "fert": c.fertility_from_draw("fert_mean", "log_fert_sub_raw", "sigma_fert",
+                                      "ages_before_fert", "ages_after_fert"),
+    })
+    return d.withColumn("reprod", c.reproduction("surv", "fert", "prop_f"))
+
+
+def long3(df: DataFrame, keys, col: str, names=("t", "a"), value: str = "value") -> DataFrame:
+    """[t][a] array column -> rows (keys, t, a, value), 1-based."""
+    o = explode_pos(df, keys, col, "_t", "_row")
+    o = explode_pos(o, [*keys, "_t"], "_row", "_a", value)
+    return o.select(*keys, (F.col("_t") + 1).alias(names[0]), (F.col("_a") + 1).alias(names[1]), value)

@@ -448,3 +448,278 @@ O["ess_tail"] = f"""{ESS}
 SELECT w.run_id, w.variable,
        round(CASE WHEN fl.cst OR el IS NULL OR eh IS NULL THEN NULL ELSE least(el, eh) END, 6) AS ess_tail
 FROM wide w JOIN fl USING (run_id, variable)"""
+
+
+# ------------------------------------------------------------ slice 7: cohort operators
+# The same arithmetic as the array operators, written with DuckDB list
+# lambdas; folds use list_reduce with an initial value.
+
+def _e(i: str) -> str:
+    return f"CAST(embedding[(({i}) % 64) + 1] AS DOUBLE)"
+
+
+def _vec(n: str, off: int, scale: str = "4.0e0", shift: str = "0.0e0") -> str:
+    return f"list_transform(generate_series(1, {n}), lambda a: {shift} + {scale} * {_e(f'{off} + a - 1')})"
+
+
+def _mat(rows: str, cols: str, off: int, scale: str = "4.0e0", shift: str = "0.0e0") -> str:
+    return (f"list_transform(generate_series(1, {rows}), lambda t: list_transform(generate_series(1, {cols}), "
+            f"lambda a: {shift} + {scale} * {_e(f'{off} + (t - 1) * {cols} + a - 1')}))")
+
+
+def _sum(lst: str) -> str:
+    return f"list_reduce({lst}, lambda x, y: x + y, 0.0e0)"
+
+
+def _dot(a: str, b: str) -> str:
+    return _sum(f"list_transform(list_zip({a}, {b}), lambda z: z[1] * z[2])")
+
+
+def _step(pop: str, s: str, r: str | None) -> str:
+    births = _dot(r, pop) if r else "0.0e0"
+    return (f"list_transform(generate_series(1, len({pop})), lambda a: CASE WHEN a = 1 THEN {births} "
+            f"ELSE {s}[a] * {pop}[a - 1] + CASE WHEN a = len({pop}) THEN {s}[len({pop}) + 1] * {pop}[len({pop})] "
+            f"ELSE 0.0e0 END END)")
+
+
+def _softmax(v: str) -> str:
+    ex = f"list_transform({v}, lambda x: exp(x - list_max({v})))"
+    return f"list_transform({ex}, lambda x: x / {_sum(ex)})"
+
+
+def _shares_softmax(raw: str, props: str, sd: str) -> str:
+    lr = f"list_transform({props}, lambda v: ln(v / {props}[10]))"
+    return _softmax(f"list_transform(list_zip({raw}, {lr}), lambda z: z[1] * {sd} + z[2])")
+
+
+def _fold(pop0: str, T: str, body: str) -> str:
+    """list_reduce over t = 2..T of concat(acc, [body(acc[-1], t)])."""
+    return (f"list_reduce(generate_series(2, greatest({T}, 2)), lambda acc, t: CASE WHEN t <= {T} "
+            f"THEN list_concat(acc, [{body}]) ELSE acc END, [{pop0}])")
+
+
+SHARES_U = f"""
+u AS (SELECT *, 1 AS sheet FROM v_pop_wide UNION ALL BY NAME SELECT *, 2 AS sheet FROM v_pop_wide_proj),
+dd AS (SELECT * EXCLUDE (Variant, Notes) FROM u
+       QUALIFY row_number() OVER (PARTITION BY region, period ORDER BY sheet) = 1),
+upop AS ({tidy_sql('dd', POP_BANDS, 'pop', False, extra_ids=', sheet')}),
+ushares AS (SELECT *, pop / CASE WHEN count(pop) OVER w = count(*) OVER w THEN sum(pop) OVER w END AS pop_prop
+            FROM upop WINDOW w AS (PARTITION BY region, year))"""
+
+DRAWS = f"""
+{duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows')}, {SURV}, {ALIGNED}, {SHARES}, {SHARES_U},
+sm AS (SELECT region, list(r ORDER BY year) AS surv_mean, count(*) AS T
+       FROM (SELECT region, year, list(surv ORDER BY age) AS r FROM surv GROUP BY region, year) GROUP BY region),
+kk AS (SELECT region, count(DISTINCT age) AS K FROM surv GROUP BY region),
+fm AS (SELECT region, list(r ORDER BY year) AS fert_mean
+       FROM (SELECT af.region, af.year, list(af.fert ORDER BY af.age) AS r
+             FROM af JOIN fl ON fl.region = af.region AND fl.age = af.age AND fl.fertile
+             GROUP BY af.region, af.year) GROUP BY region),
+prof AS (SELECT region, list(pop_prop ORDER BY age) AS profile
+         FROM (SELECT *, min(year) OVER (PARTITION BY region) AS y0, max(age) OVER (PARTITION BY region) AS amax
+               FROM shares) WHERE year = y0 AND age <> amax GROUP BY region),
+mp AS (SELECT region, list(r ORDER BY year) AS mig_props
+       FROM (SELECT region, year, list(pop_prop ORDER BY age) AS r FROM ushares
+             WHERE year IN (SELECT value FROM ydim) AND age IN (SELECT age FROM surv)
+             GROUP BY region, year) GROUP BY region),
+pa AS (SELECT v.region, v.draw, v.embedding, kk.K, sm.T, 1.0e0 / (1.0e0 + 1.05e0) AS prop_f,
+              fw.n_fert_ages AS nf, fw.ages_before_fert AS bf, fw.ages_after_fert AS aft,
+              sm.surv_mean, fm.fert_mean, prof.profile, mp.mig_props
+       FROM v_rows v JOIN sm ON sm.region = v.region JOIN kk ON kk.region = v.region
+       LEFT JOIN fm ON fm.region = v.region LEFT JOIN fw ON fw.region = v.region
+       LEFT JOIN prof ON prof.region = v.region LEFT JOIN mp ON mp.region = v.region),
+pb AS (SELECT *, abs({_e('0')}) AS sigma_surv, abs({_e('1')}) AS sigma_fert, abs({_e('2')}) + 0.1e0 AS sigma_pop,
+              {_mat('T', 'K', 3)} AS logit_surv_raw, {_mat('T', 'nf', 5)} AS log_fert_sub_raw,
+              4.0e0 * {_e('7')} AS log_pop_0_total_true_raw, {_vec('K', 9)} AS log_pop_0_ratios_raw,
+              list_transform(generate_series(1, K), lambda a: exp({_e('11 + a - 1')})) AS gamma_dirichlet,
+              {_vec('T', 13, shift='4.0e0')} AS log_pop_mig_init_total,
+              {_mat('T', 'K', 17)} AS log_pop_mig_init_ratios
+       FROM pa),
+pc AS (SELECT *,
+         list_transform(surv_mean, lambda row, t: list_concat(
+             list_transform(list_zip(row, logit_surv_raw[t]),
+                            lambda z: 1.0e0 / (1.0e0 + exp(-(ln(z[1] / (1.0e0 - z[1])) + z[2] * sigma_surv)))),
+             [0.0e0])) AS surv,
+         list_transform(fert_mean, lambda row, t: list_concat(list_concat(
+             list_transform(generate_series(1, bf), lambda i: 0.0e0),
+             list_transform(list_zip(row, log_fert_sub_raw[t]), lambda z: exp(ln(z[1]) + z[2] * sigma_fert))),
+             list_transform(generate_series(1, aft + 1), lambda i: 0.0e0))) AS fert
+       FROM pb),
+pd AS (SELECT *,
+         list_transform(surv, lambda s, t: list_transform(generate_series(1, len(s) - 1),
+             lambda a: 2.5e0 * s[1] * prop_f * (fert[t][a] + fert[t][a + 1] * s[a + 1]))) AS reprod
+       FROM pc)"""
+
+
+def long2(src: str, col: str, names=("t", "a"), value: str = "value") -> str:
+    return (f"SELECT region, draw, CAST(t AS INTEGER) AS {names[0]}, CAST(a AS INTEGER) AS {names[1]}, "
+            f"round(v, 6) AS {value} FROM (SELECT region, draw, t, generate_subscripts(row, 1) AS a, unnest(row) AS v "
+            f"FROM (SELECT region, draw, generate_subscripts({col}, 1) AS t, unnest({col}) AS row FROM {src}))")
+
+
+O["survival_from_draw"] = f"{DRAWS}\n{long2('pd', 'surv')}"
+O["fertility_from_draw"] = f"{DRAWS}\n{long2('pd', 'fert')}"
+O["reproduction_row"] = f"{DRAWS}\n{long2('pd', 'reprod')}"
+
+O["leslie_entries"] = f"""{DRAWS},
+le AS (SELECT region, draw, generate_subscripts(surv, 1) AS t, unnest(surv) AS s, unnest(reprod) AS r FROM pd),
+ent AS (SELECT region, draw, t, 1 AS row, a AS col, r[a] AS value
+          FROM (SELECT *, unnest(generate_series(1, len(r))) AS a FROM le)
+        UNION ALL SELECT region, draw, t, a, a - 1, s[a]
+          FROM (SELECT *, unnest(generate_series(2, len(r))) AS a FROM le)
+        UNION ALL SELECT region, draw, t, len(r), len(r), s[len(r) + 1] FROM le)
+SELECT region, draw, CAST(t AS INTEGER) AS t, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col,
+       round(value, 6) AS value FROM ent"""
+
+_LN_POP0 = (f"list_transform({_shares_softmax('log_pop_0_ratios_raw', 'profile', '1.0e0')}, "
+            f"lambda x: x * exp(7.0e0 + 0.7e0 * log_pop_0_total_true_raw))")
+_DIR_POP0 = ("list_transform(list_transform(gamma_dirichlet, lambda x: x / "
+             f"{_sum('gamma_dirichlet')}), lambda x: x * exp(7.0e0 + 0.7e0 * log_pop_0_total_true_raw))")
+
+O["project_closed"] = f"""{DRAWS},
+pp AS (SELECT region, draw, {_fold(_LN_POP0, 'len(surv)', _step('acc[-1]', 'surv[t - 1]', 'reprod[t - 1]'))} AS pop
+       FROM pd)
+{long2('pp', 'pop', value='pop')}"""
+
+O["project_closed_t"] = f"""{DRAWS},
+pp AS (SELECT region, draw, {_fold(_DIR_POP0, 'len(surv)', _step('acc[-1]', 'surv[t]', 'reprod[t]'))} AS pop
+       FROM pd)
+{long2('pp', 'pop', value='pop')}"""
+
+_TOT = ("list_transform(list_transform(log_pop_mig_init_total, lambda v: exp(v)), "
+        "lambda v, i: CASE WHEN 15 > 0 AND i > 15 THEN 0.0e0 ELSE v END)")
+_SH = "list_transform(list_zip(log_pop_mig_init_ratios, mig_props), lambda z: " + \
+      _shares_softmax("z[1]", "z[2]", "5.0e0") + ")"
+_START = "list_transform(sh[m], lambda x: x * tot[m])"
+_ZERO_K = f"list_transform({_START}, lambda x: 0.0e0)"
+_COH = ("list_transform(generate_series(1, len(tot)), lambda m: " +
+        _fold(f"CASE WHEN m = 1 THEN {_START} ELSE {_ZERO_K} END", "len(tot)",
+              f"CASE WHEN t < m THEN {_ZERO_K} WHEN t = m THEN {_START} ELSE "
+              f"{_step('acc[-1]', 'surv[t - 1]', None)} END") + ")")
+
+DISAGG = f"""{DRAWS},
+dg AS (SELECT *, {_TOT} AS tot, {_SH} AS sh FROM pd),
+dc AS (SELECT *, {_COH} AS cohorts FROM dg),
+db AS (SELECT *, list_transform(generate_series(1, len(reprod)), lambda t: CASE WHEN t = 1 THEN 0.0e0 ELSE
+         list_reduce(cohorts, lambda acc, c: acc + {_dot('reprod[t - 1]', 'c[t - 1]')}, 0.0e0) END) AS births
+       FROM dc),
+dn AS (SELECT *, {_fold('list_transform(generate_series(1, K), lambda i: 0.0e0)', 'len(births)',
+                        "list_transform(" + _step('acc[-1]', 'surv[t - 1]', 'reprod[t - 1]')
+                        + ", lambda v, i: v + CASE WHEN i = 1 THEN births[t] ELSE 0.0e0 END)")} AS native
+       FROM db)"""
+
+O["project_migrants"] = f"""{DISAGG},
+ct AS (SELECT region, draw, list_transform(cohorts, lambda c: list_transform(c, lambda p: {_sum('p')})) AS ct FROM dn)
+{long2('ct', 'ct', ('mig_year', 't'), 'pop')}"""
+
+O["migrant_births"] = f"""{DISAGG}
+SELECT region, draw, CAST(t AS INTEGER) AS t, round(b, 6) AS births
+FROM (SELECT region, draw, generate_subscripts(births, 1) AS t, unnest(births) AS b FROM dn)"""
+
+O["project_native"] = f"""{DISAGG}
+{long2('dn', 'native', value='pop')}"""
+
+O["totals"] = f"""{DISAGG},
+tt AS (SELECT region, draw, list_transform(native, lambda pop, i: {{'native': {_sum('pop')},
+         'migrant': list_reduce(cohorts, lambda acc, c: acc + {_sum('c[i]')}, 0.0e0)}}) AS tv FROM dn)
+SELECT region, draw, CAST(t AS INTEGER) AS t, round(v.native, 6) AS native, round(v.migrant, 6) AS migrant,
+       round(v.native + v.migrant, 6) AS total
+FROM (SELECT region, draw, generate_subscripts(tv, 1) AS t, unnest(tv) AS v FROM tt)"""
+
+
+# ------------------------------------------------------------ slice 8: scoring and overlay
+
+import math  # noqa: E402
+
+from ..functions.scalar import _dlit  # noqa: E402
+
+_LS2P = _dlit(0.5 * math.log(2 * math.pi))
+_LN2 = _dlit(math.log(2.0))
+
+
+def _ln(x: str) -> str:
+    return f"(CASE WHEN ({x}) > 0 THEN ln({x}) END)"
+
+
+def _normal(x: str, mu: str, sd: str) -> str:
+    z = f"(({x}) - ({mu})) / ({sd})"
+    return f"(-{_LS2P} - {_ln(sd)} - 0.5e0 * {z} * {z})"
+
+
+def _lognormal(x: str, mu: str, sd: str) -> str:
+    return f"({_normal(_ln(x), mu, sd)} - {_ln(x)})"
+
+
+O["composition"] = O["count_cohort_age"].replace(
+    "SELECT grid.mig_year, grid.age, CAST(coalesce(c.n, 0) AS BIGINT) AS n\nFROM grid LEFT JOIN c ON c.mig_year = grid.mig_year AND c.age = grid.age",
+    """, gr AS (SELECT grid.mig_year, grid.age, CAST(coalesce(c.n, 0) AS DOUBLE) AS n
+           FROM grid LEFT JOIN c ON c.mig_year = grid.mig_year AND c.age = grid.age),
+w AS (SELECT *, sum(n) OVER (PARTITION BY mig_year) AS total,
+             row_number() OVER (PARTITION BY mig_year ORDER BY age) AS pos FROM gr),
+s2 AS (SELECT *, CASE WHEN total <> 0 THEN n / total END AS share FROM w),
+r AS (SELECT *, max(CASE WHEN pos = 10 THEN share END) OVER (PARTITION BY mig_year) AS ref FROM s2)
+SELECT mig_year, age, round(n, 6) AS n, round(total, 6) AS total, round(share, 6) AS share,
+       round(CASE WHEN ref <> 0 THEN """ + _ln("share / ref") + """ END, 6) AS log_ratio FROM r""").replace(
+    "grid AS (SELECT CAST(y.value", "grid AS (SELECT CAST(y.value")
+
+_OBS = (O["count_native_age"].split("SELECT CAST(a.age AS INTEGER)")[0]
+        .replace(duck_cte('v_life', 'v_person') + ", " + SURV + ", ", ""))
+
+
+def _total(v: str) -> str:
+    return _sum(v)
+
+
+def _ratios(v: str) -> str:
+    return f"list_transform({v}, lambda x: {_ln(f'(x / {_total(v)}) / ({v}[10] / {_total(v)})')})"
+
+
+O["score_observations"] = f"""{DRAWS.replace(duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows'),
+                                             duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows', 'v_person'))},
+{_OBS.strip().rstrip(',')}{',' if not _OBS.strip().endswith(',') else ''}
+ov AS (SELECT list(CAST(coalesce(c.n, 0) AS DOUBLE) ORDER BY a.age) AS obs FROM ages a LEFT JOIN c ON c.age = a.age),
+pp AS (SELECT region, draw, sigma_pop, ov.obs,
+              {_fold(_LN_POP0, 'len(surv)', _step('acc[-1]', 'surv[t - 1]', 'reprod[t - 1]'))}[15] AS pt
+       FROM pd, ov)
+SELECT region, draw,
+       round({_sum("list_transform(list_zip(obs, pt), lambda z: " + _normal('z[1]', 'z[2]', 'sigma_pop') + ")")}, 6)
+         AS normal_ll,
+       round({_lognormal(_total('obs'), _ln(_total('pt')), 'sigma_pop')}
+             + {_sum("list_transform(list_zip(" + _ratios('obs') + ", " + _ratios('pt') + "), lambda z: "
+                     + _normal('z[1]', 'z[2]', '1.0e0') + ")")}, 6) AS lognormal_ll
+FROM pp"""
+
+O["score_priors"] = f"""
+{duck_cte('v_draws1', 'v_draws2', 'v_draws3')},
+d AS (SELECT * FROM v_draws1 UNION ALL SELECT * FROM v_draws2 UNION ALL SELECT * FROM v_draws3),
+spec AS (SELECT * FROM (VALUES ('fert', 'normal', 0.0e0, 1.0e0), ('fert_sub', 'half_normal', 0.0e0, 5.0e-2),
+                               ('pop_mig_true', 'lognormal', {_dlit(math.log(100))}, 3.0e-1),
+                               ('total_pop', 'gamma', 2.0e0, 2.0e-3)) t(param, family, p1, p2)),
+j AS (SELECT d.*, spec.* FROM d JOIN spec ON regexp_extract(d.variable, '^([^\\[]+)', 1) = spec.param)
+SELECT run_id, chain, iteration,
+       round(sum(CASE family
+         WHEN 'normal' THEN {_normal('value', 'p1', 'p2')}
+         WHEN 'half_normal' THEN {_LN2} + {_normal('value', '0.0e0', 'p2')}
+         WHEN 'lognormal' THEN {_lognormal('value', 'p1', 'p2')}
+         WHEN 'gamma' THEN p1 * {_ln('p2')} + (p1 - 1) * {_ln('value')} - p2 * value - lgamma(p1) END), 6) AS log_prior,
+       count(*) AS n_terms
+FROM j GROUP BY run_id, chain, iteration"""
+
+_FERT_SUMM = f"""
+{duck_cte('v_life', 'v_draws2', 'v_fert_wide')}, {SURV}, {summ('v_draws2')},
+ex AS (SELECT *, {idx(1)} AS i1, {idx(2)} AS i2 FROM summ WHERE regexp_matches(variable, '^fert\\[')),
+ex2 AS (SELECT run_id, CAST(coalesce(y.value, i1) AS INTEGER) AS year, CAST(coalesce(a.value, i2) AS INTEGER) AS age,
+               q5, q50, q95
+        FROM ex LEFT JOIN ydim y ON y.number = i1 LEFT JOIN adim a ON a.number = i2)"""
+
+O["ribbon"] = f"""{_FERT_SUMM}
+SELECT run_id, year, age, {qcols()} FROM ex2"""
+
+O["overlay_rates"] = f"""{_FERT_SUMM}, fert AS ({FERT})
+SELECT f.region, e.year, e.age, {qcols(prefix='e.')}, round(f.fert, 6) AS input_rate,
+       round(f.fert - e.q50, 6) AS diff_q50, (f.fert >= e.q5 AND f.fert <= e.q95) AS inside_90
+FROM ex2 e LEFT JOIN fert f ON f.year = e.year AND f.age = e.age"""
+
+
+# ------------------------------------------------------------ slice 9: run store
+O["run_store_roundtrip"] = O["scenario_report"]

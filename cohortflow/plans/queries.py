@@ -151,7 +151,7 @@ def q_age_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def q_initial_age_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     prof = rates.initial_age_profile(rates.age_shares(common.population(spark, sf_dir)))
-    out = prof.select("region", F.posexplode(F.arrays_zip("ages", "profile")).alias("pos", "z"))
+    out = common.explode_pos(prof, ["region"], F.arrays_zip("ages", "profile"), "pos", "z")
     return round_doubles(out.select("region", (F.col("pos") + 1).alias("pos"),
                                     F.col("z.ages").alias("age"), F.col("z.profile").alias("share")))
 
@@ -241,9 +241,10 @@ def q_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     pe, ae, years, ages = common.survey_axes(spark, sf_dir)
     grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
     mat = dims.to_matrix(grid, "mig_year", "age", "n")
-    rows = mat.select(F.posexplode(F.arrays_zip("mig_years", "matrix")).alias("r", "z"))
-    cells = rows.select((F.col("r") + 1).alias("row_pos"), F.col("z.mig_years").alias("mig_year"),
-                        F.posexplode("z.matrix").alias("c", "value"))
+    rows = common.explode_pos(mat, [], F.arrays_zip("mig_years", "matrix"), "r", "z")
+    rows = rows.select((F.col("r") + 1).alias("row_pos"), F.col("z.mig_years").alias("mig_year"),
+                       F.col("z.matrix").alias("cells"))
+    cells = common.explode_pos(rows, ["row_pos", "mig_year"], "cells", "c", "value")
     return round_doubles(cells.select("row_pos", (F.col("c") + 1).alias("col_pos"), "mig_year", "value"))
 
 
@@ -293,3 +294,192 @@ def q_ess_bulk(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def q_ess_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(_ess(spark, sf_dir).select("run_id", "variable", "ess_tail"))
+
+
+# ------------------------------------------------------------ slice 7: cohort operators
+
+from ..operators import cohort  # noqa: E402
+
+_DRAW = ["region", "draw"]
+
+
+@register
+def q_survival_from_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(common.long3(common.projected_rows(spark, sf_dir), _DRAW, "surv"))
+
+
+@register
+def q_fertility_from_draw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(common.long3(common.projected_rows(spark, sf_dir), _DRAW, "fert"))
+
+
+@register
+def q_reproduction_row(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(common.long3(common.projected_rows(spark, sf_dir), _DRAW, "reprod"))
+
+
+@register
+def q_leslie_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = common.projected_rows(spark, sf_dir)
+    ent = common.explode_pos(d, _DRAW, F.arrays_zip("surv", "reprod"), "_t", "_z")
+    ent = common.explode_pos(ent.select(*_DRAW, (F.col("_t") + 1).alias("t"),
+                                        cohort.leslie_entries(F.col("_z.surv"), F.col("_z.reprod")).alias("_e")),
+                             [*_DRAW, "t"], "_e", "_i", "e")
+    return round_doubles(ent.select(*_DRAW, "t", "e.row", "e.col", "e.value"))
+
+
+def lognormal_pop0() -> F.Column:
+    shares = cohort.shares_softmax("log_pop_0_ratios_raw", "profile")
+    return cohort.scale_vector(shares, cohort.initial_total("log_pop_0_total_true_raw"))
+
+
+def dirichlet_pop0() -> F.Column:
+    shares = cohort.shares_gamma("gamma_dirichlet")
+    return cohort.scale_vector(shares, cohort.initial_total("log_pop_0_total_true_raw"))
+
+
+@register
+def q_project_closed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = common.projected_rows(spark, sf_dir)
+    d = d.withColumn("pop", cohort.project_closed(lognormal_pop0(), "surv", "reprod", rate_offset=1))
+    return round_doubles(common.long3(d, _DRAW, "pop", value="pop"))
+
+
+@register
+def q_project_closed_t(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = common.projected_rows(spark, sf_dir)
+    d = d.withColumn("pop", cohort.project_closed(dirichlet_pop0(), "surv", "reprod", rate_offset=0))
+    return round_doubles(common.long3(d, _DRAW, "pop", value="pop"))
+
+
+# Fixed values of the disaggregated fixture: last observed period, ratio scale.
+T_OBS = 15
+SD_INIT_RATIOS = 5.0
+
+
+def disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = common.projected_rows(spark, sf_dir)
+    totals = cohort.zero_after(F.transform("log_pop_mig_init_total", lambda v: F.exp(v)), F.lit(T_OBS))
+    shares = F.zip_with("log_pop_mig_init_ratios", "mig_props",
+                        lambda raw, p: cohort.shares_softmax(raw, p, sd=SD_INIT_RATIOS))
+    d = d.withColumn("mig_start", cohort.migrant_starts(totals, shares))
+    d = d.withColumn("cohorts", cohort.project_migrants("mig_start", "surv"))
+    d = d.withColumn("births", cohort.migrant_births("cohorts", "reprod"))
+    d = d.withColumn("native", cohort.project_native("births", "surv", "reprod", "K"))
+    return d
+
+
+@register
+def q_project_migrants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = disaggregated(spark, sf_dir)
+    tot = F.transform("cohorts", lambda c: F.transform(c, lambda pop: cohort.arr_sum(pop)))
+    return round_doubles(common.long3(d.withColumn("ct", tot), _DRAW, "ct", ("mig_year", "t"), "pop"))
+
+
+@register
+def q_migrant_births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = disaggregated(spark, sf_dir)
+    out = common.explode_pos(d, _DRAW, "births", "t", "births")
+    return round_doubles(out.withColumn("t", F.col("t") + 1))
+
+
+@register
+def q_project_native(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(common.long3(disaggregated(spark, sf_dir), _DRAW, "native", value="pop"))
+
+
+@register
+def q_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = disaggregated(spark, sf_dir)
+    out = common.explode_pos(d, _DRAW, cohort.totals("native", "cohorts"), "t", "v")
+    return round_doubles(out.select(*_DRAW, (F.col("t") + 1).alias("t"), F.col("v.native").alias("native"),
+                                    F.col("v.migrant").alias("migrant"),
+                                    (F.col("v.native") + F.col("v.migrant")).alias("total")))
+
+
+# ------------------------------------------------------------ slice 8: scoring and overlay
+
+from ..operators import scoring  # noqa: E402
+
+
+def native_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, ae, _, ages = common.survey_axes(spark, sf_dir)
+    return survey.count_native_age(fixture(spark, sf_dir, "v_person"), ae, ages)
+
+
+@register
+def q_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
+    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
+    return round_doubles(scoring.composition(grid, ["mig_year"]))
+
+
+@register
+def q_score_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    obs = native_grid(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("age", "n"))).alias("o"))
+    d = common.projected_rows(spark, sf_dir).withColumn("obs", obs.select("o.n").scalar())
+    d = d.withColumn("pop", cohort.project_closed(lognormal_pop0(), "surv", "reprod", rate_offset=1))
+    at = F.try_element_at("pop", F.lit(T_OBS))
+    return round_doubles(d.select(*_DRAW,
+                                  scoring.score_normal("obs", at, "sigma_pop").alias("normal_ll"),
+                                  scoring.score_lognormal_composition("obs", at, "sigma_pop").alias("lognormal_ll")))
+
+
+# Prior families of the scoring fixture (as in the models:
+# std-normal raw rates, half-normal scale with hyper 0.05, LogNormal(log 100, 0.3)
+# initial counts, a gamma for totals).
+PRIORS = [
+    ("fert", "normal", 0.0, 1.0),
+    ("fert_sub", "half_normal", 0.0, 0.05),
+    ("pop_mig_true", "lognormal", 4.605170185988092, 0.3),
+    ("total_pop", "gamma", 2.0, 0.002),
+]
+
+
+@register
+def q_score_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = fixture(spark, sf_dir, "v_draws1").unionByName(fixture(spark, sf_dir, "v_draws2")) \
+        .unionByName(fixture(spark, sf_dir, "v_draws3"))
+    return round_doubles(scoring.score_priors(d, scoring.prior_spec(spark, PRIORS)))
+
+
+def _fert_summary(spark, sf_dir):
+    s = _summary(spark, sf_dir, "v_draws2")
+    return draws.extract_indexed(s, "fert", mappings=[("year", common.year_dim(spark, sf_dir)),
+                                                      ("age", common.age_dim(spark, sf_dir))])
+
+
+@register
+def q_ribbon(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return round_doubles(_fert_summary(spark, sf_dir).select("run_id", "year", "age", "q5", "q50", "q95"))
+
+
+@register
+def q_overlay_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rates_ = common.fertility(spark, sf_dir)
+    out = reports.overlay_rates(_fert_summary(spark, sf_dir).select("year", "age", "q5", "q50", "q95"),
+                                rates_.select("region", "year", "age", "fert"), "fert")
+    return round_doubles(out.select("region", "year", "age", "q5", "q50", "q95", "input_rate",
+                                    "diff_q50", "inside_90"))
+
+
+# ------------------------------------------------------------ slice 9: run store
+
+from ..sources import store  # noqa: E402
+
+
+@register
+def q_run_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Write draws, summaries and mappings per run; read back; report."""
+    import hashlib
+    root = store.default_root(spark) + "/roundtrip-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    d = fixture(spark, sf_dir, "v_draws1")
+    ydim = common.year_dim(spark, sf_dir)
+    for run in ("included", "not included"):
+        part = d.where(F.col("run_id") == run)
+        summary = draws.summarise_draws(part, probs=(0.05, 0.5, 0.95))
+        store.write_run(spark, run, {"draws": part, "summary": summary}, root)
+        store.write_mappings(spark, run, [("year", ydim)], root)
+    summaries = store.read_run(spark, "summary", ["included", "not included"], root)
+    rep = reports.scenario_report(summaries, store.read_mapping(spark, "included", "year", root))
+    return round_doubles(rep)

@@ -64,3 +64,15 @@ def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
         else:
             cols.append(F.col(field.name))
     return df.select(*cols)
+
+
+def balance(df: DataFrame, *keys: str) -> DataFrame:
+    """Hash-spread rows over every core before compute-heavy row operators.
+
+    The (population, draw) rows are few bytes but many CPU-seconds each
+    (array folds); AQE would coalesce their small shuffle into one task.
+    An explicit partition count (the cluster's parallelism) is kept as is,
+    and hashing on (population, draw) spreads a hot population evenly.
+    """
+    want = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(want, *keys)
