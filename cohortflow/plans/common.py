@@ -116,7 +116,7 @@ def draw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
         "region", "draw", "chain", "iteration", "K", "Time", "prop_f", "n_fert_ages",
         "ages_before_fert", "ages_after_fert", "surv_mean", "fert_mean", "profile", "mig_props",
         F.abs(_p(0)).alias("sigma_surv"), F.abs(_p(1)).alias("sigma_fert"),
-        (F.abs(_p(2)) + F.lit(0.1)).alias("sigma_pop"),
+        (F.lit(100.0) * (F.abs(_p(2)) + F.lit(1.0))).alias("sigma_pop"),
         _mat(T, K, 3).alias("logit_surv_raw"),
         _mat(T, NF, 5).alias("log_fert_sub_raw"),
         (F.lit(4.0) * _p(7)).alias("log_pop_0_total_true_raw"),

@@ -528,7 +528,7 @@ pa AS (SELECT v.region, v.draw, v.embedding, kk.K, sm.T, 1.0e0 / (1.0e0 + 1.05e0
        FROM v_rows v JOIN sm ON sm.region = v.region JOIN kk ON kk.region = v.region
        LEFT JOIN fm ON fm.region = v.region LEFT JOIN fw ON fw.region = v.region
        LEFT JOIN prof ON prof.region = v.region LEFT JOIN mp ON mp.region = v.region),
-pb AS (SELECT *, abs({_e('0')}) AS sigma_surv, abs({_e('1')}) AS sigma_fert, abs({_e('2')}) + 0.1e0 AS sigma_pop,
+pb AS (SELECT *, abs({_e('0')}) AS sigma_surv, abs({_e('1')}) AS sigma_fert, 100.0e0 * (abs({_e('2')}) + 1.0e0) AS sigma_pop,
               {_mat('T', 'K', 3)} AS logit_surv_raw, {_mat('T', 'nf', 5)} AS log_fert_sub_raw,
               4.0e0 * {_e('7')} AS log_pop_0_total_true_raw, {_vec('K', 9)} AS log_pop_0_ratios_raw,
               list_transform(generate_series(1, K), lambda a: exp({_e('11 + a - 1')})) AS gamma_dirichlet,
