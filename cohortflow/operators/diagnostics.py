@@ -185,7 +185,8 @@ def ess(draws: DataFrame, by: Sequence[str] | None = None, normalised: DataFrame
         (F.col("_acov0") + F.when(F.col("m") > 1, F.col("_vmean")).otherwise(F.lit(0.0))).alias("var_plus"))
     rho = lag.drop("m", "n").join(base, keys).select(
         *keys, "t", "n", "m", "_flat",
-        (F.lit(1.0) - F.try_divide(F.col("mean_var") - F.col("A"), F.col("var_plus"))).alias("rho"))
+        F.when(F.col("t") == 0, F.lit(1.0))
+         .otherwise(F.lit(1.0) - F.try_divide(F.col("mean_var") - F.col("A"), F.col("var_plus"))).alias("rho"))
 
     pairs = rho.withColumn("k", F.floor(F.col("t") / 2).cast("int")).groupBy(*keys, "k").agg(
         F.sum("rho").alias("P"), F.count(F.lit(1)).alias("_cnt"),

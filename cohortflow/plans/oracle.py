@@ -419,7 +419,8 @@ base AS (SELECT a.run_id, a.variable, a.series, avg(a.acov) AS acov0, count(*) A
 b2 AS (SELECT *, acov0 * n / (n - 1) AS mean_var,
               acov0 + CASE WHEN m > 1 THEN vmean ELSE 0 END AS var_plus,
               spread = 0 AND maxvar = 0 AS flat FROM base),
-rho AS (SELECT l.*, b2.n, b2.m, b2.flat, 1 - (b2.mean_var - l.A) / b2.var_plus AS rho
+rho AS (SELECT l.*, b2.n, b2.m, b2.flat,
+               CASE WHEN l.t = 0 THEN 1.0e0 ELSE 1 - (b2.mean_var - l.A) / b2.var_plus END AS rho
         FROM lagm l JOIN b2 USING ({_K})),
 pr AS (SELECT {_K}, CAST(floor(t / 2) AS INTEGER) AS k, sum(rho) AS P,
               max(CASE WHEN t % 2 = 0 THEN rho END) AS even, max(n) AS n, max(m) AS m, bool_or(flat) AS flat
