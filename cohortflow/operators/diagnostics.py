@@ -8,15 +8,16 @@ Layout on Spark:
 * every window is partitioned by the variable keys, so one exchange on
   ``(run_id, variable)`` serves splitting, ranking, medians and quantiles;
 * R-hat is plain aggregation over split chains;
-* the autocovariances needed by ESS come from one NumPy FFT per split
-  chain (``applyInPandas`` grouped by variable and split chain, so a group
-  is one chain's draws, bounded by the sampler's iteration count, never by
-  the number of variables); Geyer's initial monotone sequence is then
-  evaluated with windows over lag pairs.
+* ESS is one grouped map per variable (``applyInPandas``): NumPy FFT
+  autocovariance per split chain and Geyer's initial monotone sequence,
+  vectorised. A group is one variable's draws (chains x iterations, a
+  sampler setting, never the number of variables, which is where volume
+  grows), and it reuses the exchange of the rank windows.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 import numpy as np
@@ -44,7 +45,9 @@ def split_chains(draws: DataFrame, by: Sequence[str] | None = None) -> DataFrame
     by = _keys(draws, by)
     wv = Window.partitionBy(*by)
     wc = Window.partitionBy(*by, "chain")
-    d = draws.select(*by, "chain", "iteration", F.col("value").cast("double").alias("value"))
+    # one exchange on the variable keys serves every later window, grouping
+    # and join of R-hat and ESS (all are keyed by a superset of them)
+    d = draws.select(*by, "chain", "iteration", F.col("value").cast("double").alias("value")).repartition(*by)
     d = d.withColumns({
         "_r": F.row_number().over(wc.orderBy("iteration")),
         "_n": F.count(F.lit(1)).over(wc),
@@ -124,99 +127,80 @@ def rhat(draws: DataFrame, by: Sequence[str] | None = None, normalised: DataFram
 
 # ---------------------------------------------------------------- ESS
 
-_SERIES = ("bulk", "q05", "q95")
-
-
-def _autocov_schema(by: list[str], types: dict[str, T.DataType]) -> T.StructType:
-    fields = [T.StructField(k, types[k]) for k in by]
-    fields += [T.StructField("sc", T.IntegerType()), T.StructField("series", T.StringType()),
-               T.StructField("t", T.IntegerType()), T.StructField("acov", T.DoubleType()),
-               T.StructField("cmean", T.DoubleType()), T.StructField("n", T.IntegerType())]
-    return T.StructType(fields)
-
-
-def _autocov_fn(by: list[str]):
+def autocovariance(x: np.ndarray) -> np.ndarray:
+    """Biased autocovariance (divisor n) of every lag, by FFT."""
+    n = len(x)
+    m = 1
+    while m < 2 * n:
+        m *= 2
+    f = np.fft.rfft(x - x.mean(), m)
+    return np.fft.irfft(f * np.conjugate(f), m)[:n] / n
+
+
+def geyer_ess(chains: list[np.ndarray]) -> float | None:
+    """ESS of equal-length split chains: Geyer's initial positive sequence
+    on pair sums, made monotone, truncated at the first non-positive pair
+    (or at lag n - 5), tau >= 1 / log10(S)."""
+    m, n = len(chains), min(len(c) for c in chains)
+    if m < 1 or n < 3:
+        return None
+    x = np.vstack([c[:n] for c in chains])
+    if np.all(x == x.flat[0]):
+        return None
+    acov = np.vstack([autocovariance(row) for row in x])
+    mean_var = acov[:, 0].mean() * n / (n - 1)
+    var_plus = mean_var * (n - 1) / n + (x.mean(axis=1).var(ddof=1) if m > 1 else 0.0)
+    with np.errstate(divide="ignore", invalid="ignore"):
+        rho = 1.0 - (mean_var - acov.mean(axis=0)) / var_plus
+    rho[0] = 1.0
+    npairs = n // 2
+    pairs = rho[0:2 * npairs:2] + rho[1:2 * npairs:2]
+    bound = max(0, math.ceil((n - 5) / 2))
+    stop = np.flatnonzero(~(pairs > 0))
+    kstop = min(int(stop[0]) if len(stop) else bound, bound)
+    even = rho[2 * kstop]
+    last = even if pairs[kstop] >= 0 else (even if even > 0 else 0.0)
+    tau = -1.0 + 2.0 * np.minimum.accumulate(pairs[:kstop]).sum() + last
+    S = m * n
+    return float(S / max(tau, 1.0 / math.log10(S)))
+
+
+def _ess_schema(by: list[str], types: dict[str, T.DataType]) -> T.StructType:
+    return T.StructType([T.StructField(k, types[k]) for k in by]
+                        + [T.StructField("ess_bulk", T.DoubleType()), T.StructField("ess_tail", T.DoubleType())])
+
+
+def _ess_fn(by: list[str]):
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("pos")
-        n = len(pdf)
-        m = 1
-        while m < 2 * n:
-            m *= 2
-        frames = []
-        for name, col in zip(_SERIES, ("z", "il", "ih")):
-            x = pdf[col].to_numpy(dtype="float64")
-            mean = x.mean()
-            f = np.fft.rfft(x - mean, m)
-            ac = np.fft.irfft(f * np.conjugate(f), m)[:n] / n
-            frames.append(pd.DataFrame({"series": name, "t": np.arange(n, dtype="int32"),
-                                        "acov": ac, "cmean": mean}))
-        out = pd.concat(frames, ignore_index=True)
-        for k in by:
-            out[k] = pdf[k].iloc[0]
-        out["sc"] = int(pdf["sc"].iloc[0])
-        out["n"] = n
-        return out
+        pdf = pdf.sort_values(["sc", "pos"])
+        bad = bool(pdf["is_const"].any()) or not bool(pdf["all_finite"].all())
+        groups = [g for _, g in pdf.groupby("sc", sort=True)]
+        out = {k: [pdf[k].iloc[0]] for k in by}
+        if bad:
+            out.update(ess_bulk=[None], ess_tail=[None])
+            return pd.DataFrame(out)
+        bulk = geyer_ess([g["z"].to_numpy("float64") for g in groups])
+        lo = geyer_ess([(g["value"] <= g["q05"]).to_numpy("float64") for g in groups])
+        hi = geyer_ess([(g["value"] <= g["q95"]).to_numpy("float64") for g in groups])
+        out.update(ess_bulk=[bulk], ess_tail=[None if lo is None or hi is None else min(lo, hi)])
+        return pd.DataFrame(out)
     return run
 
 
 def ess(draws: DataFrame, by: Sequence[str] | None = None, normalised: DataFrame | None = None) -> DataFrame:
     """Bulk ESS (rank-normalised split draws) and tail ESS (min over the
-    5 % and 95 % quantile indicators), Geyer's initial monotone sequence.
+    5 % and 95 % quantile indicators).
+
+    One grouped map per variable after the shared rank-normalisation: the
+    group is the variable's split chains (chains x iterations, a sampler
+    setting, not a data volume); each chain's autocovariance comes from one
+    FFT. Output keeps no other columns, so nothing is re-shuffled.
     """
     by = _keys(draws, by)
     z = normalised if normalised is not None else rank_normalise(split_chains(draws, by), by)
-    series = z.select(*by, "sc", "pos", "z",
-                      (F.col("value") <= F.col("q05")).cast("double").alias("il"),
-                      (F.col("value") <= F.col("q95")).cast("double").alias("ih"))
+    cols = z.select(*by, "sc", "pos", "z", "value", "q05", "q95", "is_const", "all_finite")
     types = {f.name: f.dataType for f in z.schema.fields}
-    acov = series.groupBy(*by, "sc").applyInPandas(_autocov_fn(by), _autocov_schema(by, types))
-
-    keys = [*by, "series"]
-    lag = acov.groupBy(*keys, "t").agg(F.avg("acov").alias("A"), F.count(F.lit(1)).alias("m"),
-                                       F.first("n").alias("n"))
-    base = acov.where(F.col("t") == 0).groupBy(*keys).agg(
-        F.avg("acov").alias("_acov0"), F.var_samp("cmean").alias("_vmean"),
-        F.count(F.lit(1)).alias("m"), F.first("n").alias("n"),
-        (F.max("cmean") - F.min("cmean")).alias("_spread"), F.max("acov").alias("_maxvar"))
-    base = base.select(
-        *keys, "m", "n",
-        (F.col("_acov0") * F.col("n") / (F.col("n") - 1)).alias("mean_var"),
-        ((F.col("_spread") == 0) & (F.col("_maxvar") == 0)).alias("_flat"),
-        (F.col("_acov0") + F.when(F.col("m") > 1, F.col("_vmean")).otherwise(F.lit(0.0))).alias("var_plus"))
-    rho = lag.drop("m", "n").join(base, keys).select(
-        *keys, "t", "n", "m", "_flat",
-        F.when(F.col("t") == 0, F.lit(1.0))
-         .otherwise(F.lit(1.0) - F.try_divide(F.col("mean_var") - F.col("A"), F.col("var_plus"))).alias("rho"))
-
-    pairs = rho.withColumn("k", F.floor(F.col("t") / 2).cast("int")).groupBy(*keys, "k").agg(
-        F.sum("rho").alias("P"), F.count(F.lit(1)).alias("_cnt"),
-        F.max(F.when(F.col("t") % 2 == 0, F.col("rho"))).alias("even"),
-        F.first("n").alias("n"), F.first("m").alias("m"), F.bool_or("_flat").alias("_flat"))
-    pairs = pairs.where(F.col("_cnt") == 2)
-    bound = F.greatest(F.lit(0), F.ceil((F.col("n") - 5) / 2)).cast("int")
-    nonpos = F.col("P").isNull() | F.isnan("P") | (F.col("P") <= 0)
-    wk = Window.partitionBy(*keys)
-    pairs = pairs.withColumns({
-        "_kstop": F.least(F.coalesce(F.min(F.when(nonpos, F.col("k"))).over(wk), bound), bound),
-        "_runmin": F.min("P").over(wk.orderBy("k").rowsBetween(Window.unboundedPreceding, Window.currentRow)),
-    })
-    last_even = F.when(F.col("P") >= 0, F.col("even")).when(F.col("even") > 0, F.col("even")).otherwise(F.lit(0.0))
-    tau = pairs.groupBy(*keys).agg(
-        F.sum(F.when(F.col("k") < F.col("_kstop"), F.col("_runmin")).otherwise(F.lit(0.0))).alias("_sum"),
-        F.max(F.when(F.col("k") == F.col("_kstop"), last_even)).alias("_last"),
-        F.first("n").alias("n"), F.first("m").alias("m"), F.bool_or("_flat").alias("_flat"))
-    S = F.col("n") * F.col("m")
-    tau_hat = F.lit(-1.0) + 2 * F.col("_sum") + F.coalesce(F.col("_last"), F.lit(0.0))
-    tau_hat = F.greatest(tau_hat, F.lit(1.0) / F.log10(S))
-    per_series = tau.select(*keys, F.when(~F.col("_flat") & (F.col("n") >= 3), S / tau_hat).alias("ess"))
-
-    wide = per_series.groupBy(*by).agg(*[F.max(F.when(F.col("series") == s, F.col("ess"))).alias(s)
-                                         for s in _SERIES])
-    flags = z.groupBy(*by).agg(F.bool_or("is_const").alias("_const"), F.bool_and("all_finite").alias("_finite"))
-    good = ~F.col("_const") & F.col("_finite")
-    tail = F.when(F.col("q05").isNotNull() & F.col("q95").isNotNull(), F.least("q05", "q95"))
-    return wide.join(flags, by).select(*by, F.when(good, F.col("bulk")).alias("ess_bulk"),
-                                       F.when(good, tail).alias("ess_tail"))
+    return cols.groupBy(*by).applyInPandas(_ess_fn(by), _ess_schema(by, types))
 
 
 def convergence(draws: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
