@@ -127,21 +127,44 @@ def model_input(surv: DataFrame, fert: DataFrame, by: Sequence[str] = ("region",
     K (age groups), Time (periods), prop_f, surv_mean [Time][K],
     fert_mean [Time][n_fert] (fertile ages only), n_fert_ages, ages before
     and after the fertile window, plus the ordered ``ages`` and ``years``.
-    Matrices are keyed (sorted by year, then age), never positional.
+
+    The population's cells (periods x ages, bounded by the model's domain,
+    not by data volume) are gathered by one ``groupBy`` and every field is
+    derived from that sorted cell list with array functions, so the record
+    costs one exchange instead of one per field. Matrices are keyed (sorted
+    by year, then age), never positional; a missing cell leaves its row
+    shorter, exactly like :func:`to_matrix`.
     """
     by = list(by)
-    sm = to_matrix(surv, "year", "age", "surv", by=by).withColumnRenamed("matrix", "surv_mean")
-    flags = fertile_flags(fert, by)
-    fert_f = fert.join(flags.where("fertile").select(*by, "age"), [*by, "age"], "left_semi")
-    fm = to_matrix(fert_f, "year", "age", "fert", by=by).select(*by, F.col("matrix").alias("fert_mean"))
-    win = fertile_window(fert, by=by)
-    ages = surv.groupBy(*by).agg(F.array_sort(F.collect_set("age")).alias("ages"))
-    out = sm.join(fm, by, "left").join(win, by, "left").join(ages, by, "left")
-    return out.select(
+    keys = [F.col(k) for k in by]
+    cells = surv.select(*by, "year", "age", "surv").join(
+        fert.select(*by, "year", "age", F.col("fert").alias("_f")), [*by, "year", "age"], "left")
+    g = cells.groupBy(*keys).agg(F.array_sort(F.collect_list(
+        F.struct("year", "age", F.col("surv").cast("double").alias("surv"),
+                 F.col("_f").cast("double").alias("fert")))).alias("_cells"))
+    c = F.col("_cells")
+    ages = F.array_sort(F.array_distinct(F.transform(c, lambda x: x["age"])))
+    years = F.array_sort(F.array_distinct(F.transform(c, lambda x: x["year"])))
+    g = g.select(*by, "_cells", ages.alias("ages"), years.alias("years"))
+    fertile = F.filter("ages", lambda a: F.exists("_cells", lambda x: (x["age"] == a) & (x["fert"] > 0)))
+    g = g.withColumn("_fertile", fertile)
+    pos = F.transform("ages", lambda a, i: F.when(F.array_contains("_fertile", a), i + 1))
+    first = F.array_min(pos)
+    last = F.array_max(pos)
+    surv_mean = F.transform("years", lambda y: F.transform(
+        F.filter("_cells", lambda x: x["year"] == y), lambda x: x["surv"]))
+    fert_mean = F.transform("years", lambda y: F.transform(
+        F.filter("_cells", lambda x: (x["year"] == y) & F.array_contains("_fertile", x["age"])),
+        lambda x: F.coalesce(x["fert"], F.lit(0.0))))
+    return g.select(
         *by,
         F.size("ages").alias("K"),
         F.size("years").alias("Time"),
         F.lit(float(prop_f)).alias("prop_f"),
-        "ages", "years", "surv_mean", "fert_mean",
-        *[F.col(c).cast("int").alias(c) for c in ("n_fert_ages", "ages_before_fert", "ages_after_fert")],
+        "ages", "years",
+        surv_mean.alias("surv_mean"),
+        fert_mean.alias("fert_mean"),
+        F.size("_fertile").alias("n_fert_ages"),
+        (first - 1).alias("ages_before_fert"),
+        (F.size("ages") - last).alias("ages_after_fert"),
     )
