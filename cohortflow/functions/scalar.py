@@ -100,6 +100,11 @@ def zeros(n) -> Column:
     return F.array_repeat(F.lit(0.0), n)
 
 
+def floor_at(arr, lo: float = 0.001) -> Column:
+    """Elementwise max(x, lo) (R's ``pmax``), e.g. to allow log-ratios of 0 counts."""
+    return F.transform(_c(arr), lambda v: F.greatest(v, F.lit(float(lo))))
+
+
 def nullable_array(arr) -> Column:
     """Same values, element type declared nullable.
 

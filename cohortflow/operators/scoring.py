@@ -110,3 +110,15 @@ def score_priors(draws: DataFrame, spec: DataFrame, by: Sequence[str] = ("run_id
              .when(F.col("family") == "gamma", gamma_lpdf("value", "p1", "lgamma_p1", F.col("p2"))))
     keys = [k for k in by if k in j.columns]
     return j.groupBy(*keys).agg(F.sum(dens).alias("log_prior"), F.count(F.lit(1)).alias("n_terms"))
+
+
+def score_cohorts(obs_matrix, cohorts, native_obs, native, t_obs) -> Column:
+    """Disaggregated model: sum_m Normal(obs[m] | cohort[m][t_obs], 1) +
+    Normal(native_obs | native[t_obs], 1); 0 when t_obs = 0 (no data)."""
+    t_obs = _c(t_obs)
+    cohorts = _c(cohorts)
+    mig = F.aggregate(
+        F.zip_with(_c(obs_matrix), cohorts, lambda o, c: score_normal(o, F.try_element_at(c, t_obs), F.lit(1.0))),
+        F.lit(0.0), lambda acc, v: acc + v)
+    nat = score_normal(_c(native_obs), F.try_element_at(_c(native), t_obs), F.lit(1.0))
+    return F.when(t_obs > 0, mig + nat).otherwise(F.lit(0.0))

@@ -675,18 +675,35 @@ def _ratios(v: str) -> str:
     return f"list_transform({v}, lambda x: {_ln(f'(x / {_total(v)}) / ({v}[10] / {_total(v)})')})"
 
 
-O["score_observations"] = f"""{DRAWS.replace(duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows'),
-                                             duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows', 'v_person'))},
-{_OBS.strip().rstrip(',')}{',' if not _OBS.strip().endswith(',') else ''}
+HH = """
+hdom AS (SELECT CAST(unnest(range(0, (SELECT max(age) FROM surv) + 1, 5)) AS INTEGER) AS age),
+hb AS (SELECT age AS lo, lead(age) OVER (ORDER BY age) AS hi
+       FROM (SELECT CAST(unnest(range(0, (SELECT max(age) FROM surv) - 5 + 1, 5)) AS INTEGER) AS age)),
+hh AS (SELECT TRY_CAST(age AS DOUBLE) AS x FROM v_household WHERE gender = 2 AND age IS NOT NULL),
+hc AS (SELECT hb.lo AS age, count(*) AS n FROM hh LEFT JOIN hb ON hh.x >= hb.lo AND (hb.hi IS NULL OR hh.x < hb.hi)
+       GROUP BY hb.lo),
+hg AS (SELECT coalesce(hc.age, hdom.age) AS age, CAST(coalesce(hc.n, 0) AS DOUBLE) AS n
+       FROM hc FULL JOIN hdom ON hc.age = hdom.age),
+hv AS (SELECT list(n ORDER BY age) AS obs_hh FROM hg)"""
+
+_DRAWS_OBS = DRAWS.replace(duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows'),
+                           duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows',
+                                    'v_person', 'v_household'))
+_OBS_CTE = _OBS.strip().rstrip(',')
+_HH_FLOOR = "list_transform(obs_hh, lambda v: greatest(v, 1.0e-3))"
+
+O["score_observations"] = f"""{_DRAWS_OBS},
+{_OBS_CTE},
 ov AS (SELECT list(CAST(coalesce(c.n, 0) AS DOUBLE) ORDER BY a.age) AS obs FROM ages a LEFT JOIN c ON c.age = a.age),
-pp AS (SELECT region, draw, sigma_pop, ov.obs,
+{HH.strip()},
+pp AS (SELECT region, draw, sigma_pop, ov.obs, hv.obs_hh,
               {_fold(_LN_POP0, 'len(surv)', _step('acc[-1]', 'surv[t - 1]', 'reprod[t - 1]'))}[15] AS pt
-       FROM pd, ov)
+       FROM pd, ov, hv)
 SELECT region, draw,
        round({_sum("list_transform(list_zip(obs, pt), lambda z: " + _normal('z[1]', 'z[2]', 'sigma_pop') + ")")}, 6)
          AS normal_ll,
-       round({_lognormal(_total('obs'), _ln(_total('pt')), 'sigma_pop')}
-             + {_sum("list_transform(list_zip(" + _ratios('obs') + ", " + _ratios('pt') + "), lambda z: "
+       round({_lognormal(_total(_HH_FLOOR), _ln(_total('pt')), 'sigma_pop')}
+             + {_sum("list_transform(list_zip(" + _ratios(_HH_FLOOR) + ", " + _ratios('pt') + "), lambda z: "
                      + _normal('z[1]', 'z[2]', '1.0e0') + ")")}, 6) AS lognormal_ll
 FROM pp"""
 
@@ -724,3 +741,43 @@ FROM ex2 e LEFT JOIN fert f ON f.year = e.year AND f.age = e.age"""
 
 # ------------------------------------------------------------ slice 9: run store
 O["run_store_roundtrip"] = O["scenario_report"]
+
+
+# ------------------------------------------------------------ additions: uniform initial, cohort scores
+
+_UNI_POP0 = "list_transform(log_pop_0_ratios_raw, lambda r: exp(4.605170185988092e0 + 0.3e0 * r))"
+
+O["project_uniform"] = f"""{DRAWS},
+pp AS (SELECT region, draw, {_fold(_UNI_POP0, 'len(surv)', _step('acc[-1]', 'surv[t]', 'reprod[t]'))} AS pop
+       FROM pd)
+{long2('pp', 'pop', value='pop')}"""
+
+_DISAGG_OBS = DISAGG.replace(duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows'),
+                             duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows', 'v_person'))
+_NORM1 = _normal("z[1]", "z[2]", "1.0e0")
+
+O["score_disaggregated"] = f"""{_DISAGG_OBS}, {BINS},
+mp0 AS (SELECT * FROM v_person WHERE basic_gender = 2
+        AND year_migration_m IS NOT NULL AND age_migration_m IS NOT NULL),
+mb AS (SELECT CAST(pbx.lo AS INTEGER) AS mig_year, CAST(abx.lo AS INTEGER) AS age FROM mp0
+       LEFT JOIN pbins pbx ON {in_bin('mp0.year_migration_m', 'pbx')}
+       LEFT JOIN abins abx ON {in_bin('mp0.basic_age', 'abx')}),
+mc AS (SELECT mig_year, age, count(*) AS n FROM mb WHERE mig_year IS NOT NULL AND age IS NOT NULL
+       GROUP BY mig_year, age),
+mg AS (SELECT CAST(y.value AS INTEGER) AS mig_year, CAST(a.age AS INTEGER) AS age,
+              CAST(coalesce(mc.n, 0) AS DOUBLE) AS n
+       FROM ydim y CROSS JOIN ages a LEFT JOIN mc ON mc.mig_year = y.value AND mc.age = a.age),
+mm AS (SELECT list(r ORDER BY mig_year) AS mig_obs
+       FROM (SELECT mig_year, list(n ORDER BY age) AS r FROM mg GROUP BY mig_year)),
+np0 AS (SELECT * FROM v_person WHERE basic_gender = 2 AND born_kenya_m = 1),
+nb AS (SELECT CAST(abx.lo AS INTEGER) AS age FROM np0 LEFT JOIN abins abx ON {in_bin('np0.basic_age', 'abx')}),
+nc AS (SELECT age, count(*) AS n FROM nb WHERE age IS NOT NULL GROUP BY age),
+nv AS (SELECT list(CAST(coalesce(nc.n, 0) AS DOUBLE) ORDER BY a.age) AS nat_obs
+       FROM ages a LEFT JOIN nc ON nc.age = a.age)
+SELECT region, draw, round(CASE WHEN 15 > 0 THEN
+         list_reduce(list_transform(list_zip(mig_obs, cohorts), lambda zz:
+             {_sum("list_transform(list_zip(zz[1], zz[2][15]), lambda z: " + _NORM1 + ")")}),
+           lambda x, y: x + y, 0.0e0)
+         + {_sum("list_transform(list_zip(nat_obs, native[15]), lambda z: " + _NORM1 + ")")}
+       ELSE 0.0e0 END, 2) AS obs_ll
+FROM dn, mm, nv"""

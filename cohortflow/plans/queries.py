@@ -369,6 +369,27 @@ def disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d
 
 
+@register
+def q_project_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniform-initial model: counts per age drawn as LogNormal(log 100, 0.3)."""
+    d = common.projected_rows(spark, sf_dir)
+    pop0 = F.transform("log_pop_0_ratios_raw", lambda r: F.exp(F.lit(4.605170185988092) + F.lit(0.3) * r))
+    d = d.withColumn("pop", cohort.project_closed(pop0, "surv", "reprod", rate_offset=0))
+    return round_doubles(common.long3(d, _DRAW, "pop", value="pop"))
+
+
+@register
+def q_score_disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
+    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
+    mig_obs = dims.to_matrix(grid, "mig_year", "age", "n").select("matrix").scalar()
+    d = disaggregated(spark, sf_dir).withColumns({"mig_obs": mig_obs,
+                                                  "nat_obs": _vector(native_grid(spark, sf_dir))})
+    ll = scoring.score_cohorts("mig_obs", "cohorts", "nat_obs", "native", F.lit(T_OBS))
+    # log-likelihoods of order 1e6 (unit observation sd): compared at 0.01
+    return round_doubles(d.select(*_DRAW, ll.alias("obs_ll")), 2)
+
+
 @register
 def q_project_migrants(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = disaggregated(spark, sf_dir)
@@ -414,15 +435,34 @@ def q_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(scoring.composition(grid, ["mig_year"]))
 
 
+def household_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Household counts with the top bin opened 5 years early (its last age
+    group then has no members), as the log-normal-observation run does."""
+    surv = common.survival(spark, sf_dir)
+    edges = survey.stepped_edges(surv, top_offset=5)
+    domain = survey.stepped_edges(surv).select(F.explode("edges").alias("age")).where(F.col("age") < float("inf"))
+    return survey.count_full_outer(fixture(spark, sf_dir, "v_household"), edges, domain)
+
+
+def _vector(df: DataFrame, value: str = "n") -> F.Column:
+    """Scalar subquery: the grid's values ordered by age (a K-vector)."""
+    return df.agg(F.array_sort(F.collect_list(F.struct("age", F.col(value).cast("double").alias("v"))))
+                  .alias("o")).select("o.v").scalar()
+
+
 @register
 def q_score_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    obs = native_grid(spark, sf_dir).agg(F.array_sort(F.collect_list(F.struct("age", "n"))).alias("o"))
-    d = common.projected_rows(spark, sf_dir).withColumn("obs", obs.select("o.n").scalar())
+    from ..functions.scalar import floor_at
+    d = common.projected_rows(spark, sf_dir).withColumns({
+        "obs": _vector(native_grid(spark, sf_dir)),
+        "obs_hh": _vector(household_grid(spark, sf_dir)),
+    })
     d = d.withColumn("pop", cohort.project_closed(lognormal_pop0(), "surv", "reprod", rate_offset=1))
     at = F.try_element_at("pop", F.lit(T_OBS))
-    return round_doubles(d.select(*_DRAW,
-                                  scoring.score_normal("obs", at, "sigma_pop").alias("normal_ll"),
-                                  scoring.score_lognormal_composition("obs", at, "sigma_pop").alias("lognormal_ll")))
+    return round_doubles(d.select(
+        *_DRAW,
+        scoring.score_normal("obs", at, "sigma_pop").alias("normal_ll"),
+        scoring.score_lognormal_composition(floor_at("obs_hh", 0.001), at, "sigma_pop").alias("lognormal_ll")))
 
 
 # Prior families of the scoring fixture (as in the models:
