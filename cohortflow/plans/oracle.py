@@ -781,3 +781,23 @@ SELECT region, draw, round(CASE WHEN 15 > 0 THEN
          + {_sum("list_transform(list_zip(nat_obs, native[15]), lambda z: " + _NORM1 + ")")}
        ELSE 0.0e0 END, 2) AS obs_ll
 FROM dn, mm, nv"""
+
+
+_RH_SEL = O["rhat"].split("SELECT run_id, variable, round(CASE WHEN cst")[0]
+O["summarise_full"] = f"""{ESS},
+pc AS (SELECT run_id, variable, sc, count(*) AS n, avg(z) AS mz, var_samp(z) AS vz,
+              avg(zf) AS mf, var_samp(zf) AS vf, bool_or(is_const) AS cst
+       FROM zz GROUP BY run_id, variable, sc),
+rh AS (SELECT run_id, variable,
+              sqrt((max(n) * var_samp(mz) / avg(vz) + max(n) - 1) / max(n)) AS rb,
+              sqrt((max(n) * var_samp(mf) / avg(vf) + max(n) - 1) / max(n)) AS rf,
+              bool_or(cst) AS cst
+       FROM pc GROUP BY run_id, variable),
+{summ('v_draws1', DEFAULT_PROBS)}
+SELECT s.run_id, s.variable, {r6('s.mean', 'mean')}, {r6('s.sd', 'sd')},
+       {", ".join(r6('s.' + quantile_name(p), quantile_name(p)) for p in DEFAULT_PROBS)},
+       round(CASE WHEN rh.cst THEN NULL ELSE greatest(rh.rb, rh.rf) END, 6) AS rhat,
+       round(CASE WHEN fl.cst THEN NULL ELSE w.eb END, 6) AS ess_bulk,
+       round(CASE WHEN fl.cst OR w.el IS NULL OR w.eh IS NULL THEN NULL ELSE least(w.el, w.eh) END, 6) AS ess_tail
+FROM summ s LEFT JOIN rh USING (run_id, variable) LEFT JOIN wide w USING (run_id, variable)
+     LEFT JOIN fl USING (run_id, variable)"""

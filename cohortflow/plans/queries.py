@@ -523,3 +523,9 @@ def q_run_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     summaries = store.read_run(spark, "summary", ["included", "not included"], root)
     rep = reports.scenario_report(summaries, store.read_mapping(spark, "included", "year", root))
     return round_doubles(rep)
+
+
+@register
+def q_summarise_full(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs' full summary: mean, sd, 9 quantiles, R-hat, bulk/tail ESS."""
+    return round_doubles(draws.summarise_draws(fixture(spark, sf_dir, "v_draws1"), diagnostics=True))

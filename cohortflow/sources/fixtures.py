@@ -79,7 +79,9 @@ def _band_cell(d: str, lo: int, measure: str) -> str:
     return (f"coalesce(CAST({measure.format(cond=f'a5 = {lo}')} AS STRING), '{EMPTY_CELL}')")
 
 
-def _wide(d: str, bands: list[str], measure: str, period_expr: str, where: str = "") -> str:
+def _wide(d: str, bands: list[str], measure: str, period_expr: str, having: str = "") -> str:
+    # a sheet's period range is a HAVING on an aggregate, which stays above the
+    # shared aggregate (a WHERE on start would be pushed into it and defeat reuse)
     cols = []
     for band in bands:
         lo = int(band.rstrip("+").split("-")[0])
@@ -89,8 +91,8 @@ def _wide(d: str, bands: list[str], measure: str, period_expr: str, where: str =
            {', '.join(cols)}
     FROM (SELECT region, start, CASE WHEN age = 1 THEN 0 ELSE 5 * CAST(floor(age / 5) AS INTEGER) END AS a5, s, c
           FROM ({_agg_rows(d)}) g) w
-    {where}
-    GROUP BY region, start"""
+    GROUP BY region, start
+    {having}"""
 
 
 _SUM_Q = "CAST(SUM(CASE WHEN {cond} THEN s END) AS BIGINT)"
@@ -105,12 +107,12 @@ def v_fert_wide(d: str) -> str:
 
 def v_pop_wide(d: str) -> str:
     """Wide population table (estimates sheet), period = single year text."""
-    return _wide(d, POP_BANDS, _SUM_Q, "CAST(start AS STRING)", "WHERE start <= 1985")
+    return _wide(d, POP_BANDS, _SUM_Q, "CAST(start AS STRING)", "HAVING MAX(start) <= 1985")
 
 
 def v_pop_wide_proj(d: str) -> str:
     """Projections sheet: overlaps the estimates at 1985 with other values."""
-    return _wide(d, POP_BANDS, _COUNT_Q_NULL, "CAST(start AS STRING)", "WHERE start >= 1985")
+    return _wide(d, POP_BANDS, _COUNT_Q_NULL, "CAST(start AS STRING)", "HAVING MAX(start) >= 1985")
 
 
 def v_person(d: str) -> str:
