@@ -18,16 +18,22 @@ Layout on Spark:
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.scalar import norm_ppf_sql
 
+# The grouped-map function below and the helpers it calls travel to the
+# executors by value, so workers need NumPy and pandas but not this package.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
 
 def _keys(draws: DataFrame, by: Sequence[str] | None) -> list[str]:
     return list(by or [c for c in ("run_id", "variable") if c in draws.columns])
