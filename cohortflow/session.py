@@ -45,13 +45,17 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     as is. Only when it is unset (local tests) is a scratch folder made.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
-    if not current:
-        current = spark.sparkContext.getCheckpointDir()
+    try:
+        sc = spark.sparkContext
+    except Exception:  # Spark Connect: the cluster's setting is all there is
+        sc = None
+    if not current and sc is not None:
+        current = sc.getCheckpointDir()
     if not current:
         current = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(current)
+    if sc is not None and not sc.getCheckpointDir():
+        sc.setCheckpointDir(current)
     return current
 
 
@@ -74,5 +78,9 @@ def balance(df: DataFrame, *keys: str) -> DataFrame:
     An explicit partition count (the cluster's parallelism) is kept as is,
     and hashing on (population, draw) spreads a hot population evenly.
     """
-    want = df.sparkSession.sparkContext.defaultParallelism
+    spark = df.sparkSession
+    try:
+        want = spark.sparkContext.defaultParallelism
+    except Exception:  # sessions without a local SparkContext (Spark Connect)
+        want = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
     return df.repartition(want, *keys)
