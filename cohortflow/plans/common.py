@@ -90,15 +90,16 @@ def _mat(rows, cols, offset, scale=4.0, shift=0.0):
 
 
 def mig_share_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Origin-population age shares [period][age] per region, from both sheets."""
+    """Origin-population age shares [period][age] per region, from both
+    sheets, keyed to the population's own (period, age) cells so row t and
+    column a mean the same period and age as in the rate matrices."""
     from ..operators import rates as r
     wide = r.union_sheets([fixture(spark, sf_dir, "v_pop_wide"), fixture(spark, sf_dir, "v_pop_wide_proj")],
                           keys=["region", "period"])
     pop = r.tidy_rates(wide, "pop", ids=("region", "period", "sheet"))
-    surv = survival(spark, sf_dir)
-    shares = r.restrict_to_domain(r.age_shares(pop), year=dims.year_dim(surv).select("value"),
-                                  age=surv.select("age"))
-    m = dims.to_matrix(shares, "year", "age", "pop_prop", by=["region"])
+    shares = r.age_shares(pop).select("region", "year", "age", "pop_prop")
+    cells = survival(spark, sf_dir).select("region", "year", "age").join(shares, ["region", "year", "age"], "left")
+    m = dims.to_matrix(cells, "year", "age", "pop_prop", by=["region"])
     return m.select("region", F.col("matrix").alias("mig_props"))
 
 

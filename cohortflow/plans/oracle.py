@@ -513,16 +513,17 @@ sm AS (SELECT region, list(r ORDER BY year) AS surv_mean, count(*) AS T
        FROM (SELECT region, year, list(surv ORDER BY age) AS r FROM surv GROUP BY region, year) GROUP BY region),
 kk AS (SELECT region, count(DISTINCT age) AS K FROM surv GROUP BY region),
 fm AS (SELECT region, list(r ORDER BY year) AS fert_mean
-       FROM (SELECT af.region, af.year, list(af.fert ORDER BY af.age) AS r
-             FROM af JOIN fl ON fl.region = af.region AND fl.age = af.age AND fl.fertile
+       FROM (SELECT af.region, af.year,
+                    coalesce(list(af.fert ORDER BY af.age) FILTER (WHERE fl.fertile), []) AS r
+             FROM af JOIN fl ON fl.region = af.region AND fl.age = af.age
              GROUP BY af.region, af.year) GROUP BY region),
 prof AS (SELECT region, list(pop_prop ORDER BY age) AS profile
          FROM (SELECT *, min(year) OVER (PARTITION BY region) AS y0, max(age) OVER (PARTITION BY region) AS amax
                FROM shares) WHERE year = y0 AND age <> amax GROUP BY region),
 mp AS (SELECT region, list(r ORDER BY year) AS mig_props
-       FROM (SELECT region, year, list(pop_prop ORDER BY age) AS r FROM ushares
-             WHERE year IN (SELECT value FROM ydim) AND age IN (SELECT age FROM surv)
-             GROUP BY region, year) GROUP BY region),
+       FROM (SELECT s.region, s.year, list(u.pop_prop ORDER BY s.age) AS r
+             FROM surv s LEFT JOIN ushares u ON u.region = s.region AND u.year = s.year AND u.age = s.age
+             GROUP BY s.region, s.year) GROUP BY region),
 pa AS (SELECT v.region, v.draw, v.embedding, kk.K, sm.T, 1.0e0 / (1.0e0 + 1.05e0) AS prop_f,
               fw.n_fert_ages AS nf, fw.ages_before_fert AS bf, fw.ages_after_fert AS aft,
               sm.surv_mean, fm.fert_mean, prof.profile, mp.mig_props
