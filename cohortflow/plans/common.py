@@ -2,14 +2,76 @@
 
 from __future__ import annotations
 
+import contextlib
+import threading
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dims, rates
-from ..sources.fixtures import fixture
+from ..sources import fixtures as _fx
+
+_ACTIVE = threading.local()
+
+
+class QueryInputs:
+    """Inputs shared by the steps of one registered query.
+
+    The rate fixtures all derive from one aggregate of the fact tables and
+    the survival table feeds dimensions, bin edges, grids and the model
+    input. Both are materialised once per query with a reliable
+    ``checkpoint()`` (into the cluster's shared ``spark.checkpoint.dir``),
+    so the fact tables are scanned once however often those small tables
+    are used; nothing is kept across queries.
+    """
+
+    def __init__(self, spark: SparkSession, sf_dir: str):
+        self.spark, self.sf_dir = spark, sf_dir
+        self._base = None
+        self._surv = None
+
+    @property
+    def base(self) -> DataFrame:
+        if self._base is None:
+            from ..session import ensure_checkpoint_dir
+            ensure_checkpoint_dir(self.spark)
+            self._base = _fx.fixture(self.spark, self.sf_dir, "v_rate_base").checkpoint()
+        return self._base
+
+    @property
+    def survival(self) -> DataFrame:
+        if self._surv is None:
+            self._surv = rates.survival_ratios(fixture(self.spark, self.sf_dir, "v_life")).checkpoint()
+        return self._surv
+
+
+@contextlib.contextmanager
+def query_inputs(spark: SparkSession, sf_dir: str):
+    prev = getattr(_ACTIVE, "inputs", None)
+    _ACTIVE.inputs = QueryInputs(spark, sf_dir)
+    try:
+        yield _ACTIVE.inputs
+    finally:
+        _ACTIVE.inputs = prev
+
+
+def _inputs(spark: SparkSession, sf_dir: str) -> QueryInputs | None:
+    inp = getattr(_ACTIVE, "inputs", None)
+    return inp if inp is not None and inp.spark is spark and inp.sf_dir == sf_dir else None
+
+
+def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """Fixture view; rate views come from the query's materialised aggregate."""
+    inp = _inputs(spark, sf_dir)
+    if inp is not None and name in _fx.RATE_VIEWS:
+        return _fx.fixture(spark, sf_dir, name, base=inp.base)
+    return _fx.fixture(spark, sf_dir, name)
 
 
 def survival(spark: SparkSession, sf_dir: str) -> DataFrame:
+    inp = _inputs(spark, sf_dir)
+    if inp is not None:
+        return inp.survival
     return rates.survival_ratios(fixture(spark, sf_dir, "v_life"))
 
 

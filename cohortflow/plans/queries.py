@@ -12,15 +12,23 @@ from pyspark.sql import functions as F
 
 from ..operators import dims, draws, rates, reports
 from ..session import round_doubles
-from ..sources.fixtures import fixture
 from . import common
+from .common import fixture
 
 Q = {}
 
 
 def register(fn):
-    Q[fn.__name__.removeprefix("q_")] = fn
-    return fn
+    """Register a query; its steps share one materialised set of inputs."""
+    import functools
+
+    @functools.wraps(fn)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        with common.query_inputs(spark, sf_dir):
+            return fn(spark, sf_dir)
+
+    Q[fn.__name__.removeprefix("q_")] = run
+    return run
 
 
 # ------------------------------------------------------------ slice 1: report

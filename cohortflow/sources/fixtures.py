@@ -25,11 +25,11 @@ EMPTY_CELL = "…"
 
 
 def _q(dialect: str, ident: str) -> str:
-    return f"`{ident}`" if dialect == "spark" else f'"{ident}"'
+    return f"`{ident}`" if dialect.startswith("spark") else f'"{ident}"'
 
 
 def _t(dialect: str, name: str) -> str:
-    return "{" + name + "}" if dialect == "spark" else name
+    return "{" + name + "}" if dialect.startswith("spark") else name
 
 
 def _period_start(ts: str) -> str:
@@ -60,11 +60,17 @@ def _agg_rows(d: str) -> str:
     the lineitem scan, the joins and the aggregation once and reuses the
     exchange.
     """
+    if d == "spark_base":   # rendered over an already materialised aggregate
+        return "SELECT region, start, age, s, c FROM {agg}"
     return f"""
       SELECT region, start, age, SUM(q) AS s, COUNT(q) AS c FROM ({_base_rows(d)}) b
       GROUP BY region, start, age"""
 
 
+def v_rate_base(d: str) -> str:
+    return _agg_rows(d)
+
+
 def v_life(d: str) -> str:
     """Abridged life table: Lx = persons at or above age x (text)."""
     return f"""
@@ -239,7 +245,10 @@ def v_rows(d: str) -> str:
     FROM {t('embeddings')}"""
 
 
+RATE_VIEWS = ("v_life", "v_fert_wide", "v_pop_wide", "v_pop_wide_proj")
+
 FIXTURES = {
+    "v_rate_base": (v_rate_base, ("lineitem", "orders", "customer", "nation")),
     "v_life": (v_life, ("lineitem", "orders", "customer", "nation")),
     "v_fert_wide": (v_fert_wide, ("lineitem", "orders", "customer", "nation")),
     "v_pop_wide": (v_pop_wide, ("lineitem", "orders", "customer", "nation")),
@@ -260,9 +269,15 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def fixture(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """Render a fixture view for Spark over the parquet tables in ``sf_dir``."""
+def fixture(spark: SparkSession, sf_dir: str, name: str, base: DataFrame | None = None) -> DataFrame:
+    """Render a fixture view for Spark over the parquet tables in ``sf_dir``.
+
+    Rate views given a materialised ``base`` (the shared aggregate, see
+    ``v_rate_base``) are rendered over it instead of the driver tables.
+    """
     builder, deps = FIXTURES[name]
+    if base is not None and name in RATE_VIEWS:
+        return spark.sql(builder("spark_base"), agg=base)
     frames = {t: read_table(spark, sf_dir, t) for t in deps}
     return spark.sql(builder("spark"), **frames)
 
