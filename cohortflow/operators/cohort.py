@@ -146,7 +146,10 @@ def zero_after(totals, t_obs) -> Column:
 def migrant_starts(totals, shares) -> Column:
     """Arrival vector of every cohort: total[m] x shares[m] ([mig_year][age])."""
     totals, shares = _c(totals), _c(shares)
-    return F.transform(totals, lambda tot, i: F.transform(_at(shares, i + 1), lambda x: x * tot))
+    # zip_with evaluates each argument once; indexing ``shares`` inside a
+    # lambda would re-evaluate it per cohort once Catalyst inlines it
+    return F.zip_with(totals, F.slice(shares, 1, F.size(totals)),
+                      lambda tot, sh: F.transform(sh, lambda x: x * tot))
 
 
 def project_migrants(starts, surv) -> Column:
