@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
@@ -19,12 +19,16 @@ def dim_from_values(values: DataFrame, column: str, extra_step: int | None = Non
 
     ``extra_step`` appends max + step (the age dimension has K + 1 entries
     because survival and fertility carry one more age than the population).
+    The distinct values are gathered by a partial + final aggregate (bounded
+    by the domain) and numbered by position; no unpartitioned window.
     """
-    d = values.select(F.col(column).cast("int").alias("value")).where(F.col("value").isNotNull()).distinct()
+    vals = F.array_sort(F.collect_set(F.col(column).cast("int")))
+    arr = values.agg(vals.alias("v"))
     if extra_step is not None:
-        top = d.agg((F.max("value") + F.lit(extra_step)).alias("value"))
-        d = d.unionByName(top)
-    return d.select(F.row_number().over(Window.orderBy("value")).alias("number"), "value")
+        arr = arr.select(F.when(F.size("v") > 0, F.concat("v", F.array(F.array_max("v") + F.lit(extra_step))))
+                         .otherwise(F.col("v")).alias("v"))
+    out = arr.select(F.posexplode_outer("v").alias("number", "value")).where(F.col("value").isNotNull())
+    return out.select((F.col("number") + 1).alias("number"), "value")
 
 
 def age_dim(rates: DataFrame, step: int = 5) -> DataFrame:
@@ -95,23 +99,23 @@ def fertile_window(fert: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """First/last fertile age position, ages before/after, number fertile.
 
     An age is fertile when any period has a rate above 0. Positions are
-    1-based over the ordered ages of the group.
+    1-based over the ordered ages of the group (an array per group, bounded
+    by the number of age groups).
     """
     flags = fert.groupBy(*by, "age").agg(F.bool_or(F.col("fert") > 0).alias("fertile"))
-    w = Window.partitionBy(*by).orderBy("age") if by else Window.orderBy("age")
-    flags = flags.withColumn("idx", F.row_number().over(w))
-    out = flags.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_ages"),
-        F.min(F.when(F.col("fertile"), F.col("idx"))).alias("first_fertile"),
-        F.max(F.when(F.col("fertile"), F.col("idx"))).alias("last_fertile"),
-        F.count_if(F.col("fertile")).alias("n_fert_ages"),
-        F.min(F.when(F.col("fertile"), F.col("age"))).alias("first_fertile_age"),
-        F.max(F.when(F.col("fertile"), F.col("age"))).alias("last_fertile_age"),
-    )
-    return out.select(
-        *by, "n_ages", "n_fert_ages", "first_fertile_age", "last_fertile_age",
-        (F.col("first_fertile") - 1).alias("ages_before_fert"),
-        (F.col("n_ages") - F.col("last_fertile")).alias("ages_after_fert"),
+    g = flags.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct("age", "fertile"))).alias("_a"))
+    pos = F.transform("_a", lambda x, i: F.when(x["fertile"], i + 1))
+    fertile_ages = F.transform(F.filter("_a", lambda x: x["fertile"]), lambda x: x["age"])
+    g = g.select(*by, "_a", F.array_min(pos).alias("_first"), F.array_max(pos).alias("_last"),
+                 fertile_ages.alias("_fa"))
+    return g.select(
+        *by,
+        F.size("_a").cast("long").alias("n_ages"),
+        F.size("_fa").cast("long").alias("n_fert_ages"),
+        F.array_min("_fa").alias("first_fertile_age"),
+        F.array_max("_fa").alias("last_fertile_age"),
+        (F.col("_first") - 1).alias("ages_before_fert"),
+        (F.size("_a") - F.col("_last")).cast("long").alias("ages_after_fert"),
     )
 
 
