@@ -28,17 +28,22 @@ def draws_keys(draws: DataFrame) -> list[str]:
 
 def summarise_draws(draws: DataFrame, probs: Sequence[float] = DEFAULT_PROBS,
                     by: Sequence[str] | None = None, variables: Sequence[str] | None = None,
-                    diagnostics: bool = False) -> DataFrame:
+                    diagnostics: bool = False, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
     """mean, sd, type-7 quantiles per variable (NULL draws ignored).
 
     ``variables=None`` summarises everything (the reference's default);
     a list restricts the scan with an ``isin`` filter. With ``diagnostics``
     the rank-normalised R-hat and bulk/tail ESS are joined on the keys.
+    Exact quantiles keep one variable's values in its aggregation buffer
+    (a variable holds chains x iterations draws); ``exact=False`` switches
+    to ``percentile_approx`` (bounded sketch) for unbounded groups.
     """
     by = list(by or draws_keys(draws))
     if variables is not None:
         draws = draws.where(F.col("variable").isin(list(variables)))
-    pct = F.percentile(F.col("value"), F.array(*[F.lit(float(p)) for p in probs]))
+    pct_array = F.array(*[F.lit(float(p)) for p in probs])
+    pct = F.percentile(F.col("value"), pct_array) if exact else \
+        F.percentile_approx(F.col("value"), pct_array, accuracy)
     out = draws.groupBy(*by).agg(
         F.avg("value").alias("mean"),
         F.stddev_samp("value").alias("sd"),

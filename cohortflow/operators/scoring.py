@@ -99,11 +99,14 @@ def prior_spec(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
 def score_priors(draws: DataFrame, spec: DataFrame, by: Sequence[str] = ("run_id", "chain", "iteration")) -> DataFrame:
     """Prior log density per draw: join on parameter name, evaluate, sum.
 
-    The spec has one row per parameter family (tiny); AQE broadcasts it
-    after measuring it. Variables without a prior are ignored.
+    The spec has one row per parameter family and is broadcast. Variables
+    without a prior are ignored.
     """
     d = draws.withColumn("param", base_name())
-    j = d.join(spec, "param")
+    # the spec is built from a caller-given list (one row per parameter
+    # family), so its size is known; broadcasting it also keeps the skewed
+    # key (a few parameters own all draws) out of a shuffle join
+    j = d.join(F.broadcast(spec), "param")
     dens = (F.when(F.col("family") == "normal", normal_lpdf("value", "p1", "p2"))
              .when(F.col("family") == "half_normal", half_normal_lpdf("value", "p2"))
              .when(F.col("family") == "lognormal", lognormal_lpdf("value", "p1", "p2"))
