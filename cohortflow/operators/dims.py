@@ -64,7 +64,8 @@ def complete_grid(counts: DataFrame, dims: dict[str, DataFrame], value: str = "n
                   fill: float = 0.0, by: Sequence[str] = (), groups: DataFrame | None = None) -> DataFrame:
     """Complete a key grid and fill missing cells (tidyr ``complete``).
 
-    ``dims`` maps each key column to a one-column domain. The grid is made
+    ``dims`` maps each key column to a one-column domain (or an array
+    Column, e.g. a field of a scalar-subquery struct). The grid is made
     by exploding each domain (a scalar subquery over a small dimension) per
     group, so no cross join is planned; it is then left-joined to the
     counts. Rows whose key lies outside the domains are not kept.
@@ -75,7 +76,8 @@ def complete_grid(counts: DataFrame, dims: dict[str, DataFrame], value: str = "n
     else:
         grid = spark.range(1).select()
     for col, dom in dims.items():
-        grid = grid.withColumn(col, F.explode(domain_values(dom)))
+        values = dom if isinstance(dom, F.Column) else domain_values(dom)
+        grid = grid.withColumn(col, F.explode(values))
     keys = list(by) + list(dims)
     out = grid.join(counts.select(*keys, value), keys, "left")
     return out.withColumn(value, F.coalesce(F.col(value).cast("double"), F.lit(float(fill))))

@@ -30,6 +30,29 @@ def with_edges(df: DataFrame, **edges: DataFrame) -> DataFrame:
     return df.withColumns({name: edges_column(frame) for name, frame in edges.items()})
 
 
+def axes_from_rates(rates: DataFrame, step: int = 5) -> DataFrame:
+    """One row with every axis the survey counts need: sorted ``years`` and
+    ``ages`` (the rate table's periods and age groups), ``period_edges``
+    (years plus the last end year) and ``age_edges`` (ages plus +Inf).
+
+    Used through :func:`axes_column` as a single scalar subquery, so the
+    binning and the grid completion share one small computation.
+    """
+    a = rates.agg(F.array_sort(F.collect_set(F.col("year").cast("int"))).alias("years"),
+                  F.array_sort(F.collect_set(F.col("age").cast("int"))).alias("ages"))
+    dbl = lambda c: F.transform(c, lambda v: v.cast("double"))
+    return a.select(
+        "years", "ages",
+        F.concat(dbl("years"), F.array(F.element_at("years", -1).cast("double") + F.lit(float(step))))
+         .alias("period_edges"),
+        F.concat(dbl("ages"), F.array(F.lit(float("inf")))).alias("age_edges"))
+
+
+def axes_column(axes: DataFrame) -> Column:
+    """The axes row as one struct-valued scalar subquery."""
+    return axes.select(F.struct(*axes.columns).alias("ax")).scalar()
+
+
 def age_edges(ages: DataFrame, column: str = "age") -> DataFrame:
     """Age bin edges: distinct ages of the rate table, then +Inf (open top)."""
     return ages.agg(F.array_sort(F.collect_set(F.col(column).cast("double"))).alias("edges")).select(
@@ -48,38 +71,39 @@ def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
-def count_cohort_age(persons: DataFrame, period_edges: DataFrame, age_edges_df: DataFrame,
-                     years: DataFrame, ages: DataFrame, gender: int | None = 2,
+def count_cohort_age(persons: DataFrame, axes: DataFrame, gender: int | None = 2,
                      by: Sequence[str] = ()) -> DataFrame:
     """Migrants by (arrival period, age group) on the complete grid, 0-filled.
 
     Persons with a missing migration year or age are left out; values
     outside the edges bin to NULL and are dropped (the reference would keep
-    them as an extra NA cell).
+    them as an extra NA cell). ``axes`` comes from :func:`axes_from_rates`.
     """
+    ax = axes_column(axes)
     p = persons
     if gender is not None:
         p = p.where(F.col("basic_gender") == gender)
     p = p.where(F.col("year_migration_m").isNotNull() & F.col("age_migration_m").isNotNull())
-    p = with_edges(p, _pe=period_edges, _ae=age_edges_df)
+    p = p.withColumn("_ax", ax)
     p = p.select(*by,
-                 bin_lower_edge("year_migration_m", "_pe").cast("int").alias("mig_year"),
-                 bin_lower_edge("basic_age", "_ae").cast("int").alias("age"))
+                 bin_lower_edge("year_migration_m", F.col("_ax.period_edges")).cast("int").alias("mig_year"),
+                 bin_lower_edge("basic_age", F.col("_ax.age_edges")).cast("int").alias("age"))
     counts = count_by(p.where(F.col("mig_year").isNotNull() & F.col("age").isNotNull()),
                       [*by, "mig_year", "age"])
-    return complete_grid(counts, {"mig_year": years, "age": ages}, by=by)
+    return complete_grid(counts, {"mig_year": ax.getField("years"), "age": ax.getField("ages")}, by=by)
 
 
-def count_native_age(persons: DataFrame, age_edges_df: DataFrame, ages: DataFrame,
-                     gender: int | None = 2, by: Sequence[str] = ()) -> DataFrame:
+def count_native_age(persons: DataFrame, axes: DataFrame, gender: int | None = 2,
+                     by: Sequence[str] = ()) -> DataFrame:
     """Native-born persons by age group on the complete age axis, 0-filled."""
+    ax = axes_column(axes)
     p = persons
     if gender is not None:
         p = p.where(F.col("basic_gender") == gender)
-    p = with_edges(p.where(F.col("born_kenya_m") == 1), _ae=age_edges_df)
-    p = p.select(*by, bin_lower_edge("basic_age", "_ae").cast("int").alias("age"))
+    p = p.where(F.col("born_kenya_m") == 1).withColumn("_ax", ax)
+    p = p.select(*by, bin_lower_edge("basic_age", F.col("_ax.age_edges")).cast("int").alias("age"))
     counts = count_by(p.where(F.col("age").isNotNull()), [*by, "age"])
-    return complete_grid(counts, {"age": ages}, by=by)
+    return complete_grid(counts, {"age": ax.getField("ages")}, by=by)
 
 
 def count_full_outer(members: DataFrame, edges: DataFrame, domain: DataFrame,
@@ -130,39 +154,37 @@ def unspread_bands(counts: DataFrame, band: str, n: str = "n") -> DataFrame:
     return counts.where(~F.coalesce(hi > lo, F.lit(False))).select(band, n)
 
 
-def banded_migrants(survey: DataFrame, period_edges: DataFrame, age_edges_df: DataFrame,
-                    years: DataFrame, ages: DataFrame) -> DataFrame:
+def banded_migrants(survey: DataFrame, axes: DataFrame) -> DataFrame:
     """Banded survey -> migrants by (arrival period, age group), 0-filled grid.
 
     Literal filter semantics: ``mig IS NOT NULL OR mig <> 'Non applicable'``
     (NULL drops), numeric year after ``try_cast``, strictly after the first
     period edge.
     """
-    first_edge = F.element_at(edges_column(period_edges), 1)
+    ax = axes_column(axes)
     m = survey.where(F.col("mig").isNotNull() | (F.col("mig") != "Non applicable"))
-    m = m.withColumn("mig_year", to_number("mig")).where(F.col("mig_year") > first_edge)
+    m = m.withColumn("mig_year", to_number("mig")).where(F.col("mig_year") > F.element_at(ax.getField("period_edges"), 1))
     counts = count_by(m, ["age_member", "mig_year"])
-    spread = with_edges(spread_bands(counts, "age_member", keep=["mig_year"]),
-                        _pe=period_edges, _ae=age_edges_df)
+    spread = spread_bands(counts, "age_member", keep=["mig_year"]).withColumn("_ax", ax)
     binned = spread.select(
-        bin_lower_edge("mig_year", "_pe").cast("int").alias("mig_year"),
-        bin_lower_edge("age", "_ae").cast("int").alias("age"), "n")
+        bin_lower_edge("mig_year", F.col("_ax.period_edges")).cast("int").alias("mig_year"),
+        bin_lower_edge("age", F.col("_ax.age_edges")).cast("int").alias("age"), "n")
     sums = binned.where(F.col("mig_year").isNotNull() & F.col("age").isNotNull()) \
                  .groupBy("mig_year", "age").agg(F.sum("n").alias("n"))
-    return complete_grid(sums, {"mig_year": years, "age": ages})
+    return complete_grid(sums, {"mig_year": ax.getField("years"), "age": ax.getField("ages")})
 
 
-def banded_natives(survey: DataFrame, age_edges_df: DataFrame, ages: DataFrame,
-                   birth_places: Sequence[str]) -> DataFrame:
+def banded_natives(survey: DataFrame, axes: DataFrame, birth_places: Sequence[str]) -> DataFrame:
     """Banded survey -> native-born by age group, 0-filled.
 
     ``mig IS NOT NULL OR mig = 'Non applicable'`` keeps every non-null
     ``mig`` (real years too), as the reference does.
     """
+    ax = axes_column(axes)
     s = survey.where(F.col("cbirth").isin(list(birth_places))
                      & (F.col("mig").isNotNull() | (F.col("mig") == "Non applicable")))
     counts = count_by(s, ["age_member"])
-    spread = with_edges(spread_bands(counts, "age_member"), _ae=age_edges_df)
-    binned = spread.select(bin_lower_edge("age", "_ae").cast("int").alias("age"), "n")
+    spread = spread_bands(counts, "age_member").withColumn("_ax", ax)
+    binned = spread.select(bin_lower_edge("age", F.col("_ax.age_edges")).cast("int").alias("age"), "n")
     sums = binned.where(F.col("age").isNotNull()).groupBy("age").agg(F.sum("n").alias("n"))
-    return complete_grid(sums, {"age": ages})
+    return complete_grid(sums, {"age": ax.getField("ages")})

@@ -114,13 +114,10 @@ def survival_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survival(spark, sf_dir).select("age").distinct()
 
 
-def survey_axes(spark: SparkSession, sf_dir: str):
-    """(period edges, age edges, year domain, age domain) from the rate tables."""
+def survey_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey counts' axes (periods, ages, their edges) from the rate tables."""
     from ..operators import survey
-    surv = survival(spark, sf_dir)
-    ydim = dims.year_dim(surv)
-    return (dims.period_edges(ydim), survey.age_edges(surv), ydim.select("value"),
-            surv.select("age").distinct())
+    return survey.axes_from_rates(survival(spark, sf_dir))
 
 
 def banded_survey(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -195,15 +195,13 @@ from ..operators import survey  # noqa: E402
 
 @register
 def q_count_cohort_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
-    out = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
+    out = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
     return out.withColumn("n", F.col("n").cast("bigint"))
 
 
 @register
 def q_count_native_age(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, ae, _, ages = common.survey_axes(spark, sf_dir)
-    out = survey.count_native_age(fixture(spark, sf_dir, "v_person"), ae, ages)
+    out = survey.count_native_age(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
     return out.withColumn("n", F.col("n").cast("bigint"))
 
 
@@ -231,14 +229,14 @@ def q_restrict_to_domain(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def q_banded_migrants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
-    return round_doubles(survey.banded_migrants(common.banded_survey(spark, sf_dir), pe, ae, years, ages))
+    return round_doubles(survey.banded_migrants(common.banded_survey(spark, sf_dir),
+                                                common.survey_axes(spark, sf_dir)))
 
 
 @register
 def q_banded_natives(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, ae, _, ages = common.survey_axes(spark, sf_dir)
-    out = survey.banded_natives(common.banded_survey(spark, sf_dir), ae, ages, common.NATIVE_BIRTH_PLACES)
+    out = survey.banded_natives(common.banded_survey(spark, sf_dir), common.survey_axes(spark, sf_dir),
+                                common.NATIVE_BIRTH_PLACES)
     return round_doubles(out)
 
 
@@ -246,8 +244,7 @@ def q_banded_natives(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def q_to_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
-    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
+    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
     mat = dims.to_matrix(grid, "mig_year", "age", "n")
     rows = common.explode_pos(mat, [], F.arrays_zip("mig_years", "matrix"), "r", "z")
     rows = rows.select((F.col("r") + 1).alias("row_pos"), F.col("z.mig_years").alias("mig_year"),
@@ -388,8 +385,7 @@ def q_project_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def q_score_disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
-    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
+    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
     mig_obs = dims.to_matrix(grid, "mig_year", "age", "n").select("matrix").scalar()
     d = disaggregated(spark, sf_dir).withColumns({"mig_obs": mig_obs,
                                                   "nat_obs": _vector(native_grid(spark, sf_dir))})
@@ -432,14 +428,12 @@ from ..operators import scoring  # noqa: E402
 
 
 def native_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _, ae, _, ages = common.survey_axes(spark, sf_dir)
-    return survey.count_native_age(fixture(spark, sf_dir, "v_person"), ae, ages)
+    return survey.count_native_age(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
 
 
 @register
 def q_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pe, ae, years, ages = common.survey_axes(spark, sf_dir)
-    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), pe, ae, years, ages)
+    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
     return round_doubles(scoring.composition(grid, ["mig_year"]))
 
 

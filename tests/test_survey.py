@@ -34,16 +34,14 @@ def test_count_cohort_age_grid(spark):
         (2, 8.0, None, None, 1),      # native only
         (1, 50.0, 1960.0, 5.0, 0),    # filtered by gender
     ], "basic_gender int, basic_age double, year_migration_m double, age_migration_m double, born_kenya_m int")
-    years = spark.createDataFrame([(1950 + 5 * i,) for i in range(16)], "value int")
-    ages = spark.createDataFrame([(5 * i,) for i in range(10)], "age int")
-    pe = dims.period_edges(years)
-    ae = survey.age_edges(ages)
-    grid = survey.count_cohort_age(persons, pe, ae, years, ages)
+    rates = spark.createDataFrame([(1950 + 5 * t, 5 * a) for t in range(16) for a in range(10)], "year int, age int")
+    axes = survey.axes_from_rates(rates)
+    grid = survey.count_cohort_age(persons, axes)
     rows = {(r.mig_year, r.age): r.n for r in grid.collect()}
     assert len(rows) == 16 * 10
     assert rows[(1965, 30)] == 1 and rows[(1970, 30)] == 1 and rows[(2025, 45)] == 1
     assert sum(rows.values()) == 3
-    nat = {r.age: r.n for r in survey.count_native_age(persons, ae, ages).collect()}
+    nat = {r.age: r.n for r in survey.count_native_age(persons, axes).collect()}
     assert nat[5] == 1 and sum(nat.values()) == 1
 
 
