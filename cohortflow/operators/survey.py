@@ -21,15 +21,6 @@ def edges_column(edges_frame: DataFrame) -> Column:
     return edges_frame.select("edges").scalar()
 
 
-def with_edges(df: DataFrame, **edges: DataFrame) -> DataFrame:
-    """Attach bin edges as array columns (scalar subqueries, evaluated once).
-
-    Spark does not allow subqueries inside lambda functions, so the edges
-    become plain columns before :func:`bin_lower_edge` filters them.
-    """
-    return df.withColumns({name: edges_column(frame) for name, frame in edges.items()})
-
-
 def axes_from_rates(rates: DataFrame, step: int = 5) -> DataFrame:
     """One row with every axis the survey counts need: sorted ``years`` and
     ``ages`` (the rate table's periods and age groups), ``period_edges``
@@ -113,7 +104,9 @@ def count_full_outer(members: DataFrame, edges: DataFrame, domain: DataFrame,
     Groups missing from the survey get 0; members outside every bin form a
     NULL-age group that the full join keeps (as the reference does).
     """
-    m = with_edges(members.where((F.col("gender") == gender) & F.col("age").isNotNull()), _ae=edges)
+    # edges as a column first: Spark allows no subquery inside the lambda
+    m = members.where((F.col("gender") == gender) & F.col("age").isNotNull()) \
+        .withColumn("_ae", edges_column(edges))
     m = m.select(bin_lower_edge(to_number("age"), "_ae").cast("int").alias("age"))
     counts = count_by(m, ["age"])
     dom = domain.select(F.col(domain.columns[0]).cast("int").alias("age")).distinct()

@@ -110,10 +110,6 @@ def posexplode_array(df: DataFrame, keys, array_col: str, pos: str = "pos", valu
     return explode_pos(df, keys, array_col, pos, value).withColumn(pos, F.col(pos) + 1)
 
 
-def survival_ages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return survival(spark, sf_dir).select("age").distinct()
-
-
 def survey_axes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The survey counts' axes (periods, ages, their edges) from the rate tables."""
     from ..operators import survey

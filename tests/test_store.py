@@ -1,6 +1,5 @@
 import os
 import tempfile
-import time
 
 from pyspark.sql import functions as F
 
