@@ -58,3 +58,21 @@ def test_stream_ingest_exactly_once(spark):
     d = store.read_run(spark, "draws", "s", root)
     assert d.count() == 40
     assert d.select("chain").distinct().count() == 2
+
+
+def test_read_wide_csv_all_text_and_lookup(spark):
+    from cohortflow.operators import rates, survey
+    d = tempfile.mkdtemp(prefix="cf-csv-")
+    with open(os.path.join(d, "wide.csv"), "w") as f:
+        f.write("region,period,0-4,5-9,100+,Notes\nA,1950,120.5,98.0,0.1,\nA,1955,x,101.2,0.2,n\n")
+    with open(os.path.join(d, "tribes.csv"), "w") as f:
+        f.write("Tribe name\nL1\n")
+    cols = ["region", "period", "0-4", "5-9", "100+", "Notes"]
+    wide = store.read_wide(spark, os.path.join(d, "wide.csv"), columns=cols, fmt="csv")
+    assert all(t == "string" for _, t in wide.dtypes)
+    long = {(r.year, r.age): r.pop for r in rates.tidy_rates(wide, "pop").collect()}
+    assert long[(1950, 100)] == 0.1 and long[(1955, 0)] is None   # bad text -> NULL
+    lookup = store.read_lookup(spark, os.path.join(d, "tribes.csv"))
+    df = spark.createDataFrame([("L1",), ("X",), (None,)], "tribe string")
+    kept = survey.exclude_listed(df, lookup, "tribe", "Tribe name").collect()
+    assert sorted(str(r.tribe) for r in kept) == ["None", "X"]
