@@ -165,8 +165,10 @@ def draw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     surv = survival(spark, sf_dir)
     mi = dims.model_input(surv, r.align_fertility(fertility(spark, sf_dir), surv))
     prof = r.initial_age_profile(r.age_shares(population(spark, sf_dir))).select("region", "profile")
-    rows = fixture(spark, sf_dir, "v_rows").join(mi, "region").join(prof, "region", "left") \
-        .join(mig_share_matrix(spark, sf_dir), "region", "left")
+    # the per-population inputs are small (one row per population): join them
+    # to each other first, then join the draws once
+    pops = mi.join(prof, "region", "left").join(mig_share_matrix(spark, sf_dir), "region", "left")
+    rows = fixture(spark, sf_dir, "v_rows").join(pops, "region")
     K, T, NF = F.col("K"), F.col("Time"), F.col("n_fert_ages")
     return rows.select(
         "region", "draw", "chain", "iteration", "K", "Time", "prop_f", "n_fert_ages",
