@@ -15,7 +15,8 @@ LEAD_YEAR = r"CAST(TRY_CAST(regexp_extract(period, '^(.+?)[\-]', 1) AS DOUBLE) A
 
 
 def r6(expr: str, name: str) -> str:
-    return f"round({expr}, 6) AS {name}"
+    # + 0.0 turns a rounded -0.0 into 0.0 (Spark's round never yields -0.0)
+    return f"round({expr}, 6) + 0.0e0 AS {name}"
 
 
 # survival ratios (E1, W2, B10) as CTEs named life, g, surv_all, surv
@@ -323,7 +324,7 @@ O["to_matrix"] = O["count_cohort_age"].replace(
     "SELECT grid.mig_year, grid.age, CAST(coalesce(c.n, 0) AS BIGINT) AS n\nFROM grid",
     "SELECT CAST(dense_rank() OVER (ORDER BY grid.mig_year) AS INTEGER) AS row_pos,\n"
     "       CAST(dense_rank() OVER (ORDER BY grid.age) AS INTEGER) AS col_pos, grid.mig_year,\n"
-    "       round(CAST(coalesce(c.n, 0) AS DOUBLE), 6) AS value\nFROM grid")
+    "       round(CAST(coalesce(c.n, 0) AS DOUBLE), 6) + 0.0e0 AS value\nFROM grid")
 
 ALIGNED = f"""
 fert AS ({FERT}),
@@ -397,7 +398,7 @@ rh AS (SELECT run_id, variable,
               sqrt((max(n) * var_samp(mf) / avg(vf) + max(n) - 1) / max(n)) AS rf,
               bool_or(cst) AS cst
        FROM pc GROUP BY run_id, variable)
-SELECT run_id, variable, round(CASE WHEN cst THEN NULL ELSE greatest(rb, rf) END, 6) AS rhat FROM rh"""
+SELECT run_id, variable, round(CASE WHEN cst THEN NULL ELSE greatest(rb, rf) END, 6) + 0.0e0 AS rhat FROM rh"""
 
 _K = "run_id, variable, series"
 ESS = f"""
@@ -442,12 +443,12 @@ wide AS (SELECT run_id, variable, max(CASE WHEN series = 'bulk' THEN ess END) AS
          FROM es GROUP BY run_id, variable)"""
 
 O["ess_bulk"] = f"""{ESS}
-SELECT w.run_id, w.variable, round(CASE WHEN fl.cst THEN NULL ELSE eb END, 6) AS ess_bulk
+SELECT w.run_id, w.variable, round(CASE WHEN fl.cst THEN NULL ELSE eb END, 6) + 0.0e0 AS ess_bulk
 FROM wide w JOIN fl USING (run_id, variable)"""
 
 O["ess_tail"] = f"""{ESS}
 SELECT w.run_id, w.variable,
-       round(CASE WHEN fl.cst OR el IS NULL OR eh IS NULL THEN NULL ELSE least(el, eh) END, 6) AS ess_tail
+       round(CASE WHEN fl.cst OR el IS NULL OR eh IS NULL THEN NULL ELSE least(el, eh) END, 6) + 0.0e0 AS ess_tail
 FROM wide w JOIN fl USING (run_id, variable)"""
 
 
@@ -555,7 +556,7 @@ pd AS (SELECT *,
 
 def long2(src: str, col: str, names=("t", "a"), value: str = "value") -> str:
     return (f"SELECT region, draw, CAST(t AS INTEGER) AS {names[0]}, CAST(a AS INTEGER) AS {names[1]}, "
-            f"round(v, 6) AS {value} FROM (SELECT region, draw, t, generate_subscripts(row, 1) AS a, unnest(row) AS v "
+            f"round(v, 6) + 0.0e0 AS {value} FROM (SELECT region, draw, t, generate_subscripts(row, 1) AS a, unnest(row) AS v "
             f"FROM (SELECT region, draw, generate_subscripts({col}, 1) AS t, unnest({col}) AS row FROM {src}))")
 
 
@@ -571,7 +572,7 @@ ent AS (SELECT region, draw, t, 1 AS row, a AS col, r[a] AS value
           FROM (SELECT *, unnest(generate_series(2, len(r))) AS a FROM le)
         UNION ALL SELECT region, draw, t, len(r), len(r), s[len(r) + 1] FROM le)
 SELECT region, draw, CAST(t AS INTEGER) AS t, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col,
-       round(value, 6) AS value FROM ent"""
+       round(value, 6) + 0.0e0 AS value FROM ent"""
 
 _LN_POP0 = (f"list_transform({_shares_softmax('log_pop_0_ratios_raw', 'profile', '1.0e0')}, "
             f"lambda x: x * exp(7.0e0 + 0.7e0 * log_pop_0_total_true_raw))")
@@ -615,7 +616,7 @@ ct AS (SELECT region, draw, list_transform(cohorts, lambda c: list_transform(c,
 {long2('ct', 'ct', ('mig_year', 't'), 'pop')}"""
 
 O["migrant_births"] = f"""{DISAGG}
-SELECT region, draw, CAST(t AS INTEGER) AS t, round(b, 6) AS births
+SELECT region, draw, CAST(t AS INTEGER) AS t, round(b, 6) + 0.0e0 AS births
 FROM (SELECT region, draw, generate_subscripts(births, 1) AS t, unnest(births) AS b FROM dn)"""
 
 O["project_native"] = f"""{DISAGG}
@@ -624,8 +625,8 @@ O["project_native"] = f"""{DISAGG}
 O["totals"] = f"""{DISAGG},
 tt AS (SELECT region, draw, list_transform(native, lambda pop, i: {{'native': {_sum('pop')},
          'migrant': list_reduce(cohorts, lambda acc, c: acc + {_sum('c[i]')}, 0.0e0)}}) AS tv FROM dn)
-SELECT region, draw, CAST(t AS INTEGER) AS t, round(v.native, 6) AS native, round(v.migrant, 6) AS migrant,
-       round(v.native + v.migrant, 6) AS total
+SELECT region, draw, CAST(t AS INTEGER) AS t, round(v.native, 6) + 0.0e0 AS native, round(v.migrant, 6) + 0.0e0 AS migrant,
+       round(v.native + v.migrant, 6) + 0.0e0 AS total
 FROM (SELECT region, draw, generate_subscripts(tv, 1) AS t, unnest(tv) AS v FROM tt)"""
 
 
@@ -660,8 +661,8 @@ w AS (SELECT *, sum(n) OVER (PARTITION BY mig_year) AS total,
              row_number() OVER (PARTITION BY mig_year ORDER BY age) AS pos FROM gr),
 s2 AS (SELECT *, CASE WHEN total <> 0 THEN n / total END AS share FROM w),
 r AS (SELECT *, max(CASE WHEN pos = 10 THEN share END) OVER (PARTITION BY mig_year) AS ref FROM s2)
-SELECT mig_year, age, round(n, 6) AS n, round(total, 6) AS total, round(share, 6) AS share,
-       round(CASE WHEN ref <> 0 THEN """ + _ln("share / ref") + """ END, 6) AS log_ratio FROM r""").replace(
+SELECT mig_year, age, round(n, 6) + 0.0e0 AS n, round(total, 6) + 0.0e0 AS total, round(share, 6) + 0.0e0 AS share,
+       round(CASE WHEN ref <> 0 THEN """ + _ln("share / ref") + """ END, 6) + 0.0e0 AS log_ratio FROM r""").replace(
     "grid AS (SELECT CAST(y.value", "grid AS (SELECT CAST(y.value")
 
 _OBS = (O["count_native_age"].split("SELECT CAST(a.age AS INTEGER)")[0]
@@ -701,11 +702,11 @@ pp AS (SELECT region, draw, sigma_pop, ov.obs, hv.obs_hh,
               {_fold(_LN_POP0, 'len(surv)', _step('acc[-1]', 'surv[t - 1]', 'reprod[t - 1]'))}[15] AS pt
        FROM pd, ov, hv)
 SELECT region, draw,
-       round({_sum("list_transform(list_zip(obs, pt), lambda z: " + _normal('z[1]', 'z[2]', 'sigma_pop') + ")")}, 6)
+       round({_sum("list_transform(list_zip(obs, pt), lambda z: " + _normal('z[1]', 'z[2]', 'sigma_pop') + ")")}, 6) + 0.0e0
          AS normal_ll,
        round({_lognormal(_total(_HH_FLOOR), _ln(_total('pt')), 'sigma_pop')}
              + {_sum("list_transform(list_zip(" + _ratios(_HH_FLOOR) + ", " + _ratios('pt') + "), lambda z: "
-                     + _normal('z[1]', 'z[2]', '1.0e0') + ")")}, 6) AS lognormal_ll
+                     + _normal('z[1]', 'z[2]', '1.0e0') + ")")}, 6) + 0.0e0 AS lognormal_ll
 FROM pp"""
 
 O["score_priors"] = f"""
@@ -720,7 +721,7 @@ SELECT run_id, chain, iteration,
          WHEN 'normal' THEN {_normal('value', 'p1', 'p2')}
          WHEN 'half_normal' THEN {_LN2} + {_normal('value', '0.0e0', 'p2')}
          WHEN 'lognormal' THEN {_lognormal('value', 'p1', 'p2')}
-         WHEN 'gamma' THEN p1 * {_ln('p2')} + (p1 - 1) * {_ln('value')} - p2 * value - lgamma(p1) END), 6) AS log_prior,
+         WHEN 'gamma' THEN p1 * {_ln('p2')} + (p1 - 1) * {_ln('value')} - p2 * value - lgamma(p1) END), 6) + 0.0e0 AS log_prior,
        count(*) AS n_terms
 FROM j GROUP BY run_id, chain, iteration"""
 
@@ -735,8 +736,8 @@ O["ribbon"] = f"""{_FERT_SUMM}
 SELECT run_id, year, age, {qcols()} FROM ex2"""
 
 O["overlay_rates"] = f"""{_FERT_SUMM}, fert AS ({FERT})
-SELECT f.region, e.year, e.age, {qcols(prefix='e.')}, round(f.fert, 6) AS input_rate,
-       round(f.fert - e.q50, 6) AS diff_q50, (f.fert >= e.q5 AND f.fert <= e.q95) AS inside_90
+SELECT f.region, e.year, e.age, {qcols(prefix='e.')}, round(f.fert, 6) + 0.0e0 AS input_rate,
+       round(f.fert - e.q50, 6) + 0.0e0 AS diff_q50, (f.fert >= e.q5 AND f.fert <= e.q95) AS inside_90
 FROM ex2 e LEFT JOIN fert f ON f.year = e.year AND f.age = e.age"""
 
 
@@ -780,7 +781,7 @@ SELECT region, draw, round(CASE WHEN 15 > 0 THEN
              {_sum("list_transform(list_zip(zz[1], zz[2][15]), lambda z: " + _NORM1 + ")")}),
            lambda x, y: x + y, 0.0e0)
          + {_sum("list_transform(list_zip(nat_obs, native[15]), lambda z: " + _NORM1 + ")")}
-       ELSE 0.0e0 END, 2) AS obs_ll
+       ELSE 0.0e0 END, 2) + 0.0e0 AS obs_ll
 FROM dn, mm, nv"""
 
 
@@ -797,8 +798,8 @@ rh AS (SELECT run_id, variable,
 {summ('v_draws1', DEFAULT_PROBS)}
 SELECT s.run_id, s.variable, {r6('s.mean', 'mean')}, {r6('s.sd', 'sd')},
        {", ".join(r6('s.' + quantile_name(p), quantile_name(p)) for p in DEFAULT_PROBS)},
-       round(CASE WHEN rh.cst THEN NULL ELSE greatest(rh.rb, rh.rf) END, 6) AS rhat,
-       round(CASE WHEN fl.cst THEN NULL ELSE w.eb END, 6) AS ess_bulk,
-       round(CASE WHEN fl.cst OR w.el IS NULL OR w.eh IS NULL THEN NULL ELSE least(w.el, w.eh) END, 6) AS ess_tail
+       round(CASE WHEN rh.cst THEN NULL ELSE greatest(rh.rb, rh.rf) END, 6) + 0.0e0 AS rhat,
+       round(CASE WHEN fl.cst THEN NULL ELSE w.eb END, 6) + 0.0e0 AS ess_bulk,
+       round(CASE WHEN fl.cst OR w.el IS NULL OR w.eh IS NULL THEN NULL ELSE least(w.el, w.eh) END, 6) + 0.0e0 AS ess_tail
 FROM summ s LEFT JOIN rh USING (run_id, variable) LEFT JOIN wide w USING (run_id, variable)
      LEFT JOIN fl USING (run_id, variable)"""

@@ -31,8 +31,11 @@ def _norm(v):
         return None
     if isinstance(v, float):
         if math.isnan(v):
-            return None
-        return round(v, 6)
+            return "NaN"            # distinct from NULL, as a value hash would be
+        r = round(v, 6)
+        if r == 0 and math.copysign(1.0, r) < 0:
+            return "-0.0"           # signed zero would hash differently too
+        return r
     if hasattr(v, "item"):
         return _norm(v.item())
     if isinstance(v, (list, tuple)):
