@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontaminate, quality_rules, simhash
+from . import (decontaminate, html_extract, license_scan, line_dedup, mixing, quality_model, quality_rules, simhash,
+               suffix_dedup, token_counts)
 from .common import table
 
 Q, O = {}, {}
@@ -27,6 +28,37 @@ def op1_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
                      F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), "contaminated")
 
 
+@_query
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = mixing.mix(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "size", "source_size", "target", "taken", "copies")
+
+
+@_query
+def op3_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    df = html_extract.extract(pages, html_extract.train(pages))
+    return df.select("_row.page_id", "_row.url", "text", F.char_length("text").cast("long").alias("n_chars"))
+
+
+@_query
+def op4_quality_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    df = quality_model.scores(docs, quality_model.train(docs, table(spark, sf_dir, "labels")))
+    return df.select("doc_id", quality_model.held_out("doc_id").alias("held_out"), "score",
+                     (F.col("score") >= quality_model.THRESHOLD).cast("int").alias("predicted"))
+
+
+@_query
+def op5_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    df = token_counts.token_counts(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"),
+                                   budget=token_counts.LIMIT)
+    return df.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > token_counts.LIMIT).alias("over_limit"),
+                     "budget_bytes")
+
+
 @_query
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = quality_rules.ledger(table(spark, sf_dir, "documents"))
@@ -34,12 +66,28 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                      quality_rules.passes("v1").alias("kept"), "failure_bits")
 
 
+@_query
+def op7_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
 @_query
 def op8_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = simhash.grouped(table(spark, sf_dir, "documents"))
     return df.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+@_query
+def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.report(table(spark, sf_dir, "documents"))
+
+
+@_query
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = suffix_dedup.dedup(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 O["op1_decontaminate"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
