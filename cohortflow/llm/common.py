@@ -51,6 +51,15 @@ def unpacked(df: DataFrame, *extra: Column) -> DataFrame:
     return df.select("_row.*", *extra)
 
 
+def once(df: DataFrame, kept: list, **computed: Column) -> DataFrame:
+    """``kept`` columns with ``computed`` ones that are evaluated once a row.
+
+    They come out of a generator, so the optimizer doesn't copy a costly
+    expression into filters above it or into lambdas that use its result.
+    """
+    return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in computed.items()]))))
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's shared folder: cuts the lineage and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

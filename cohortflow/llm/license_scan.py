@@ -18,7 +18,7 @@ import re
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed
+from .common import once, packed
 
 SIMILARITY = 0.8
 
@@ -91,8 +91,8 @@ def units(docs: DataFrame, text_col: str) -> DataFrame:
     df = packed(docs.select(text_col), text_col).select(F.coalesce("_0", F.lit("")).alias("_t"))
     blocks = F.split("_t", r"\n[\x20\x09-\x0D]*\n", -1)
     parts = F.array_union(F.split("_t", "\n", -1), blocks)
-    return df.select(*_digest("_t"), F.explode(parts).alias("unit")).select(
-        "_a", "_b", "unit", _words(F.col("unit")).alias("w"))
+    df = df.select(*_digest("_t"), F.explode(parts).alias("unit"))
+    return once(df, ["_a", "_b", "unit"], w=_words(F.col("unit")))
 
 
 def _digest(text: str | Column) -> list[Column]:
@@ -108,7 +108,7 @@ def matches(docs: DataFrame, text_col: str = "text", similarity: float = SIMILAR
     df = units(docs, text_col).filter(F.size("w") >= 2)
     pairs = F.array_distinct(F.transform(F.sequence(F.lit(0), F.size("w") - 2), lambda i: F.concat_ws(
         " ", F.get("w", i), F.get("w", i + 1))))
-    df = df.select("_a", "_b", F.xxhash64("unit").alias("_u"), pairs.alias("g"))
+    df = once(df, ["_a", "_b", F.xxhash64("unit").alias("_u")], g=pairs)
     df = df.filter(F.size("g").between(sizes[0] * ratio, sizes[1] / ratio))
     df = df.select("_a", "_b", "_u", F.size("g").alias("n"), F.explode("g").alias("bigram"))
     df = df.join(F.broadcast(known), "bigram")

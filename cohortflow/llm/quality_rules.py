@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import packed, space_words, unpacked
+from .common import once, packed, space_words, unpacked
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -46,30 +46,30 @@ def mask(policy: str) -> int:
 def _measured(df: DataFrame) -> DataFrame:
     """Measurements of column ``_0`` beside ``_row``."""
     text = F.coalesce("_0", F.lit(""))
-    df = df.select("_row", text.alias("_t"), space_words("_0").alias("_w"))
+    df = once(df, ["_row"], _t=text, _w=space_words("_0"))
     n = F.size("_w")
     grams = F.when(n >= 3, F.transform(F.sequence(F.lit(0), n - 3), lambda i: F.xxhash64(
         F.get("_w", i), F.get("_w", i + 1), F.get("_w", i + 2))))
-    lines = F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    df = df.select(
-        "_row", n.cast("long").alias("n_words"), grams.alias("_g"), lines.alias("_l"),
-        F.char_length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("long").alias("word_chars"),
-        F.char_length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long").alias("n_symbols"))
+    df = once(
+        df, ["_row"], n_words=n.cast("long"), _g=grams,
+        _l=F.filter(F.split("_t", "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]")),
+        word_chars=F.char_length(F.regexp_replace("_t", r"[\x20\x09-\x0D]+", "")).cast("long"),
+        n_symbols=F.char_length(F.regexp_replace("_t", r"[^#*$%&|<>]+", "")).cast("long"))
     # windows found twice or more sit side by side once sorted by hash
     twice = F.size("_g") > F.size(F.array_distinct("_g"))
-    df = df.withColumn("_s", F.when(twice, F.sort_array(F.transform(
-        "_g", lambda h, i: F.struct(h.alias("h"), i.alias("i"))))))
+    found = F.when(twice, F.sort_array(F.transform("_g", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    kept = ["_row", "n_words", "word_chars", "n_symbols"]
+    df = once(df, kept, _s=found, n_lines=F.size("_l").cast("long"),
+              n_dup_lines=(F.size("_l") - F.size(F.array_distinct("_l"))).cast("long"))
+    kept += ["n_lines", "n_dup_lines"]
     same = lambda a, b: F.coalesce(F.get("_s", a)["h"] == F.get("_s", b)["h"], F.lit(False))
-    df = df.withColumn("_p", F.sort_array(F.transform(
+    df = once(df, kept, _p=F.sort_array(F.transform(
         F.filter(F.sequence(F.lit(0), F.size("_s") - 1), lambda j: same(j, j - 1) | same(j, j + 1)),
         lambda j: F.get("_s", j)["i"])))
     # each start covers three words, or as many as lie before the next start
     covered = F.aggregate(F.transform("_p", lambda p, k: F.least(
         F.lit(3), F.coalesce(F.get("_p", k + 1) - p, F.lit(3)))), F.lit(0), lambda a, x: a + x)
-    return df.select(
-        "_row", "n_words", "word_chars", "n_symbols", F.size("_l").cast("long").alias("n_lines"),
-        (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long").alias("n_dup_lines"),
-        F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"))
+    return once(df, kept, n_repeat_words=F.coalesce(covered, F.lit(0)).cast("long"))
 
 
 def _bits() -> Column:
@@ -110,5 +110,5 @@ def ablation(rows: DataFrame, policy: str = "v1") -> DataFrame:
 
 def keep(docs: DataFrame, text_col: str = "text", policy: str = "v1") -> DataFrame:
     """The documents a policy keeps, with their columns unchanged."""
-    df = _measured(packed(docs, text_col)).withColumn("failure_bits", _bits())
+    df = once(_measured(packed(docs, text_col)), ["_row"], failure_bits=_bits())
     return unpacked(df.filter(passes(policy)))
