@@ -78,7 +78,7 @@ def leaves(html: str) -> list[tuple[tuple, str, int]]:
     def flush():
         nonlocal linked
         if text:
-            words = " ".join(" ".join(text).split()) if len(text) == 1 else " ".join("".join(text).split())
+            words = " ".join("".join(text).split())
             if words:
                 out.append((tuple(stack), words, min(linked, len(words))))
             text.clear()
@@ -199,7 +199,7 @@ class Labeller:
         """Gates and states of one direction over [time, page, feature]; masked steps keep the state."""
         w, u, c = (self.p[k + d] for k in "wuc")
         drive = x @ w + c
-        h = s = np.zeros((x.shape[1], HIDDEN), np.float32)
+        h = s = np.zeros((x.shape[1], HIDDEN), x.dtype)
         out = []
         for t in (range(len(x)) if d == "f" else range(len(x) - 1, -1, -1)):
             z = drive[t] + h @ u
@@ -215,7 +215,7 @@ class Labeller:
         return out
 
     def logits(self, x: np.ndarray, mask: np.ndarray):
-        runs, both = {}, np.zeros((*x.shape[:2], 2 * HIDDEN), np.float32)
+        runs, both = {}, np.zeros((*x.shape[:2], 2 * HIDDEN), x.dtype)
         for k, d in enumerate("fb"):
             runs[d] = self._run(x, d, mask)
             for step in runs[d]:
@@ -230,7 +230,7 @@ class Labeller:
         for k, d in enumerate("fb"):
             u = self.p["u" + d]
             gw, gu, gc = np.zeros_like(self.p["w" + d]), np.zeros_like(u), np.zeros_like(self.p["c" + d])
-            dh = ds = np.zeros((x.shape[1], HIDDEN), np.float32)
+            dh = ds = np.zeros((x.shape[1], HIDDEN), x.dtype)
             for t, h0, s0, i, f, o, g, s2, m, _ in reversed(runs[d]):
                 dh = dh + back[t][:, k * HIDDEN:(k + 1) * HIDDEN]
                 th = np.tanh(s2)

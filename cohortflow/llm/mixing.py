@@ -86,11 +86,12 @@ def dual(cells: DataFrame, sources: DataFrame, n_sources: int, cap: float = CAP)
     a Newton step that leaves the bracket is replaced by halving or doubling.
     """
     scales = cells.groupBy("source").agg(
-        (F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")) / F.sum(F.col("n") * F.col("size"))).alias("s"))
+        F.try_divide(F.sum(F.col("n") * F.col("size") * F.col("size").cast("double")),
+                     F.sum(F.col("n") * F.col("size"))).alias("s"))
     at_cap = F.col("target") >= cap * F.col("source_size") * (1 - 1e-12)
     state = settled(
         sources.join(scales.withColumnRenamed("source", "_s"), F.col("source").eqNullSafe(F.col("_s"))).select(
-            "source", "target", F.coalesce(F.nullif(F.col("s"), F.lit(0.0)), F.lit(1.0)).alias("scale"),
+            "source", "target", F.coalesce("s", F.lit(1.0)).alias("scale"),
             F.when((F.col("source_size") == 0) | ~at_cap, F.lit(0.0)).alias("lam"),
             F.lit(None).cast("double").alias("lo"), F.lit(None).cast("double").alias("hi"),
             ((F.col("source_size") == 0) | at_cap).alias("done")))
@@ -107,7 +108,7 @@ def dual(cells: DataFrame, sources: DataFrame, n_sources: int, cap: float = CAP)
         near = F.abs(gap) <= TOLERANCE * F.col("target") + 1e-3
         df = df.withColumns({"lo": F.when(gap < 0, F.col("lam")).otherwise(F.col("lo")),
                              "hi": F.when(gap > 0, F.col("lam")).otherwise(F.col("hi")),
-                             "near": near, "step": F.col("lam") - gap / F.nullif(F.col("slope"), F.lit(0.0))})
+                             "near": near, "step": F.col("lam") - F.try_divide(gap, F.col("slope"))})
         inside = F.col("step").isNotNull() & (F.isnull("lo") | (F.col("step") > F.col("lo"))) & (
             F.isnull("hi") | (F.col("step") < F.col("hi")))
         safe = F.when(F.isnull("hi"), 2 * F.abs("lo") + 1).when(F.isnull("lo"), -2 * F.abs("hi") - 1).otherwise(

@@ -55,12 +55,12 @@ def _fingerprint(batches):
 def fingerprints(rows: DataFrame, text: str = "_0", shingle: int = SHINGLE) -> DataFrame:
     """The other columns of ``rows`` with ``fp``, the SimHash of ``text`` as a signed long."""
     kept = [c for c in rows.columns if c != text]
-    df = rows.select(*kept, space_words(ascii_lower(text)).alias("_w"))
-    n = F.size("_w")
+    df = rows.select(*kept, space_words(ascii_lower(text)).alias("_words"))
+    n = F.size("_words")
     hashed = F.transform(F.sequence(F.lit(0), n - shingle), lambda i: F.xxhash64(
-        F.concat_ws(" ", *[F.get("_w", i + k) for k in range(shingle)])))
-    whole = F.when(n > 0, F.array(F.xxhash64(F.array_join("_w", " ")))).otherwise(F.array().cast("array<bigint>"))
-    df = df.select(*kept, F.when(n >= shingle, hashed).otherwise(whole).alias("_h"))
+        F.concat_ws(" ", *[F.get("_words", i + k) for k in range(shingle)])))
+    whole = F.when(n > 0, F.array(F.xxhash64(F.array_join("_words", " ")))).otherwise(F.array().cast("array<bigint>"))
+    df = df.select(*kept, F.when(n >= shingle, hashed).otherwise(whole).alias("_hashes"))
     schema = T.StructType([*df.select(*kept).schema.fields, T.StructField("fp", T.LongType())])
     return df.mapInArrow(_fingerprint, schema)
 
