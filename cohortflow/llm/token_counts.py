@@ -25,6 +25,7 @@ any length are read whole.
 from __future__ import annotations
 
 import json
+from array import array
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +36,7 @@ from pyspark.sql import types as T
 from .common import packed, ship
 
 LIMIT = 512
-MEMO = 400_000
+MEMO = 1_000_000
 # Fixed value: the published split pattern of this byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -127,15 +128,15 @@ class PrefixCounter:
                 raise ValueError(f"no token ends at byte {end} of {piece!r}")
         return counts[1:]
 
-    def counts(self, piece: str) -> tuple:
-        """(token count, prefix counts) of one piece, remembered."""
+    def counts(self, piece: str) -> bytes | array:
+        """Token counts of the prefixes of one piece, remembered; the last is the piece's count."""
         found = self.done.get(piece)
         if found is None:
             if len(self.done) >= self.memo:
                 for old in list(self.done)[:self.memo // 2]:
                     del self.done[old]
             prefix = self.piece(piece.encode())
-            found = self.done[piece] = (prefix[-1], np.array(prefix, "<u4").tobytes())
+            found = self.done[piece] = bytes(prefix) if prefix[-1] < 256 else array("I", prefix)
         return found
 
     def pieces(self, text: str):
@@ -153,16 +154,16 @@ class PrefixCounter:
         if self.special is None or not self.special.search(text):
             for p in self.split.findall(text):
                 found = done.get(p)
-                n += (found or self.counts(p))[0]
+                n += found[-1] if found else self.counts(p)[-1]
             return n
-        return sum(1 if s else self.counts(p)[0] for p, s in self.pieces(text))
+        return sum(1 if s else self.counts(p)[-1] for p, s in self.pieces(text))
 
     def prefix_counts(self, text: str) -> np.ndarray:
         """Token count of the text's encoding cut at byte 0, 1, ... (a cut special token counts when complete)."""
         out, n = [np.zeros(1, np.int64)], 0
         for p, special in self.pieces(text):
             size = len(p.encode())
-            part = np.zeros(size, np.int64) if special else np.frombuffer(self.counts(p)[1], "<u4").astype(np.int64)
+            part = np.zeros(size, np.int64) if special else np.array(list(self.counts(p)), np.int64)
             if special:
                 part[-1] = 1
             out.append(n + part)
@@ -174,11 +175,10 @@ class PrefixCounter:
         n = at = 0
         for p, special in self.pieces(text):
             size = len(p.encode())
-            count, prefix = (1, None) if special else self.counts(p)
-            if n + count > budget:
-                within = np.flatnonzero(np.frombuffer(prefix, "<u4") <= budget - n) if prefix else []
-                return at + (int(within[-1]) + 1 if len(within) else 0)
-            n, at = n + count, at + size
+            prefix = (1,) if special else self.counts(p)
+            if n + prefix[-1] > budget:
+                return at + (0 if special else sum(c <= budget - n for c in prefix))
+            n, at = n + prefix[-1], at + size
         return at
 
 
