@@ -28,15 +28,6 @@ def to_number(col) -> Column:
     return _c(col).cast("string").try_cast("double")
 
 
-def per_thousand(col) -> Column:
-    return _c(col) / F.lit(1000.0)
-
-
-def split_get(col, pattern: str, index: int) -> Column:
-    """``index``-th (0-based) piece of a split; NULL when missing."""
-    return F.get(F.split(_c(col), pattern), index)
-
-
 # ---------------------------------------------------------------- binning
 
 def bin_lower_edge(x, edges, closed_last: bool = True) -> Column:
@@ -58,9 +49,17 @@ def bin_lower_edge(x, edges, closed_last: bool = True) -> Column:
 
 # ---------------------------------------------------------------- link functions
 
+def log0(x) -> Column:
+    """Natural logarithm with log 0 = -Infinity (Spark's ``ln`` gives NULL)."""
+    x = _c(x)
+    return F.when(x == 0, F.lit(float("-inf"))).otherwise(F.ln(x))
+
+
 def logit(p) -> Column:
+    """log(p / (1 - p)), -Infinity at 0 and Infinity at 1; NULL outside [0, 1]."""
     p = _c(p)
-    return F.ln(p / (F.lit(1.0) - p))
+    return F.when(p == 0, F.lit(float("-inf"))).when(p == 1, F.lit(float("inf"))).otherwise(
+        F.ln(F.try_divide(p, F.lit(1.0) - p)))
 
 
 def inv_logit(x) -> Column:
@@ -75,11 +74,6 @@ def arr_dot(a, b) -> Column:
     return arr_sum(F.zip_with(_c(a), _c(b), lambda x, y: x * y))
 
 
-def arr_scale(arr, k) -> Column:
-    k = k if isinstance(k, Column) else F.lit(float(k))
-    return F.transform(_c(arr), lambda v: v * k)
-
-
 def softmax(arr) -> Column:
     """Numerically stable softmax of an array<double> (max-shifted)."""
     a = _c(arr)
@@ -116,10 +110,6 @@ def nullable_array(arr) -> Column:
     return F.transform(_c(arr), lambda v: F.try_add(v, F.lit(0.0)))
 
 
-def to_double_array(arr) -> Column:
-    return F.transform(_c(arr), lambda v: v.cast("double"))
-
-
 # ---------------------------------------------------------------- inverse normal CDF
 # Coefficients of Wichura's algorithm AS 241 (PPND16),
 # Applied Statistics 37(3), 1988 — published constants, in published order.

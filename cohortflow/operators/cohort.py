@@ -3,8 +3,8 @@
 One row carries one posterior draw of one population: the rate matrices
 (``array<array<double>>`` indexed [period][age]) and the draw's raw
 parameters. A draw never needs another draw, so every operator here is a
-column expression evaluated inside whole-stage codegen: no exchange, no
-Python. T and K stay data (array lengths), so the expression tree does not
+column expression: no exchange, no Python. Higher-order functions are
+interpreted by the JVM, not compiled into the generated stage code. T and K stay data (array lengths), so the expression tree does not
 grow with them.
 
 Index conventions (1-based, K age groups): survival and fertility rows
@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.scalar import arr_dot, arr_sum, inv_logit, logit, normalise, nullable_array, softmax, zeros  # noqa: F401,E501
+from ..functions.scalar import arr_dot, arr_sum, inv_logit, log0, logit, normalise, nullable_array, softmax, zeros  # noqa: F401,E501
 
 
 def _c(x) -> Column:
@@ -30,25 +30,25 @@ def _at(arr: Column, i) -> Column:
 
 
 def transform_rates(mean, link: str) -> Column:
-    """Prior means on the model scale: 'logit' for survival, 'log' for fertility."""
-    fn = logit if link == "logit" else F.ln
+    """Prior means on the model scale: 'logit' for survival, 'log' for fertility (infinite at 0 and 1)."""
+    fn = logit if link == "logit" else log0
     return F.transform(_c(mean), lambda row: F.transform(row, lambda v: fn(v)))
 
 
 def survival_from_draw(surv_mean, raw, sigma) -> Column:
     """surv[t] = inv_logit(logit(mean[t]) + raw[t] * sigma), then a trailing 0."""
     sigma = _c(sigma)
-    return F.zip_with(_c(surv_mean), _c(raw), lambda row, rr: F.concat(
-        F.zip_with(row, rr, lambda m, r: inv_logit(logit(m) + r * sigma)),
+    return F.zip_with(transform_rates(surv_mean, "logit"), _c(raw), lambda row, rr: F.concat(
+        F.zip_with(row, rr, lambda m, r: inv_logit(m + r * sigma)),
         F.array(F.lit(0.0))))
 
 
 def fertility_from_draw(fert_mean, raw, sigma, before, after) -> Column:
     """fert[t] = [0]*before ++ exp(log(mean[t]) + raw[t] * sigma) ++ [0]*(after+1)."""
     sigma = _c(sigma)
-    return F.zip_with(_c(fert_mean), _c(raw), lambda row, rr: F.concat(
+    return F.zip_with(transform_rates(fert_mean, "log"), _c(raw), lambda row, rr: F.concat(
         zeros(_c(before)),
-        F.zip_with(row, rr, lambda m, r: F.exp(F.ln(m) + r * sigma)),
+        F.zip_with(row, rr, lambda m, r: F.exp(m + r * sigma)),
         zeros(_c(after) + 1)))
 
 

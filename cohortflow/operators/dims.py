@@ -121,9 +121,38 @@ def fertile_window(fert: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     )
 
 
-def fertile_flags(fert: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """(by..., age, fertile): any period of the group has a rate above 0."""
-    return fert.groupBy(*by, "age").agg(F.bool_or(F.col("fert") > 0).alias("fertile"))
+def _at_key(cells, year, age, field: str) -> F.Column:
+    """Value of a cell by its key; a missing one is carried forward.
+
+    ``cells`` is sorted by year. The last known value of the age up to the
+    year stands in for a missing cell, or the first known one if there is
+    none before; an age without any value gives NULL.
+    """
+    known = F.filter(cells, lambda x: (x["age"] == age) & x[field].isNotNull())
+    upto = F.filter(known, lambda x: x["year"] <= year)
+    return F.coalesce(F.try_element_at(upto, F.lit(-1))[field], F.try_element_at(known, F.lit(1))[field])
+
+
+def keyed_matrix(cells: DataFrame, value: str, by: Sequence[str] = ("region",)) -> DataFrame:
+    """(by..., years, ages, matrix): dense [year][age] values, each at its key's place.
+
+    The grid is the group's own years times its own ages; missing cells are
+    carried forward (see :func:`missing_cells` for their list).
+    """
+    g = cells.groupBy(*by).agg(F.array_sort(F.collect_list(
+        F.struct("year", "age", F.col(value).cast("double").alias("v")))).alias("_cells"))
+    g = g.select(*by, "_cells", F.array_sort(F.array_distinct(F.transform("_cells", lambda x: x["year"]))).alias("years"),
+                 F.array_sort(F.array_distinct(F.transform("_cells", lambda x: x["age"]))).alias("ages"))
+    return g.select(*by, "years", "ages", F.transform("years", lambda y: F.transform(
+        "ages", lambda a: _at_key(F.col("_cells"), y, a, "v"))).alias("matrix"))
+
+
+def missing_cells(cells: DataFrame, value: str, by: Sequence[str] = ("region",)) -> DataFrame:
+    """(by..., year, age) of the group's grid that have no row or a NULL value."""
+    g = cells.groupBy(*by).agg(F.collect_set("year").alias("_y"), F.collect_set("age").alias("_a"))
+    grid = g.select(*by, "_a", F.explode("_y").alias("year")).select(*by, "year", F.explode("_a").alias("age"))
+    have = cells.where(F.col(value).isNotNull()).select(*by, "year", "age")
+    return grid.join(have, [*by, "year", "age"], "left_anti")
 
 
 def model_input(surv: DataFrame, fert: DataFrame, by: Sequence[str] = ("region",),
@@ -132,14 +161,16 @@ def model_input(surv: DataFrame, fert: DataFrame, by: Sequence[str] = ("region",
 
     K (age groups), Time (periods), prop_f, surv_mean [Time][K],
     fert_mean [Time][n_fert] (fertile ages only), n_fert_ages, ages before
-    and after the fertile window, plus the ordered ``ages`` and ``years``.
+    and after the fertile window, plus the ordered ``ages``, ``years`` and
+    ``fertile_ages``.
 
     The population's cells (periods x ages, bounded by the model's domain,
     not by data volume) are gathered by one ``groupBy`` and every field is
     derived from that sorted cell list with array functions, so the record
-    costs one exchange instead of one per field. Matrices are keyed (sorted
-    by year, then age), never positional; a missing cell leaves its row
-    shorter, exactly like :func:`to_matrix`.
+    costs one exchange instead of one per field. Every matrix cell is looked
+    up by its (year, age) key on the population's complete grid; a missing
+    survival cell is carried forward (:func:`missing_cells` lists them), a
+    missing fertility cell is 0.
     """
     by = list(by)
     keys = [F.col(k) for k in by]
@@ -158,16 +189,16 @@ def model_input(surv: DataFrame, fert: DataFrame, by: Sequence[str] = ("region",
     first = F.array_min(pos)
     last = F.array_max(pos)
     surv_mean = F.transform("years", lambda y: F.transform(
-        F.filter("_cells", lambda x: x["year"] == y), lambda x: x["surv"]))
-    fert_mean = F.transform("years", lambda y: F.transform(
-        F.filter("_cells", lambda x: (x["year"] == y) & F.array_contains("_fertile", x["age"])),
-        lambda x: F.coalesce(x["fert"], F.lit(0.0))))
+        "ages", lambda a: _at_key(F.col("_cells"), y, a, "surv")))
+    fert_mean = F.transform("years", lambda y: F.transform("_fertile", lambda a: F.coalesce(
+        F.try_element_at(F.filter("_cells", lambda x: (x["year"] == y) & (x["age"] == a)), F.lit(1))["fert"],
+        F.lit(0.0))))
     return g.select(
         *by,
         F.size("ages").alias("K"),
         F.size("years").alias("Time"),
         F.lit(float(prop_f)).alias("prop_f"),
-        "ages", "years",
+        "ages", "years", F.col("_fertile").alias("fertile_ages"),
         surv_mean.alias("surv_mean"),
         fert_mean.alias("fert_mean"),
         F.size("_fertile").alias("n_fert_ages"),

@@ -80,8 +80,14 @@ def fertility(spark: SparkSession, sf_dir: str) -> DataFrame:
                             period_is_range=True, scale=1000, max_year=2025, age_stops="-")
 
 
+def stacked_population(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sheets of the wide population table, the first one winning where they overlap."""
+    return rates.union_sheets([fixture(spark, sf_dir, "v_pop_wide"), fixture(spark, sf_dir, "v_pop_wide_proj")],
+                              keys=["region", "period"])
+
+
 def population(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return rates.tidy_rates(fixture(spark, sf_dir, "v_pop_wide"), "pop", max_year=2020)
+    return rates.tidy_rates(stacked_population(spark, sf_dir).drop("sheet"), "pop", max_year=2020)
 
 
 def year_dim(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -149,12 +155,10 @@ def mig_share_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     sheets, keyed to the population's own (period, age) cells so row t and
     column a mean the same period and age as in the rate matrices."""
     from ..operators import rates as r
-    wide = r.union_sheets([fixture(spark, sf_dir, "v_pop_wide"), fixture(spark, sf_dir, "v_pop_wide_proj")],
-                          keys=["region", "period"])
-    pop = r.tidy_rates(wide, "pop", ids=("region", "period", "sheet"))
+    pop = r.tidy_rates(stacked_population(spark, sf_dir), "pop", ids=("region", "period", "sheet"))
     shares = r.age_shares(pop).select("region", "year", "age", "pop_prop")
     cells = survival(spark, sf_dir).select("region", "year", "age").join(shares, ["region", "year", "age"], "left")
-    m = dims.to_matrix(cells, "year", "age", "pop_prop", by=["region"])
+    m = dims.keyed_matrix(cells, "pop_prop", by=["region"])
     return m.select("region", F.col("matrix").alias("mig_props"))
 
 

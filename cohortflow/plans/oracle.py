@@ -166,21 +166,23 @@ def tidy_sql(view: str, bands, value: str, range_period: bool, scale: str = "",
 
 
 FERT = tidy_sql("v_fert_wide", FERT_BANDS, "fert", True, " / 1000.0", 2025, stops=r"[\-]")
-POP = tidy_sql("v_pop_wide", POP_BANDS, "pop", False, "", 2020)
+# both sheets, the first one winning where they overlap
+STACK = """
+u AS (SELECT *, 1 AS sheet FROM v_pop_wide UNION ALL BY NAME SELECT *, 2 AS sheet FROM v_pop_wide_proj),
+dd AS (SELECT * EXCLUDE (Variant, Notes) FROM u
+       QUALIFY row_number() OVER (PARTITION BY region, period ORDER BY sheet) = 1)"""
+POP = tidy_sql("dd", POP_BANDS, "pop", False, "", 2020)
 
 O["tidy_fertility"] = f"""
 {duck_cte('v_fert_wide')}
 SELECT region, year, age, {r6('fert', 'fert')} FROM ({FERT})"""
 
 O["tidy_population"] = f"""
-{duck_cte('v_pop_wide')}
+{duck_cte('v_pop_wide', 'v_pop_wide_proj')}, {STACK}
 SELECT region, year, age, {r6('pop', 'pop')} FROM ({POP})"""
 
 O["union_sheets"] = f"""
-{duck_cte('v_pop_wide', 'v_pop_wide_proj')},
-u AS (SELECT *, 1 AS sheet FROM v_pop_wide UNION ALL BY NAME SELECT *, 2 AS sheet FROM v_pop_wide_proj),
-dd AS (SELECT * EXCLUDE (Variant, Notes) FROM u
-       QUALIFY row_number() OVER (PARTITION BY region, period ORDER BY sheet) = 1)
+{duck_cte('v_pop_wide', 'v_pop_wide_proj')}, {STACK}
 SELECT region, sheet, year, age, {r6('pop', 'pop')}
 FROM ({tidy_sql('dd', POP_BANDS, 'pop', False, extra_ids=', sheet')})"""
 
@@ -188,18 +190,18 @@ O["survival_ratios"] = f"""
 {duck_cte('v_life')}, {SURV}
 SELECT region, year, age, {r6('Lx', 'Lx')}, {r6('surv', 'surv')} FROM surv"""
 
-SHARES = f"""
+SHARES = f"""{STACK},
 pop AS ({POP}),
 shares AS (SELECT *, pop / CASE WHEN count(pop) OVER w = count(*) OVER w THEN sum(pop) OVER w END AS pop_prop
            FROM pop WINDOW w AS (PARTITION BY region, year))"""
 
 O["age_shares"] = f"""
-{duck_cte('v_life', 'v_pop_wide')}, {SURV}, {SHARES}
+{duck_cte('v_life', 'v_pop_wide', 'v_pop_wide_proj')}, {SURV}, {SHARES}
 SELECT region, year, age, {r6('pop', 'pop')}, {r6('pop_prop', 'pop_prop')} FROM shares
 WHERE year IN (SELECT value FROM ydim) AND age IN (SELECT age FROM surv)"""
 
 O["initial_age_profile"] = f"""
-{duck_cte('v_pop_wide')}, {SHARES},
+{duck_cte('v_pop_wide', 'v_pop_wide_proj')}, {SHARES},
 f AS (SELECT *, min(year) OVER (PARTITION BY region) AS y0, max(age) OVER (PARTITION BY region) AS amax
       FROM shares)
 SELECT region, CAST(row_number() OVER (PARTITION BY region ORDER BY age) AS INTEGER) AS pos, age,
@@ -360,6 +362,23 @@ SELECT sk.region, CAST(K AS BIGINT) AS K, CAST(Time AS BIGINT) AS Time,
 FROM sk LEFT JOIN fk ON fk.region = sk.region LEFT JOIN fw ON fw.region = sk.region"""
 
 
+O["model_input_cells"] = f"""
+{duck_cte('v_life', 'v_fert_wide')}, {SURV}, {ALIGNED},
+sc AS (SELECT region, 'surv' AS field, dense_rank() OVER (PARTITION BY region ORDER BY year) AS t,
+              dense_rank() OVER (PARTITION BY region ORDER BY age) AS a, year, age, surv AS value FROM surv),
+fc AS (SELECT af.region, 'fert' AS field, dense_rank() OVER (PARTITION BY af.region ORDER BY year) AS t,
+              dense_rank() OVER (PARTITION BY af.region ORDER BY af.age) AS a, year, af.age, af.fert AS value
+       FROM af JOIN fl ON fl.region = af.region AND fl.age = af.age AND fl.fertile)
+SELECT region, field, CAST(t AS INTEGER) AS t, CAST(a AS INTEGER) AS a, CAST(year AS INTEGER) AS year,
+       CAST(age AS INTEGER) AS age, {r6('value', 'value')} FROM (SELECT * FROM sc UNION ALL SELECT * FROM fc)"""
+
+O["missing_cells"] = f"""
+{duck_cte('v_life')}, {SURV}
+SELECT y.region, y.year, a.age FROM (SELECT DISTINCT region, year FROM surv) y
+JOIN (SELECT DISTINCT region, age FROM surv) a ON a.region = y.region
+WHERE NOT EXISTS (SELECT 1 FROM surv s WHERE s.region = y.region AND s.year = y.year AND s.age = a.age)"""
+
+
 # ------------------------------------------------------------ slice 6: diagnostics
 
 from ..functions.scalar import norm_ppf_sql  # noqa: E402
@@ -501,9 +520,6 @@ def _fold(pop0: str, T: str, body: str) -> str:
 
 
 SHARES_U = f"""
-u AS (SELECT *, 1 AS sheet FROM v_pop_wide UNION ALL BY NAME SELECT *, 2 AS sheet FROM v_pop_wide_proj),
-dd AS (SELECT * EXCLUDE (Variant, Notes) FROM u
-       QUALIFY row_number() OVER (PARTITION BY region, period ORDER BY sheet) = 1),
 upop AS ({tidy_sql('dd', POP_BANDS, 'pop', False, extra_ids=', sheet')}),
 ushares AS (SELECT *, pop / CASE WHEN count(pop) OVER w = count(*) OVER w THEN sum(pop) OVER w END AS pop_prop
             FROM upop WINDOW w AS (PARTITION BY region, year))"""

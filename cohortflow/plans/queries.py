@@ -133,9 +133,8 @@ def q_tidy_population(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def q_union_sheets(spark: SparkSession, sf_dir: str) -> DataFrame:
-    wide = rates.union_sheets([fixture(spark, sf_dir, "v_pop_wide"),
-                               fixture(spark, sf_dir, "v_pop_wide_proj")], keys=["region", "period"])
-    return round_doubles(rates.tidy_rates(wide, "pop", ids=("region", "period", "sheet")))
+    return round_doubles(rates.tidy_rates(common.stacked_population(spark, sf_dir), "pop",
+                                          ids=("region", "period", "sheet")))
 
 
 @register
@@ -277,6 +276,31 @@ def q_model_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out)
 
 
+@register
+def q_model_input_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cell of the rate matrices at its place (t, a), with the period and age it stands for."""
+    surv = common.survival(spark, sf_dir)
+    af = rates.align_fertility(common.fertility(spark, sf_dir), surv)
+    mi = dims.model_input(surv, af)
+    parts = [("surv", "surv_mean", "ages"), ("fert", "fert_mean", "fertile_ages")]
+    out = None
+    for name, matrix, ages in parts:
+        rows = common.explode_pos(mi, ["region", F.col(ages).alias("_ages")], F.arrays_zip("years", matrix), "_t", "_z")
+        rows = rows.select("region", (F.col("_t") + 1).alias("t"), F.col("_z.years").alias("year"),
+                           F.arrays_zip(F.col("_ages").alias("age"), F.col(f"_z.{matrix}").alias("value")).alias("_r"))
+        rows = common.explode_pos(rows, ["region", "t", "year"], "_r", "_a", "c")
+        rows = rows.select("region", F.lit(name).alias("field"), "t", (F.col("_a") + 1).alias("a"), "year",
+                           F.col("c.age").alias("age"), F.col("c.value").alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return round_doubles(out)
+
+
+@register
+def q_missing_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Cells of the population's (period, age) grid without an input rate, which are carried forward."""
+    return dims.missing_cells(common.survival(spark, sf_dir), "surv")
+
+
 # ------------------------------------------------------------ slice 6: diagnostics
 
 from ..operators import diagnostics  # noqa: E402

@@ -53,18 +53,43 @@ def _base_rows(d: str) -> str:
       JOIN {t('nation')} n ON c.c_nationkey = n.n_nationkey"""
 
 
+# Fixed values of the rate fixtures: 16 five-year periods, abridged ages.
+STARTS = (1950, 2025, 5)
+AGES = (0, 1, *range(5, 55, 5))
+
+
+def _cells(d: str) -> str:
+    """Every (region, start, age) cell of the domain."""
+    t = partial(_t, d)
+    ages = ", ".join(map(str, AGES))
+    if d == "spark":
+        return f"""
+        SELECT n_name AS region, start, age FROM {t('nation')}
+        LATERAL VIEW explode(sequence({STARTS[0]}, {STARTS[1]}, {STARTS[2]})) ps AS start
+        LATERAL VIEW explode(array({ages})) pa AS age"""
+    return f"""
+        SELECT region, start, unnest([{ages}]) AS age
+        FROM (SELECT n_name AS region, unnest(generate_series({STARTS[0]}, {STARTS[1]}, {STARTS[2]})) AS start
+              FROM {t('nation')}) pr"""
+
+
 def _agg_rows(d: str) -> str:
-    """Shared aggregate (region, start, age) -> sum and count of quantities.
+    """Shared aggregate (region, start, age) -> sum and count of quantities, one more each.
 
-    Every rate fixture is derived from it, so within one query Spark plans
-    the lineitem scan, the joins and the aggregation once and reuses the
-    exchange.
+    Every cell of the domain is emitted, so the rate tables have no holes at
+    any scale. Every rate fixture is derived from it, so within one query
+    Spark plans the lineitem scan, the joins and the aggregation once and
+    reuses the exchange.
     """
     if d == "spark_base":   # rendered over an already materialised aggregate
         return "SELECT region, start, age, s, c FROM {agg}"
     return f"""
-      SELECT region, start, age, SUM(q) AS s, COUNT(q) AS c FROM ({_base_rows(d)}) b
-      GROUP BY region, start, age"""
+      SELECT cl.region, CAST(cl.start AS INTEGER) AS start, CAST(cl.age AS INTEGER) AS age,
+             CAST(coalesce(gs.s, 0) + 1 AS BIGINT) AS s, CAST(coalesce(gs.c, 0) + 1 AS BIGINT) AS c
+      FROM ({_cells(d)}) cl LEFT JOIN (
+        SELECT region, start, age, SUM(q) AS s, COUNT(q) AS c FROM ({_base_rows(d)}) b
+        GROUP BY region, start, age) gs
+      ON gs.region = cl.region AND gs.start = cl.start AND gs.age = cl.age"""
 
 
 def v_rate_base(d: str) -> str:
