@@ -60,6 +60,18 @@ def once(df: DataFrame, kept: list, **computed: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in computed.items()]))))
 
 
+def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
+    """At most ``n`` rows, chosen by a hash of ``keys``.
+
+    The table is counted first and a hash threshold keeps about ``4 n`` rows,
+    so what the tasks send to the driver doesn't grow with their number.
+    """
+    total = df.count()
+    share = min(1.0, 4 * n / total) if total else 1.0
+    rows = df.withColumn("_pick", F.pmod(F.xxhash64(*keys), F.lit(1 << 40)))
+    return rows.filter(F.col("_pick") < int(share * (1 << 40)) + 1).orderBy("_pick", *keys).limit(n).drop("_pick")
+
+
 def settled(df: DataFrame) -> DataFrame:
     """A reliable checkpoint in the cluster's shared folder: cuts the lineage and survives lost executors."""
     ensure_checkpoint_dir(df.sparkSession)

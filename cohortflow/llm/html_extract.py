@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, ship
+from .common import hash_sample, packed, ship
 
 SAMPLE, SAMPLE_CHARS, SAMPLE_BLOCKS = 160, 60_000, 80
 PATH_DIM, WORD_DIM, SIZES, HIDDEN = 96, 32, 5, 24
@@ -334,10 +334,10 @@ def variants(page: list, rng: np.random.Generator) -> list[list]:
 
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
-    """Fits on at most ``sample`` pages, chosen by a hash of the id."""
+    """Fits on at most ``sample`` pages, chosen by a hash of the html."""
     rows = packed(pages.select(id_col, html_col), id_col, html_col).filter(
-        F.length("_1").between(1, SAMPLE_CHARS)).select("_0", "_1")
-    htmls = [r["_1"] for r in rows.orderBy(F.xxhash64("_0"), "_1").limit(sample).collect()]
+        F.length("_1").between(1, SAMPLE_CHARS)).select("_1")
+    htmls = [r["_1"] for r in hash_sample(rows, sample, "_1").collect()]
     rng = np.random.default_rng(11)
     return Labeller().fit([v for h in htmls for v in variants(leaves(h), rng)])
 

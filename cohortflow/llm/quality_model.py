@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, ship
+from .common import hash_sample, packed, ship
 
 SAMPLE, SAMPLE_CHARS = 6000, 50_000
 FOLDS, THRESHOLD = 5, 0.3
@@ -166,8 +166,9 @@ def held_out(id_col: str | Column) -> Column:
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text",
           label_col: str = "quality", sample: int = SAMPLE) -> Model:
     """Fits on at most ``sample`` labelled rows outside the held-out fifth, chosen by a hash of the id."""
-    known = packed(labels.select(id_col, label_col), id_col, label_col).filter(~held_out("_0") & F.col("_1").isNotNull())
-    picked = known.select("_0", "_1").orderBy(F.xxhash64("_0"), "_1").limit(sample)
+    known = packed(labels.select(id_col, label_col), id_col, label_col).filter(
+        F.col("_0").isNotNull() & ~held_out("_0") & F.col("_1").isNotNull())
+    picked = hash_sample(known.select("_0", "_1"), sample, "_0", "_1")
     texts = packed(docs.select(id_col, text_col), id_col, text_col).select(F.col("_0").alias("_id"), F.col("_1").alias("_t"))
     texts = texts.filter(F.length("_t") <= SAMPLE_CHARS)
     # at most ``sample`` rows: the broadcast has a fixed bound
