@@ -105,7 +105,7 @@ def rank_normalise(split: DataFrame, by: Sequence[str] | None = None) -> DataFra
 
 def _rhat_of(col: str):
     """Aggregates (over split-chain rows) giving split R-hat of ``col``."""
-    n = F.first("_n")
+    n = F.max("_n")  # equal for every split chain, else the result is NULL
     w = F.avg(f"_var_{col}")
     b = n * F.var_samp(f"_mean_{col}")
     return F.sqrt((F.try_divide(b, w) + n - 1) / n)
@@ -114,7 +114,8 @@ def _rhat_of(col: str):
 def rhat(draws: DataFrame, by: Sequence[str] | None = None, normalised: DataFrame | None = None) -> DataFrame:
     """max(R-hat of rank-normalised split draws, R-hat of the folded ones).
 
-    NULL for constant or non-finite variables.
+    NULL for constant or non-finite variables, and for variables whose split
+    chains differ in length (listed by :func:`unequal_chains`).
     """
     by = _keys(draws, by)
     z = normalised if normalised is not None else rank_normalise(split_chains(draws, by), by)
@@ -126,11 +127,23 @@ def rhat(draws: DataFrame, by: Sequence[str] | None = None, normalised: DataFram
     )
     out = per_chain.groupBy(*by).agg(
         _rhat_of("z").alias("_rb"), _rhat_of("zf").alias("_rf"),
-        F.bool_or("_const").alias("_const"), F.bool_and("_finite").alias("_finite"))
-    good = ~F.col("_const") & F.col("_finite")
+        F.bool_or("_const").alias("_const"), F.bool_and("_finite").alias("_finite"),
+        (F.min("_n") == F.max("_n")).alias("_equal"))
+    good = ~F.col("_const") & F.col("_finite") & F.col("_equal")
     return out.select(*by, F.when(good, F.greatest("_rb", "_rf")).alias("rhat"))
 
 
+def unequal_chains(draws: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+    """Variables whose split chains differ in length, with the shortest and longest chain.
+
+    R-hat and ESS need equal split chains; for these variables they are NULL.
+    """
+    by = _keys(draws, by)
+    n = draws.groupBy(*by, "chain").agg(F.count(F.lit(1)).alias("n"))
+    out = n.groupBy(*by).agg(F.min("n").alias("shortest"), F.max("n").alias("longest"))
+    return out.where(F.floor(F.col("shortest") / 2) != F.floor(F.col("longest") / 2))
+
+
 # ---------------------------------------------------------------- ESS
 
 def autocovariance(x: np.ndarray) -> np.ndarray:
@@ -147,10 +160,10 @@ def geyer_ess(chains: list[np.ndarray]) -> float | None:
     """ESS of equal-length split chains: Geyer's initial positive sequence
     on pair sums, made monotone, truncated at the first non-positive pair
     (or at lag n - 5), tau >= 1 / log10(S)."""
-    m, n = len(chains), min(len(c) for c in chains)
-    if m < 1 or n < 3:
+    m, n = len(chains), len(chains[0]) if chains else 0
+    if n < 3 or any(len(c) != n for c in chains):
         return None
-    x = np.vstack([c[:n] for c in chains])
+    x = np.vstack(chains)
     if np.all(x == x.flat[0]):
         return None
     acov = np.vstack([autocovariance(row) for row in x])

@@ -30,21 +30,26 @@ def normal_lpdf(x, mu, sigma) -> Column:
     return F.lit(-LOG_SQRT_2PI) - F.ln(sigma) - F.lit(0.5) * z * z
 
 
+_NEVER = float("-inf")  # log density outside the support
+
+
 def lognormal_lpdf(x, mu, sigma) -> Column:
+    """LogNormal(mu, sigma) log density; -Infinity for x <= 0."""
     x = _c(x)
-    return normal_lpdf(F.ln(x), mu, sigma) - F.ln(x)
+    return F.when(x <= 0, F.lit(_NEVER)).otherwise(normal_lpdf(F.ln(x), mu, sigma) - F.ln(x))
 
 
 def half_normal_lpdf(x, sigma) -> Column:
-    """Normal(0, sigma) restricted to x >= 0 (density doubled)."""
-    return F.lit(math.log(2.0)) + normal_lpdf(x, F.lit(0.0), sigma)
+    """Normal(0, sigma) restricted to x >= 0 (density doubled); -Infinity for x < 0."""
+    return F.when(_c(x) < 0, F.lit(_NEVER)).otherwise(F.lit(math.log(2.0)) + normal_lpdf(x, F.lit(0.0), sigma))
 
 
 def gamma_lpdf(x, alpha, lgamma_alpha, beta=1.0) -> Column:
-    """Gamma(alpha, beta) log density; ``lgamma_alpha`` = log Gamma(alpha)."""
+    """Gamma(alpha, beta) log density, ``lgamma_alpha`` = log Gamma(alpha); -Infinity for x <= 0."""
     x, alpha = _c(x), _c(alpha)
     b = beta if isinstance(beta, Column) else F.lit(float(beta))
-    return alpha * F.ln(b) + (alpha - 1) * F.ln(x) - b * x - _c(lgamma_alpha)
+    return F.when(x <= 0, F.lit(_NEVER)).otherwise(
+        alpha * F.ln(b) + (alpha - 1) * F.ln(x) - b * x - _c(lgamma_alpha))
 
 
 def composition(obs: DataFrame, keys: Sequence[str], value: str = "n", order: str = "age",
@@ -88,31 +93,57 @@ def score_lognormal_composition(obs, pop, sigma, ref: int = 10) -> Column:
     return head + F.aggregate(terms, F.lit(0.0), lambda acc, v: acc + v)
 
 
+def over_observations(t_obs, score) -> Column:
+    """Sum of ``score(t)`` over the observed periods; 0 if the first is 0 (no observation)."""
+    t_obs = _c(t_obs)
+    total = F.aggregate(t_obs, F.lit(0.0), lambda acc, t: acc + score(t))
+    return F.when(F.try_element_at(t_obs, F.lit(1)) > 0, total).otherwise(F.lit(0.0))
+
+
 def prior_spec(spark: SparkSession, rows: Sequence[tuple]) -> DataFrame:
     """Prior table: (param, family, p1, p2); family in normal, half_normal,
-    lognormal, gamma. ``lgamma_p1`` is filled here for gamma priors."""
+    lognormal, gamma. ``param`` is a parameter's name (all its indices) or a
+    full variable name such as ``x[3]``, which goes before the name's row.
+    ``lgamma_p1`` is filled here for gamma priors."""
     data = [(p, fam, float(a), float(b), math.lgamma(a) if fam == "gamma" else None)
             for p, fam, a, b in rows]
     return spark.createDataFrame(data, "param string, family string, p1 double, p2 double, lgamma_p1 double")
 
 
+def with_priors(draws: DataFrame, spec: DataFrame) -> DataFrame:
+    """Every draw with its prior's columns, NULL where there is none.
+
+    The spec is built from a caller's list (one row per parameter or index),
+    so its size is that list's; broadcasting it keeps the skewed key (a few
+    parameters own all draws) out of a shuffle join.
+    """
+    own = spec.select(F.col("param").alias("variable"), F.struct("family", "p1", "p2", "lgamma_p1").alias("_own"))
+    named = spec.select(F.col("param").alias("_name"), F.struct("family", "p1", "p2", "lgamma_p1").alias("_named"))
+    d = draws.withColumn("_name", base_name())
+    d = d.join(F.broadcast(own), "variable", "left").join(F.broadcast(named), "_name", "left")
+    return d.withColumn("_prior", F.coalesce("_own", "_named")).select(
+        *draws.columns, F.col("_name").alias("param"), "_prior.*")
+
+
 def score_priors(draws: DataFrame, spec: DataFrame, by: Sequence[str] = ("run_id", "chain", "iteration")) -> DataFrame:
-    """Prior log density per draw: join on parameter name, evaluate, sum.
+    """Prior log density per draw: look up the prior, evaluate, sum.
 
-    The spec has one row per parameter family and is broadcast. Variables
-    without a prior are ignored.
+    A value outside its prior's support makes the sum -Infinity. Variables
+    without a prior add nothing and are listed by :func:`unmatched_parameters`.
     """
-    d = draws.withColumn("param", base_name())
-    # the spec is built from a caller-given list (one row per parameter
-    # family), so its size is known; broadcasting it also keeps the skewed
-    # key (a few parameters own all draws) out of a shuffle join
-    j = d.join(F.broadcast(spec), "param")
+    j = with_priors(draws, spec).where(F.col("family").isNotNull())
     dens = (F.when(F.col("family") == "normal", normal_lpdf("value", "p1", "p2"))
              .when(F.col("family") == "half_normal", half_normal_lpdf("value", "p2"))
              .when(F.col("family") == "lognormal", lognormal_lpdf("value", "p1", "p2"))
              .when(F.col("family") == "gamma", gamma_lpdf("value", "p1", "lgamma_p1", F.col("p2"))))
     keys = [k for k in by if k in j.columns]
-    return j.groupBy(*keys).agg(F.sum(dens).alias("log_prior"), F.count(F.lit(1)).alias("n_terms"))
+    return j.groupBy(*keys).agg(F.sum(dens).alias("log_prior"), F.count(dens).alias("n_terms"))
+
+
+def unmatched_parameters(draws: DataFrame, spec: DataFrame) -> DataFrame:
+    """(param, n_values): parameters among the draws that have no prior."""
+    return with_priors(draws, spec).where(F.col("family").isNull()).groupBy("param").agg(
+        F.count(F.lit(1)).alias("n_values"))
 
 
 def score_cohorts(obs_matrix, cohorts, native_obs, native, t_obs) -> Column:

@@ -44,12 +44,6 @@ def axes_column(axes: DataFrame) -> Column:
     return axes.select(F.struct(*axes.columns).alias("ax")).scalar()
 
 
-def age_edges(ages: DataFrame, column: str = "age") -> DataFrame:
-    """Age bin edges: distinct ages of the rate table, then +Inf (open top)."""
-    return ages.agg(F.array_sort(F.collect_set(F.col(column).cast("double"))).alias("edges")).select(
-        F.concat("edges", F.array(F.lit(float("inf")))).alias("edges"))
-
-
 def stepped_edges(ages: DataFrame, step: int = 5, top_offset: int = 0, column: str = "age") -> DataFrame:
     """seq(0, max(age) - top_offset, step) then +Inf (household-age bins)."""
     hi = F.max(F.col(column)).cast("int") - F.lit(top_offset)
@@ -62,39 +56,77 @@ def count_by(df: DataFrame, keys: Sequence[str], name: str = "n") -> DataFrame:
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias(name))
 
 
+# Fixed value: the column set of one survey; another survey passes its own names.
+PERSON_COLUMNS = {"gender": "basic_gender", "age": "basic_age", "year": "year_migration_m",
+                  "age_at_move": "age_migration_m", "native": "born_kenya_m"}
+
+
+def _binned(counts: DataFrame, bins: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
+    """Counts of raw values -> counts of bins; a value outside the edges has a NULL bin."""
+    return counts.select(*by, "n", *[c.alias(k) for k, c in bins.items()]).groupBy(*by, *bins).agg(
+        F.sum("n").alias("n"))
+
+
+def _women(persons: DataFrame, gender: int | None, cols: dict) -> DataFrame:
+    return persons if gender is None else persons.where(F.col(cols["gender"]) == gender)
+
+
+def cohort_bins(persons: DataFrame, axes: DataFrame, gender: int | None = 2, by: Sequence[str] = (),
+                columns: dict | None = None) -> DataFrame:
+    """Migrants by (arrival period, age group); persons outside the edges are in NULL bins.
+
+    Persons are counted by their raw year and age first (partial aggregates),
+    so only distinct values are binned.
+    """
+    c = columns or PERSON_COLUMNS
+    p = _women(persons, gender, c).where(F.col(c["year"]).isNotNull() & F.col(c["age_at_move"]).isNotNull())
+    raw = count_by(p.select(*by, F.col(c["year"]).alias("_y"), F.col(c["age"]).alias("_a")), [*by, "_y", "_a"])
+    raw = raw.withColumn("_ax", axes_column(axes))
+    return _binned(raw, {"mig_year": bin_lower_edge("_y", F.col("_ax.period_edges")).cast("int"),
+                         "age": bin_lower_edge("_a", F.col("_ax.age_edges")).cast("int")}, by)
+
+
+def native_bins(persons: DataFrame, axes: DataFrame, gender: int | None = 2, by: Sequence[str] = (),
+                columns: dict | None = None) -> DataFrame:
+    """Native-born persons by age group; persons outside the edges are in a NULL bin."""
+    c = columns or PERSON_COLUMNS
+    p = _women(persons, gender, c).where(F.col(c["native"]) == 1)
+    raw = count_by(p.select(*by, F.col(c["age"]).alias("_a")), [*by, "_a"]).withColumn("_ax", axes_column(axes))
+    return _binned(raw, {"age": bin_lower_edge("_a", F.col("_ax.age_edges")).cast("int")}, by)
+
+
 def count_cohort_age(persons: DataFrame, axes: DataFrame, gender: int | None = 2,
-                     by: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = (), groups: DataFrame | None = None, columns: dict | None = None) -> DataFrame:
     """Migrants by (arrival period, age group) on the complete grid, 0-filled.
 
-    Persons with a missing migration year or age are left out; values
-    outside the edges bin to NULL and are dropped (the reference would keep
-    them as an extra NA cell). ``axes`` comes from :func:`axes_from_rates`.
+    Persons with a missing migration year or age are left out; those outside
+    the edges are reported by :func:`dropped_counts`. With ``by`` every group
+    among all ``persons`` (or ``groups``) gets its grid, counted or not.
     """
     ax = axes_column(axes)
-    p = persons
-    if gender is not None:
-        p = p.where(F.col("basic_gender") == gender)
-    p = p.where(F.col("year_migration_m").isNotNull() & F.col("age_migration_m").isNotNull())
-    p = p.withColumn("_ax", ax)
-    p = p.select(*by,
-                 bin_lower_edge("year_migration_m", F.col("_ax.period_edges")).cast("int").alias("mig_year"),
-                 bin_lower_edge("basic_age", F.col("_ax.age_edges")).cast("int").alias("age"))
-    counts = count_by(p.where(F.col("mig_year").isNotNull() & F.col("age").isNotNull()),
-                      [*by, "mig_year", "age"])
-    return complete_grid(counts, {"mig_year": ax.getField("years"), "age": ax.getField("ages")}, by=by)
+    counts = cohort_bins(persons, axes, gender, by, columns).dropna(subset=["mig_year", "age"])
+    return complete_grid(counts, {"mig_year": ax.getField("years"), "age": ax.getField("ages")}, by=by,
+                         groups=(persons if groups is None else groups) if by else None)
 
 
 def count_native_age(persons: DataFrame, axes: DataFrame, gender: int | None = 2,
-                     by: Sequence[str] = ()) -> DataFrame:
+                     by: Sequence[str] = (), groups: DataFrame | None = None, columns: dict | None = None) -> DataFrame:
     """Native-born persons by age group on the complete age axis, 0-filled."""
     ax = axes_column(axes)
-    p = persons
-    if gender is not None:
-        p = p.where(F.col("basic_gender") == gender)
-    p = p.where(F.col("born_kenya_m") == 1).withColumn("_ax", ax)
-    p = p.select(*by, bin_lower_edge("basic_age", F.col("_ax.age_edges")).cast("int").alias("age"))
-    counts = count_by(p.where(F.col("age").isNotNull()), [*by, "age"])
-    return complete_grid(counts, {"age": ax.getField("ages")}, by=by)
+    counts = native_bins(persons, axes, gender, by, columns).dropna(subset=["age"])
+    return complete_grid(counts, {"age": ax.getField("ages")}, by=by,
+                         groups=(persons if groups is None else groups) if by else None)
+
+
+def dropped_counts(persons: DataFrame, axes: DataFrame, gender: int | None = 2,
+                   columns: dict | None = None) -> DataFrame:
+    """(table, reason, n): persons that the count grids leave out because a value lies outside the edges."""
+    m = cohort_bins(persons, axes, gender, (), columns)
+    m = m.select(F.lit("cohort_age").alias("table"), F.when(F.col("mig_year").isNull() & F.col("age").isNull(), "both")
+                 .when(F.col("mig_year").isNull(), "year").when(F.col("age").isNull(), "age").alias("reason"), "n")
+    n = native_bins(persons, axes, gender, (), columns).select(
+        F.lit("native_age").alias("table"), F.when(F.col("age").isNull(), "age").alias("reason"), "n")
+    return m.union(n).where(F.col("reason").isNotNull()).groupBy("table", "reason").agg(F.sum("n").alias("n"))
 
 
 def count_full_outer(members: DataFrame, edges: DataFrame, domain: DataFrame,
@@ -102,13 +134,13 @@ def count_full_outer(members: DataFrame, edges: DataFrame, domain: DataFrame,
     """Household members per age group, full outer join with the age domain.
 
     Groups missing from the survey get 0; members outside every bin form a
-    NULL-age group that the full join keeps (as the reference does).
+    NULL-age group that the full join keeps (as the reference does). Members
+    are counted by their raw age first, so only distinct ages are binned.
     """
+    raw = count_by(members.where((F.col("gender") == gender) & F.col("age").isNotNull()).select("age"), ["age"])
     # edges as a column first: Spark allows no subquery inside the lambda
-    m = members.where((F.col("gender") == gender) & F.col("age").isNotNull()) \
-        .withColumn("_ae", edges_column(edges))
-    m = m.select(bin_lower_edge(to_number("age"), "_ae").cast("int").alias("age"))
-    counts = count_by(m, ["age"])
+    raw = raw.withColumn("_ae", edges_column(edges))
+    counts = _binned(raw, {"age": bin_lower_edge(to_number("age"), "_ae").cast("int")})
     dom = domain.select(F.col(domain.columns[0]).cast("int").alias("age")).distinct()
     out = counts.join(dom, ["age"], "full")
     return out.withColumn("n", F.coalesce(F.col("n"), F.lit(0)).cast("bigint"))
@@ -143,6 +175,7 @@ def spread_bands(counts: DataFrame, band: str, n: str = "n", keep: Sequence[str]
 
 
 def unspread_bands(counts: DataFrame, band: str, n: str = "n") -> DataFrame:
+    """(band, n): counts of the bands that :func:`spread_bands` cannot spread."""
     lo, hi = band_limits(band)
     return counts.where(~F.coalesce(hi > lo, F.lit(False))).select(band, n)
 

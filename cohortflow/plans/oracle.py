@@ -259,6 +259,22 @@ c AS (SELECT age, count(*) AS n FROM b WHERE age IS NOT NULL GROUP BY age)
 SELECT CAST(a.age AS INTEGER) AS age, CAST(coalesce(c.n, 0) AS BIGINT) AS n
 FROM ages a LEFT JOIN c ON c.age = a.age"""
 
+O["dropped_counts"] = f"""
+{duck_cte('v_life', 'v_person')}, {SURV}, {BINS},
+m AS (SELECT (SELECT count(*) FROM pbins pb WHERE {in_bin('p.year_migration_m', 'pb')}) AS y,
+             (SELECT count(*) FROM abins ab WHERE {in_bin('p.basic_age', 'ab')}) AS a
+      FROM v_person p WHERE basic_gender = 2 AND year_migration_m IS NOT NULL AND age_migration_m IS NOT NULL),
+n AS (SELECT (SELECT count(*) FROM abins ab WHERE {in_bin('p.basic_age', 'ab')}) AS a
+      FROM v_person p WHERE basic_gender = 2 AND born_kenya_m = 1)
+SELECT 'cohort_age' AS "table", CASE WHEN y = 0 AND a = 0 THEN 'both' WHEN y = 0 THEN 'year' ELSE 'age' END AS reason,
+       count(*) AS n FROM m WHERE y = 0 OR a = 0 GROUP BY ALL
+UNION ALL SELECT 'native_age', 'age', count(*) FROM n WHERE a = 0 HAVING count(*) > 0"""
+
+O["unspread_bands"] = f"""
+{duck_cte('v_band', 'v_list')}
+SELECT age_member, count(*) AS n FROM v_band
+WHERE age_member = '60+' AND (tribe IS NULL OR tribe NOT IN (SELECT tribe_name FROM v_list)) GROUP BY age_member"""
+
 O["count_full_outer"] = f"""
 {duck_cte('v_life', 'v_household')}, {SURV},
 dom AS (SELECT CAST(unnest(range(0, (SELECT max(age) FROM surv) + 1, 5)) AS INTEGER) AS age),
@@ -461,6 +477,13 @@ wide AS (SELECT run_id, variable, max(CASE WHEN series = 'bulk' THEN ess END) AS
                 max(CASE WHEN series = 'q05' THEN ess END) AS el, max(CASE WHEN series = 'q95' THEN ess END) AS eh
          FROM es GROUP BY run_id, variable)"""
 
+O["unequal_chains"] = f"""
+{duck_cte('v_draws1', 'v_events')},
+n AS (SELECT run_id, variable, chain, count(*) AS n
+      FROM (SELECT run_id, variable, chain FROM v_draws1 UNION ALL SELECT run_id, variable, chain FROM v_events) GROUP BY ALL)
+SELECT run_id, variable, min(n) AS shortest, max(n) AS longest FROM n GROUP BY run_id, variable
+HAVING floor(min(n) / 2) <> floor(max(n) / 2)"""
+
 O["ess_bulk"] = f"""{ESS}
 SELECT w.run_id, w.variable, round(CASE WHEN fl.cst THEN NULL ELSE eb END, 6) + 0.0e0 AS ess_bulk
 FROM wide w JOIN fl USING (run_id, variable)"""
@@ -678,12 +701,7 @@ w AS (SELECT *, sum(n) OVER (PARTITION BY mig_year) AS total,
 s2 AS (SELECT *, CASE WHEN total <> 0 THEN n / total END AS share FROM w),
 r AS (SELECT *, max(CASE WHEN pos = 10 THEN share END) OVER (PARTITION BY mig_year) AS ref FROM s2)
 SELECT mig_year, age, round(n, 6) + 0.0e0 AS n, round(total, 6) + 0.0e0 AS total, round(share, 6) + 0.0e0 AS share,
-       round(CASE WHEN ref <> 0 THEN """ + _ln("share / ref") + """ END, 6) + 0.0e0 AS log_ratio FROM r""").replace(
-    "grid AS (SELECT CAST(y.value", "grid AS (SELECT CAST(y.value")
-
-_OBS = (O["count_native_age"].split("SELECT CAST(a.age AS INTEGER)")[0]
-        .replace(duck_cte('v_life', 'v_person') + ", " + SURV + ", ", ""))
-
+       round(CASE WHEN ref <> 0 THEN """ + _ln("share / ref") + """ END, 6) + 0.0e0 AS log_ratio FROM r""")
 
 def _total(v: str) -> str:
     return _sum(v)
@@ -693,10 +711,12 @@ def _ratios(v: str) -> str:
     return f"list_transform({v}, lambda x: {_ln(f'(x / {_total(v)}) / ({v}[10] / {_total(v)})')})"
 
 
-HH = """
+def _hh(top: int) -> str:
+    """Household counts per age group, the open bin starting ``top`` years early."""
+    return f"""
 hdom AS (SELECT CAST(unnest(range(0, (SELECT max(age) FROM surv) + 1, 5)) AS INTEGER) AS age),
 hb AS (SELECT age AS lo, lead(age) OVER (ORDER BY age) AS hi
-       FROM (SELECT CAST(unnest(range(0, (SELECT max(age) FROM surv) - 5 + 1, 5)) AS INTEGER) AS age)),
+       FROM (SELECT CAST(unnest(range(0, (SELECT max(age) FROM surv) - {top} + 1, 5)) AS INTEGER) AS age)),
 hh AS (SELECT TRY_CAST(age AS DOUBLE) AS x FROM v_household WHERE gender = 2 AND age IS NOT NULL),
 hc AS (SELECT hb.lo AS age, count(*) AS n FROM hh LEFT JOIN hb ON hh.x >= hb.lo AND (hb.hi IS NULL OR hh.x < hb.hi)
        GROUP BY hb.lo),
@@ -704,42 +724,89 @@ hg AS (SELECT coalesce(hc.age, hdom.age) AS age, CAST(coalesce(hc.n, 0) AS DOUBL
        FROM hc FULL JOIN hdom ON hc.age = hdom.age),
 hv AS (SELECT list(n ORDER BY age) AS obs_hh FROM hg)"""
 
+
 _DRAWS_OBS = DRAWS.replace(duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows'),
                            duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows',
                                     'v_person', 'v_household'))
-_OBS_CTE = _OBS.strip().rstrip(',')
 _HH_FLOOR = "list_transform(obs_hh, lambda v: greatest(v, 1.0e-3))"
+_TOBS = ("CASE WHEN CAST(regexp_extract(region, '([0-9]+)$', 1) AS INTEGER) % 10 = 0 THEN [0] "
+         "WHEN CAST(regexp_extract(region, '([0-9]+)$', 1) AS INTEGER) % 10 = 5 THEN [12, 14] ELSE [14] END")
+_UNI_POP0 = "list_transform(log_pop_0_ratios_raw, lambda r: exp(4.605170185988092e0 + 0.3e0 * r))"
 
-O["score_observations"] = f"""{_DRAWS_OBS},
-{_OBS_CTE},
-ov AS (SELECT list(CAST(coalesce(c.n, 0) AS DOUBLE) ORDER BY a.age) AS obs FROM ages a LEFT JOIN c ON c.age = a.age),
-{HH.strip()},
-pp AS (SELECT region, draw, sigma_pop, ov.obs, hv.obs_hh,
-              {_fold(_LN_POP0, 'len(surv)', _step('acc[-1]', 'surv[t - 1]', 'reprod[t - 1]'))}[15] AS pt
-       FROM pd, ov, hv)
-SELECT region, draw,
-       round({_sum("list_transform(list_zip(obs, pt), lambda z: " + _normal('z[1]', 'z[2]', 'sigma_pop') + ")")}, 6) + 0.0e0
-         AS normal_ll,
-       round({_lognormal(_total(_HH_FLOOR), _ln(_total('pt')), 'sigma_pop')}
-             + {_sum("list_transform(list_zip(" + _ratios(_HH_FLOOR) + ", " + _ratios('pt') + "), lambda z: "
-                     + _normal('z[1]', 'z[2]', '1.0e0') + ")")}, 6) + 0.0e0 AS lognormal_ll
-FROM pp"""
 
-O["score_priors"] = f"""
-{duck_cte('v_draws1', 'v_draws2', 'v_draws3')},
-d AS (SELECT * FROM v_draws1 UNION ALL SELECT * FROM v_draws2 UNION ALL SELECT * FROM v_draws3),
-spec AS (SELECT * FROM (VALUES ('fert', 'normal', 0.0e0, 1.0e0), ('fert_sub', 'half_normal', 0.0e0, 5.0e-2),
-                               ('pop_mig_true', 'lognormal', {_dlit(math.log(100))}, 3.0e-1),
-                               ('total_pop', 'gamma', 2.0e0, 2.0e-3)) t(param, family, p1, p2)),
-j AS (SELECT d.*, spec.* FROM d JOIN spec ON regexp_extract(d.variable, '^([^\\[]+)', 1) = spec.param)
-SELECT run_id, chain, iteration,
-       round(sum(CASE family
+def score_ctes(pop0: str, rates: str, top: int) -> str:
+    """pp: draws with the observations, the observed periods and the projection (rates: index of the step's period)."""
+    return f"""{_DRAWS_OBS},
+{_hh(top).strip()},
+pp AS (SELECT region, draw, sigma_pop, hv.obs_hh, {_TOBS} AS t_obs,
+              {_fold(pop0, 'len(surv)', _step('acc[-1]', f'surv[{rates}]', f'reprod[{rates}]'))} AS pop
+       FROM pd, hv)"""
+
+
+def _over(term: str) -> str:
+    return (f"CASE WHEN t_obs[1] > 0 THEN list_reduce(list_transform(t_obs, lambda tt: {term}), "
+            f"lambda x, y: x + y, 0.0e0) ELSE 0.0e0 END")
+
+
+_NORMAL_LL = _over(_sum("list_transform(list_zip(obs_hh, pop[tt]), lambda z: " + _normal('z[1]', 'z[2]', 'sigma_pop') + ")"))
+_RATIO_LL = _over(_lognormal(_total(_HH_FLOOR), _ln(_total('pop[tt]')), 'sigma_pop') + " + "
+                  + _sum("list_transform(list_zip(" + _ratios(_HH_FLOOR) + ", " + _ratios('pop[tt]') + "), lambda z: "
+                         + _normal('z[1]', 'z[2]', '1.0e0') + ")"))
+
+for _name, _p0, _rates, _top, _ll in (
+        ("score_lognormal_init", _LN_POP0, "t - 1", 0, _NORMAL_LL), ("score_lognormal_obs", _LN_POP0, "t", 0, _RATIO_LL),
+        ("score_uniform_init", _UNI_POP0, "t", 5, _NORMAL_LL), ("score_dirichlet_init", _DIR_POP0, "t", 5, _NORMAL_LL)):
+    O[_name] = f"""{score_ctes(_p0, _rates, _top)}
+SELECT region, draw, CAST(len(t_obs) AS INTEGER) AS n_obs, round({_ll}, 6) + 0.0e0 AS obs_ll FROM pp"""
+
+O["score_observations"] = f"""
+SELECT a.region, a.draw, a.n_obs, a.obs_ll AS normal_ll, b.obs_ll AS lognormal_ll
+FROM ({O['score_lognormal_init']}) a JOIN ({O['score_lognormal_obs']}) b ON a.region = b.region AND a.draw = b.draw"""
+
+
+def _density() -> str:
+    never = "'-inf'::DOUBLE"
+    return f"""CASE family
          WHEN 'normal' THEN {_normal('value', 'p1', 'p2')}
-         WHEN 'half_normal' THEN {_LN2} + {_normal('value', '0.0e0', 'p2')}
-         WHEN 'lognormal' THEN {_lognormal('value', 'p1', 'p2')}
-         WHEN 'gamma' THEN p1 * {_ln('p2')} + (p1 - 1) * {_ln('value')} - p2 * value - lgamma(p1) END), 6) + 0.0e0 AS log_prior,
-       count(*) AS n_terms
-FROM j GROUP BY run_id, chain, iteration"""
+         WHEN 'half_normal' THEN CASE WHEN value < 0 THEN {never} ELSE {_LN2} + {_normal('value', '0.0e0', 'p2')} END
+         WHEN 'lognormal' THEN CASE WHEN value <= 0 THEN {never} ELSE {_lognormal('value', 'p1', 'p2')} END
+         WHEN 'gamma' THEN CASE WHEN value <= 0 THEN {never} ELSE
+              p1 * {_ln('p2')} + (p1 - 1) * {_ln('value')} - p2 * value - lgamma(p1) END END"""
+
+
+def priors_ctes(view: str, rows) -> str:
+    """j: every draw with its prior, a full variable name going before a parameter name."""
+    values = ", ".join(f"('{p}', '{f}', {_dlit(a)}, {_dlit(b)})" for p, f, a, b in rows)
+    return f"""spec AS (SELECT * FROM (VALUES {values}) t(param, family, p1, p2)),
+j AS (SELECT d.*, regexp_extract(d.variable, '^([^\\[]+)', 1) AS param, coalesce(o.family, n.family) AS family,
+             coalesce(o.p1, n.p1) AS p1, coalesce(o.p2, n.p2) AS p2
+      FROM {view} d LEFT JOIN spec o ON d.variable = o.param
+      LEFT JOIN spec n ON regexp_extract(d.variable, '^([^\\[]+)', 1) = n.param)"""
+
+
+# The prior tables of the registered queries.
+_PRIORS = [("fert", "normal", 0.0, 1.0), ("fert_sub", "half_normal", 0.0, 0.05),
+           ("pop_mig_true", "lognormal", math.log(100), 0.3), ("total_pop", "gamma", 2.0, 0.002)]
+_MODEL_PRIORS = [("logit_surv_raw", "normal", 0.0, 1.0), ("log_fert_sub_raw", "normal", 0.0, 1.0),
+                 ("sigma_surv", "half_normal", 0.0, 0.05), ("sigma_fert", "half_normal", 0.0, 0.1),
+                 ("log_pop_mig_init_total", "normal", 4.0, 1.0), ("pop_0_true", "lognormal", math.log(100), 0.3),
+                 *[(f"gamma_dirichlet[{k}]", "gamma", 100 * (k / 36), 1.0) for k in range(1, 9)]]
+_ALL_DRAWS = "d0 AS (SELECT * FROM v_draws1 UNION ALL SELECT * FROM v_draws2 UNION ALL SELECT * FROM v_draws3)"
+_LOG_PRIOR = f"""SELECT run_id, chain, iteration, round(sum({_density()}), 6) + 0.0e0 AS log_prior, count(*) AS n_terms
+FROM j WHERE family IS NOT NULL GROUP BY run_id, chain, iteration"""
+_NO_PRIOR = "SELECT param, count(*) AS n_values FROM j WHERE family IS NULL GROUP BY param"
+
+O["score_priors"] = f"""
+{duck_cte('v_draws1', 'v_draws2', 'v_draws3')}, {_ALL_DRAWS}, {priors_ctes('d0', _PRIORS)}
+{_LOG_PRIOR}"""
+
+O["score_model_priors"] = f"""
+{duck_cte('v_params')}, {priors_ctes('v_params', _MODEL_PRIORS)}
+{_LOG_PRIOR}"""
+
+O["unmatched_parameters"] = f"""
+SELECT * FROM ({duck_cte('v_draws1', 'v_draws2', 'v_draws3')}, {_ALL_DRAWS}, {priors_ctes('d0', _PRIORS)} {_NO_PRIOR})
+UNION ALL SELECT * FROM ({duck_cte('v_params')}, {priors_ctes('v_params', _MODEL_PRIORS)} {_NO_PRIOR})"""
 
 _FERT_SUMM = f"""
 {duck_cte('v_life', 'v_draws2', 'v_fert_wide')}, {SURV}, {summ('v_draws2')},
@@ -760,10 +827,16 @@ FROM ex2 e LEFT JOIN fert f ON f.year = e.year AND f.age = e.age"""
 # ------------------------------------------------------------ slice 9: run store
 O["run_store_roundtrip"] = O["scenario_report"]
 
+O["sources_roundtrip"] = f"""
+{duck_cte('v_pop_wide', 'v_household', 'v_list', 'v_draws2')},
+p AS ({tidy_sql('v_pop_wide', POP_BANDS, 'pop', False)})
+SELECT 'wide' AS source, count(*) AS n, round(sum(pop), 3) AS total FROM p
+UNION ALL SELECT 'survey', count(*), round(sum(TRY_CAST(age AS DOUBLE)), 3) FROM v_household
+UNION ALL SELECT 'lookup', count(*), round(CAST(sum(length(tribe_name)) AS DOUBLE), 3) FROM v_list
+UNION ALL SELECT 'draws', count(*), round(sum(value), 3) FROM v_draws2 WHERE variable LIKE 'fert[%'"""
 
-# ------------------------------------------------------------ additions: uniform initial, cohort scores
 
-_UNI_POP0 = "list_transform(log_pop_0_ratios_raw, lambda r: exp(4.605170185988092e0 + 0.3e0 * r))"
+# ------------------------------------------------------------ additions: uniform initial, cohort scores
 
 O["project_uniform"] = f"""{DRAWS},
 pp AS (SELECT region, draw, {_fold(_UNI_POP0, 'len(surv)', _step('acc[-1]', 'surv[t]', 'reprod[t]'))} AS pop
@@ -801,7 +874,6 @@ SELECT region, draw, round(CASE WHEN 15 > 0 THEN
 FROM dn, mm, nv"""
 
 
-_RH_SEL = O["rhat"].split("SELECT run_id, variable, round(CASE WHEN cst")[0]
 O["summarise_full"] = f"""{ESS},
 pc AS (SELECT run_id, variable, sc, count(*) AS n, avg(z) AS mz, var_samp(z) AS vz,
               avg(zf) AS mf, var_samp(zf) AS vf, bool_or(is_const) AS cst

@@ -204,6 +204,19 @@ def q_count_native_age(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("n", F.col("n").cast("bigint"))
 
 
+@register
+def q_dropped_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons that the count grids leave out, by reason."""
+    return survey.dropped_counts(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
+
+
+@register
+def q_unspread_bands(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons of open bands, which cannot be spread over single years."""
+    counts = survey.count_by(common.banded_survey(spark, sf_dir), ["age_member"])
+    return survey.unspread_bands(counts, "age_member")
+
+
 @register
 def q_count_full_outer(spark: SparkSession, sf_dir: str) -> DataFrame:
     surv = common.survival(spark, sf_dir)
@@ -311,6 +324,14 @@ def q_rhat(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(diagnostics.rhat(fixture(spark, sf_dir, "v_draws1")))
 
 
+@register
+def q_unequal_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Variables without R-hat and ESS because their chains differ in length (events: ragged chains)."""
+    d = fixture(spark, sf_dir, "v_draws1").unionByName(fixture(spark, sf_dir, "v_events").withColumn(
+        "iteration", F.lit(0)))
+    return diagnostics.unequal_chains(d)
+
+
 def _ess(spark, sf_dir):
     return diagnostics.ess(fixture(spark, sf_dir, "v_draws1"))
 
@@ -402,8 +423,7 @@ def disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_project_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Uniform-initial model: counts per age drawn as LogNormal(log 100, 0.3)."""
     d = common.projected_rows(spark, sf_dir)
-    pop0 = F.transform("log_pop_0_ratios_raw", lambda r: F.exp(F.lit(4.605170185988092) + F.lit(0.3) * r))
-    d = d.withColumn("pop", cohort.project_closed(pop0, "surv", "reprod", rate_offset=0))
+    d = d.withColumn("pop", cohort.project_closed(uniform_pop0(), "surv", "reprod", rate_offset=0))
     return round_doubles(common.long3(d, _DRAW, "pop", value="pop"))
 
 
@@ -461,11 +481,12 @@ def q_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(scoring.composition(grid, ["mig_year"]))
 
 
-def household_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Household counts with the top bin opened 5 years early (its last age
-    group then has no members), as the log-normal-observation run does."""
+def household_grid(spark: SparkSession, sf_dir: str, top_offset: int = 0) -> DataFrame:
+    """Household counts by age group; ``top_offset`` 5 opens the top bin one
+    group early (the last age group then has no members), as the runs with
+    Dirichlet and uniform initial populations do."""
     surv = common.survival(spark, sf_dir)
-    edges = survey.stepped_edges(surv, top_offset=5)
+    edges = survey.stepped_edges(surv, top_offset=top_offset)
     domain = survey.stepped_edges(surv).select(F.explode("edges").alias("age")).where(F.col("age") < float("inf"))
     return survey.count_full_outer(fixture(spark, sf_dir, "v_household"), edges, domain)
 
@@ -476,37 +497,116 @@ def _vector(df: DataFrame, value: str = "n") -> F.Column:
                   .alias("o")).select("o.v").scalar()
 
 
-@register
-def q_score_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+def uniform_pop0() -> F.Column:
+    """Counts per age drawn as LogNormal(log 100, 0.3)."""
+    return F.transform("log_pop_0_ratios_raw", lambda r: F.exp(F.lit(4.605170185988092) + F.lit(0.3) * r))
+
+
+def observed_periods() -> F.Column:
+    """Fixed values of the household fixture: the observed periods of a population.
+
+    Most populations are observed once, in period 14 as in the runs; some
+    twice; some never (0).
+    """
+    n = F.regexp_extract("region", "([0-9]+)$", 1).cast("int")
+    return F.when(n % 10 == 0, F.array(F.lit(0))).when(n % 10 == 5, F.array(F.lit(12), F.lit(14))).otherwise(
+        F.array(F.lit(14)))
+
+
+def scored(spark: SparkSession, sf_dir: str, pop0: F.Column, rate_offset: int, top_offset: int,
+           composition: bool = False) -> DataFrame:
+    """Household observations scored against a closed projection, at each population's observed periods."""
     from ..functions.scalar import floor_at
     d = common.projected_rows(spark, sf_dir).withColumns({
-        "obs": _vector(native_grid(spark, sf_dir)),
-        "obs_hh": _vector(household_grid(spark, sf_dir)),
-    })
-    d = d.withColumn("pop", cohort.project_closed(lognormal_pop0(), "surv", "reprod", rate_offset=1))
-    at = F.try_element_at("pop", F.lit(T_OBS))
-    return round_doubles(d.select(
-        *_DRAW,
-        scoring.score_normal("obs", at, "sigma_pop").alias("normal_ll"),
-        scoring.score_lognormal_composition(floor_at("obs_hh", 0.001), at, "sigma_pop").alias("lognormal_ll")))
+        "t_obs": observed_periods(), "obs": _vector(household_grid(spark, sf_dir, top_offset))})
+    d = d.withColumn("pop", cohort.project_closed(pop0, "surv", "reprod", rate_offset=rate_offset))
+    if composition:
+        score = lambda t: scoring.score_lognormal_composition(
+            floor_at("obs", 0.001), F.try_element_at("pop", t), "sigma_pop")
+    else:
+        score = lambda t: scoring.score_normal("obs", F.try_element_at("pop", t), "sigma_pop")
+    return d.select(*_DRAW, F.size("t_obs").alias("n_obs"), scoring.over_observations("t_obs", score).alias("obs_ll"))
+
+
+@register
+def q_score_lognormal_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-normal initial population: Normal counts, previous period's rates."""
+    return round_doubles(scored(spark, sf_dir, lognormal_pop0(), 1, 0))
+
+
+@register
+def q_score_lognormal_obs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-normal observations: total and log-ratios, the period's own rates."""
+    return round_doubles(scored(spark, sf_dir, lognormal_pop0(), 0, 0, composition=True))
+
+
+@register
+def q_score_uniform_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uniform initial population: Normal counts, the period's own rates, early open bin."""
+    return round_doubles(scored(spark, sf_dir, uniform_pop0(), 0, 5))
 
 
-# Prior families of the scoring fixture (as in the models:
-# std-normal raw rates, half-normal scale with hyper 0.05, LogNormal(log 100, 0.3)
-# initial counts, a gamma for totals).
+@register
+def q_score_dirichlet_init(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Dirichlet initial population: Normal counts, the period's own rates, early open bin."""
+    return round_doubles(scored(spark, sf_dir, dirichlet_pop0(), 0, 5))
+
+
+@register
+def q_score_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The two models with a log-normal initial population side by side."""
+    normal = scored(spark, sf_dir, lognormal_pop0(), 1, 0).withColumnRenamed("obs_ll", "normal_ll")
+    ratios = scored(spark, sf_dir, lognormal_pop0(), 0, 0, composition=True)
+    return round_doubles(normal.join(ratios.select(*_DRAW, F.col("obs_ll").alias("lognormal_ll")), _DRAW))
+
+
+# Prior families of the totals and rates fixtures.
 PRIORS = [
     ("fert", "normal", 0.0, 1.0),
     ("fert_sub", "half_normal", 0.0, 0.05),
     ("pop_mig_true", "lognormal", 4.605170185988092, 0.3),
     ("total_pop", "gamma", 2.0, 0.002),
 ]
+# The models' priors. Raw rates are standard normal, scales
+# half-normal (hyper 0.05 and 0.1), migrant log totals Normal(4, 1), uniform
+# initial counts LogNormal(log 100, 0.3), Dirichlet gammas Gamma(factor times
+# the age's share, 1) with factor 100.
+DIRICHLET_FACTOR = 100
+INITIAL_SHARES = [k / 36 for k in range(1, 9)]
+MODEL_PRIORS = [
+    ("logit_surv_raw", "normal", 0.0, 1.0),
+    ("log_fert_sub_raw", "normal", 0.0, 1.0),
+    ("sigma_surv", "half_normal", 0.0, 0.05),
+    ("sigma_fert", "half_normal", 0.0, 0.1),
+    ("log_pop_mig_init_total", "normal", 4.0, 1.0),
+    ("pop_0_true", "lognormal", 4.605170185988092, 0.3),
+    *[(f"gamma_dirichlet[{k + 1}]", "gamma", DIRICHLET_FACTOR * p, 1.0) for k, p in enumerate(INITIAL_SHARES)],
+]
+
+
+def _all_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fixture(spark, sf_dir, "v_draws1").unionByName(fixture(spark, sf_dir, "v_draws2")) \
+        .unionByName(fixture(spark, sf_dir, "v_draws3"))
 
 
 @register
 def q_score_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = fixture(spark, sf_dir, "v_draws1").unionByName(fixture(spark, sf_dir, "v_draws2")) \
-        .unionByName(fixture(spark, sf_dir, "v_draws3"))
-    return round_doubles(scoring.score_priors(d, scoring.prior_spec(spark, PRIORS)))
+    return round_doubles(scoring.score_priors(_all_draws(spark, sf_dir), scoring.prior_spec(spark, PRIORS)))
+
+
+@register
+def q_score_model_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws named like the models' parameters under the models' priors."""
+    return round_doubles(scoring.score_priors(fixture(spark, sf_dir, "v_params"),
+                                              scoring.prior_spec(spark, MODEL_PRIORS)))
+
+
+@register
+def q_unmatched_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parameters without a prior: their values are not scored."""
+    a = scoring.unmatched_parameters(_all_draws(spark, sf_dir), scoring.prior_spec(spark, PRIORS))
+    b = scoring.unmatched_parameters(fixture(spark, sf_dir, "v_params"), scoring.prior_spec(spark, MODEL_PRIORS))
+    return a.union(b)
 
 
 def _fert_summary(spark, sf_dir):
@@ -534,23 +634,56 @@ def q_overlay_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 from ..sources import store  # noqa: E402
 
 
+def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A folder of this call's own under the shared store."""
+    import uuid
+    return f"{store.default_root(spark)}/{name}-{uuid.uuid4().hex}"
+
+
 @register
 def q_run_store_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Write draws, summaries and mappings per run; read back; report."""
-    import hashlib
-    root = store.default_root(spark) + "/roundtrip-" + hashlib.sha1(sf_dir.encode()).hexdigest()[:12]
+    """Write draws, summaries and mappings of all runs; read back; report."""
+    root = _scratch(spark, sf_dir, "roundtrip")
     d = fixture(spark, sf_dir, "v_draws1")
-    ydim = common.year_dim(spark, sf_dir)
-    for run in ("included", "not included"):
-        part = d.where(F.col("run_id") == run)
-        summary = draws.summarise_draws(part, probs=(0.05, 0.5, 0.95))
-        store.write_run(spark, run, {"draws": part, "summary": summary}, root)
-        store.write_mappings(spark, run, [("year", ydim)], root)
-    summaries = store.read_run(spark, "summary", ["included", "not included"], root)
-    rep = reports.scenario_report(summaries, store.read_mapping(spark, "included", "year", root))
+    runs = ["included", "not included"]
+    store.write_runs(spark, {"draws": d, "summary": draws.summarise_draws(d, probs=(0.05, 0.5, 0.95))}, root)
+    store.write_mappings(spark, runs[0], [("year", common.year_dim(spark, sf_dir))], root)
+    summaries = store.read_run(spark, "summary", runs, root)
+    rep = reports.scenario_report(summaries, store.read_mapping(spark, runs[0], "year", root))
     return round_doubles(rep)
 
 
+@register
+def q_sources_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every reader on written inputs: wide CSV, survey, lookup list, wide sampler CSV, report CSV.
+
+    One row per source with its row count and a checksum of its numbers.
+    """
+    root = _scratch(spark, sf_dir, "sources")
+    wide = fixture(spark, sf_dir, "v_pop_wide")
+    wide.write.option("header", True).csv(f"{root}/wide")
+    fixture(spark, sf_dir, "v_household").write.parquet(f"{root}/survey")
+    fixture(spark, sf_dir, "v_list").write.option("header", True).csv(f"{root}/list")
+    d = fixture(spark, sf_dir, "v_draws2").where(F.col("variable").startswith("fert["))
+    names = [f"fert[{t},{a}]" for t in range(1, 7) for a in range(1, 9)]
+    d.groupBy("chain", "iteration").pivot("variable", names).agg(F.first("value")).write.option(
+        "header", True).csv(f"{root}/draws")
+    read = store.read_wide(spark, f"{root}/wide", columns=wide.columns, fmt="csv")
+    pop = rates.tidy_rates(read, "pop").select(F.col("pop").alias("v"))
+    hh = store.read_survey(spark, f"{root}/survey", "gender int, age string").select(
+        F.col("age").try_cast("double").alias("v"))
+    lst = store.read_lookup(spark, f"{root}/list").select(F.length("tribe_name").cast("double").alias("v"))
+    back = store.read_draws(spark, f"{root}/draws", layout="wide", run_id="included", fmt="csv").select(
+        F.col("value").alias("v"))
+    out = None
+    for name, df in (("wide", pop), ("survey", hh), ("lookup", lst), ("draws", back)):
+        row = df.agg(F.count(F.lit(1)).alias("n"), F.sum("v").alias("total")).select(F.lit(name).alias("source"), "n", "total")
+        out = row if out is None else out.unionByName(row)
+    store.write_report(out, f"{root}/report", sort=["source"])
+    rep = spark.read.schema("source string, n bigint, total double").option("header", True).csv(f"{root}/report")
+    return round_doubles(rep, 3)
+
+
 @register
 def q_summarise_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs' full summary: mean, sd, 9 quantiles, R-hat, bulk/tail ESS."""

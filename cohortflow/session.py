@@ -3,11 +3,20 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 
+from pyspark import SparkConf
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+def _builder(cpus):
+    """A local master only where none is configured (a cluster submit sets its own)."""
+    if SparkConf().contains("spark.master"):
+        return SparkSession.builder
+    return SparkSession.builder.master(f"local[{cpus}]")
+
+
 def get_spark(app: str = "cohortflow", cpus: str | int | None = None,
               shuffle_partitions: int | None = None) -> SparkSession:
     """Session tuned for this engine; reuses an active session if present."""
@@ -17,7 +26,7 @@ def get_spark(app: str = "cohortflow", cpus: str | int | None = None,
     cpus = cpus or os.environ.get("BENCH_CPUS") or "*"
     parts = shuffle_partitions or (8 if cpus == "*" else max(2, int(cpus)))
     spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
+        _builder(cpus)
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.sql.shuffle.partitions", str(parts))
@@ -30,7 +39,6 @@ def get_spark(app: str = "cohortflow", cpus: str | int | None = None,
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
         .config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "16g"))
-        .config("spark.sql.sources.partitionOverwriteMode", "dynamic")
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -41,8 +49,9 @@ def get_spark(app: str = "cohortflow", cpus: str | int | None = None,
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's shared checkpoint folder.
 
-    On a cluster ``spark.checkpoint.dir`` names a shared folder and is used
-    as is. Only when it is unset (local tests) is a scratch folder made.
+    ``spark.checkpoint.dir`` names a shared folder and is used as is. Where
+    it is unset, a session that runs in one process (tests) gets a scratch
+    folder; on a cluster that would be one machine's disk, so it is an error.
     """
     current = spark.conf.get("spark.checkpoint.dir", None)
     try:
@@ -52,6 +61,9 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     if not current and sc is not None:
         current = sc.getCheckpointDir()
     if not current:
+        master = sc.master if sc is not None else ""
+        if not re.match(r"local(\[|$)", master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         current = tempfile.mkdtemp(prefix="cohortflow-ckpt-")
         spark.conf.set("spark.checkpoint.dir", current)
     if sc is not None and not sc.getCheckpointDir():

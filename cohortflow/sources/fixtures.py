@@ -253,6 +253,26 @@ def v_draws3(d: str) -> str:
     FROM ({_exploded(d)}) e"""
 
 
+def v_params(d: str) -> str:
+    """Draws named like the models' parameters, and one parameter without a prior."""
+    return f"""
+    SELECT 'included' AS run_id,
+           CASE WHEN p < 16 THEN 'logit_surv_raw[' || CAST(CAST(floor(p / 8) AS INTEGER) + 1 AS STRING) || ','
+                     || CAST(p % 8 + 1 AS STRING) || ']'
+                WHEN p < 32 THEN 'log_fert_sub_raw[' || CAST(CAST(floor((p - 16) / 4) AS INTEGER) + 1 AS STRING) || ','
+                     || CAST((p - 16) % 4 + 1 AS STRING) || ']'
+                WHEN p = 32 THEN 'sigma_surv' WHEN p = 33 THEN 'sigma_fert'
+                WHEN p < 42 THEN 'log_pop_mig_init_total[' || CAST(p - 33 AS STRING) || ']'
+                WHEN p < 50 THEN 'pop_0_true[' || CAST(p - 41 AS STRING) || ']'
+                WHEN p < 58 THEN 'gamma_dirichlet[' || CAST(p - 49 AS STRING) || ']'
+                ELSE 'log_lik[' || CAST(p - 57 AS STRING) || ']' END AS variable,
+           {_CHAIN} AS chain, {_ITER} AS iteration,
+           CASE WHEN p < 32 THEN x WHEN p = 32 THEN abs(x) WHEN p = 33 THEN x + 0.25
+                WHEN p < 42 THEN 4 + x WHEN p < 50 THEN 100 + 100 * x
+                WHEN p < 58 THEN 10 * abs(x) + 0.5 ELSE x END AS value
+    FROM ({_exploded(d)}) e"""
+
+
 def v_events(d: str) -> str:
     t = partial(_t, d)
     return f"""
@@ -285,6 +305,7 @@ FIXTURES = {
     "v_draws1": (v_draws1, ("embeddings",)),
     "v_draws2": (v_draws2, ("embeddings",)),
     "v_draws3": (v_draws3, ("embeddings",)),
+    "v_params": (v_params, ("embeddings",)),
     "v_events": (v_events, ("events",)),
     "v_rows": (v_rows, ("embeddings",)),
 }

@@ -52,15 +52,18 @@ def read_draws(spark: SparkSession, path: str, layout: str = "long", run_id: str
     """Sampler output -> long draws (run_id, variable, chain, iteration, value).
 
     ``layout='wide'`` expects one column per variable plus ``chain`` and
-    ``iteration`` (the sampler's CSV layout) and unpivots it.
+    ``iteration`` (the sampler's CSV layout). The value columns become one
+    array of (name, value) structs and are exploded, so a row is read once
+    however many variables there are.
     """
     df = spark.read.option("header", True).option("inferSchema", False).csv(path) \
         if fmt == "csv" else spark.read.parquet(path)
     if layout == "wide":
         ids = [c for c in ("run_id", "chain", "iteration") if c in df.columns]
         values = [c for c in df.columns if c not in ids]
-        df = df.select(*ids, *[F.col(f"`{c}`").cast("double").alias(c) for c in values]) \
-               .unpivot(ids, values, "variable", "value")
+        pairs = F.array(*[F.struct(F.lit(c).alias("variable"), F.col(f"`{c}`").cast("double").alias("value"))
+                          for c in values])
+        df = df.select(*ids, F.inline(pairs))
     if run_id is not None and "run_id" not in df.columns:
         df = df.withColumn("run_id", F.lit(run_id))
     return df.select("run_id", "variable", F.col("chain").cast("int").alias("chain"),
@@ -79,11 +82,19 @@ def write_run(spark: SparkSession, run_id: str, tables: Mapping[str, DataFrame],
 
     Dynamic partition overwrite replaces only this run's partition.
     """
+    return write_runs(spark, {name: df.withColumn("run_id", F.lit(run_id)) if "run_id" not in df.columns else df
+                              for name, df in tables.items()}, root)
+
+
+def write_runs(spark: SparkSession, tables: Mapping[str, DataFrame], root: str | None = None) -> str:
+    """Write tables of any number of runs (column ``run_id``), one partitioned write each.
+
+    Only the partitions of the runs at hand are replaced.
+    """
     root = root or default_root(spark)
-    spark.conf.set("spark.sql.sources.partitionOverwriteMode", "dynamic")
     for name, df in tables.items():
-        out = df.withColumn("run_id", F.lit(run_id)) if "run_id" not in df.columns else df
-        out.write.mode("overwrite").partitionBy("run_id").parquet(f"{root}/{name}")
+        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+         .parquet(f"{root}/{name}"))
     return root
 
 

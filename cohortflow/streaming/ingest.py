@@ -2,9 +2,10 @@
 
 Chains finish at different times; each finished chain's draws file is
 picked up by a file-source stream and appended to the ``draws`` table of
-the run store (partitioned by ``run_id``). The stream's checkpoint gives
-exactly-once file handling, so a lost executor or a restarted job never
-duplicates draws. Summaries are then batch queries over the store.
+the run store. A micro-batch may be run again after a failure, so it is
+written to its own ``batch_id`` partitions with dynamic overwrite: a replay
+replaces what the first attempt wrote and never duplicates draws. Summaries
+are then batch queries over the store.
 """
 
 from __future__ import annotations
@@ -32,9 +33,15 @@ def draws_stream(spark: SparkSession, source_dir: str, schema: T.StructType = DR
     return reader.parquet(source_dir)
 
 
+def write_draws_batch(batch: DataFrame, batch_id: int, target: str) -> None:
+    """Idempotent write of one micro-batch: its partitions are replaced as a whole."""
+    (batch.withColumn("batch_id", F.lit(batch_id)).write.mode("overwrite")
+     .option("partitionOverwriteMode", "dynamic").partitionBy("batch_id", "run_id").parquet(target))
+
+
 def ingest_draws(spark: SparkSession, source_dir: str, checkpoint: str, root: str | None = None,
                  available_now: bool = True):
-    """Append newly arrived draws files to ``root/draws`` (partitioned by run).
+    """Add newly arrived draws files to ``root/draws`` (partitioned by batch and run).
 
     Returns the started ``StreamingQuery``; with ``available_now`` it stops
     after the files present at start are processed.
@@ -43,8 +50,7 @@ def ingest_draws(spark: SparkSession, source_dir: str, checkpoint: str, root: st
     target = f"{root}/draws"
 
     def write_batch(batch: DataFrame, batch_id: int) -> None:
-        (batch.where(F.col("value").isNotNull() | F.col("variable").isNotNull())
-              .write.mode("append").partitionBy("run_id").parquet(target))
+        write_draws_batch(batch, batch_id, target)
 
     writer = draws_stream(spark, source_dir).writeStream.foreachBatch(write_batch) \
         .option("checkpointLocation", checkpoint)
