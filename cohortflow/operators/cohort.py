@@ -196,10 +196,9 @@ def project_native(births, surv, reprod, k) -> Column:
         .otherwise(acc))
 
 
-def totals(native, cohorts) -> Column:
-    """Per period: struct(native, migrant, total) population."""
-    native, cohorts = _c(native), _c(cohorts)
-    return F.transform(native, lambda pop, i: F.struct(
+def totals(native, cohort_totals) -> Column:
+    """Per period: struct(native, migrant) population; ``cohort_totals`` is [mig_year][t]."""
+    return F.transform(_c(native), lambda pop, i: F.struct(
         arr_sum(pop).alias("native"),
-        F.aggregate(cohorts, F.lit(0.0), lambda acc, c: acc + arr_sum(_at(c, i + 1))).alias("migrant"),
+        F.aggregate(_c(cohort_totals), F.lit(0.0), lambda acc, c: acc + _at(c, i + 1)).alias("migrant"),
     )).alias("totals")

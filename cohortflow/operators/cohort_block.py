@@ -1,0 +1,102 @@
+"""The disaggregated model on blocks of draws (NumPy inside Arrow batches).
+
+Migrant cohorts are T arrival vectors aged through T periods, T x T x K
+numbers a draw. As array expressions every step is interpreted value by
+value; here one step is a few vector operations over all draws of a batch.
+Draws never need each other, so a batch is cut into blocks of at most
+``BLOCK`` rows and memory stays bounded by the block.
+
+NULL cells become NaN inside a block and NULL again in the result.
+"""
+
+from __future__ import annotations
+
+import sys
+
+import numpy as np
+import pyarrow as pa
+from pyspark import cloudpickle
+from pyspark.sql import DataFrame
+from pyspark.sql import types as T
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
+
+BLOCK = 512
+
+
+def project_block(surv: np.ndarray, reprod: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Cohorts [n, m, t, k], births [n, t] and native-born [n, t, k].
+
+    surv [n, T, K + 1] (last entry: survival of the open group), reprod
+    [n, T, K], starts [n, T, K] (arrivals of each period). A step uses the
+    previous period's rates.
+    """
+    n, periods, k = reprod.shape
+    cohorts = np.zeros((n, periods, periods, k))
+    births, native = np.zeros((n, periods)), np.zeros((n, periods, k))
+
+    def aged(pop, t):
+        out = np.zeros_like(pop)
+        s = surv[:, t] if pop.ndim == 2 else surv[:, None, t]
+        out[..., 1:] = pop[..., :-1] * s[..., 1:k]
+        out[..., k - 1] += pop[..., k - 1] * s[..., k]
+        return out
+
+    for t in range(periods):
+        if t:
+            before = cohorts[:, :t, t - 1]
+            cohorts[:, :t, t] = aged(before, t - 1)
+            births[:, t] = np.einsum("nk,nmk->n", reprod[:, t - 1], before)
+            native[:, t] = aged(native[:, t - 1], t - 1)
+            native[:, t, 0] += np.einsum("nk,nk->n", reprod[:, t - 1], native[:, t - 1]) + births[:, t]
+        cohorts[:, t, t] = starts[:, t]
+    return cohorts, births, native
+
+
+def _dense(column: pa.ListArray) -> list[np.ndarray]:
+    """One [rows, columns] array per row of an array<array<double>> column; NULL is NaN."""
+    out = []
+    for row in column.to_pylist():
+        out.append(np.array([[np.nan if v is None else v for v in r] for r in row], np.float64))
+    return out
+
+
+def _nested(a: np.ndarray):
+    """Array of lists with NaN as NULL."""
+    if a.ndim == 1:
+        return pa.array(a, mask=np.isnan(a))
+    flat = _nested(a.reshape(-1))
+    for size in a.shape[:0:-1]:
+        flat = pa.ListArray.from_arrays(np.arange(0, len(flat) + 1, size, dtype=np.int32), flat)
+    return flat
+
+
+def _run(n_keys: int, t_obs: int):
+    def run(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(at, BLOCK)
+                mats = [_dense(part.column(n_keys + c)) for c in range(3)]
+                shapes = [m.shape for m in mats[1]]
+                for shape in sorted(set(shapes)):  # populations may differ in periods and ages
+                    rows = [i for i, s in enumerate(shapes) if s == shape]
+                    cohorts, births, native = project_block(*[np.stack([m[i] for i in rows]) for m in mats])
+                    keys = part.select(range(n_keys)).take(pa.array(rows))
+                    seen = cohorts[:, :, min(t_obs, shape[0]) - 1] if t_obs else np.zeros_like(cohorts[:, :, 0])
+                    cols = [cohorts.sum(axis=3), births, native, seen]
+                    yield pa.RecordBatch.from_arrays(
+                        [*keys.columns, *map(_nested, cols)],
+                        [*keys.schema.names, "cohort_totals", "births", "native", "cohorts_seen"])
+    return run
+
+
+def disaggregate(rows: DataFrame, keys: list[str], t_obs: int = 0) -> DataFrame:
+    """keys, cohort_totals [m][t], births [t], native [t][k] and cohorts_seen [m][k] (in period ``t_obs``).
+
+    ``rows`` has columns surv, reprod and mig_start (``array<array<double>>``).
+    """
+    df = rows.select(*keys, "surv", "reprod", "mig_start")
+    matrix = T.ArrayType(T.ArrayType(T.DoubleType()))
+    schema = T.StructType([df.schema[k] for k in keys]).add("cohort_totals", matrix).add(
+        "births", T.ArrayType(T.DoubleType())).add("native", matrix).add("cohorts_seen", matrix)
+    return df.mapInArrow(_run(len(keys), t_obs), schema)

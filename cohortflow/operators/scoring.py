@@ -146,13 +146,14 @@ def unmatched_parameters(draws: DataFrame, spec: DataFrame) -> DataFrame:
         F.count(F.lit(1)).alias("n_values"))
 
 
-def score_cohorts(obs_matrix, cohorts, native_obs, native, t_obs) -> Column:
-    """Disaggregated model: sum_m Normal(obs[m] | cohort[m][t_obs], 1) +
-    Normal(native_obs | native[t_obs], 1); 0 when t_obs = 0 (no data)."""
+def score_cohorts(obs_matrix, cohorts_seen, native_obs, native, t_obs) -> Column:
+    """Disaggregated model: sum_m Normal(obs[m] | cohort[m] in period t_obs, 1) +
+    Normal(native_obs | native[t_obs], 1); 0 when t_obs = 0 (no data).
+
+    ``cohorts_seen`` holds the cohorts in period ``t_obs``, one per row."""
     t_obs = _c(t_obs)
-    cohorts = _c(cohorts)
     mig = F.aggregate(
-        F.zip_with(_c(obs_matrix), cohorts, lambda o, c: score_normal(o, F.try_element_at(c, t_obs), F.lit(1.0))),
+        F.zip_with(_c(obs_matrix), _c(cohorts_seen), lambda o, c: score_normal(o, c, F.lit(1.0))),
         F.lit(0.0), lambda acc, v: acc + v)
     nat = score_normal(_c(native_obs), F.try_element_at(_c(native), t_obs), F.lit(1.0))
     return F.when(t_obs > 0, mig + nat).otherwise(F.lit(0.0))

@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dims, rates
+from ..session import balance
 from ..sources import fixtures as _fx
 
 _ACTIVE = threading.local()
+# population records that are broadcast: 5,000 of some 10 KB are 50 MB
+BROADCAST_POPULATIONS = 5_000
 
 
 class QueryInputs:
@@ -172,7 +175,12 @@ def draw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     # the per-population inputs are small (one row per population): join them
     # to each other first, then join the draws once
     pops = mi.join(prof, "region", "left").join(mig_share_matrix(spark, sf_dir), "region", "left")
-    rows = fixture(spark, sf_dir, "v_rows").join(pops, "region")
+    # only the narrow draws move, to spread their work over the cores; the
+    # population records (a few KB each) go to them while they are few
+    rows = balance(fixture(spark, sf_dir, "v_rows"), "region", "draw")
+    if mi.select("region").distinct().count() <= BROADCAST_POPULATIONS:
+        pops = F.broadcast(pops)
+    rows = rows.join(pops, "region")
     K, T, NF = F.col("K"), F.col("Time"), F.col("n_fert_ages")
     return rows.select(
         "region", "draw", "chain", "iteration", "K", "Time", "prop_f", "n_fert_ages",
@@ -192,9 +200,7 @@ def draw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def projected_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """draw_rows plus per-draw survival, fertility and reproduction arrays."""
     from ..operators import cohort as c
-    from ..session import balance
-    d = balance(draw_rows(spark, sf_dir), "region", "draw")
-    d = d.withColumns({
+    d = draw_rows(spark, sf_dir).withColumns({
         "surv": c.survival_from_draw("surv_mean", "logit_surv_raw", "sigma_surv"),
         "fert": c.fertility_from_draw("fert_mean", "log_fert_sub_raw", "sigma_fert",
                                       "ages_before_fert", "ages_after_fert"),

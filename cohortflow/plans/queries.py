@@ -348,7 +348,7 @@ def q_ess_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ slice 7: cohort operators
 
-from ..operators import cohort  # noqa: E402
+from ..operators import cohort, cohort_block  # noqa: E402
 
 _DRAW = ["region", "draw"]
 
@@ -412,11 +412,7 @@ def disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     totals = cohort.zero_after(F.transform("log_pop_mig_init_total", lambda v: F.exp(v)), F.lit(T_OBS))
     shares = F.zip_with("log_pop_mig_init_ratios", "mig_props",
                         lambda raw, p: cohort.shares_softmax(raw, p, sd=SD_INIT_RATIOS))
-    d = d.withColumn("mig_start", cohort.migrant_starts(totals, shares))
-    d = d.withColumn("cohorts", cohort.project_migrants("mig_start", "surv"))
-    d = d.withColumn("births", cohort.migrant_births("cohorts", "reprod"))
-    d = d.withColumn("native", cohort.project_native("births", "surv", "reprod", "K"))
-    return d
+    return cohort_block.disaggregate(d.withColumn("mig_start", cohort.migrant_starts(totals, shares)), _DRAW, T_OBS)
 
 
 @register
@@ -433,16 +429,14 @@ def q_score_disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
     mig_obs = dims.to_matrix(grid, "mig_year", "age", "n").select("matrix").scalar()
     d = disaggregated(spark, sf_dir).withColumns({"mig_obs": mig_obs,
                                                   "nat_obs": _vector(native_grid(spark, sf_dir))})
-    ll = scoring.score_cohorts("mig_obs", "cohorts", "nat_obs", "native", F.lit(T_OBS))
+    ll = scoring.score_cohorts("mig_obs", "cohorts_seen", "nat_obs", "native", F.lit(T_OBS))
     # log-likelihoods of order 1e6 (unit observation sd): compared at 0.01
     return round_doubles(d.select(*_DRAW, ll.alias("obs_ll")), 2)
 
 
 @register
 def q_project_migrants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = disaggregated(spark, sf_dir)
-    tot = F.transform("cohorts", lambda c: F.transform(c, lambda pop: cohort.arr_sum(pop)))
-    return round_doubles(common.long3(d.withColumn("ct", tot), _DRAW, "ct", ("mig_year", "t"), "pop"))
+    return round_doubles(common.long3(disaggregated(spark, sf_dir), _DRAW, "cohort_totals", ("mig_year", "t"), "pop"))
 
 
 @register
@@ -460,7 +454,7 @@ def q_project_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def q_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = disaggregated(spark, sf_dir)
-    out = common.explode_pos(d, _DRAW, cohort.totals("native", "cohorts"), "t", "v")
+    out = common.explode_pos(d, _DRAW, cohort.totals("native", "cohort_totals"), "t", "v")
     return round_doubles(out.select(*_DRAW, (F.col("t") + 1).alias("t"), F.col("v.native").alias("native"),
                                     F.col("v.migrant").alias("migrant"),
                                     (F.col("v.native") + F.col("v.migrant")).alias("total")))

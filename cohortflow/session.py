@@ -87,12 +87,14 @@ def balance(df: DataFrame, *keys: str) -> DataFrame:
 
     The (population, draw) rows are few bytes but many CPU-seconds each
     (array folds); AQE would coalesce their small shuffle into one task.
-    An explicit partition count (the cluster's parallelism) is kept as is,
+    An explicit partition count (cores, or the shuffle partitions if more) is kept as is,
     and hashing on (population, draw) spreads a hot population evenly.
     """
     spark = df.sparkSession
     try:
         want = spark.sparkContext.defaultParallelism
     except Exception:  # sessions without a local SparkContext (Spark Connect)
-        want = int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
+        want = 0
+    # a cluster sizes its shuffle partitions by the data; that holds here too
+    want = max(want, int(spark.conf.get("spark.sql.shuffle.partitions", "200")))
     return df.repartition(want, *keys)

@@ -55,7 +55,8 @@ def compare(spark, con, sf_dir, name, fn, sql):
     scols = sdf.columns
     srows = [tuple(r) for r in sdf.collect()]
     t1 = time.time()
-    res = {"name": name, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2)}
+    res = {"name": name, "spark_rows": len(srows), "spark_sec": round(t1 - t0, 2),
+           "nulls": sum(v is None for r in srows for v in r)}
     if sql is None:
         res["status"] = "rows-only"
         return res

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import cohort
+from cohortflow.operators import cohort, cohort_block
 
 
 def _leslie(s, r):
@@ -56,7 +56,14 @@ def test_disaggregated_invariants(spark):
     df = df.withColumn("coh", cohort.project_migrants("start", "surv"))
     df = df.withColumn("b", cohort.migrant_births("coh", "reprod"))
     df = df.withColumn("nat", cohort.project_native("b", "surv", "reprod", F.lit(5)))
-    r = df.select("coh", "b", "nat", "tot", cohort.totals("nat", "coh")).collect()[0]
+    sums = F.transform("coh", lambda c: F.transform(c, lambda pop: cohort.arr_sum(pop)))
+    r = df.withColumn("sums", sums).select("coh", "b", "nat", "tot", cohort.totals("nat", "sums")).collect()[0]
+    # the same model on blocks of draws
+    block = cohort_block.disaggregate(df.select(F.lit(1).alias("draw"), "surv", "reprod", F.col("start").alias(
+        "mig_start")), ["draw"], 4).collect()[0]
+    assert np.allclose(block.cohort_totals, np.array(r.coh).sum(axis=2))
+    assert np.allclose(block.births, r.b) and np.allclose(block.native, r.nat)
+    assert np.allclose(block.cohorts_seen, np.array(r.coh)[:, 3])
     coh = np.array(r.coh)                      # [m][t][a]
     for m in range(T):
         assert np.all(coh[m, :m] == 0)          # zero before arrival
@@ -84,3 +91,35 @@ def test_shares(spark):
     # a common shift of the raw values cancels inside softmax
     p = np.array([0.05 + 0.01 * i for i in range(12)])
     assert np.allclose(r.s, p / p.sum())
+
+
+def test_gaps_zero_rates_and_certain_survival(spark):
+    """A missing middle age, a zero fertility and a survival of 1 against NumPy."""
+    from cohortflow.operators import dims
+    ages, years = [0, 5, 10, 15], [1950, 1955, 1960]
+    surv = {(y, a): 0.9 - 0.1 * i + 0.01 * j for i, a in enumerate(ages) for j, y in enumerate(years)}
+    surv[1955, 10] = 1.0
+    fert = {(y, a): 0.3 if a == 10 else 0.0 for y in years for a in ages} | {(1950, 5): 0.2}
+    rows = [("A", y, a, v) for (y, a), v in surv.items() if (y, a) != (1955, 5)]
+    s = spark.createDataFrame(rows, "region string, year int, age int, surv double")
+    f = spark.createDataFrame([("A", y, a, v) for (y, a), v in fert.items()],
+                              "region string, year int, age int, fert double")
+    mi = dims.model_input(s, f).collect()[0]
+    want = dict(surv) | {(1955, 5): surv[1950, 5]}  # carried forward
+    assert np.allclose(mi.surv_mean, [[want[y, a] for a in ages] for y in years])
+    assert mi.fertile_ages == [5, 10] and mi.fert_mean == [[0.2, 0.3], [0.0, 0.3], [0.0, 0.3]]
+    assert [(r.year, r.age) for r in dims.missing_cells(s, "surv").collect()] == [(1955, 5)]
+    raw = [[0.1] * 4] * 3, [[0.2] * 2] * 3
+    df = spark.createDataFrame([(mi.surv_mean, mi.fert_mean, *raw, 0.5)],
+                               "sm array<array<double>>, fm array<array<double>>, sr array<array<double>>, "
+                               "fr array<array<double>>, sigma double")
+    r = df.select(cohort.survival_from_draw("sm", "sr", "sigma").alias("s"),
+                  cohort.fertility_from_draw("fm", "fr", "sigma", F.lit(1), F.lit(1)).alias("f")).collect()[0]
+    with np.errstate(divide="ignore"):
+        m = np.array(mi.surv_mean)
+        expect = 1 / (1 + np.exp(-(np.log(m / (1 - m)) + 0.05)))
+        assert np.allclose(np.array(r.s)[:, :4], expect) and r.s[1][2] == 1.0
+        assert np.allclose(np.array(r.f)[:, 1:3], np.exp(np.log(np.array(mi.fert_mean)) + 0.1))
+    df0 = spark.createDataFrame([([[0.0, 1.0]],)], "sm array<array<double>>")
+    assert df0.select(cohort.survival_from_draw("sm", F.array(F.array(F.lit(1.0), F.lit(1.0))), F.lit(1.0))
+                      ).collect()[0][0] == [[0.0, 1.0, 0.0]]
