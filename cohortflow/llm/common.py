@@ -60,6 +60,17 @@ def once(df: DataFrame, kept: list, **computed: Column) -> DataFrame:
     return df.select(*kept, F.inline(F.array(F.struct(*[c.alias(n) for n, c in computed.items()]))))
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def few(df: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A settled table of narrow rows, to be broadcast while it has at most ``limit`` rows.
+
+    A larger one is joined by a shuffle, where Spark can split hot keys.
+    """
+    return F.broadcast(df) if df.count() <= limit else df
+
+
 def hash_sample(df: DataFrame, n: int, *keys: str) -> DataFrame:
     """At most ``n`` rows, chosen by a hash of ``keys``.
 
