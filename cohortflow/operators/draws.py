@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 # The quantile set requested by every run of the reference.
@@ -28,7 +28,8 @@ def draws_keys(draws: DataFrame) -> list[str]:
 
 def summarise_draws(draws: DataFrame, probs: Sequence[float] = DEFAULT_PROBS,
                     by: Sequence[str] | None = None, variables: Sequence[str] | None = None,
-                    diagnostics: bool = False, exact: bool = True, accuracy: int = 100_000) -> DataFrame:
+                    diagnostics: bool = False, exact: bool = True, accuracy: int = 100_000,
+                    unbounded: bool = False) -> DataFrame:
     """mean, sd, type-7 quantiles per variable (NULL draws ignored).
 
     ``variables=None`` summarises everything (the reference's default);
@@ -36,8 +37,15 @@ def summarise_draws(draws: DataFrame, probs: Sequence[float] = DEFAULT_PROBS,
     the rank-normalised R-hat and bulk/tail ESS are joined on the keys.
     Exact quantiles keep one variable's values in its aggregation buffer
     (a variable holds chains x iterations draws); ``exact=False`` switches
-    to ``percentile_approx`` (bounded sketch) for unbounded groups.
+    to ``percentile_approx`` (bounded sketch). ``unbounded`` is for groups of
+    any size: exact quantiles by :func:`bracketed_quantiles`, without a
+    group's values in one buffer.
     """
+    if unbounded:
+        by = list(by or draws_keys(draws))
+        rows = draws if variables is None else draws.where(F.col("variable").isin(list(variables)))
+        stats = rows.groupBy(*by).agg(F.avg("value").alias("mean"), F.stddev_samp("value").alias("sd"))
+        return stats.join(bracketed_quantiles(rows, by, probs, accuracy), by)
     by = list(by or draws_keys(draws))
     if variables is not None:
         draws = draws.where(F.col("variable").isin(list(variables)))
@@ -57,6 +65,49 @@ def summarise_draws(draws: DataFrame, probs: Sequence[float] = DEFAULT_PROBS,
     return out
 
 
+def bracketed_quantiles(draws: DataFrame, by: Sequence[str], probs: Sequence[float],
+                        accuracy: int = 100_000) -> DataFrame:
+    """Exact type-7 quantiles of groups of any size.
+
+    A bounded sketch (rank error at most n / accuracy) brackets every
+    quantile. A second pass counts the values below each bracket, takes the
+    nearest value on either side of it and keeps the values inside, some
+    n / accuracy, where the exact ranks are found. Both passes are partial aggregates, so a hot group is never
+    gathered; the values kept are ordered per group and quantile.
+    """
+    by, probs = list(by), list(probs)
+    slack = 3.0 / accuracy
+    edges = lambda sign: F.percentile_approx("value", F.array(*[
+        F.lit(min(1.0, max(0.0, p + sign * slack))) for p in probs]), accuracy)
+    sketch = draws.where(F.col("value").isNotNull()).groupBy(*by).agg(
+        F.count("value").alias("_n"), edges(-1).alias("_lo"), edges(1).alias("_hi"))
+    at = F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"), F.col("_lo")[i].alias("_a"),
+                                     F.col("_hi")[i].alias("_b")) for i, p in enumerate(probs)]))
+    brackets = sketch.select(*by, "_n", at)
+    rows = draws.where(F.col("value").isNotNull()).select(*by, "value").join(sketch.select(*by, "_lo", "_hi"), by)
+    each = lambda f: F.array(*[f(F.col("_lo")[i], F.col("_hi")[i]) for i in range(len(probs))])
+    v = F.col("value")
+    below = rows.groupBy(*by).agg(each(lambda lo, hi: F.sum(F.when(v < lo, 1).otherwise(0))).alias("_below"),
+                                  each(lambda lo, hi: F.max(F.when(v < lo, v))).alias("_pred"),
+                                  each(lambda lo, hi: F.min(F.when(v > hi, v))).alias("_succ"))
+    inside = F.filter(F.array(*[F.lit(i) for i in range(len(probs))]),
+                      lambda i: (F.col("value") >= F.get("_lo", i)) & (F.col("value") <= F.get("_hi", i)))
+    kept = rows.select(*by, "value", F.explode(inside).alias("_i")).groupBy(*by, "_i", "value").count()
+    upto = F.sum("count").over(Window.partitionBy(*by, "_i").orderBy("value"))
+    ranked = (kept.withColumn("_u", upto).join(below, by).join(brackets, [*by, "_i"])
+              .select(*by, "_i", "_n", "_p", "value", F.get("_below", F.col("_i")).alias("_below"),
+                      F.get("_pred", F.col("_i")).alias("_pred"), F.get("_succ", F.col("_i")).alias("_succ"), "_u"))
+    rank = (F.col("_n") - 1) * F.col("_p")
+    # the value at a 0-based rank is the least one with more values up to it than the rank
+    value_at = lambda r: F.coalesce(F.max(F.when(r < F.col("_below"), F.col("_pred"))), F.min(
+        F.when(F.col("_below") + F.col("_u") > r, F.col("value"))), F.first("_succ"))
+    q = ranked.groupBy(*by, "_i").agg(value_at(F.floor(rank)).alias("_x"), value_at(F.ceil(rank)).alias("_y"),
+                                      F.first(rank - F.floor(rank)).alias("_f"))
+    q = q.withColumn("_q", F.col("_x") + F.col("_f") * (F.col("_y") - F.col("_x")))
+    return q.groupBy(*by).agg(*[F.max(F.when(F.col("_i") == i, F.col("_q"))).alias(quantile_name(p))
+                                for i, p in enumerate(probs)])
+
+
 # ---------------------------------------------------------------- index extraction
 
 def parse_indices(variable_col: str = "variable") -> F.Column:
@@ -104,8 +155,7 @@ def extract_indexed(summary: DataFrame, param: str, indices: Sequence[str] | Non
     elif indices is not None:
         items, names = [], list(indices)
     else:
-        raise ValueError("Provide either indices (a list of names) or mappings "
-                         "(ordered name -> dimension with columns number, value)")
+        raise ValueError("extract_indexed needs names for the index columns: pass mappings or indices")
 
     if mappings is not None and len(items) == 1:
         name, dim = items[0]

@@ -211,14 +211,19 @@ def _exploded(d: str) -> str:
               FROM {t('embeddings')}) u"""
 
 
+# A run has 4 chains of at most 500 draws; more embeddings make more runs, so
+# a variable's group keeps the size of a sampler run at any scale.
+RUN_DRAWS = 2000
 _CHAIN = "CAST(vec_id % 4 AS INTEGER) + 1"
-_ITER = "CAST(floor(vec_id / 4) AS INTEGER) + 1"
+_ITER = f"CAST(floor((vec_id % {RUN_DRAWS}) / 4) AS INTEGER) + 1"
+_RUN = (f"CASE WHEN vec_id < {RUN_DRAWS} THEN '' "
+        f"ELSE ' ' || CAST(CAST(floor(vec_id / {RUN_DRAWS}) AS INTEGER) + 1 AS STRING) END")
 
 
 def v_draws1(d: str) -> str:
     """Totals for two scenarios: total_pop[t] (both), native and migrant parts."""
     return f"""
-    SELECT CASE WHEN p >= 16 AND p < 32 THEN 'not included' ELSE 'included' END AS run_id,
+    SELECT CASE WHEN p >= 16 AND p < 32 THEN 'not included' ELSE 'included' END || {_RUN} AS run_id,
            CASE WHEN p < 32 THEN 'total_pop[' || CAST(p % 16 + 1 AS STRING) || ']'
                 WHEN p < 48 THEN 'total_native_pop[' || CAST(p - 31 AS STRING) || ']'
                 ELSE 'total_mig_pop[' || CAST(p - 47 AS STRING) || ']' END AS variable,
@@ -230,7 +235,7 @@ def v_draws1(d: str) -> str:
 def v_draws2(d: str) -> str:
     """Rates: fert[t,a] (6 x 8) and the look-alike fert_sub[t,a] (4 x 4)."""
     return f"""
-    SELECT 'included' AS run_id,
+    SELECT 'included' || {_RUN} AS run_id,
            CASE WHEN p < 48
                 THEN 'fert[' || CAST(CAST(floor(p / 8) AS INTEGER) + 1 AS STRING) || ','
                      || CAST(p % 8 + 1 AS STRING) || ']'
@@ -244,7 +249,7 @@ def v_draws2(d: str) -> str:
 def v_draws3(d: str) -> str:
     """Migrant cohorts pop_mig_true[m,t,a] (4 x 4 x 4)."""
     return f"""
-    SELECT 'included' AS run_id,
+    SELECT 'included' || {_RUN} AS run_id,
            'pop_mig_true[' || CAST(CAST(floor(p / 16) AS INTEGER) + 1 AS STRING) || ','
              || CAST(CAST(floor((p % 16) / 4) AS INTEGER) + 1 AS STRING) || ','
              || CAST(p % 4 + 1 AS STRING) || ']' AS variable,
@@ -256,7 +261,7 @@ def v_draws3(d: str) -> str:
 def v_params(d: str) -> str:
     """Draws named like the models' parameters, and one parameter without a prior."""
     return f"""
-    SELECT 'included' AS run_id,
+    SELECT 'included' || {_RUN} AS run_id,
            CASE WHEN p < 16 THEN 'logit_surv_raw[' || CAST(CAST(floor(p / 8) AS INTEGER) + 1 AS STRING) || ','
                      || CAST(p % 8 + 1 AS STRING) || ']'
                 WHEN p < 32 THEN 'log_fert_sub_raw[' || CAST(CAST(floor((p - 16) / 4) AS INTEGER) + 1 AS STRING) || ','
