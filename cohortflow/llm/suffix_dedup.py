@@ -83,17 +83,18 @@ class Rolling:
 
 def _sliding_argmin(h: np.ndarray, width: int) -> np.ndarray:
     """Position of the least value (the leftmost of equal ones) in every window of ``width`` values."""
-    pos, reach = np.arange(len(h)), 1
+    least, off, reach = h, np.zeros(len(h), np.int16), 1
     while reach < width:
         step = min(reach, width - reach)
-        a, b = pos[:len(pos) - step], pos[step:]
-        pos = np.where(h[b] < h[a], b, a)
+        a, b = least[:len(least) - step], least[step:]
+        off = np.where(b < a, off[step:] + np.int16(step), off[:len(off) - step])
+        least = np.minimum(a, b)
         reach += step
-    return pos
+    return np.arange(len(off)) + off
 
 
 def anchors(raw: bytes):
-    """Arrays (anchor hash, span hash, first window start, last window start) of a text's anchors."""
+    """Arrays (anchor hash, span hash, first and last window start, anchor place) of a text's anchors."""
     out = []
     for at in range(0, max(1, len(raw) - WINDOW + 1), _PART):
         part = np.frombuffer(raw, np.uint8)[at:at + _PART + WINDOW - 1]
@@ -105,22 +106,25 @@ def anchors(raw: bytes):
         first = np.flatnonzero(np.concatenate(([True], low[1:] != low[:-1])))
         last = np.concatenate((first[1:], [len(low)])) - 1
         spans = roll.of(first, last - first + WINDOW) ^ _mix((last - first).astype(np.uint64))
-        out.append((grams[low[first]], spans, at + first, at + last))
+        out.append((grams[low[first]], spans, at + first, at + last, at + low[first]))
     if not out:
-        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64))
+        return tuple(np.zeros(0, t) for t in (np.uint64, np.uint64, np.int64, np.int64, np.int64))
     return tuple(np.concatenate(c) for c in zip(*out))
 
 
+_SHAPE = 1024  # a span's shape: its anchor's place in it, and its number of further window starts
+
+
 def _emit_anchors(batches):
     for batch in batches:
-        names, cols = ["a", "b", "anchor", "span", "at", "more"], [[] for _ in range(6)]
+        names, cols = ["a", "b", "anchor", "span", "at", "shape"], [[] for _ in range(6)]
         for a, b, text in zip(*(batch.column(k) for k in range(3))):
-            h, s, first, last = anchors((text.as_py() or "").encode())
+            h, s, first, last, place = anchors((text.as_py() or "").encode())
             for c, v in zip(cols, (np.full(len(h), a.as_py()), np.full(len(h), b.as_py()), h.view("i8"), s.view("i8"),
-                                   first, last - first)):
+                                   first, _SHAPE * (place - first) + last - first)):
                 c.append(v.astype(np.int64))
-        for at in range(0, max(1, len(cols[0])), 2000):
-            parts = [np.concatenate(c[at:at + 2000] or [np.zeros(0, np.int64)]) for c in cols]
+        for at in range(0, max(1, len(cols[0])), 1000):
+            parts = [np.concatenate(c[at:at + 1000] or [np.zeros(0, np.int64)]) for c in cols]
             yield pa.RecordBatch.from_arrays([pa.array(p) for p in parts], names)
 
 
@@ -135,7 +139,7 @@ def _texts(docs: DataFrame, text_col: str) -> DataFrame:
 
 def _anchor_rows(texts: DataFrame) -> DataFrame:
     return texts.filter(F.octet_length("t") >= WINDOW).select("a", "b", "t").mapInArrow(
-        _emit_anchors, "a long, b long, anchor long, span long, at long, more long")
+        _emit_anchors, "a long, b long, anchor long, span long, at long, shape long")
 
 
 # -- deep-shallow sorting ------------------------------------------------------------------------------------------
@@ -257,21 +261,25 @@ def _runs(hit: np.ndarray) -> list[tuple[int, int]]:
 
 
 def _sort_spans(frames):
-    """Rows (anchor, a, b, at, s) come sorted by anchor; a part of the stream ends between anchors."""
+    """Rows (anchor, (a, b), at, place, s) come sorted by anchor; a part of the stream ends between anchors.
+
+    Equal windows have their anchor at the same distance, so a suffix is
+    labelled by its anchor and that distance.
+    """
     for rows in frames:
         hits = {k: [] for k in ("a", "b", "first", "last")}
-        text = b"".join(r[3] for r in rows)
+        text = b"".join(r[4] for r in rows)
         start, label, owner, base = [], [], [], 0
         keys: dict = {}
-        for k, (anchor, _, _, s) in enumerate(rows):
+        for anchor, _, _, place, s in rows:
             n = len(s) - WINDOW + 1
             start.append(base + np.arange(n))
-            label.append(np.full(n, keys.setdefault(anchor, len(keys))))
+            label.append(keys.setdefault(anchor, len(keys)) * _SHAPE + place - np.arange(n) + WINDOW)
             owner.append(n)
             base += len(s)
         hit = repeated(text, np.concatenate(start), np.concatenate(label))
         done = 0
-        for (_, key, at, _), n in zip(rows, owner):
+        for (_, key, at, _, _), n in zip(rows, owner):
             for lo, hi in _runs(hit[done:done + n]):
                 for name, v in zip(hits, (*key, at + lo, at + hi - 1)):
                     hits[name].append(v)
@@ -279,15 +287,15 @@ def _sort_spans(frames):
         yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64()) for v in hits.values()], list(hits))
 
 
-def _grouped(batches, most: int = 4 << 20):
+def _grouped(batches, most: int = 1 << 20):
     """Cuts the sorted stream into lists of whole anchor groups of about ``most`` bytes."""
     rows, size = [], 0
     for batch in batches:
-        for anchor, a, b, at, s in zip(*(c.to_pylist() for c in batch.columns)):
+        for anchor, a, b, at, place, s in zip(*(c.to_pylist() for c in batch.columns)):
             if size >= most and rows[-1][0] != anchor:
                 yield rows
                 rows, size = [], 0
-            rows.append((anchor, (a, b), at, s))
+            rows.append((anchor, (a, b), at, place, s))
             size += len(s)
     if rows:
         yield rows
@@ -300,7 +308,7 @@ def _sorted_spans(batches):
 def _emit_windows(batches):
     """Two hashes of every window of the spans of a hot anchor."""
     for batch in batches:
-        for anchor, a, b, at, s in zip(*(c.to_pylist() for c in batch.columns)):
+        for _, a, b, at, _, s in zip(*(c.to_pylist() for c in batch.columns)):
             arr = np.frombuffer(s, np.uint8)
             n = len(arr) - WINDOW + 1
             w = [Rolling(arr, salt).of(np.arange(n), WINDOW).view("i8") for salt in (1, 2)]
@@ -314,29 +322,30 @@ def _emit_windows(batches):
 def repeated_windows(docs: DataFrame, text_col: str = "text") -> tuple[DataFrame, DataFrame]:
     """Texts that may repeat, stored as (a, b, t), and (a, b, first, last) ranges of repeated window starts."""
     texts = _texts(docs, text_col)
-    counts = _anchor_rows(texts).select("anchor").groupBy("anchor").count().filter("count > 1").select("anchor")
+    # settled first, so that the join has plain exchanges on both sides and a hot anchor can be split
+    counts = settled(_anchor_rows(texts).select("anchor").groupBy("anchor").count().filter("count > 1").select("anchor"))
     found = settled(_anchor_rows(texts).join(counts, "anchor"))
-    spans = settled(found.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "at", "more")).alias("one")))
+    spans = settled(found.groupBy("anchor", "span").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("a", "b", "at", "shape")).alias("one")))
     kinds = spans.groupBy("anchor").agg(F.count(F.lit(1)).alias("kinds"))
     whole = found.join(spans.filter("n > 1").select("anchor", "span"), ["anchor", "span"]).select(
-        "a", "b", F.col("at").alias("first"), (F.col("at") + F.col("more")).alias("last"))
+        "a", "b", F.col("at").alias("first"), (F.col("at") + F.col("shape") % _SHAPE).alias("last"))
     # one of each kind of span, where there are several kinds
     fetch = spans.join(kinds.filter("kinds > 1"), "anchor").select("anchor", "kinds", "one.*").groupBy("a", "b").agg(
-        F.collect_list(F.struct("anchor", "kinds", "at", "more")).alias("need"))
-    touched = found.select("a", "b").distinct()
+        F.collect_list(F.struct("anchor", "kinds", "at", "shape")).alias("need"))
+    wanted = found.select("a", "b").distinct().join(fetch, ["a", "b"], "left")
     # equal texts meet once, before the join: copies are merged by each task already
-    texts = settled(texts.dropDuplicates(["a", "b"]).join(touched, ["a", "b"]))
-    pieces = texts.join(fetch, ["a", "b"]).select("a", "b", F.col("t").cast("binary").alias("t"), F.explode("need").alias("x"))
-    pieces = settled(pieces.select("x.anchor", "a", "b", "x.at", F.expr(
-        f"substring(t, cast(x.at + 1 as int), cast(x.more + {WINDOW} as int))").alias("s"), "x.kinds"))
-    cool = pieces.filter(F.col("kinds") <= MAX_SPANS).select("anchor", "a", "b", "at", "s")
+    texts = settled(texts.dropDuplicates(["a", "b"]).join(wanted, ["a", "b"]))
+    pieces = texts.select("a", "b", F.col("t").cast("binary").alias("t"), F.explode("need").alias("x"))
+    pieces = settled(pieces.select("x.anchor", "a", "b", "x.at", F.floor(F.col("x.shape") / _SHAPE).alias("place"), F.expr(
+        f"substring(t, cast(x.at + 1 as int), cast(x.shape % {_SHAPE} + {WINDOW} as int))").alias("s"), "x.kinds"))
+    cool = pieces.filter(F.col("kinds") <= MAX_SPANS).select("anchor", "a", "b", "at", "place", "s")
     cool = cool.repartition("anchor").sortWithinPartitions("anchor", "a", "b", "at")
     sorted_ = cool.mapInArrow(_sorted_spans, "a long, b long, first long, last long")
-    hot = pieces.filter(F.col("kinds") > MAX_SPANS).select("anchor", "a", "b", "at", "s").mapInArrow(
+    hot = pieces.filter(F.col("kinds") > MAX_SPANS).select("anchor", "a", "b", "at", "place", "s").mapInArrow(
         _emit_windows, "w1 long, w2 long, a long, b long, first long")
     twice = hot.groupBy("w1", "w2").count().filter("count > 1").select("w1", "w2")
     hot = hot.join(twice, ["w1", "w2"]).select("a", "b", "first", F.col("first").alias("last"))
-    return texts, whole.union(sorted_).union(hot).distinct()
+    return texts.drop("need"), whole.union(sorted_).union(hot).distinct()
 
 
 def removed_bytes(ranges: np.ndarray, size: int) -> list[tuple[int, int]]:

@@ -214,5 +214,6 @@ def test_deep_shallow_sort_orders_groups():
 
 def test_every_window_has_one_anchor():
     raw = prose(300, random.Random(3)).encode()
-    _, _, first, last = suffix_dedup.anchors(raw)
+    _, _, first, last, place = suffix_dedup.anchors(raw)
     assert first[0] == 0 and last[-1] == len(raw) - 200 and (first[1:] == last[:-1] + 1).all()
+    assert (place >= last).all() and (place + suffix_dedup.GRAM <= first + suffix_dedup.WINDOW).all()
