@@ -205,3 +205,18 @@ def model_input(surv: DataFrame, fert: DataFrame, by: Sequence[str] = ("region",
         (first - 1).alias("ages_before_fert"),
         (F.size("ages") - last).alias("ages_after_fert"),
     )
+
+
+def with_observations(record: DataFrame, fields: dict[str, F.Column], t_obs: Sequence[int]) -> DataFrame:
+    """Model input record with its observations and hyper-parameters.
+
+    ``fields`` maps a name to one observation (a vector or a matrix), to be
+    repeated along the observation dimension [n_obs]..., or to a constant
+    column, kept as it is. Without any observation ``t_obs`` is [0] and
+    ``n_obs`` 1, as the models expect.
+    """
+    periods = list(t_obs) or [0]
+    out = record.withColumn("t_obs", F.array(*[F.lit(int(t)) for t in periods])).withColumn("n_obs", F.lit(len(periods)))
+    for name, col in fields.items():
+        out = out.withColumn(name, F.array_repeat(col, len(periods)) if name.endswith("_obs") else col)
+    return out

@@ -808,6 +808,30 @@ O["unmatched_parameters"] = f"""
 SELECT * FROM ({duck_cte('v_draws1', 'v_draws2', 'v_draws3')}, {_ALL_DRAWS}, {priors_ctes('d0', _PRIORS)} {_NO_PRIOR})
 UNION ALL SELECT * FROM ({duck_cte('v_params')}, {priors_ctes('v_params', _MODEL_PRIORS)} {_NO_PRIOR})"""
 
+def _grid(name: str, value: str) -> str:
+    """Rows of a registered count query as a subquery."""
+    return f"(SELECT {value} FROM ({O[name]}))"
+
+
+O["model_record"] = f"""
+{duck_cte('v_life', 'v_pop_wide', 'v_pop_wide_proj')}, {SURV}, {SHARES}, {SHARES_U},
+regions AS (SELECT DISTINCT region FROM surv),
+obs AS (
+  SELECT 'pop_mig_obs' AS field, dense_rank() OVER (ORDER BY mig_year) AS t, dense_rank() OVER (ORDER BY age) AS a,
+         CAST(n AS DOUBLE) AS value FROM {_grid('count_cohort_age', 'mig_year, age, n')}
+  UNION ALL SELECT 'pop_native_obs', 1, dense_rank() OVER (ORDER BY age), n FROM {_grid('count_native_age', 'age, n')}
+  UNION ALL SELECT 'pop_obs', 1, dense_rank() OVER (ORDER BY age), n FROM {_grid('count_full_outer', 'age, n')}
+  UNION ALL SELECT * FROM (VALUES ('t_obs', 1, 1, 15.0), ('n_obs', 1, 1, 1.0), ('fert_hyper', 1, 1, 0.05),
+    ('surv_hyper', 1, 1, 0.07), ('sd_init_ratios', 1, 1, 5.0), ('dirichlet_factor', 1, 1, 100.0)) c),
+f AS (SELECT *, min(year) OVER (PARTITION BY region) AS y0, max(age) OVER (PARTITION BY region) AS amax FROM shares)
+SELECT region, field, 1 AS i, CAST(t AS INTEGER) AS t, CAST(a AS INTEGER) AS a, {r6('value', 'value')} FROM (
+  SELECT region, field, t, a, value FROM regions, obs
+  UNION ALL SELECT s.region, 'init_mig_pop_props_data', dense_rank() OVER (PARTITION BY s.region ORDER BY s.year),
+         dense_rank() OVER (PARTITION BY s.region ORDER BY s.age), u.pop_prop
+  FROM surv s LEFT JOIN ushares u ON u.region = s.region AND u.year = s.year AND u.age = s.age
+  UNION ALL SELECT region, 'pop_0_prop_data', 1, row_number() OVER (PARTITION BY region ORDER BY age), pop_prop
+  FROM f WHERE year = y0 AND age <> amax)"""
+
 _FERT_SUMM = f"""
 {duck_cte('v_life', 'v_draws2', 'v_fert_wide')}, {SURV}, {summ('v_draws2')},
 ex AS (SELECT *, {idx(1)} AS i1, {idx(2)} AS i2 FROM summ WHERE regexp_matches(variable, '^fert\\[')),

@@ -604,6 +604,39 @@ def q_unmatched_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return a.union(b)
 
 
+# Fixed values of the disaggregated and Dirichlet runs.
+FERT_HYPER, SURV_HYPER = 0.05, 0.07
+
+
+@register
+def q_model_record(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The record's observation and prior fields, one row per cell (i: observation, t: period, a: age)."""
+    surv = common.survival(spark, sf_dir)
+    mi = dims.model_input(surv, rates.align_fertility(common.fertility(spark, sf_dir), surv)).select("region")
+    prof = rates.initial_age_profile(rates.age_shares(common.population(spark, sf_dir))).select(
+        "region", F.col("profile").alias("pop_0_prop_data"))
+    grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
+    rec = mi.join(common.mig_share_matrix(spark, sf_dir), "region", "left").join(prof, "region", "left")
+    rec = dims.with_observations(rec.withColumnRenamed("mig_props", "init_mig_pop_props_data"), {
+        "pop_mig_obs": dims.to_matrix(grid, "mig_year", "age", "n").select("matrix").scalar(),
+        "pop_native_obs": _vector(native_grid(spark, sf_dir)), "pop_obs": _vector(household_grid(spark, sf_dir)),
+        "fert_hyper": F.lit(FERT_HYPER), "surv_hyper": F.lit(SURV_HYPER), "sd_init_ratios": F.lit(SD_INIT_RATIOS),
+        "dirichlet_factor": F.lit(float(DIRICHLET_FACTOR))}, [T_OBS])
+    one = lambda c: F.array(F.col(c).cast("double"))
+    cubes = {  # every field as [i][t][a]
+        "pop_mig_obs": F.col("pop_mig_obs"), "pop_native_obs": F.transform("pop_native_obs", lambda v: F.array(v)),
+        "pop_obs": F.transform("pop_obs", lambda v: F.array(v)), "init_mig_pop_props_data": F.array("init_mig_pop_props_data"),
+        "pop_0_prop_data": F.array(F.array("pop_0_prop_data")),
+        "t_obs": F.transform("t_obs", lambda v: F.array(F.array(v.cast("double")))),
+        **{c: F.array(F.array(one(c))) for c in ("n_obs", "fert_hyper", "surv_hyper", "sd_init_ratios", "dirichlet_factor")}}
+    rows = rec.select("region", F.explode(F.array(*[F.struct(F.lit(k).alias("field"), c.alias("cube"))
+                                                    for k, c in cubes.items()])).alias("f"))
+    rows = common.explode_pos(rows.select("region", "f.field", "f.cube"), ["region", "field"], "cube", "_i", "_m")
+    rows = common.explode_pos(rows, ["region", "field", "_i"], "_m", "_t", "_r")
+    rows = common.explode_pos(rows, ["region", "field", "_i", "_t"], "_r", "_a", "value")
+    return round_doubles(rows.select("region", "field", *[(F.col(f"_{c}") + 1).alias(c) for c in "ita"], "value"))
+
+
 def _fert_summary(spark, sf_dir):
     s = _summary(spark, sf_dir, "v_draws2")
     return draws.extract_indexed(s, "fert", mappings=[("year", common.year_dim(spark, sf_dir)),

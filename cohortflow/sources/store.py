@@ -33,6 +33,19 @@ def read_wide(spark: SparkSession, path: str, columns: Sequence[str] | None = No
     return reader.parquet(path)
 
 
+def read_numbered_wide(spark: SparkSession, path: str, columns: Sequence[str], numbered: str,
+                       rename: Mapping[str, str] | None = None) -> DataFrame:
+    """Wide CSV export with preamble rows above its header.
+
+    ``columns`` names the columns by position. Data rows are those whose
+    ``numbered`` column holds an integer; preamble and header rows have none.
+    ``rename`` maps long headers to the names used here.
+    """
+    df = spark.read.schema(all_string_schema(columns)).csv(path)
+    df = df.where(F.col(f"`{numbered}`").try_cast("int").isNotNull())
+    return df.withColumnsRenamed(dict(rename or {}))
+
+
 def read_wide_sheets(spark: SparkSession, paths: Sequence[str], **kw) -> list[DataFrame]:
     return [read_wide(spark, p, **kw) for p in paths]
 

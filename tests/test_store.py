@@ -76,3 +76,14 @@ def test_read_wide_csv_all_text_and_lookup(spark):
     df = spark.createDataFrame([("L1",), ("X",), (None,)], "tribe string")
     kept = survey.exclude_listed(df, lookup, "tribe", "Tribe name").collect()
     assert sorted(str(r.tribe) for r in kept) == ["None", "X"]
+
+
+def test_read_numbered_wide_skips_the_preamble(spark, tmp_path):
+    from cohortflow.operators import rates
+    path = tmp_path / "w.csv"
+    path.write_text("United Nations\nsome, note\n,,\nIndex,Region name,Reference date,0-4,100+\n"
+                    "1,A,1950,120.5,0.1\n2,B,1950,7,x\n")
+    cols = ["Index", "Region name", "Reference date", "0-4", "100+"]
+    df = store.read_numbered_wide(spark, str(path), cols, "Index", {"Region name": "region", "Reference date": "period"})
+    long = {(r.region, r.age): r.pop for r in rates.tidy_rates(df.drop("Index"), "pop").collect()}
+    assert long == {("A", 0): 120.5, ("A", 100): 0.1, ("B", 0): 7.0, ("B", 100): None}
