@@ -82,8 +82,8 @@ def template_bigrams(spark, templates=TEMPLATES) -> DataFrame:
     for k, (name, text) in enumerate(templates):
         w = normal_words(text)
         pairs = sorted({f"{a} {b}" for a, b in zip(w, w[1:])})
-        rows += [(k, name, len(pairs), p) for p in pairs]
-    return spark.createDataFrame(rows, "template int, licence string, size int, bigram string")
+        rows += [f"({k}, '{name}', {len(pairs)}, '{p}')" for p in pairs]  # letters, digits and spaces only
+    return spark.sql(f"SELECT * FROM VALUES {', '.join(rows)} AS t(template, licence, size, bigram)")
 
 
 def units(docs: DataFrame, text_col: str) -> DataFrame:
