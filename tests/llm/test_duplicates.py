@@ -153,6 +153,45 @@ def test_line_dedup_nulls_repeats_and_empty(spark):
     assert line_dedup.dedup_lines(df.limit(0)).count() == line_dedup.report(df.limit(0)).count() == 0
 
 
+def near(line, share, rng, letters):
+    """The line with characters replaced until at most ``share`` of the shingles agree by Jaccard."""
+    out, a = list(line), shingles(line)
+    while True:
+        k = rng.randrange(len(out))
+        before, out[k] = out[k], rng.choice(letters)
+        b = shingles("".join(out))
+        if len(a & b) < share * len(a | b):
+            out[k] = before
+            return "".join(out)
+
+
+def test_line_dedup_unspaced_lines(spark):
+    rng = random.Random(14)
+    han = [chr(0x4E00 + k) for k in range(2000)]
+    first = ["".join(rng.choice(han) for _ in range(66)) for _ in range(30)]
+    first += ["https://www." + "".join(rng.choice("abcdef0123456789/") for _ in range(90)) for _ in range(30)]
+    lines = first + ["的" + x[1:] if x[0] != "的" else "地" + x[1:] for x in first]
+    docs = list(enumerate(lines))
+    want = line_result(docs)
+    assert len(want) == 60
+    got = line_dedup.report(spark.createDataFrame(docs, "doc_id long, text string")).collect()
+    assert {r["doc_id"]: r["removed"] for r in got if r["removed"]} == want
+
+
+def test_line_signature_recall_near_the_threshold(spark):
+    """Pairs of similarity 0.8 to 0.86 of short, middle and long lines: about 0.987 or more share a band."""
+    rng = random.Random(15)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    for low, high in ((40, 70), (70, 100), (300, 500)):
+        texts = []
+        for _ in range(400):
+            line = "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+            texts += [line, near(line, 0.8, rng, letters)]
+        lines = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "d1 long, d2 long, line string")
+        bands = {r["d1"]: set(r["bands"]) for r in line_dedup.signatures(lines).collect()}
+        assert sum(bool(bands[k] & bands[k + 1]) for k in range(0, 800, 2)) >= 0.96 * 400
+
+
 def cut(texts, window=200):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i:i + window] for r in raws for i in range(len(r) - window + 1))
