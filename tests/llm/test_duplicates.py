@@ -192,6 +192,17 @@ def test_line_signature_recall_near_the_threshold(spark):
         assert sum(bool(bands[k] & bands[k + 1]) for k in range(0, 800, 2)) >= 0.96 * 400
 
 
+def test_line_dedup_many_clusters_in_one_band(spark):
+    """Every band holds all lines; the links of clusters without a first leader are found too."""
+    rng = random.Random(16)
+    base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(40)]
+    texts = [x for b in base for x in (b, b[:-1] + "!", "?" + b[1:])]
+    lines = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "d1 long, d2 long, line string")
+    signed = lines.selectExpr("d1", "d2", "53L AS n", "array(0L, 1L) AS bands")
+    found = line_dedup.links(signed, lines).collect()
+    assert roots(len(texts), [(r["a1"], r["b1"]) for r in found]) == [k - k % 3 for k in range(len(texts))]
+
+
 def cut(texts, window=200):
     raws = [(t or "").encode() for t in texts]
     seen = Counter(r[i:i + window] for r in raws for i in range(len(r) - window + 1))
