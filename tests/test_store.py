@@ -1,10 +1,15 @@
 import os
+import shutil
 import tempfile
 
+import pyarrow as pa
+import pyarrow.parquet as pq
+import pytest
 from pyspark.sql import functions as F
 
 from cohortflow.sources import store
 from cohortflow.streaming import ingest
+from tests.harness import compare, duck_connect
 
 
 def _draws(spark, run, n=40):
@@ -87,3 +92,24 @@ def test_read_numbered_wide_skips_the_preamble(spark, tmp_path):
     df = store.read_numbered_wide(spark, str(path), cols, "Index", {"Region name": "region", "Reference date": "period"})
     long = {(r.region, r.age): r.pop for r in rates.tidy_rates(df.drop("Index"), "pop").collect()}
     assert long == {("A", 0): 120.5, ("A", 100): 0.1, ("B", 0): 7.0, ("B", 100): None}
+
+
+@pytest.fixture
+def several_runs(tmp_path):
+    """The sf0.001 tables with half of the vec_ids at 2000 and above, so draws fall into several runs."""
+    folder = shutil.copytree("/root/testdata/sf0.001", tmp_path / "sf", copy_function=shutil.copyfile)
+    vectors = pq.read_table("/root/testdata/sf0.001/embeddings.parquet")
+    ids = [k if k < 250 else k + 1750 for k in vectors.column("vec_id").to_pylist()]
+    vectors = vectors.set_column(vectors.schema.get_field_index("vec_id"), "vec_id", pa.array(ids, pa.int64()))
+    pq.write_table(vectors, folder / "embeddings.parquet")
+    return str(folder)
+
+
+def _same_as_sql(spark, folder, name):
+    import __spark_entry__ as e
+    res = compare(spark, duck_connect(folder), folder, name, e.queries()[name], e.oracle_sql()[name])
+    assert res["status"] == "ok", res
+
+
+def test_run_store_roundtrip_reads_every_run(spark, several_runs):
+    _same_as_sql(spark, several_runs, "run_store_roundtrip")
