@@ -693,14 +693,14 @@ def q_sources_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     fixture(spark, sf_dir, "v_list").write.option("header", True).csv(f"{root}/list")
     d = fixture(spark, sf_dir, "v_draws2").where(F.col("variable").startswith("fert["))
     names = [f"fert[{t},{a}]" for t in range(1, 7) for a in range(1, 9)]
-    d.groupBy("chain", "iteration").pivot("variable", names).agg(F.first("value")).write.option(
-        "header", True).csv(f"{root}/draws")
+    d.groupBy("run_id", "chain", "iteration").pivot("variable", names).agg(F.first("value")).write.partitionBy(
+        "run_id").option("header", True).csv(f"{root}/draws")
     read = store.read_wide(spark, f"{root}/wide", columns=wide.columns, fmt="csv")
     pop = rates.tidy_rates(read, "pop").select(F.col("pop").alias("v"))
     hh = store.read_survey(spark, f"{root}/survey", "gender int, age string").select(
         F.col("age").try_cast("double").alias("v"))
     lst = store.read_lookup(spark, f"{root}/list").select(F.length("tribe_name").cast("double").alias("v"))
-    back = store.read_draws(spark, f"{root}/draws", layout="wide", run_id="included", fmt="csv").select(
+    back = store.read_draws(spark, f"{root}/draws", layout="wide", fmt="csv").select(
         F.col("value").alias("v"))
     out = None
     for name, df in (("wide", pop), ("survey", hh), ("lookup", lst), ("draws", back)):

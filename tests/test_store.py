@@ -113,3 +113,7 @@ def _same_as_sql(spark, folder, name):
 
 def test_run_store_roundtrip_reads_every_run(spark, several_runs):
     _same_as_sql(spark, several_runs, "run_store_roundtrip")
+
+
+def test_sources_roundtrip_keeps_every_run(spark, several_runs):
+    _same_as_sql(spark, several_runs, "sources_roundtrip")
