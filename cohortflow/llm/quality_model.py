@@ -171,8 +171,13 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     picked = hash_sample(known.select("_0", "_1"), sample, "_0", "_1")
     texts = packed(docs.select(id_col, text_col), id_col, text_col).select(F.col("_0").alias("_id"), F.col("_1").alias("_t"))
     texts = texts.filter(F.length("_t") <= SAMPLE_CHARS)
-    # at most ``sample`` rows: the broadcast has a fixed bound
-    rows = texts.join(F.broadcast(picked), F.col("_id") == F.col("_0")).select("_id", "_t", "_1").collect()
+    # at most ``sample`` rows: the broadcasts have a fixed bound, and so has what reaches the driver
+    # when an id is repeated: distinct rows are cut by their digests before their texts are collected
+    rows = texts.join(F.broadcast(picked), F.col("_id") == F.col("_0")).select(
+        "_id", "_t", "_1", F.sha2("_t", 256).alias("_d"))
+    keys = ["_id", "_1", "_d"]
+    cut = hash_sample(rows.select(*keys).distinct(), sample, *keys)
+    rows = rows.join(F.broadcast(cut), keys).dropDuplicates(keys).select("_id", "_t", "_1").collect()
     rows = sorted({(str(r[0]), r[1], int(r[2])) for r in rows})[:sample]
     return Model().fit([r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
 

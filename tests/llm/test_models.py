@@ -144,6 +144,21 @@ def test_quality_model_on_held_out_rows(spark):
     assert {r["score"] for r in quality_model.scores(odd, blank).collect()} == {0.5}
 
 
+def test_quality_model_sample_with_a_repeated_id(spark, monkeypatch):
+    """However often an id is repeated, at most ``sample`` rows reach the driver."""
+    ids = [r["id"] for r in spark.range(60).filter(~quality_model.held_out("id")).limit(20).collect()]
+    labels = spark.createDataFrame([(k, n % 2) for n, k in enumerate(ids)], "doc_id long, quality int")
+    rows = [(k, f"text of {k}") for k in ids] + [(ids[0], f"other text {n % 200}") for n in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sent, plain = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda self: sent.append(plain(self)) or sent[-1])
+    quality_model.train(docs, labels, sample=30)
+    assert [len(x) for x in sent] == [30]
+    sent.clear()
+    quality_model.train(docs.limit(20), labels, sample=30)
+    assert sorted(r[0] for x in sent for r in x) == sorted(ids)
+
+
 def dice(a, b):
     pairs = lambda t: set(zip(w := license_scan.normal_words(t), w[1:]))
     a, b = pairs(a), pairs(b)
