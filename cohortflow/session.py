@@ -71,6 +71,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return current
 
 
+def settle(df: DataFrame) -> DataFrame:
+    """A reliable checkpoint in the cluster's shared folder: cuts the lineage and survives lost executors."""
+    ensure_checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
+
+
+def drop_folder(spark: SparkSession, path: str) -> None:
+    """Delete a folder that this session wrote, through the file system that its path names."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def round_doubles(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round every double column (used where results are compared by hash)."""
     cols = []
