@@ -9,9 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, html_extract, license_scan, line_dedup, mixing, quality_model, quality_rules, simhash,
-               suffix_dedup, token_counts)
+from . import (decontaminate, html_extract, license_scan, line_dedup, merkle, mixing, quality_model, quality_rules,
+               simhash, suffix_dedup, token_counts)
 from .common import table
+from .oracle_sql import merkle_sql
 
 Q, O = {}, {}
 
@@ -86,6 +87,13 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@_query
+def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = merkle.manifest(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+                     "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"))
+
+
 O["op1_decontaminate"] = r"""
 WITH d AS (
   SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ',
@@ -141,3 +149,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
   (failure_bits & {quality_rules.mask("v1")}) = 0 AS kept, failure_bits
 FROM bits
 """
+
+O["op13_merkle"] = merkle_sql()
