@@ -9,10 +9,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import (decontaminate, html_extract, license_scan, line_dedup, merkle, mixing, quality_model, quality_rules,
-               simhash, suffix_dedup, token_counts)
+from . import (centroids, decontaminate, fingerprints, html_extract, license_scan, line_dedup, merkle, mixing,
+               quality_model, quality_rules, simhash, suffix_dedup, token_counts)
 from .common import table
-from .oracle_sql import merkle_sql
+from .oracle_sql import centroids_sql, merkle_sql
 
 Q, O = {}, {}
 
@@ -87,6 +87,19 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return df.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
 
 
+@_query
+def op11_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = fingerprints.edited_neighbours(table(spark, sf_dir, "documents"))
+    return df.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited",
+                     "near_next", "next_prefix")
+
+
+@_query
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    df = centroids.cluster(table(spark, sf_dir, "embeddings"))
+    return df.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
 @_query
 def op13_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
     df = merkle.manifest(table(spark, sf_dir, "documents"))
@@ -150,4 +163,5 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM bits
 """
 
+O["op12_centroids"] = centroids_sql()
 O["op13_merkle"] = merkle_sql()
