@@ -95,15 +95,15 @@ def project_closed(pop0, surv, reprod, rate_offset: int = 1) -> Column:
             F.element_at(acc, -1), _at(surv, t - rate_offset), _at(reprod, t - rate_offset))))).otherwise(acc))
 
 
-def leslie_entries(surv_t: Column, reprod_t: Column) -> Column:
-    """Structural entries of one Leslie matrix as (row, col, value) structs."""
+def leslie_entries(surv_t: Column, reprod_t: Column, births: bool = True) -> Column:
+    """Structural entries of one Leslie matrix as (row, col, value) structs; without births the first row has none."""
     k = F.size(reprod_t)
     first = F.transform(F.sequence(F.lit(1), k), lambda c: F.struct(
         F.lit(1).alias("row"), c.alias("col"), _at(reprod_t, c).alias("value")))
     sub = F.transform(F.sequence(F.lit(2), k), lambda r: F.struct(
         r.alias("row"), (r - 1).alias("col"), _at(surv_t, r).alias("value")))
     top = F.array(F.struct(k.alias("row"), k.alias("col"), _at(surv_t, k + 1).alias("value")))
-    return F.concat(first, sub, top)
+    return F.concat(first, sub, top) if births else F.concat(sub, top)
 
 
 # ---------------------------------------------------------------- initial populations
@@ -152,35 +152,84 @@ def migrant_starts(totals, shares) -> Column:
                       lambda tot, sh: F.transform(sh, lambda x: x * tot))
 
 
-def project_migrants(starts, surv) -> Column:
-    """Migrant cohorts [mig_year][t][age]: zero before arrival, the arrival
-    vector at arrival, then aged without births with the previous period's
-    rates. ``starts`` should be a materialised column (see
-    :func:`migrant_starts`) so each fold step reads it instead of
-    recomputing it."""
-    starts, surv = _c(starts), _c(surv)
-    T = F.size(starts)
+def survivorship(surv) -> Column:
+    """[t][a] of (l, z): survival accumulated along the cell's diagonal, a segmented running product.
+
+    A diagonal (t, a), (t + 1, a + 1), ... follows people who age together.
+    ``l`` is the product of their survival since the diagonal's first cell
+    (period 1 or age 1), begun anew at 1 after a survival of 0, which ``z``
+    counts. So the share of a cell's people alive in a later cell of the same
+    diagonal is the ratio of the two ``l`` if both have the same ``z``, else 0.
+    """
+    surv = _c(surv)
+    k = F.size(_at(surv, 1)) - 1
+    cell = lambda l, z: F.struct(l.alias("l"), z.alias("z"))
+    first = F.transform(F.sequence(F.lit(1), k), lambda a: cell(F.try_add(F.lit(1.0), F.lit(0.0)), F.lit(0)))
+
+    def step(before, s):
+        def at(a):
+            old, rate = _at(before, a - 1), _at(s, a)
+            return F.when(a == 1, cell(F.try_add(F.lit(1.0), F.lit(0.0)), F.lit(0))).when(
+                rate == 0, cell(F.try_add(F.lit(1.0), F.lit(0.0)), old["z"] + 1)).otherwise(cell(old["l"] * rate, old["z"]))
+        return F.transform(F.sequence(F.lit(1), k), at)
+
+    return F.aggregate(F.slice(surv, 1, F.size(surv) - 1), F.array(first),
+                       lambda acc, s: F.concat(acc, F.array(step(F.element_at(acc, -1), s))))
+
+
+def _alive(grid: Column, m: Column, t: Column, a: Column) -> Column:
+    """Share of the people aged ``a`` in period ``m`` who are alive (and t - m ages older) in period ``t``."""
+    then, now = _at(_at(grid, m), a), _at(_at(grid, t), a + (t - m))
+    return F.when(then["z"] == now["z"], now["l"] / then["l"]).otherwise(
+        F.when(now["l"].isNotNull() & then["l"].isNotNull(), F.lit(0.0)))
+
+
+def cohorts_at(starts, grid, t) -> Column:
+    """Migrant cohorts [mig_year][age] in period ``t``: arrivals times survival along their diagonals.
+
+    ``starts`` and ``grid`` (see :func:`survivorship`) should be materialised
+    columns. The open age group must not survive (the models' rates end with
+    0). NULL where an input is; 0 before arrival.
+    """
+    starts, grid, t = _c(starts), _c(grid), t if isinstance(t, Column) else F.lit(t)
 
     def cohort(start, i):
         m = i + 1
-        k = F.size(start)
-        return F.aggregate(
-            F.sequence(F.lit(2), F.greatest(T, F.lit(2))),
-            F.array(nullable_array(F.when(m == 1, start).otherwise(zeros(k)))),
-            lambda acc, t: F.when(t <= T, F.concat(acc, F.array(
-                F.when(t < m, zeros(k)).when(t == m, start).otherwise(
-                    leslie_step(F.element_at(acc, -1), _at(surv, t - 1), None))))).otherwise(acc))
+        return F.transform(start, lambda _, j: F.when((m > t) | (j < t - m), F.lit(0.0)).otherwise(
+            _at(start, j + 1 - (t - m)) * _alive(grid, m, t, j + 1 - (t - m))))
 
     return F.transform(starts, cohort)
 
 
-def migrant_births(cohorts, reprod) -> Column:
-    """births[t] = sum_m reprod[t-1] · cohort[m][t-1] (0 at t = 1)."""
-    cohorts, reprod = _c(cohorts), _c(reprod)
-    T = F.size(reprod)
-    return F.transform(F.sequence(F.lit(1), T), lambda t: F.when(t == 1, F.lit(0.0)).otherwise(
-        F.aggregate(cohorts, F.lit(0.0),
-                    lambda acc, c: acc + arr_dot(_at(reprod, t - 1), _at(c, t - 1)))))
+def cohort_sizes(starts, grid) -> Column:
+    """[mig_year][t]: the size of every cohort in every period (0 before arrival)."""
+    starts, grid = _c(starts), _c(grid)
+    periods = F.sequence(F.lit(1), F.size(starts))
+
+    def size(start, m, t):
+        left = F.size(start) - (t - m)  # ages at arrival that have not left the open group
+        ages = F.when(left > 0, F.sequence(F.lit(1), left)).otherwise(F.array().cast("array<int>"))
+        return F.when(t < m, F.lit(0.0)).otherwise(F.aggregate(
+            ages, F.try_add(F.lit(0.0), F.lit(0.0)), lambda acc, a: acc + _at(start, a) * _alive(grid, m, t, a)))
+
+    return F.transform(starts, lambda start, i: F.transform(periods, lambda t: size(start, i + 1, t)))
+
+
+def pooled_migrants(starts, surv) -> Column:
+    """[t][a]: all migrants together. Cohorts age under the same rates, so their sum does too: T x K numbers, no cohort."""
+    starts, surv = _c(starts), _c(surv)
+    return F.aggregate(
+        F.arrays_zip(F.slice(starts, 2, F.size(starts)).alias("start"), F.slice(surv, 1, F.size(starts) - 1).alias("s")),
+        F.array(nullable_array(_at(starts, 1))),
+        lambda acc, x: F.concat(acc, F.array(F.zip_with(
+            leslie_step(F.element_at(acc, -1), x["s"], None), x["start"], lambda p, n: p + n))))
+
+
+def migrant_births(pooled, reprod) -> Column:
+    """births[t] = reprod[t-1] · migrants[t-1] (0 at t = 1), from all migrants together."""
+    pooled, reprod = _c(pooled), _c(reprod)
+    return F.transform(reprod, lambda _, i: F.when(i == 0, F.lit(0.0)).otherwise(
+        arr_dot(_at(reprod, i), _at(pooled, i))))
 
 
 def project_native(births, surv, reprod, k) -> Column:
@@ -196,9 +245,7 @@ def project_native(births, surv, reprod, k) -> Column:
         .otherwise(acc))
 
 
-def totals(native, cohort_totals) -> Column:
-    """Per period: struct(native, migrant) population; ``cohort_totals`` is [mig_year][t]."""
-    return F.transform(_c(native), lambda pop, i: F.struct(
-        arr_sum(pop).alias("native"),
-        F.aggregate(_c(cohort_totals), F.lit(0.0), lambda acc, c: acc + _at(c, i + 1)).alias("migrant"),
-    )).alias("totals")
+def totals(native, pooled) -> Column:
+    """Per period: struct(native, migrant) population."""
+    return F.zip_with(_c(native), _c(pooled), lambda n, m: F.struct(
+        arr_sum(n).alias("native"), arr_sum(m).alias("migrant"))).alias("totals")

@@ -39,9 +39,12 @@ def _keys(draws: DataFrame, by: Sequence[str] | None) -> list[str]:
     return list(by or [c for c in ("run_id", "variable") if c in draws.columns])
 
 
-def split_chains(draws: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+def split_chains(draws: DataFrame, by: Sequence[str] | None = None, clustered: bool = False) -> DataFrame:
     """Split every chain into its first and last floor(n/2) draws.
 
+    ``clustered`` says that the draws come bucketed by the variable, so they
+    need no exchange.
+
     Adds ``sc`` (split chain, 1-based), ``pos`` (1-based position in it),
     ``n_half`` and per-variable statistics of the unsplit draws that later
     steps need: ``median``, ``q05``, ``q95``, ``is_const``, ``all_finite``.
@@ -53,7 +56,9 @@ def split_chains(draws: DataFrame, by: Sequence[str] | None = None) -> DataFrame
     wc = Window.partitionBy(*by, "chain")
     # one exchange on the variable keys serves every later window, grouping
     # and join of R-hat and ESS (all are keyed by a superset of them)
-    d = draws.select(*by, "chain", "iteration", F.col("value").cast("double").alias("value")).repartition(*by)
+    d = draws.select(*by, "chain", "iteration", F.col("value").cast("double").alias("value"))
+    if not clustered:
+        d = d.repartition(*by)
     d = d.withColumns({
         "_r": F.row_number().over(wc.orderBy("iteration")),
         "_n": F.count(F.lit(1)).over(wc),
@@ -222,8 +227,8 @@ def ess(draws: DataFrame, by: Sequence[str] | None = None, normalised: DataFrame
     return cols.groupBy(*by).applyInPandas(_ess_fn(by), _ess_schema(by, types))
 
 
-def convergence(draws: DataFrame, by: Sequence[str] | None = None) -> DataFrame:
+def convergence(draws: DataFrame, by: Sequence[str] | None = None, clustered: bool = False) -> DataFrame:
     """rhat, ess_bulk, ess_tail per variable from one shared preparation."""
     by = _keys(draws, by)
-    z = rank_normalise(split_chains(draws, by), by)
+    z = rank_normalise(split_chains(draws, by, clustered), by)
     return rhat(draws, by, normalised=z).join(ess(draws, by, normalised=z), by, "full")

@@ -12,6 +12,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import settle
+
 # The quantile set requested by every run of the reference.
 DEFAULT_PROBS = (0.025, 0.05, 0.1, 0.25, 0.5, 0.75, 0.9, 0.95, 0.975)
 
@@ -65,34 +67,47 @@ def summarise_draws(draws: DataFrame, probs: Sequence[float] = DEFAULT_PROBS,
     return out
 
 
+# distinct values of a bracket that one task may order, and the cells of a refining round
+BRACKET_VALUES, CELLS = 20_000, 64
+
+
 def bracketed_quantiles(draws: DataFrame, by: Sequence[str], probs: Sequence[float],
-                        accuracy: int = 100_000) -> DataFrame:
+                        accuracy: int = 100_000, bound: int = BRACKET_VALUES) -> DataFrame:
     """Exact type-7 quantiles of groups of any size.
 
     A bounded sketch (rank error at most n / accuracy) brackets every
-    quantile. A second pass counts the values below each bracket, takes the
-    nearest value on either side of it and keeps the values inside, some
-    n / accuracy, where the exact ranks are found. Both passes are partial aggregates, so a hot group is never
-    gathered; the values kept are ordered per group and quantile.
+    quantile. While a bracket holds more than ``bound`` distinct values it is
+    cut into cells of about equal weight, the cells are counted exactly, and
+    the one with the wanted ranks is the next bracket. Then what lies below
+    each bracket is counted, the nearest value on either side of it taken,
+    and the values inside are ordered: at most ``bound`` per group and
+    quantile, equal ones counted. Every pass is a partial aggregate, so a hot
+    group is never gathered.
     """
     by, probs = list(by), list(probs)
+    rows = draws.where(F.col("value").isNotNull()).select(*by, "value")
     slack = 3.0 / accuracy
     edges = lambda sign: F.percentile_approx("value", F.array(*[
         F.lit(min(1.0, max(0.0, p + sign * slack))) for p in probs]), accuracy)
-    sketch = draws.where(F.col("value").isNotNull()).groupBy(*by).agg(
-        F.count("value").alias("_n"), edges(-1).alias("_lo"), edges(1).alias("_hi"))
+    sketch = rows.groupBy(*by).agg(F.count("value").alias("_n"), edges(-1).alias("_lo"), edges(1).alias("_hi"))
     at = F.inline(F.array(*[F.struct(F.lit(i).alias("_i"), F.lit(float(p)).alias("_p"), F.col("_lo")[i].alias("_a"),
                                      F.col("_hi")[i].alias("_b")) for i, p in enumerate(probs)]))
-    brackets = sketch.select(*by, "_n", at)
-    rows = draws.where(F.col("value").isNotNull()).select(*by, "value").join(sketch.select(*by, "_lo", "_hi"), by)
+    brackets = settle(sketch.select(*by, "_n", at))
+    while True:
+        kept = settle(_inside(rows, brackets, by).groupBy(*by, "_i", "value").count())
+        wide = settle(kept.groupBy(*by, "_i").count().where(F.col("count") > bound).select(*by, "_i"))
+        if wide.isEmpty():
+            break
+        finer = _refined(rows, brackets.join(wide, [*by, "_i"], "left_semi"), by, accuracy)
+        brackets = settle(brackets.join(wide, [*by, "_i"], "left_anti").unionByName(finer))
+    ends = brackets.groupBy(*by).agg(F.sort_array(F.collect_list(F.struct("_i", "_a", "_b"))).alias("_e"))
+    ends = ends.select(*by, F.transform("_e", lambda x: x["_a"]).alias("_lo"), F.transform("_e", lambda x: x["_b"]).alias("_hi"))
     each = lambda f: F.array(*[f(F.col("_lo")[i], F.col("_hi")[i]) for i in range(len(probs))])
     v = F.col("value")
-    below = rows.groupBy(*by).agg(each(lambda lo, hi: F.sum(F.when(v < lo, 1).otherwise(0))).alias("_below"),
-                                  each(lambda lo, hi: F.max(F.when(v < lo, v))).alias("_pred"),
-                                  each(lambda lo, hi: F.min(F.when(v > hi, v))).alias("_succ"))
-    inside = F.filter(F.array(*[F.lit(i) for i in range(len(probs))]),
-                      lambda i: (F.col("value") >= F.get("_lo", i)) & (F.col("value") <= F.get("_hi", i)))
-    kept = rows.select(*by, "value", F.explode(inside).alias("_i")).groupBy(*by, "_i", "value").count()
+    below = rows.join(ends, by).groupBy(*by).agg(
+        each(lambda lo, hi: F.sum(F.when(v < lo, 1).otherwise(0))).alias("_below"),
+        each(lambda lo, hi: F.max(F.when(v < lo, v))).alias("_pred"),
+        each(lambda lo, hi: F.min(F.when(v > hi, v))).alias("_succ"))
     upto = F.sum("count").over(Window.partitionBy(*by, "_i").orderBy("value"))
     ranked = (kept.withColumn("_u", upto).join(below, by).join(brackets, [*by, "_i"])
               .select(*by, "_i", "_n", "_p", "value", F.get("_below", F.col("_i")).alias("_below"),
@@ -108,6 +123,36 @@ def bracketed_quantiles(draws: DataFrame, by: Sequence[str], probs: Sequence[flo
                                 for i, p in enumerate(probs)])
 
 
+def _inside(rows: DataFrame, brackets: DataFrame, by: list[str]) -> DataFrame:
+    """(by, _i, value): every row once per bracket that holds its value."""
+    few = brackets.groupBy(*by).agg(F.collect_list(F.struct("_i", "_a", "_b")).alias("_e"))
+    at = F.filter("_e", lambda x: (F.col("value") >= x["_a"]) & (F.col("value") <= x["_b"]))
+    return rows.join(few, by).select(*by, "value", F.explode(at).alias("_x")).select(*by, F.col("_x._i").alias("_i"), "value")
+
+
+def _refined(rows: DataFrame, brackets: DataFrame, by: list[str], accuracy: int) -> DataFrame:
+    """The brackets cut down to the cells that hold their ranks."""
+    inside = _inside(rows, brackets, by)
+    cuts = F.array(*[F.lit(k / CELLS) for k in range(CELLS + 1)])
+    edges = settle(inside.groupBy(*by, "_i").agg(F.array_distinct(F.percentile_approx("value", cuts, accuracy)).alias("_g")))
+    # cell k holds the values from the k-th edge up to, not including, the next
+    cell = F.size(F.filter("_g", lambda g: g <= F.col("value")))
+    cells = inside.join(edges, [*by, "_i"]).groupBy(*by, "_i", cell.alias("_k")).agg(
+        F.count(F.lit(1)).alias("_c"), F.min("value").alias("_min"), F.max("value").alias("_max"))
+    low = rows.join(brackets.groupBy(*by).agg(F.collect_list(F.struct("_i", "_a")).alias("_e")), by).select(
+        *by, F.explode(F.filter("_e", lambda x: F.col("value") < x["_a"])).alias("_x"))
+    low = low.groupBy(*by, F.col("_x._i").alias("_i")).agg(F.count(F.lit(1)).alias("_below"))
+    upto = F.sum("_c").over(Window.partitionBy(*by, "_i").orderBy("_k"))
+    ranked = brackets.join(cells.withColumn("_u", upto), [*by, "_i"]).join(low, [*by, "_i"], "left")
+    first = F.floor((F.col("_n") - 1) * F.col("_p")) - F.coalesce("_below", F.lit(0))
+    last = F.ceil((F.col("_n") - 1) * F.col("_p")) - F.coalesce("_below", F.lit(0))
+    # a rank outside the bracket is the business of the nearest value beyond it
+    hit = (F.col("_u") > first) & (F.col("_u") - F.col("_c") <= last)
+    return ranked.groupBy(*by, "_i", "_n", "_p").agg(
+        F.coalesce(F.min(F.when(hit, F.col("_min"))), F.min("_a")).alias("_a"),
+        F.coalesce(F.max(F.when(hit, F.col("_max"))), F.max("_a")).alias("_b"))
+
+
 # ---------------------------------------------------------------- index extraction
 
 def parse_indices(variable_col: str = "variable") -> F.Column:

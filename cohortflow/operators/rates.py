@@ -104,6 +104,19 @@ def survival_ratios(life: DataFrame, max_year: int | None = None,
     return out
 
 
+def shift_survival(ratios: DataFrame, at_birth: float = 1.0, keys: Sequence[str] = ("region", "year")) -> DataFrame:
+    """Survival moved one age group up: the ratio L(x+5)/L(x) stands at x + 5, the age it leads to.
+
+    The models read the entry of the age reached, and the first one as the
+    survival at birth; ``at_birth`` fills that one. Optional: the default is
+    the unshifted data. The top age's own ratio has no age to lead to and
+    goes; a group is one population's period, bounded by the ages.
+    """
+    before = F.lag("surv").over(Window.partitionBy(*keys).orderBy("age"))
+    first = F.row_number().over(Window.partitionBy(*keys).orderBy("age")) == 1
+    return ratios.withColumn("surv", F.when(first, F.lit(float(at_birth))).otherwise(before))
+
+
 def align_fertility(fert: DataFrame, surv: DataFrame,
                     keys: Sequence[str] = ("region", "year", "age")) -> DataFrame:
     """Fertility on every survival cell: right join on the keys, NULL -> 0."""

@@ -15,6 +15,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalar import log_gamma
 from .draws import base_name
 
 LOG_SQRT_2PI = 0.5 * math.log(2 * math.pi)
@@ -125,6 +126,14 @@ def with_priors(draws: DataFrame, spec: DataFrame) -> DataFrame:
         *draws.columns, F.col("_name").alias("param"), "_prior.*")
 
 
+def density(value: str) -> Column:
+    """Log density of ``value`` under the prior in the row's columns family, p1, p2, lgamma_p1."""
+    return (F.when(F.col("family") == "normal", normal_lpdf(value, "p1", "p2"))
+             .when(F.col("family") == "half_normal", half_normal_lpdf(value, "p2"))
+             .when(F.col("family") == "lognormal", lognormal_lpdf(value, "p1", "p2"))
+             .when(F.col("family") == "gamma", gamma_lpdf(value, "p1", "lgamma_p1", F.col("p2"))))
+
+
 def score_priors(draws: DataFrame, spec: DataFrame, by: Sequence[str] = ("run_id", "chain", "iteration")) -> DataFrame:
     """Prior log density per draw: look up the prior, evaluate, sum.
 
@@ -132,28 +141,54 @@ def score_priors(draws: DataFrame, spec: DataFrame, by: Sequence[str] = ("run_id
     without a prior add nothing and are listed by :func:`unmatched_parameters`.
     """
     j = with_priors(draws, spec).where(F.col("family").isNotNull())
-    dens = (F.when(F.col("family") == "normal", normal_lpdf("value", "p1", "p2"))
-             .when(F.col("family") == "half_normal", half_normal_lpdf("value", "p2"))
-             .when(F.col("family") == "lognormal", lognormal_lpdf("value", "p1", "p2"))
-             .when(F.col("family") == "gamma", gamma_lpdf("value", "p1", "lgamma_p1", F.col("p2"))))
+    dens = density("value")
     keys = [k for k in by if k in j.columns]
     return j.groupBy(*keys).agg(F.sum(dens).alias("log_prior"), F.count(dens).alias("n_terms"))
 
 
+def model_specs(spark: SparkSession, models: dict[str, Sequence[tuple]]) -> DataFrame:
+    """Prior tables of several models as one spec with a ``model`` column."""
+    out = None
+    for name, rows in models.items():
+        part = prior_spec(spark, rows).select(F.lit(name).alias("model"), "*")
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def score_models(draws: DataFrame, specs: DataFrame, by: Sequence[str] = ("run_id", "chain", "iteration")) -> DataFrame:
+    """Prior log density per draw under every model, in one pass over the draws.
+
+    ``specs`` (see :func:`model_specs`) names parameters, not single indices;
+    it is a caller's list, so it is broadcast. A parameter counts for the
+    models that have a prior for it.
+    """
+    j = draws.withColumn("_name", base_name()).join(F.broadcast(specs.withColumnRenamed("param", "_name")), "_name")
+    dens = density("value")
+    keys = [k for k in by if k in draws.columns]
+    return j.groupBy("model", *keys).agg(F.sum(dens).alias("log_prior"), F.count(dens).alias("n_terms"))
+
+
+def dirichlet_log_prior(gammas, shares, factor: float) -> Column:
+    """sum_a Gamma(factor * shares[a], 1) log density of ``gammas``: the Dirichlet prior of a population's own profile.
+
+    NULL without a profile; -Infinity if a gamma is not positive.
+    """
+    term = lambda g, p: gamma_lpdf(g, p * float(factor), log_gamma(p * float(factor)))
+    return F.aggregate(F.zip_with(_c(gammas), _c(shares), term), F.try_add(F.lit(0.0), F.lit(0.0)), lambda acc, v: acc + v)
+
+
 def unmatched_parameters(draws: DataFrame, spec: DataFrame) -> DataFrame:
     """(param, n_values): parameters among the draws that have no prior."""
     return with_priors(draws, spec).where(F.col("family").isNull()).groupBy("param").agg(
         F.count(F.lit(1)).alias("n_values"))
 
 
-def score_cohorts(obs_matrix, cohorts_seen, native_obs, native, t_obs) -> Column:
-    """Disaggregated model: sum_m Normal(obs[m] | cohort[m] in period t_obs, 1) +
-    Normal(native_obs | native[t_obs], 1); 0 when t_obs = 0 (no data).
+def score_cohorts(obs_matrix, cohorts, native_obs, native) -> Column:
+    """One observation of the disaggregated model: sum_m Normal(obs[m] | cohort[m], 1) + Normal(native_obs | native, 1).
 
-    ``cohorts_seen`` holds the cohorts in period ``t_obs``, one per row."""
-    t_obs = _c(t_obs)
+    ``cohorts`` [m][a] and ``native`` [a] are those of the observed period.
+    """
     mig = F.aggregate(
-        F.zip_with(_c(obs_matrix), _c(cohorts_seen), lambda o, c: score_normal(o, c, F.lit(1.0))),
+        F.zip_with(_c(obs_matrix), _c(cohorts), lambda o, c: score_normal(o, c, F.lit(1.0))),
         F.lit(0.0), lambda acc, v: acc + v)
-    nat = score_normal(_c(native_obs), F.try_element_at(_c(native), t_obs), F.lit(1.0))
-    return F.when(t_obs > 0, mig + nat).otherwise(F.lit(0.0))
+    return mig + score_normal(_c(native_obs), _c(native), F.lit(1.0))

@@ -160,13 +160,16 @@ def band_limits(band: str | Column) -> tuple[Column, Column]:
     return F.get(parts, 0).try_cast("int"), F.get(parts, 1).try_cast("int")
 
 
-def spread_bands(counts: DataFrame, band: str, n: str = "n", keep: Sequence[str] = ()) -> DataFrame:
-    """Spread each band's count evenly over its single years [lo, hi).
+def spread_bands(counts: DataFrame, band: str, n: str = "n", keep: Sequence[str] = (),
+                 inclusive_end: bool = False) -> DataFrame:
+    """Spread each band's count evenly over its single years [lo, hi), or [lo, hi] with ``inclusive_end``.
 
     A band without an upper limit (or with hi <= lo) cannot be spread and
     yields no rows; ``unspread_bands`` reports those.
     """
     lo, hi = band_limits(band)
+    if inclusive_end:
+        hi = hi + 1
     c = counts.select(*keep, n, lo.alias("_lo"), hi.alias("_hi"))
     ok = F.col("_hi") > F.col("_lo")
     years = F.when(ok, F.sequence(F.col("_lo"), F.col("_hi") - 1))
@@ -180,7 +183,7 @@ def unspread_bands(counts: DataFrame, band: str, n: str = "n") -> DataFrame:
     return counts.where(~F.coalesce(hi > lo, F.lit(False))).select(band, n)
 
 
-def banded_migrants(survey: DataFrame, axes: DataFrame) -> DataFrame:
+def banded_migrants(survey: DataFrame, axes: DataFrame, inclusive_end: bool = False) -> DataFrame:
     """Banded survey -> migrants by (arrival period, age group), 0-filled grid.
 
     Literal filter semantics: ``mig IS NOT NULL OR mig <> 'Non applicable'``
@@ -191,7 +194,7 @@ def banded_migrants(survey: DataFrame, axes: DataFrame) -> DataFrame:
     m = survey.where(F.col("mig").isNotNull() | (F.col("mig") != "Non applicable"))
     m = m.withColumn("mig_year", to_number("mig")).where(F.col("mig_year") > F.element_at(ax.getField("period_edges"), 1))
     counts = count_by(m, ["age_member", "mig_year"])
-    spread = spread_bands(counts, "age_member", keep=["mig_year"]).withColumn("_ax", ax)
+    spread = spread_bands(counts, "age_member", keep=["mig_year"], inclusive_end=inclusive_end).withColumn("_ax", ax)
     binned = spread.select(
         bin_lower_edge("mig_year", F.col("_ax.period_edges")).cast("int").alias("mig_year"),
         bin_lower_edge("age", F.col("_ax.age_edges")).cast("int").alias("age"), "n")
@@ -200,17 +203,20 @@ def banded_migrants(survey: DataFrame, axes: DataFrame) -> DataFrame:
     return complete_grid(sums, {"mig_year": ax.getField("years"), "age": ax.getField("ages")})
 
 
-def banded_natives(survey: DataFrame, axes: DataFrame, birth_places: Sequence[str]) -> DataFrame:
+def banded_natives(survey: DataFrame, axes: DataFrame, birth_places: Sequence[str],
+                   native_only_non_applicable: bool = False, inclusive_end: bool = False) -> DataFrame:
     """Banded survey -> native-born by age group, 0-filled.
 
     ``mig IS NOT NULL OR mig = 'Non applicable'`` keeps every non-null
-    ``mig`` (real years too), as the reference does.
+    ``mig`` (real years too), as the reference does;
+    ``native_only_non_applicable`` keeps only those who never moved.
     """
     ax = axes_column(axes)
+    stayed = F.col("mig") == "Non applicable"
     s = survey.where(F.col("cbirth").isin(list(birth_places))
-                     & (F.col("mig").isNotNull() | (F.col("mig") == "Non applicable")))
+                     & (stayed if native_only_non_applicable else F.col("mig").isNotNull() | stayed))
     counts = count_by(s, ["age_member"])
-    spread = spread_bands(counts, "age_member").withColumn("_ax", ax)
+    spread = spread_bands(counts, "age_member", inclusive_end=inclusive_end).withColumn("_ax", ax)
     binned = spread.select(bin_lower_edge("age", F.col("_ax.age_edges")).cast("int").alias("age"), "n")
     sums = binned.where(F.col("age").isNotNull()).groupBy("age").agg(F.sum("n").alias("n"))
     return complete_grid(sums, {"age": ax.getField("ages")})

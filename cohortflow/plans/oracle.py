@@ -323,6 +323,18 @@ grid AS (SELECT CAST(y.value AS INTEGER) AS mig_year, CAST(a.age AS INTEGER) AS
 SELECT grid.mig_year, grid.age, {r6('coalesce(su.n, 0.0)', 'n')}
 FROM grid LEFT JOIN su ON su.mig_year = grid.mig_year AND su.age = grid.age"""
 
+O["survival_shifted"] = f"""{duck_cte('v_life')}, {SURV}
+SELECT region, year, age, {r6("coalesce(lag(surv) OVER (PARTITION BY region, year ORDER BY age), 1.0e0)", 'surv')} FROM surv"""
+
+O["count_region_edges"] = f"""
+{duck_cte('v_region_person', 'v_region_edges')},
+iv AS (SELECT region, edge AS lo, lead(edge) OVER w AS hi, lead(edge, 2) OVER w IS NULL AS last
+       FROM v_region_edges WINDOW w AS (PARTITION BY region ORDER BY edge))
+SELECT p.region, iv.lo AS bin, count(*) AS n
+FROM v_region_person p LEFT JOIN iv ON iv.region = p.region AND iv.hi IS NOT NULL AND p.age >= iv.lo
+     AND (p.age < iv.hi OR (iv.last AND p.age = iv.hi))
+GROUP BY p.region, iv.lo"""
+
 O["banded_natives"] = f"""
 {BANDED},
 c AS (SELECT age_member, count(*) AS n FROM s
@@ -336,6 +348,10 @@ SELECT CAST(a.age AS INTEGER) AS age, {r6('coalesce(su.n, 0.0)', 'n')}
 FROM ages a LEFT JOIN su ON su.age = a.age"""
 
 
+O["banded_natives_strict"] = O["banded_natives"].replace("(mig IS NOT NULL OR mig = 'Non applicable')", "mig = 'Non applicable'") \
+    .replace("unnest(range(lo, hi))", "unnest(range(lo, hi + 1))").replace("n / (hi - lo)", "n / (hi + 1 - lo)")
+
+
 # ------------------------------------------------------------ slice 5: arrays and model input
 
 O["to_matrix"] = O["count_cohort_age"].replace(
@@ -494,6 +510,23 @@ SELECT w.run_id, w.variable,
 FROM wide w JOIN fl USING (run_id, variable)"""
 
 
+_EVENT_CHAIN = [(f"{duck_cte('v_draws1')}, dr AS (SELECT * FROM v_draws1)",
+                 f"{duck_cte('v_event_chain')}, dr AS (SELECT * FROM v_event_chain)")]
+
+
+def _on_events(sql: str) -> str:
+    for old, new in _EVENT_CHAIN:
+        assert old in sql
+        sql = sql.replace(old, new)
+    return sql
+
+
+O["convergence_events"] = f"""
+SELECT r.run_id, r.variable, r.rhat, b.ess_bulk, t.ess_tail
+FROM ({_on_events(O['rhat'])}) r LEFT JOIN ({_on_events(O['ess_bulk'])}) b USING (run_id, variable)
+     LEFT JOIN ({_on_events(O['ess_tail'])}) t USING (run_id, variable)"""
+
+
 # ------------------------------------------------------------ slice 7: cohort operators
 # The same arithmetic as the array operators, written with DuckDB list
 # lambdas; folds use list_reduce with an initial value.
@@ -613,6 +646,19 @@ ent AS (SELECT region, draw, t, 1 AS row, a AS col, r[a] AS value
 SELECT region, draw, CAST(t AS INTEGER) AS t, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col,
        round(value, 6) + 0.0e0 AS value FROM ent"""
 
+O["leslie_no_births"] = f"SELECT * FROM ({O['leslie_entries']}) WHERE row > 1"
+
+_PRODUCT = """SELECT l.region, l.draw, l.t0, l.row, r.col, sum(l.value * r.value) AS value
+  FROM ent l JOIN {right} r ON l.region = r.region AND l.draw = r.draw AND l.t0 = r.t0 AND l.col = r.row
+  WHERE l.j = {j} GROUP BY ALL"""
+O["leslie_product"] = O["leslie_entries"].replace("\nSELECT region, draw, CAST(t AS INTEGER) AS t, CAST(row", """,
+ent2 AS (SELECT region, draw, CAST(floor((t - 1) / 4) * 4 AS INTEGER) AS t0, (t - 1) % 4 AS j, row, col, value FROM ent),
+p1 AS (SELECT region, draw, t0, row, col, value FROM ent2 WHERE j = 0),
+""" + ",\n".join(f"p{j + 1} AS ({_PRODUCT.format(right=f'p{j}', j=j).replace('FROM ent l', 'FROM ent2 l')})" for j in (1, 2, 3)) + """
+SELECT region, draw, t0, CAST(row AS INTEGER) AS row, CAST(col AS INTEGER) AS col, round(value, 6) + 0.0e0 AS value FROM p4
+--SELECT region, draw, CAST(t AS INTEGER) AS t, CAST(row""")
+O["leslie_product"] = O["leslie_product"].split("\n--")[0]
+
 _LN_POP0 = (f"list_transform({_shares_softmax('log_pop_0_ratios_raw', 'profile', '1.0e0')}, "
             f"lambda x: x * exp(7.0e0 + 0.7e0 * log_pop_0_total_true_raw))")
 _DIR_POP0 = ("list_transform(list_transform(gamma_dirichlet, lambda x: x / "
@@ -623,6 +669,8 @@ pp AS (SELECT region, draw, {_fold(_LN_POP0, 'len(surv)', _step('acc[-1]', 'surv
        FROM pd)
 {long2('pp', 'pop', value='pop')}"""
 
+O["project_sparse"] = O["project_closed"]
+
 O["project_closed_t"] = f"""{DRAWS},
 pp AS (SELECT region, draw, {_fold(_DIR_POP0, 'len(surv)', _step('acc[-1]', 'surv[t]', 'reprod[t]'))} AS pop
        FROM pd)
@@ -630,6 +678,9 @@ pp AS (SELECT region, draw, {_fold(_DIR_POP0, 'len(surv)', _step('acc[-1]', 'sur
 
 _TOT = ("list_transform(list_transform(log_pop_mig_init_total, lambda v: exp(v)), "
         "lambda v, i: CASE WHEN 15 > 0 AND i > 15 THEN 0.0e0 ELSE v END)")
+_TOBS_MIG = ("CASE WHEN CAST(regexp_extract(region, '([0-9]+)$', 1) AS INTEGER) % 10 = 0 THEN [0] "
+             "WHEN CAST(regexp_extract(region, '([0-9]+)$', 1) AS INTEGER) % 10 = 5 THEN [12, 15] ELSE [15] END")
+_TOT_OBS = _TOT.replace("15", "t_obs[-1]")
 _SH = "list_transform(list_zip(log_pop_mig_init_ratios, mig_props), lambda z: " + \
       _shares_softmax("z[1]", "z[2]", "5.0e0") + ")"
 _START = "list_transform(sh[m], lambda x: x * tot[m])"
@@ -787,10 +838,21 @@ j AS (SELECT d.*, regexp_extract(d.variable, '^([^\\[]+)', 1) AS param, coalesce
 # The prior tables of the registered queries.
 _PRIORS = [("fert", "normal", 0.0, 1.0), ("fert_sub", "half_normal", 0.0, 0.05),
            ("pop_mig_true", "lognormal", math.log(100), 0.3), ("total_pop", "gamma", 2.0, 0.002)]
-_MODEL_PRIORS = [("logit_surv_raw", "normal", 0.0, 1.0), ("log_fert_sub_raw", "normal", 0.0, 1.0),
-                 ("sigma_surv", "half_normal", 0.0, 0.05), ("sigma_fert", "half_normal", 0.0, 0.1),
-                 ("log_pop_mig_init_total", "normal", 4.0, 1.0), ("pop_0_true", "lognormal", math.log(100), 0.3),
-                 *[(f"gamma_dirichlet[{k}]", "gamma", 100 * (k / 36), 1.0) for k in range(1, 9)]]
+_RAW = [("logit_surv_raw", "normal", 0.0, 1.0), ("log_fert_sub_raw", "normal", 0.0, 1.0)]
+_MODEL_PRIORS = {
+    "disaggregated": _RAW + [("sigma_fert", "half_normal", 0.0, 0.05), ("sigma_surv", "half_normal", 0.0, 0.07),
+                             ("log_pop_mig_init_total", "normal", 4.0, 1.0), ("log_pop_mig_init_ratios", "normal", 0.0, 1.0)],
+    "dirichlet_init": _RAW + [("sigma_pop", "half_normal", 0.0, 10.0), ("sigma_fert", "half_normal", 0.0, 1.0),
+                              ("sigma_surv", "half_normal", 0.0, 1.0), ("log_pop_0_total_true_raw", "normal", 0.0, 1.0)],
+    "lognormal_init": _RAW + [("sigma_pop", "half_normal", 0.0, 10.0), ("sigma_fert", "half_normal", 0.0, 10.0),
+                              ("sigma_surv", "half_normal", 0.0, 10.0), ("log_pop_0_total_true_raw", "normal", 0.0, 1.0),
+                              ("log_pop_0_ratios_raw", "normal", 0.0, 1.0)],
+    "lognormal_obs": _RAW + [("sigma_pop", "half_normal", 0.0, 1.0), ("sigma_fert", "half_normal", 0.0, 10.0),
+                             ("sigma_surv", "half_normal", 0.0, 10.0), ("log_pop_0_total_true_raw", "normal", 0.0, 1.0),
+                             ("log_pop_0_ratios_raw", "normal", 0.0, 1.0)],
+    "uniform_init": _RAW + [("sigma_pop", "half_normal", 0.0, 10.0), ("sigma_fert", "half_normal", 0.0, 10.0),
+                            ("sigma_surv", "half_normal", 0.0, 10.0), ("pop_0_true", "lognormal", math.log(100), 0.3)]}
+_EVERY_PRIOR = sorted({r[0]: r for rows in _MODEL_PRIORS.values() for r in rows}.values())
 _ALL_DRAWS = "d0 AS (SELECT * FROM v_draws1 UNION ALL SELECT * FROM v_draws2 UNION ALL SELECT * FROM v_draws3)"
 _LOG_PRIOR = f"""SELECT run_id, chain, iteration, round(sum({_density()}), 6) + 0.0e0 AS log_prior, count(*) AS n_terms
 FROM j WHERE family IS NOT NULL GROUP BY run_id, chain, iteration"""
@@ -800,13 +862,19 @@ O["score_priors"] = f"""
 {duck_cte('v_draws1', 'v_draws2', 'v_draws3')}, {_ALL_DRAWS}, {priors_ctes('d0', _PRIORS)}
 {_LOG_PRIOR}"""
 
-O["score_model_priors"] = f"""
-{duck_cte('v_params')}, {priors_ctes('v_params', _MODEL_PRIORS)}
-{_LOG_PRIOR}"""
+O["score_model_priors"] = "\nUNION ALL\n".join(f"""SELECT '{_m}' AS model, * FROM (
+{duck_cte('v_params')}, {priors_ctes('v_params', _rows)}
+{_LOG_PRIOR})""" for _m, _rows in _MODEL_PRIORS.items())
+
+_GAMMA = """CASE WHEN z[1] <= 0 THEN '-inf'::DOUBLE ELSE
+  (500 * z[2] - 1) * ln(z[1]) - z[1] - lgamma(500 * z[2]) END"""
+O["score_dirichlet_prior"] = f"""{DRAWS}
+SELECT region, draw, round({_sum(f"list_transform(list_zip(gamma_dirichlet, profile), lambda z: {_GAMMA})")}, 6) + 0.0e0 AS log_prior
+FROM pb"""
 
 O["unmatched_parameters"] = f"""
 SELECT * FROM ({duck_cte('v_draws1', 'v_draws2', 'v_draws3')}, {_ALL_DRAWS}, {priors_ctes('d0', _PRIORS)} {_NO_PRIOR})
-UNION ALL SELECT * FROM ({duck_cte('v_params')}, {priors_ctes('v_params', _MODEL_PRIORS)} {_NO_PRIOR})"""
+UNION ALL SELECT * FROM ({duck_cte('v_params')}, {priors_ctes('v_params', _EVERY_PRIOR)} {_NO_PRIOR})"""
 
 def _grid(name: str, value: str) -> str:
     """Rows of a registered count query as a subquery."""
@@ -822,7 +890,7 @@ obs AS (
   UNION ALL SELECT 'pop_native_obs', 1, dense_rank() OVER (ORDER BY age), n FROM {_grid('count_native_age', 'age, n')}
   UNION ALL SELECT 'pop_obs', 1, dense_rank() OVER (ORDER BY age), n FROM {_grid('count_full_outer', 'age, n')}
   UNION ALL SELECT * FROM (VALUES ('t_obs', 1, 1, 15.0), ('n_obs', 1, 1, 1.0), ('fert_hyper', 1, 1, 0.05),
-    ('surv_hyper', 1, 1, 0.07), ('sd_init_ratios', 1, 1, 5.0), ('dirichlet_factor', 1, 1, 100.0)) c),
+    ('surv_hyper', 1, 1, 0.07), ('sd_init_ratios', 1, 1, 5.0), ('dirichlet_factor', 1, 1, 500.0)) c),
 f AS (SELECT *, min(year) OVER (PARTITION BY region) AS y0, max(age) OVER (PARTITION BY region) AS amax FROM shares)
 SELECT region, field, 1 AS i, CAST(t AS INTEGER) AS t, CAST(a AS INTEGER) AS a, {r6('value', 'value')} FROM (
   SELECT region, field, t, a, value FROM regions, obs
@@ -860,6 +928,19 @@ UNION ALL SELECT 'lookup', count(*), round(CAST(sum(length(tribe_name)) AS DOUBL
 UNION ALL SELECT 'draws', count(*), round(sum(value), 3) FROM v_draws2 WHERE variable LIKE 'fert[%'"""
 
 
+O["preamble_rates"] = f"""
+{duck_cte('v_pop_wide')}, p AS ({tidy_sql('v_pop_wide', POP_BANDS, 'pop', False)})
+SELECT * REPLACE (round(pop, 6) + 0.0e0 AS pop) FROM p"""
+
+O["sampler_roundtrip"] = f"""
+{duck_cte('v_draws2')}
+SELECT run_id, regexp_extract(variable, '^([^\\[]+)', 1) AS base, {idx(1)} AS t, {idx(2)} AS a, count(*) AS n,
+       {r6('sum(value)', 'total')}, {r6('sum(value * chain)', 'by_chain')}
+FROM v_draws2 GROUP BY run_id, variable"""
+
+O["extract_dictionary"] = O["extract_indexed_2"]
+
+
 # ------------------------------------------------------------ additions: uniform initial, cohort scores
 
 O["project_uniform"] = f"""{DRAWS},
@@ -868,7 +949,8 @@ pp AS (SELECT region, draw, {_fold(_UNI_POP0, 'len(surv)', _step('acc[-1]', 'sur
 {long2('pp', 'pop', value='pop')}"""
 
 _DISAGG_OBS = DISAGG.replace(duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows'),
-                             duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows', 'v_person'))
+                             duck_cte('v_life', 'v_fert_wide', 'v_pop_wide', 'v_pop_wide_proj', 'v_rows', 'v_person')) \
+    .replace(f"SELECT *, {_TOT} AS tot", f"SELECT *, {_TOT_OBS} AS tot").replace("FROM pd),\ndc AS", f"FROM (SELECT *, {_TOBS_MIG} AS t_obs FROM pd)),\ndc AS")
 _NORM1 = _normal("z[1]", "z[2]", "1.0e0")
 
 O["score_disaggregated"] = f"""{_DISAGG_OBS}, {BINS},
@@ -889,12 +971,11 @@ nb AS (SELECT CAST(abx.lo AS INTEGER) AS age FROM np0 LEFT JOIN abins abx ON {in
 nc AS (SELECT age, count(*) AS n FROM nb WHERE age IS NOT NULL GROUP BY age),
 nv AS (SELECT list(CAST(coalesce(nc.n, 0) AS DOUBLE) ORDER BY a.age) AS nat_obs
        FROM ages a LEFT JOIN nc ON nc.age = a.age)
-SELECT region, draw, round(CASE WHEN 15 > 0 THEN
+SELECT region, draw, CAST(len(t_obs) AS INTEGER) AS n_obs, round({_over(f"""
          list_reduce(list_transform(list_zip(mig_obs, cohorts), lambda zz:
-             {_sum("list_transform(list_zip(zz[1], zz[2][15]), lambda z: " + _NORM1 + ")")}),
+             {_sum("list_transform(list_zip(zz[1], zz[2][tt]), lambda z: " + _NORM1 + ")")}),
            lambda x, y: x + y, 0.0e0)
-         + {_sum("list_transform(list_zip(nat_obs, native[15]), lambda z: " + _NORM1 + ")")}
-       ELSE 0.0e0 END, 2) + 0.0e0 AS obs_ll
+         + {_sum("list_transform(list_zip(nat_obs, native[tt]), lambda z: " + _NORM1 + ")")}""")}, 2) + 0.0e0 AS obs_ll
 FROM dn, mm, nv"""
 
 
@@ -915,3 +996,5 @@ SELECT s.run_id, s.variable, {r6('s.mean', 'mean')}, {r6('s.sd', 'sd')},
        round(CASE WHEN fl.cst OR w.el IS NULL OR w.eh IS NULL THEN NULL ELSE least(w.el, w.eh) END, 6) + 0.0e0 AS ess_tail
 FROM summ s LEFT JOIN rh USING (run_id, variable) LEFT JOIN wide w USING (run_id, variable)
      LEFT JOIN fl USING (run_id, variable)"""
+
+O["summarise_bucketed"] = O["summarise_full"]

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators import dims, draws, rates, reports
-from ..session import round_doubles
+from ..session import round_doubles, settle
 from . import common
 from .common import fixture
 
@@ -190,7 +190,7 @@ def q_period_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ slice 4: survey counts
 
-from ..operators import survey  # noqa: E402
+from ..operators import intervals, survey  # noqa: E402
 
 
 @register
@@ -253,6 +253,28 @@ def q_banded_natives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(out)
 
 
+@register
+def q_banded_natives_strict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Native-born who never moved, bands spread to their last year inclusive."""
+    out = survey.banded_natives(common.banded_survey(spark, sf_dir), common.survey_axes(spark, sf_dir),
+                                common.NATIVE_BIRTH_PLACES, native_only_non_applicable=True, inclusive_end=True)
+    return round_doubles(out)
+
+
+@register
+def q_survival_shifted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Survival at the age it leads to, 1 at birth."""
+    return round_doubles(rates.shift_survival(common.survival(spark, sf_dir)).select("region", "year", "age", "surv"))
+
+
+@register
+def q_count_region_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Persons per age group, every region with edges of its own; a NULL group holds those outside."""
+    raw = survey.count_by(fixture(spark, sf_dir, "v_region_person"), ["region", "age"])
+    binned = intervals.bin_by_table(raw, fixture(spark, sf_dir, "v_region_edges"), ["region"], "age")
+    return binned.groupBy("region", "bin").agg(F.sum("n").alias("n"))
+
+
 # ------------------------------------------------------------ slice 5: arrays and model input
 
 @register
@@ -347,9 +369,19 @@ def q_ess_tail(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(_ess(spark, sf_dir).select("run_id", "variable", "ess_tail"))
 
 
+from ..operators import long_chains  # noqa: E402
+
+
+@register
+def q_convergence_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """R-hat and ESS of a few variables that own the whole table, one long chain each."""
+    return round_doubles(long_chains.convergence(fixture(spark, sf_dir, "v_event_chain")))
+
+
 # ------------------------------------------------------------ slice 7: cohort operators
 
-from ..operators import cohort, cohort_block  # noqa: E402
+from ..functions.scalar import once  # noqa: E402
+from ..operators import cohort, leslie  # noqa: E402
 
 _DRAW = ["region", "draw"]
 
@@ -379,6 +411,29 @@ def q_leslie_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(ent.select(*_DRAW, "t", "e.row", "e.col", "e.value"))
 
 
+@register
+def q_leslie_no_births(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The migrant cohorts' matrices: no first row."""
+    return round_doubles(leslie.triplets(common.projected_rows(spark, sf_dir), _DRAW, births=False))
+
+
+@register
+def q_leslie_product(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twenty-year matrices: products of four consecutive periods, from sparse products."""
+    m = leslie.triplets(common.projected_rows(spark, sf_dir), _DRAW)
+    return round_doubles(leslie.product(m, _DRAW, 4))
+
+
+@register
+def q_project_sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The closed projection by keyed joins of triplets (the same rows as project_closed)."""
+    d = settle(common.projected_rows(spark, sf_dir).select(*_DRAW, "Time", "surv", "reprod", lognormal_pop0().alias("pop0")))
+    start = common.explode_pos(d, _DRAW, "pop0", "a", "value").withColumn("a", F.col("a") + 1)
+    periods = d.agg(F.max("Time")).first()[0] or 1
+    out = leslie.project(leslie.triplets(d, _DRAW), start, _DRAW, periods)
+    return round_doubles(out.select(*_DRAW, "t", "a", F.col("value").alias("pop")))
+
+
 def lognormal_pop0() -> F.Column:
     shares = cohort.shares_softmax("log_pop_0_ratios_raw", "profile")
     return cohort.scale_vector(shares, cohort.initial_total("log_pop_0_total_true_raw"))
@@ -408,12 +463,23 @@ T_OBS = 15
 SD_INIT_RATIOS = 5.0
 
 
-def disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = common.projected_rows(spark, sf_dir)
-    totals = cohort.zero_after(F.transform("log_pop_mig_init_total", lambda v: F.exp(v)), F.lit(T_OBS))
+def disaggregated(spark: SparkSession, sf_dir: str, t_obs: F.Column | None = None) -> DataFrame:
+    """Draws with arrivals, diagonal survival, all migrants together, births and native-born.
+
+    ``t_obs`` is the array of a population's observed periods; nobody arrives
+    after the last one.
+    """
+    t_obs = F.array(F.lit(T_OBS)) if t_obs is None else t_obs
+    d = common.projected_rows(spark, sf_dir).withColumn("t_obs", t_obs)
+    arrivals = cohort.zero_after(F.transform("log_pop_mig_init_total", lambda v: F.exp(v)), F.element_at("t_obs", -1))
     shares = F.zip_with("log_pop_mig_init_ratios", "mig_props",
                         lambda raw, p: cohort.shares_softmax(raw, p, sd=SD_INIT_RATIOS))
-    return cohort_block.disaggregate(d.withColumn("mig_start", cohort.migrant_starts(totals, shares)), _DRAW, T_OBS)
+    d = d.select(*_DRAW, "K", "t_obs", "surv", "reprod", cohort.migrant_starts(arrivals, shares).alias("mig_start"))
+    d = once(d, surv_=F.col("surv"), reprod_=F.col("reprod"), start_=F.col("mig_start")).select(
+        *_DRAW, "K", "t_obs", F.col("surv_").alias("surv"), F.col("reprod_").alias("reprod"), F.col("start_").alias("mig_start"))
+    d = once(d, grid=cohort.survivorship("surv"), pooled=cohort.pooled_migrants("mig_start", "surv"))
+    d = once(d, births=cohort.migrant_births("pooled", "reprod"))
+    return once(d, native=cohort.project_native("births", "surv", "reprod", "K"))
 
 
 @register
@@ -424,20 +490,35 @@ def q_project_uniform(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(common.long3(d, _DRAW, "pop", value="pop"))
 
 
+def arrivals_observed() -> F.Column:
+    """Fixed values of the survey fixture: the observed periods of a population's migrants.
+
+    Most populations are observed once, in period 15 as in the runs; some
+    twice; some never (0).
+    """
+    n = F.regexp_extract("region", "([0-9]+)$", 1).cast("int")
+    return F.when(n % 10 == 0, F.array(F.lit(0))).when(n % 10 == 5, F.array(F.lit(12), F.lit(T_OBS))).otherwise(
+        F.array(F.lit(T_OBS)))
+
+
 @register
 def q_score_disaggregated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The survey scored against migrants and native-born in every observed period of a population."""
     grid = survey.count_cohort_age(fixture(spark, sf_dir, "v_person"), common.survey_axes(spark, sf_dir))
     mig_obs = dims.to_matrix(grid, "mig_year", "age", "n").select("matrix").scalar()
-    d = disaggregated(spark, sf_dir).withColumns({"mig_obs": mig_obs,
-                                                  "nat_obs": _vector(native_grid(spark, sf_dir))})
-    ll = scoring.score_cohorts("mig_obs", "cohorts_seen", "nat_obs", "native", F.lit(T_OBS))
+    d = disaggregated(spark, sf_dir, arrivals_observed()).withColumns({
+        "mig_obs": mig_obs, "nat_obs": _vector(native_grid(spark, sf_dir))})
+    score = lambda t: scoring.score_cohorts("mig_obs", cohort.cohorts_at("mig_start", "grid", t), "nat_obs",
+                                            F.try_element_at("native", t))
     # log-likelihoods of order 1e6 (unit observation sd): compared at 0.01
-    return round_doubles(d.select(*_DRAW, ll.alias("obs_ll")), 2)
+    return round_doubles(d.select(*_DRAW, F.size("t_obs").alias("n_obs"),
+                                  scoring.over_observations("t_obs", score).alias("obs_ll")), 2)
 
 
 @register
 def q_project_migrants(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return round_doubles(common.long3(disaggregated(spark, sf_dir), _DRAW, "cohort_totals", ("mig_year", "t"), "pop"))
+    d = once(disaggregated(spark, sf_dir), sizes=cohort.cohort_sizes("mig_start", "grid"))
+    return round_doubles(common.long3(d, _DRAW, "sizes", ("mig_year", "t"), "pop"))
 
 
 @register
@@ -455,7 +536,7 @@ def q_project_native(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register
 def q_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = disaggregated(spark, sf_dir)
-    out = common.explode_pos(d, _DRAW, cohort.totals("native", "cohort_totals"), "t", "v")
+    out = common.explode_pos(d, _DRAW, cohort.totals("native", "pooled"), "t", "v")
     return round_doubles(out.select(*_DRAW, (F.col("t") + 1).alias("t"), F.col("v.native").alias("native"),
                                     F.col("v.migrant").alias("migrant"),
                                     (F.col("v.native") + F.col("v.migrant")).alias("total")))
@@ -508,19 +589,27 @@ def observed_periods() -> F.Column:
         F.array(F.lit(14)))
 
 
+def observed_rows(spark: SparkSession, sf_dir: str, top_offset: int) -> DataFrame:
+    return common.projected_rows(spark, sf_dir).withColumns({
+        "t_obs": observed_periods(), "obs": _vector(household_grid(spark, sf_dir, top_offset))})
+
+
+def counts_score(pop: str) -> F.Column:
+    return scoring.over_observations("t_obs", lambda t: scoring.score_normal("obs", F.try_element_at(pop, t), "sigma_pop"))
+
+
+def composition_score(pop: str) -> F.Column:
+    from ..functions.scalar import floor_at
+    return scoring.over_observations("t_obs", lambda t: scoring.score_lognormal_composition(
+        floor_at("obs", 0.001), F.try_element_at(pop, t), "sigma_pop"))
+
+
 def scored(spark: SparkSession, sf_dir: str, pop0: F.Column, rate_offset: int, top_offset: int,
            composition: bool = False) -> DataFrame:
     """Household observations scored against a closed projection, at each population's observed periods."""
-    from ..functions.scalar import floor_at
-    d = common.projected_rows(spark, sf_dir).withColumns({
-        "t_obs": observed_periods(), "obs": _vector(household_grid(spark, sf_dir, top_offset))})
-    d = d.withColumn("pop", cohort.project_closed(pop0, "surv", "reprod", rate_offset=rate_offset))
-    if composition:
-        score = lambda t: scoring.score_lognormal_composition(
-            floor_at("obs", 0.001), F.try_element_at("pop", t), "sigma_pop")
-    else:
-        score = lambda t: scoring.score_normal("obs", F.try_element_at("pop", t), "sigma_pop")
-    return d.select(*_DRAW, F.size("t_obs").alias("n_obs"), scoring.over_observations("t_obs", score).alias("obs_ll"))
+    d = observed_rows(spark, sf_dir, top_offset).withColumn("pop", cohort.project_closed(pop0, "surv", "reprod", rate_offset))
+    score = composition_score("pop") if composition else counts_score("pop")
+    return d.select(*_DRAW, F.size("t_obs").alias("n_obs"), score.alias("obs_ll"))
 
 
 @register
@@ -549,10 +638,12 @@ def q_score_dirichlet_init(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def q_score_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The two models with a log-normal initial population side by side."""
-    normal = scored(spark, sf_dir, lognormal_pop0(), 1, 0).withColumnRenamed("obs_ll", "normal_ll")
-    ratios = scored(spark, sf_dir, lognormal_pop0(), 0, 0, composition=True)
-    return round_doubles(normal.join(ratios.select(*_DRAW, F.col("obs_ll").alias("lognormal_ll")), _DRAW))
+    """The two models with a log-normal initial population side by side, from one row."""
+    d = observed_rows(spark, sf_dir, 0).withColumn("pop0", lognormal_pop0())
+    d = d.withColumns({"pop": cohort.project_closed("pop0", "surv", "reprod", 1),
+                       "pop_t": cohort.project_closed("pop0", "surv", "reprod", 0)})
+    return round_doubles(d.select(*_DRAW, F.size("t_obs").alias("n_obs"), counts_score("pop").alias("normal_ll"),
+                                  composition_score("pop_t").alias("lognormal_ll")))
 
 
 # Prior families of the totals and rates fixtures.
@@ -562,21 +653,29 @@ PRIORS = [
     ("pop_mig_true", "lognormal", 4.605170185988092, 0.3),
     ("total_pop", "gamma", 2.0, 0.002),
 ]
-# The models' priors. Raw rates are standard normal, scales
-# half-normal (hyper 0.05 and 0.1), migrant log totals Normal(4, 1), uniform
-# initial counts LogNormal(log 100, 0.3), Dirichlet gammas Gamma(factor times
-# the age's share, 1) with factor 100.
-DIRICHLET_FACTOR = 100
-INITIAL_SHARES = [k / 36 for k in range(1, 9)]
-MODEL_PRIORS = [
-    ("logit_surv_raw", "normal", 0.0, 1.0),
-    ("log_fert_sub_raw", "normal", 0.0, 1.0),
-    ("sigma_surv", "half_normal", 0.0, 0.05),
-    ("sigma_fert", "half_normal", 0.0, 0.1),
-    ("log_pop_mig_init_total", "normal", 4.0, 1.0),
-    ("pop_0_true", "lognormal", 4.605170185988092, 0.3),
-    *[(f"gamma_dirichlet[{k + 1}]", "gamma", DIRICHLET_FACTOR * p, 1.0) for k, p in enumerate(INITIAL_SHARES)],
-]
+# The models' priors. Raw rates are standard normal in every
+# model; the scales are half-normal with each model's own hyper-scale.
+DIRICHLET_FACTOR = 500
+FERT_HYPER, SURV_HYPER = 0.05, 0.07
+RAW_RATES = [("logit_surv_raw", "normal", 0.0, 1.0), ("log_fert_sub_raw", "normal", 0.0, 1.0)]
+
+
+def _scales(pop: float | None, fert: float, surv: float) -> list[tuple]:
+    out = [("sigma_fert", "half_normal", 0.0, fert), ("sigma_surv", "half_normal", 0.0, surv)]
+    return out if pop is None else [("sigma_pop", "half_normal", 0.0, pop), *out]
+
+
+RAW_TOTAL = ("log_pop_0_total_true_raw", "normal", 0.0, 1.0)
+RAW_RATIOS = ("log_pop_0_ratios_raw", "normal", 0.0, 1.0)
+MODEL_PRIORS = {
+    "disaggregated": [*RAW_RATES, *_scales(None, FERT_HYPER, SURV_HYPER), ("log_pop_mig_init_total", "normal", 4.0, 1.0),
+                      ("log_pop_mig_init_ratios", "normal", 0.0, 1.0)],
+    # its gammas depend on a population's profile: score_dirichlet_prior
+    "dirichlet_init": [*RAW_RATES, *_scales(10.0, 1.0, 1.0), RAW_TOTAL],
+    "lognormal_init": [*RAW_RATES, *_scales(10.0, 10.0, 10.0), RAW_TOTAL, RAW_RATIOS],
+    "lognormal_obs": [*RAW_RATES, *_scales(1.0, 10.0, 10.0), RAW_TOTAL, RAW_RATIOS],
+    "uniform_init": [*RAW_RATES, *_scales(10.0, 10.0, 10.0), ("pop_0_true", "lognormal", 4.605170185988092, 0.3)],
+}
 
 
 def _all_draws(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -591,23 +690,28 @@ def q_score_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @register
 def q_score_model_priors(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Draws named like the models' parameters under the models' priors."""
-    return round_doubles(scoring.score_priors(fixture(spark, sf_dir, "v_params"),
-                                              scoring.prior_spec(spark, MODEL_PRIORS)))
+    """Draws named like the models' parameters under each model's own priors."""
+    return round_doubles(scoring.score_models(fixture(spark, sf_dir, "v_params"),
+                                              scoring.model_specs(spark, MODEL_PRIORS)))
+
+
+@register
+def q_score_dirichlet_prior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The Dirichlet prior of the initial shares: gammas with a shape of factor times the population's own share."""
+    d = common.draw_rows(spark, sf_dir)
+    return round_doubles(d.select(*_DRAW, scoring.dirichlet_log_prior(
+        "gamma_dirichlet", "profile", DIRICHLET_FACTOR).alias("log_prior")))
 
 
 @register
 def q_unmatched_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parameters without a prior: their values are not scored."""
+    """Parameters without a prior of their own name: their values are not scored by it."""
     a = scoring.unmatched_parameters(_all_draws(spark, sf_dir), scoring.prior_spec(spark, PRIORS))
-    b = scoring.unmatched_parameters(fixture(spark, sf_dir, "v_params"), scoring.prior_spec(spark, MODEL_PRIORS))
+    every = sorted({row[0]: row for rows in MODEL_PRIORS.values() for row in rows}.values())
+    b = scoring.unmatched_parameters(fixture(spark, sf_dir, "v_params"), scoring.prior_spec(spark, every))
     return a.union(b)
 
 
-# Fixed values of the disaggregated and Dirichlet runs.
-FERT_HYPER, SURV_HYPER = 0.05, 0.07
-
-
 @register
 def q_model_record(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The record's observation and prior fields, one row per cell (i: observation, t: period, a: age)."""
@@ -659,7 +763,7 @@ def q_overlay_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ slice 9: run store
 
-from ..sources import store  # noqa: E402
+from ..sources import draws_table, sampler, store  # noqa: E402
 
 
 def _scratch(spark: SparkSession, sf_dir: str, name: str) -> str:
@@ -711,6 +815,64 @@ def q_sources_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return round_doubles(rep, 3)
 
 
+# The long headers of the population export, and their names here.
+EXPORT_HEADERS = {"region": "Region, subregion, country or area *", "period": "Reference date (as of 1 July)"}
+
+
+@register
+def q_preamble_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The population table written as an export (notes above a header line with long names), read back and tidied."""
+    path = _scratch(spark, sf_dir, "export")
+    wide = fixture(spark, sf_dir, "v_pop_wide")
+    bands = [c for c in wide.columns if c not in ("region", "period", "Variant", "Notes")]
+    names = ["Index", "Variant", EXPORT_HEADERS["region"], "Notes", "Country code", EXPORT_HEADERS["period"], *bands]
+    number = F.regexp_extract("region", "([0-9]+)$", 1).try_cast("int")
+    wide.select(F.coalesce(number, F.lit(0)).alias("Index"), "Variant", "region", "Notes", F.lit("900"), "period",
+                *[F.col(f"`{b}`") for b in bands]).write.csv(path)
+    header = ",".join(f'"{n}"' if "," in n else n for n in names)
+    notes = [F.lit("Population by age"), F.lit("File POP/1, notes, and more notes"), F.lit(",,,"), F.lit(header)]
+    spark.range(1).select(F.explode(F.array(*notes)).alias("value")).write.mode("append").text(path)
+    read = store.read_numbered_wide(spark, path, rename={v: k for k, v in EXPORT_HEADERS.items()})
+    return round_doubles(rates.tidy_rates(read.drop("Index", "Country code"), "pop"))
+
+
+@register
+def q_sampler_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Draws written as sampler files (a text file per chain, comments, one column per variable) and read back by header."""
+    path = _scratch(spark, sf_dir, "sampler")
+    sampler.write_sampler(fixture(spark, sf_dir, "v_draws2"), path)
+    run = sampler.read_sampler(spark, path)
+    sums = run.draws.groupBy("run_id", "var_id").agg(
+        F.count("value").alias("n"), F.sum("value").alias("total"), F.sum(F.col("value") * F.col("chain")).alias("by_chain"))
+    out = sums.join(run.dictionary, ["run_id", "var_id"])
+    return round_doubles(out.select("run_id", "base", F.get("indices", 0).alias("t"), F.get("indices", 1).alias("a"),
+                                    "n", "total", "by_chain"))
+
+
+def bucketed(spark: SparkSession, sf_dir: str, view: str) -> str:
+    """The view's draws as a bucketed table; its name."""
+    import uuid
+    name = f"d_{uuid.uuid4().hex}"
+    draws_table.open_table(spark, name, _scratch(spark, sf_dir, "table"))
+    draws_table.write_runs(spark, name, draws_table.keyed(fixture(spark, sf_dir, view)))
+    return name
+
+
+@register
+def q_summarise_bucketed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The full summary from a bucketed table: no exchange of draws (the same rows as summarise_full)."""
+    out = draws_table.summarise(spark, bucketed(spark, sf_dir, "v_draws1"), diagnostics=True)
+    return round_doubles(out.drop("var_id", "base", "indices"))
+
+
+@register
+def q_extract_dictionary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One parameter's labelled summary by the dictionary's indices; other parameters' folders are not read."""
+    out = draws_table.extract(spark, bucketed(spark, sf_dir, "v_draws2"), "fert", ["year", "age"], probs=(0.05, 0.5, 0.95),
+                              mappings={"year": common.year_dim(spark, sf_dir), "age": common.age_dim(spark, sf_dir)})
+    return round_doubles(out.drop("variable"))
+
+
 @register
 def q_summarise_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs' full summary: mean, sd, 9 quantiles, R-hat, bulk/tail ESS."""

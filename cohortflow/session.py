@@ -77,6 +77,13 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
+def make_folder(spark: SparkSession, path: str) -> None:
+    """Make a shared folder if it is missing, through the file system that its path names."""
+    sc = spark.sparkContext
+    where = sc._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(sc._jsc.hadoopConfiguration()).mkdirs(where)
+
+
 def drop_folder(spark: SparkSession, path: str) -> None:
     """Delete a folder that this session wrote, through the file system that its path names."""
     sc = spark.sparkContext

@@ -286,6 +286,36 @@ def v_events(d: str) -> str:
     FROM {t('events')}"""
 
 
+def v_event_chain(d: str) -> str:
+    """Events as one long chain per type: five variables own the whole table."""
+    t = partial(_t, d)
+    return f"""
+    SELECT 'events' AS run_id, event_type AS variable, 1 AS chain, event_id AS iteration, value
+    FROM {t('events')}"""
+
+
+def v_region_person(d: str) -> str:
+    """Persons with their region and age."""
+    t = partial(_t, d)
+    return f"""
+    SELECT n.n_name AS region, l.l_quantity AS age
+    FROM {t('lineitem')} l
+    JOIN {t('orders')} o ON l.l_orderkey = o.o_orderkey
+    JOIN {t('customer')} c ON o.o_custkey = c.c_custkey
+    JOIN {t('nation')} n ON c.c_nationkey = n.n_nationkey"""
+
+
+def v_region_edges(d: str) -> str:
+    """Age edges of every region: steps of 5, 10 or 15 years, from 0 or 10, the top group open in some."""
+    t = partial(_t, d)
+    ages = (f"{t('nation')} LATERAL VIEW explode(sequence(0, 45, 5)) e AS age" if d.startswith("spark")
+            else f"(SELECT *, unnest(generate_series(0, 45, 5)) AS age FROM {t('nation')}) x")
+    return f"""
+    SELECT n_name AS region, CAST(age AS DOUBLE) AS edge FROM {ages}
+    WHERE age % (5 * (1 + n_nationkey % 3)) = 0 AND age >= 10 * (n_nationkey % 2)
+    UNION ALL SELECT n_name, CAST('Infinity' AS DOUBLE) FROM {t('nation')} WHERE n_nationkey % 4 <> 0"""
+
+
 def v_rows(d: str) -> str:
     """One embeddings row = one posterior draw of one population."""
     t = partial(_t, d)
@@ -312,6 +342,9 @@ FIXTURES = {
     "v_draws3": (v_draws3, ("embeddings",)),
     "v_params": (v_params, ("embeddings",)),
     "v_events": (v_events, ("events",)),
+    "v_event_chain": (v_event_chain, ("events",)),
+    "v_region_person": (v_region_person, ("lineitem", "orders", "customer", "nation")),
+    "v_region_edges": (v_region_edges, ("nation",)),
     "v_rows": (v_rows, ("embeddings",)),
 }
 

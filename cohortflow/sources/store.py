@@ -4,6 +4,10 @@ A run artifact is three Parquet tables partitioned by ``run_id`` (data,
 summary table, mappings) plus the draws themselves, so every run is its own
 partition and re-running one run overwrites only its partition (dynamic
 partition overwrite). Reading one run prunes the others at the scan.
+
+Draws reach a run from several writers (a whole run, streams of finished
+chains), so the ``draws`` table has one more partition column: ``part``, the
+writer. Each writer replaces only what it wrote itself.
 """
 
 from __future__ import annotations
@@ -33,23 +37,35 @@ def read_wide(spark: SparkSession, path: str, columns: Sequence[str] | None = No
     return reader.parquet(path)
 
 
-def read_numbered_wide(spark: SparkSession, path: str, columns: Sequence[str], numbered: str,
+def export_header(spark: SparkSession, path: str, numbered: str) -> list[str]:
+    """Column names of a wide export: the cells of its header line, the one that begins with ``numbered``.
+
+    One line of the files reaches the driver. Files without it raise.
+    """
+    from .sampler import CELL
+    lines = spark.read.text(path).where(F.regexp_replace(F.trim("value"), '^"', "").startswith(numbered))
+    line = lines.agg(F.min("value")).first()[0]
+    if line is None:
+        raise ValueError(f"no header line that begins with {numbered!r} in {path}")
+    cells = spark.range(1).select(F.regexp_extract_all(F.lit(line), F.lit(CELL), F.lit(1))).first()[0]
+    return [c.strip().strip('"').replace('""', '"') for c in cells]
+
+
+def read_numbered_wide(spark: SparkSession, path: str, columns: Sequence[str] | None = None, numbered: str = "Index",
                        rename: Mapping[str, str] | None = None) -> DataFrame:
-    """Wide CSV export with preamble rows above its header.
+    """Wide CSV export with preamble rows above its header, every column as text.
 
-    ``columns`` names the columns by position. Data rows are those whose
-    ``numbered`` column holds an integer; preamble and header rows have none.
-    ``rename`` maps long headers to the names used here.
+    The header line begins with the ``numbered`` column; ``columns`` gives
+    the names by position where the files have none. Data rows are those
+    whose ``numbered`` column holds an integer; preamble and header rows
+    have none. ``rename`` maps long headers to the names used here.
     """
-    df = spark.read.schema(all_string_schema(columns)).csv(path)
+    names = list(columns) if columns is not None else export_header(spark, path, numbered)
+    df = spark.read.schema(all_string_schema(names)).csv(path)
     df = df.where(F.col(f"`{numbered}`").try_cast("int").isNotNull())
     return df.withColumnsRenamed(dict(rename or {}))
 
 
-def read_wide_sheets(spark: SparkSession, paths: Sequence[str], **kw) -> list[DataFrame]:
-    return [read_wide(spark, p, **kw) for p in paths]
-
-
 def read_survey(spark: SparkSession, path: str, schema: T.StructType | str) -> DataFrame:
     return spark.read.schema(schema).parquet(path)
 
@@ -106,11 +122,23 @@ def write_runs(spark: SparkSession, tables: Mapping[str, DataFrame], root: str |
     """
     root = root or default_root(spark)
     for name, df in tables.items():
-        (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
-         .parquet(f"{root}/{name}"))
+        if name == "draws":
+            write_draws(df, root, WHOLE_RUN)
+        else:
+            (df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id")
+             .parquet(f"{root}/{name}"))
     return root
 
 
+WHOLE_RUN = "run"
+
+
+def write_draws(draws: DataFrame, root: str, part: str) -> None:
+    """Draws of any runs from one writer; what this writer wrote for these runs before is replaced, nothing else."""
+    (draws.withColumn("part", F.lit(part)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
+     .partitionBy("run_id", "part").parquet(f"{root}/draws"))
+
+
 def write_mappings(spark: SparkSession, run_id: str, mappings: Mapping[str, DataFrame] |
                    Sequence[tuple[str, DataFrame]], root: str | None = None) -> str:
     """Ordered (name, dimension) mappings as one table with their order."""
@@ -128,6 +156,8 @@ def read_run(spark: SparkSession, name: str, run_id: str | Sequence[str] | None
     """One table of one or several runs (partition-pruned)."""
     root = root or default_root(spark)
     df = spark.read.parquet(f"{root}/{name}")
+    if name == "draws":
+        df = df.drop("part")
     if run_id is None:
         return df
     ids = [run_id] if isinstance(run_id, str) else list(run_id)

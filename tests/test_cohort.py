@@ -4,7 +4,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from cohortflow.operators import cohort, cohort_block
+from cohortflow.functions.scalar import once
+from cohortflow.operators import cohort
+from tests.dense import project_block
 
 
 def _leslie(s, r):
@@ -46,34 +48,54 @@ def test_project_closed_matches_numpy(spark, offset):
         assert np.allclose(got[t], pop, rtol=1e-12)
 
 
-def test_disaggregated_invariants(spark):
-    df, surv, fert, pop0 = _frame(spark, T=6, K=5, seed=2)
-    T = 6
+def _migrants(df, t_obs):
+    df = df.withColumn("tot", cohort.zero_after("tot", F.lit(t_obs)))
+    df = once(df, start=cohort.migrant_starts("tot", "sh"))
+    df = once(df, grid=cohort.survivorship("surv"), pooled=cohort.pooled_migrants("start", "surv"))
+    df = once(df, b=cohort.migrant_births("pooled", "reprod"))
+    return once(df, nat=cohort.project_native("b", "surv", "reprod", F.lit(5)))
+
+
+def test_disaggregated_equals_dense(spark):
+    T, K = 6, 5
+    df, surv, fert, pop0 = _frame(spark, T=T, K=K, seed=2)
+    surv[2][1] = surv[3][3] = 0.0  # nobody survives: the diagonals begin anew
+    df = spark.createDataFrame([(surv, fert, pop0, 0.5)], df.select("surv", "fert", "pop0", "prop_f").schema)
+    df = df.withColumn("reprod", cohort.reproduction("surv", "fert", "prop_f"))
     df = df.withColumn("tot", F.array(*[F.lit(float(10 * (m + 1))) for m in range(T)]))
-    df = df.withColumn("sh", F.array(*[F.array(*[F.lit(0.2)] * 5) for _ in range(T)]))
-    df = df.withColumn("tot", cohort.zero_after("tot", F.lit(4)))
-    df = df.withColumn("start", cohort.migrant_starts("tot", "sh"))
-    df = df.withColumn("coh", cohort.project_migrants("start", "surv"))
-    df = df.withColumn("b", cohort.migrant_births("coh", "reprod"))
-    df = df.withColumn("nat", cohort.project_native("b", "surv", "reprod", F.lit(5)))
-    sums = F.transform("coh", lambda c: F.transform(c, lambda pop: cohort.arr_sum(pop)))
-    r = df.withColumn("sums", sums).select("coh", "b", "nat", "tot", cohort.totals("nat", "sums")).collect()[0]
-    # the same model on blocks of draws
-    block = cohort_block.disaggregate(df.select(F.lit(1).alias("draw"), "surv", "reprod", F.col("start").alias(
-        "mig_start")), ["draw"], 4).collect()[0]
-    assert np.allclose(block.cohort_totals, np.array(r.coh).sum(axis=2))
-    assert np.allclose(block.births, r.b) and np.allclose(block.native, r.nat)
-    assert np.allclose(block.cohorts_seen, np.array(r.coh)[:, 3])
-    coh = np.array(r.coh)                      # [m][t][a]
-    for m in range(T):
-        assert np.all(coh[m, :m] == 0)          # zero before arrival
-        totals = coh[m].sum(axis=1)[m:]
-        assert np.all(np.diff(totals) <= 1e-12)  # closed cohorts never grow
+    df = df.withColumn("sh", F.array(*[F.array(*[F.lit(0.1 * (a + 1)) for a in range(K)]) for _ in range(T)]))
+    d = _migrants(df, 4)
+    seen = [cohort.cohorts_at("start", "grid", t).alias(f"seen{t}") for t in range(1, T + 1)]
+    r = d.select("tot", "pooled", "b", "nat", "reprod", "start", cohort.cohort_sizes("start", "grid").alias("sizes"),
+                 cohort.totals("nat", "pooled"), *seen).collect()[0]
     assert r.tot[4:] == [0.0, 0.0]              # no arrivals after t_obs
-    assert np.all(np.array(r.nat[0]) == 0)      # natives start at 0
-    for t, tv in enumerate(r.totals):
-        assert tv.native == pytest.approx(sum(r.nat[t]))
-        assert tv.migrant == pytest.approx(coh[:, t].sum())
+    coh, births, native = project_block(*[np.array([x]) for x in (surv, r.reprod, r.start)])
+    coh = coh[0]                                # [m][t][a]
+    assert np.allclose(r.sizes, coh.sum(axis=2)) and np.allclose(r.pooled, coh.sum(axis=0))
+    assert np.allclose(r.b, births[0]) and np.allclose(r.nat, native[0])
+    for t in range(T):
+        assert np.allclose(r[f"seen{t + 1}"], coh[:, t])
+        assert r.totals[t].native == pytest.approx(native[0, t].sum())
+        assert r.totals[t].migrant == pytest.approx(coh[:, t].sum())
+    for m in range(T):
+        assert np.all(coh[m, :m] == 0) and np.all(np.diff(coh[m].sum(axis=1)[m:]) <= 1e-12)
+
+
+def test_null_matrices_give_null(spark):
+    df, surv, fert, pop0 = _frame(spark, T=6, K=5)
+    schema = "surv array<array<double>>, fert array<array<double>>, prop_f double, tot array<double>, sh array<array<double>>"
+    sh, hole = [[0.2] * 5 for _ in range(6)], [[0.2] * 5 for _ in range(6)]
+    hole[1] = [0.2, None, 0.2, 0.2, 0.2]
+    rows = [(surv, fert, 0.5, [1.0] * 6, None), (None, None, 0.5, [1.0] * 6, sh), (surv, fert, 0.5, None, sh),
+            (surv, fert, 0.5, [1.0] * 6, hole)]
+    d = spark.createDataFrame(rows, schema).withColumn("reprod", cohort.reproduction("surv", "fert", "prop_f"))
+    out = _migrants(d, 0).select("pooled", "b", "nat", cohort.cohort_sizes("start", "grid").alias("s"),
+                                 cohort.cohorts_at("start", "grid", 3).alias("c")).collect()
+    for r in out[:3]:
+        assert r.s is None or r.s[0][0] is None
+    holed = out[3]
+    assert holed.s[1][1] is None and holed.s[0][5] is not None and holed.c[1][2] is None
+    assert holed.pooled[0][0] is not None and holed.pooled[1][1] is None
 
 
 def test_fold_keeps_nulls(spark):

@@ -54,7 +54,7 @@ def test_replayed_batch_is_not_written_twice(spark, tmp_path):
     from cohortflow.streaming import ingest
     d = spark.createDataFrame([("s", "x", 1, 1, 0.5), ("s", "x", 1, 2, 0.6)], ingest.DRAWS_SCHEMA)
     for batch in (0, 1, 1):
-        ingest.write_draws_batch(d, batch, str(tmp_path / "draws"))
+        ingest.write_draws_batch(d, batch, str(tmp_path), "one")
     assert spark.read.parquet(str(tmp_path / "draws")).count() == 4
 
 

@@ -65,6 +65,23 @@ def test_stream_ingest_exactly_once(spark):
     assert d.select("chain").distinct().count() == 2
 
 
+def test_run_and_two_streams_share_the_draws_table(spark, tmp_path):
+    """A whole run and two streams, both of which count batches from 0, write the same run: nothing is lost."""
+    root = str(tmp_path / "store")
+    store.write_run(spark, "s", {"draws": _draws(spark, "s").where("chain = 1")}, root)
+    for k, chain in (("a", 2), ("b", 3)):
+        src = str(tmp_path / f"src-{k}")
+        _draws(spark, "s").where(f"chain = {chain}").write.parquet(src)
+        for _ in range(2):  # a restart finds nothing new
+            ingest.ingest_draws(spark, src, str(tmp_path / f"ck-{k}"), root).awaitTermination(120)
+    d = store.read_run(spark, "draws", "s", root)
+    assert d.columns == ["variable", "chain", "iteration", "value", "run_id"]
+    assert {r.chain: r["count"] for r in d.groupBy("chain").count().collect()} == {1: 20, 2: 20, 3: 20}
+    store.write_run(spark, "s", {"draws": _draws(spark, "s", n=8).where("chain = 1")}, root)  # replaces its own part
+    assert store.read_run(spark, "draws", "s", root).where("chain = 1").count() == 4
+    assert store.read_run(spark, "draws", "s", root).count() == 44
+
+
 def test_read_wide_csv_all_text_and_lookup(spark):
     from cohortflow.operators import rates, survey
     d = tempfile.mkdtemp(prefix="cf-csv-")
@@ -92,6 +109,11 @@ def test_read_numbered_wide_skips_the_preamble(spark, tmp_path):
     df = store.read_numbered_wide(spark, str(path), cols, "Index", {"Region name": "region", "Reference date": "period"})
     long = {(r.region, r.age): r.pop for r in rates.tidy_rates(df.drop("Index"), "pop").collect()}
     assert long == {("A", 0): 120.5, ("A", 100): 0.1, ("B", 0): 7.0, ("B", 100): None}
+    by_header = store.read_numbered_wide(spark, str(path))
+    assert by_header.columns == cols and by_header.count() == 2
+    path.write_text("no header here\n")
+    with pytest.raises(ValueError, match="Index"):
+        store.read_numbered_wide(spark, str(path))
 
 
 @pytest.fixture
