@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
+import pickle
 import sys
 
-from pyspark import cloudpickle
+from pyspark import Broadcast, cloudpickle
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,10 +23,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ship(module: str) -> None:
-    """Send a module's functions to Python workers by value, so that executors need no copy of this package."""
+    """Send a module's functions to Python workers by value, so that executors need no copy of this package.
+
+    This holds for functions in a plan. What is broadcast would be pickled
+    by reference to its class; :func:`share` sends it by value too.
+    """
     cloudpickle.register_pickle_by_value(sys.modules[module])
 
 
+def share(spark: SparkSession, value) -> Broadcast:
+    """Broadcast an object of this package's classes as plain bytes."""
+    return spark.sparkContext.broadcast(cloudpickle.dumps(value))
+
+
+def opened(shared: Broadcast):
+    """The object behind :func:`share`; a Python worker opens it once and keeps it for its later tasks."""
+    value = getattr(shared, "_opened", None)
+    if value is None:
+        value = shared._opened = pickle.loads(shared.value)
+    return value
+
+
 def ascii_lower(text: Column | str) -> Column:
     """Lower-case A-Z only (``lower`` would also change other scripts)."""
     return F.translate(text, UPPER, LOWER)

@@ -24,12 +24,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import PLAIN_WORD, ascii_lower, packed, settled, ship
+from .common import PLAIN_WORD, ascii_lower, opened, packed, settled, share, ship
 
 WINDOW = 13
-MAX_BLOCK_BYTES = 32 << 20
-
-
+# the automaton takes some 27 bytes of a worker's memory for each byte of its windows: 216 MB a block
+MAX_BLOCK_BYTES = 8 << 20
 
 def _pairs(a: str, b: str) -> T.ArrayType:
     return T.ArrayType(T.StructType().add(a, "integer").add(b, "integer"))
@@ -105,7 +104,7 @@ class Windows:
 
 def _scanner(shared, text_col: str, only_hits: bool = False):
     def scan(batches):
-        windows = shared.value
+        windows = opened(shared)
         for batch in batches:
             texts = batch.column(batch.num_columns - 1)  # the text, or the row that holds it
             if pa.types.is_struct(texts.type):
@@ -166,8 +165,7 @@ def find_overlaps(docs: DataFrame, benchmark: DataFrame, text_col: str = "text",
     block_of = F.pmod(F.xxhash64("window"), F.lit(n_blocks))
 
     def scanned(df, b, only_hits=False):
-        shared = spark.sparkContext.broadcast(
-            Windows([(r["window"], r["items"]) for r in wins.filter(block_of == b).collect()]))
+        shared = share(spark, Windows([(r["window"], r["items"]) for r in wins.filter(block_of == b).collect()]))
         kept = [f for f in df.schema.fields if f.name != "_0"]
         return df.mapInArrow(_scanner(shared, text_col, only_hits), T.StructType([*kept, *_HITS.fields]))
 

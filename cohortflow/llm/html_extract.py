@@ -5,11 +5,18 @@ each with its tag path. A bidirectional LSTM in NumPy reads one vector per
 leaf (hashed tag path, hashed words, a few measurements) and labels every
 block with the whole page as context; blocks labelled main are joined.
 
-The network is trained on a bounded sample of the pages themselves
-(``SAMPLE`` pages of at most ``SAMPLE_CHARS`` characters). Its labels come
-from what the markup states (article and main against navigation, footers
-and the like); copies of the sample pages in which such blocks are added,
-moved or renamed teach it to weigh the path, the words and the context.
+The network is trained on a bounded sample of the pages themselves:
+``SAMPLE`` different pages, of a longer one its first and last
+``SAMPLE_CHARS`` characters together, of these at most the first and last
+``SAMPLE_BLOCKS`` blocks together. Labelling reads whole pages. The labels
+come from what the markup states (article and main against navigation,
+footers and the like). A page whose markup names no main part is labelled by
+measure: the container with the most running text (long blocks with sentence
+marks and few links) holds the main text, but for its link lists. Copies of
+the sample pages in which side blocks are added, moved or renamed teach the
+network to weigh the path, the words and the context. A page of more than
+``STEP_BLOCKS`` blocks is labelled in chunks that hand the state on, so
+memory for the network stays a few bytes a block.
 
 Defined results: null and empty html give an empty text; markup cut off in
 the middle is read as far as it goes; ids and urls may be null or repeated;
@@ -28,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, packed, ship
+from .common import hash_sample, opened, packed, share, ship
 
 SAMPLE, SAMPLE_CHARS, SAMPLE_BLOCKS = 160, 60_000, 80
 PATH_DIM, WORD_DIM, SIZES, HIDDEN = 96, 32, 5, 24
@@ -144,6 +151,49 @@ def _signed(word: str, dim: int) -> tuple[int, float]:
     return h % dim, 1.0 if h >> 16 & 1 else -1.0
 
 
+def running(text: str, linked: int) -> bool:
+    """A block of running text: long, few links, and a sentence mark."""
+    return len(text) >= 80 and 3 * linked < len(text) and any(c in ".!?\u3002\uff01\uff1f" for c in text)
+
+
+def measured(page: list) -> list[int]:
+    """Labels of a page whose markup names no main part, from lengths, links and sentence marks.
+
+    Every container counts the running text of its blocks; from the body
+    inwards the main container is the one that holds at least 0.7 of its
+    parent's, as deep as that goes on.
+    """
+    weight = {}
+    for path, text, linked in page:
+        if running(text, linked) and not side(path):
+            for k in range(1, len(path) + 1):
+                weight[path[:k]] = weight.get(path[:k], 0) + len(text)
+    best = ()
+    while inner := [p for p in weight if len(p) == len(best) + 1 and p[:-1] == best and p[-1][0] != "p"]:
+        top = max(inner, key=lambda p: (weight[p], -len(str(p))))
+        if best and weight[top] < 0.7 * weight[best]:
+            break
+        best = top
+    if not best:
+        return [int(running(t, n) and not side(p)) for p, t, n in page]
+    blocks = [k for k, b in enumerate(page) if b[0][:len(best)] == best and running(b[1], b[2])]
+    # titles and short paragraphs between the first and the last running block belong to the text
+    first, last = blocks[0], blocks[-1]
+    return [int(p[:len(best)] == best and not side(p) and 2 * n < len(t) and first - 2 <= k <= last)
+            for k, (p, t, n) in enumerate(page)]
+
+
+def side(path: tuple) -> bool:
+    """The markup states that a block is no main text."""
+    return any(tag in SIDE_TAGS or SIDE_WORDS.intersection(names) for tag, names in path)
+
+
+def labelled(page: list) -> list[tuple]:
+    """(block, label) of a page, by its markup or, where that names no main part, by measure."""
+    marks = [stated(b[0]) for b in page]
+    return list(zip(page, marks if any(marks) else measured(page)))
+
+
 class Labeller:
     """Bidirectional LSTM over leaf vectors."""
 
@@ -277,7 +327,10 @@ class Labeller:
     def label(self, pages: list[list]) -> list[np.ndarray]:
         """Boolean per leaf of each page: main text or not. Pages of like length are read together."""
         out: list = [np.zeros(0, bool)] * len(pages)
-        todo = sorted((k for k, p in enumerate(pages) if p), key=lambda k: len(pages[k]))
+        for k, p in enumerate(pages):
+            if len(p) > STEP_BLOCKS:
+                out[k] = self._long(p)
+        todo = sorted((k for k, p in enumerate(pages) if 0 < len(p) <= STEP_BLOCKS), key=lambda k: len(pages[k]))
         while todo:
             n = max(1, STEP_BLOCKS // len(pages[todo[-1]]))
             part, todo = todo[-n:], todo[:-n]
@@ -287,6 +340,24 @@ class Labeller:
                 out[k] = z[:len(pages[k]), at] > 0
         return out
 
+    def _long(self, page: list) -> np.ndarray:
+        """Labels of one long page: its two readings chunk by chunk, one number a block kept of each."""
+        z = np.full(len(page), self.p["q"][0], np.float32)
+        starts = range(0, len(page), STEP_BLOCKS)
+        for k, d in enumerate("fb"):
+            w, u, c = (self.p[x + d] for x in "wuc")
+            o = self.p["o"][k * HIDDEN:(k + 1) * HIDDEN, 0]
+            h = s = np.zeros(HIDDEN, np.float32)
+            for at in (starts if d == "f" else reversed(starts)):
+                drive = self.vectors(page[at:at + STEP_BLOCKS]) @ w + c
+                for t in (range(len(drive)) if d == "f" else range(len(drive) - 1, -1, -1)):
+                    g = drive[t] + h @ u
+                    gates = 1 / (1 + np.exp(-g[:3 * HIDDEN]))
+                    s = gates[HIDDEN:2 * HIDDEN] * s + gates[:HIDDEN] * np.tanh(g[3 * HIDDEN:])
+                    h = gates[2 * HIDDEN:] * np.tanh(s)
+                    z[at + t] += h @ o
+        return z > 0
+
     def extract(self, htmls: list[str]) -> list[str]:
         pages = [leaves(h) for h in htmls]
         return ["\n\n".join(b[1] for b, ok in zip(page, keep) if ok) for page, keep in zip(pages, self.label(pages))]
@@ -294,13 +365,15 @@ class Labeller:
 
 def variants(page: list, rng: np.random.Generator) -> list[list]:
     """A labelled page and changed copies of it: side blocks added, main containers and side blocks renamed."""
-    page = [(b, stated(b[0])) for b in page[:SAMPLE_BLOCKS]]
+    page = labelled(page)
+    if len(page) > SAMPLE_BLOCKS:  # the end of a page holds comments and footers
+        page = page[:SAMPLE_BLOCKS * 5 // 8] + page[-(SAMPLE_BLOCKS * 3 // 8):]
     main = [k for k, (_, y) in enumerate(page) if y]
     out = [page]
-    if not main:
+    if not main or not page[main[0]][0][0]:
         return out
     root = page[main[0]][0][0]
-    top = next((k for k, (tag, names) in enumerate(root) if stated(root[:k + 1])), len(root) - 1)
+    top = next((k for k, (tag, names) in enumerate(root) if stated(root[:k + 1])), max(0, len(root) - 2))
     words = sorted(SIDE_WORDS)
     tags = sorted(SIDE_TAGS - {"head", "noscript", "figure", "label", "legend"})
     for _ in range(3):
@@ -335,16 +408,21 @@ def variants(page: list, rng: np.random.Generator) -> list[list]:
 
 def train(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", sample: int = SAMPLE) -> Labeller:
     """Fits on at most ``sample`` pages, chosen by a hash of the html."""
-    rows = packed(pages.select(id_col, html_col), id_col, html_col).filter(
-        F.length("_1").between(1, SAMPLE_CHARS)).select("_1")
-    htmls = [r["_1"] for r in hash_sample(rows, sample, "_1").collect()]
+    rows = packed(pages.select(id_col, html_col), id_col, html_col).filter(F.length("_1") > 0)
+    rows = rows.select("_1", F.sha2("_1", 256).alias("_d"))
+    # copies of a page count once; what reaches the driver is bounded by the number and by the cut
+    picked = hash_sample(rows.select("_d").distinct(), sample, "_d")
+    cut = F.when(F.length("_1") <= SAMPLE_CHARS, F.col("_1")).otherwise(
+        F.concat(F.substring("_1", 1, SAMPLE_CHARS * 2 // 3), F.substring("_1", -(SAMPLE_CHARS // 3), SAMPLE_CHARS // 3)))
+    rows = rows.join(F.broadcast(picked), "_d").select("_d", cut.alias("_1")).dropDuplicates(["_d"])
+    htmls = [r["_1"] for r in sorted(rows.collect(), key=lambda r: r["_d"])]
     rng = np.random.default_rng(11)
     return Labeller().fit([v for h in htmls for v in variants(leaves(h), rng)])
 
 
 def _extract(shared):
     def run(batches):
-        model = shared.value
+        model = opened(shared)
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
@@ -359,7 +437,7 @@ def extract(pages: DataFrame, model: Labeller, html_col: str = "html") -> DataFr
     """``_row`` (all columns but the html) and ``text``, the main text, of each page."""
     others = [c for c in pages.columns if c != html_col]
     df = pages.select(F.struct(*[F.col(f"`{c}`") for c in others]).alias("_row"), F.col(html_col).alias("_h"))
-    shared = pages.sparkSession.sparkContext.broadcast(model)
+    shared = share(pages.sparkSession, model)
     schema = T.StructType([df.schema["_row"]]).add("_text", "string")
     return df.mapInArrow(_extract(shared), schema).select("_row", F.col("_text").alias("text"))
 

@@ -33,13 +33,18 @@ SHINGLE, RADIUS, BYTES = 3, 2, 8
 _BATCH = 256  # queries compared with one block at a time
 
 
+PART = 1 << 16
+
+
 def fingerprint_of(hashes: np.ndarray) -> int:
     """64-bit SimHash: a bit is set if more than half of the hashes set it."""
     if not len(hashes):
         return 0
-    bits = np.unpackbits(hashes.astype("<u8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
-    set_ = bits.sum(axis=0, dtype=np.int64) * 2 > len(hashes)
-    return int(np.packbits(set_, bitorder="little").view("<u8")[0])
+    count = np.zeros(64, np.int64)
+    for at in range(0, len(hashes), PART):  # 64 bytes a shingle once unpacked: a long text goes in parts
+        part = hashes[at:at + PART].astype("<u8").view(np.uint8).reshape(-1, 8)
+        count += np.unpackbits(part, axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return int(np.packbits(count * 2 > len(hashes), bitorder="little").view("<u8")[0])
 
 
 def _fingerprint(batches):

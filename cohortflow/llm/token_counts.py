@@ -14,7 +14,8 @@ byte, and the longest prefix within a token budget are read off those counts
 without encoding again.
 
 Pieces repeat, so their counts are kept per worker in a table of at most
-``MEMO`` pieces (older halves are dropped; it only saves work).
+``MEMO`` pieces of up to ``MEMO_PIECE`` bytes (older halves are dropped; it
+only saves work).
 
 Defined results: null and empty texts have no bytes and no tokens; strings
 of special tokens in a text count as the tokenizer file says (one token);
@@ -33,10 +34,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import packed, ship
+from .common import opened, packed, share, ship
 
 LIMIT = 512
-MEMO = 1_000_000
+# pieces kept, and the bytes of the longest one that is: at most some 200 MB a worker, some 100 in practice
+MEMO, MEMO_PIECE = 1_000_000, 64
 # Fixed value: the published split pattern of this byte-level BPE.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -52,18 +54,20 @@ class PrefixCounter:
     """Prefix token counts for one tokenizer file (byte-level BPE without normaliser)."""
 
     def __init__(self, path: str, memo: int = MEMO):
-        self.path, self.memo, self._ready = path, memo, False
+        # the file is the driver's; its content travels to the workers
+        with open(path, encoding="utf-8") as f:
+            self.spec = f.read()
+        self.memo, self._ready = memo, False
 
     def __getstate__(self):
-        return {"path": self.path, "memo": self.memo, "_ready": False}
+        return {"spec": self.spec, "memo": self.memo, "_ready": False}
 
     def prepare(self) -> PrefixCounter:
         if self._ready:
             return self
         import regex
 
-        with open(self.path, encoding="utf-8") as f:
-            spec = json.load(f)
+        spec = json.loads(self.spec)
         pre, model = spec["pre_tokenizer"], spec["model"]
         if spec["normalizer"] or model["type"] != "BPE" or pre["type"] != "ByteLevel" or pre["add_prefix_space"]:
             raise ValueError("a byte-level BPE file without normaliser and prefix space is needed")
@@ -136,7 +140,9 @@ class PrefixCounter:
                 for old in list(self.done)[:self.memo // 2]:
                     del self.done[old]
             prefix = self.piece(piece.encode())
-            found = self.done[piece] = bytes(prefix) if prefix[-1] < 256 else array("I", prefix)
+            found = bytes(prefix) if prefix[-1] < 256 else array("I", prefix)
+            if len(prefix) <= MEMO_PIECE:
+                self.done[piece] = found
         return found
 
     def pieces(self, text: str):
@@ -144,10 +150,10 @@ class PrefixCounter:
         at = 0
         if self.special is not None:
             for m in self.special.finditer(text):
-                yield from ((p, False) for p in self.split.findall(text[at:m.start()]))
+                yield from ((p.group(), False) for p in self.split.finditer(text[at:m.start()]))
                 yield m.group(), True
                 at = m.end()
-        yield from ((p, False) for p in self.split.findall(text[at:] if at else text))
+        yield from ((p.group(), False) for p in self.split.finditer(text[at:] if at else text))
 
     def total(self, text: str) -> int:
         done, n = self.done, 0
@@ -184,14 +190,15 @@ class PrefixCounter:
 
 def _count(shared, budget: int | None, prefixes: bool):
     def run(batches):
-        counter = shared.value.prepare()
+        counter = opened(shared).prepare()
         for batch in batches:
             texts = [t or "" for t in batch.column(batch.num_columns - 1).to_pylist()]
-            cols = [pa.array([len(t.encode()) for t in texts], pa.int64()),
-                    pa.array([counter.total(t) for t in texts], pa.int64())]
-            names = ["n_bytes", "n_tokens"]
+            sizes, totals = [len(t.encode()) for t in texts], [counter.total(t) for t in texts]
+            cols, names = [pa.array(sizes, pa.int64()), pa.array(totals, pa.int64())], ["n_bytes", "n_tokens"]
             if budget is not None:
-                cols.append(pa.array([counter.longest_prefix(t, budget) for t in texts], pa.int64()))
+                # a text within the budget is its own prefix; another's pieces are read until the budget is spent
+                cut = [size if n <= budget else counter.longest_prefix(t, budget) for t, size, n in zip(texts, sizes, totals)]
+                cols.append(pa.array(cut, pa.int64()))
                 names.append("budget_bytes")
             if prefixes:
                 cols.append(pa.array([counter.prefix_counts(t).astype("<u4").tobytes() for t in texts], pa.binary()))
@@ -210,7 +217,7 @@ def token_counts(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: s
     little-endian uint32 array with the count at every byte offset.
     """
     df = packed(docs.select(id_col, text_col), id_col, text_col).select("_0", "_1")
-    shared = docs.sparkSession.sparkContext.broadcast(PrefixCounter(path))
+    shared = share(docs.sparkSession, PrefixCounter(path))
     schema = T.StructType([df.schema["_0"]]).add("n_bytes", "long").add("n_tokens", "long")
     schema = schema.add("budget_bytes", "long") if budget is not None else schema
     schema = schema.add("prefix_counts", "binary") if prefixes else schema

@@ -199,7 +199,7 @@ def test_line_dedup_many_clusters_in_one_band(spark):
     base = ["".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(60)) for _ in range(40)]
     texts = [x for b in base for x in (b, b[:-1] + "!", "?" + b[1:])]
     lines = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "d1 long, d2 long, line string")
-    signed = lines.selectExpr("d1", "d2", "53L AS n", "array(0L, 1L) AS bands")
+    signed = line_dedup.signatures(lines).selectExpr("d1", "d2", "53 AS n", "r1", "r2", "h1", "h2", "array(0L, 1L) AS bands")
     found = {r["node"]: r["root"] for r in line_dedup.components(signed, lines).collect()}
     name = lambda k: f"{k:016X}" * 2
     assert found == {name(k): name(k - k % 3) for k in range(len(texts))}
@@ -269,7 +269,8 @@ def test_shingle_sets_equal_plain_sets():
         for j in range(len(lines)):
             assert len(own[i] & own[j]) == len(plain[i] & plain[j])
     one = [line_dedup.signed_lines([x]) for x in lines]
-    n, bands = line_dedup.signed_lines(lines)
+    n, bands, sketch = line_dedup.signed_lines(lines)
+    assert all((x[2][0] == row).all() for x, row in zip(one, sketch))
     assert [x[0][0] for x in one] == n.tolist() and [x[1][0] for x in one] == bands
     assert [len(b) for b in bands] == [6 * (int(k >= 64) + int(k <= 80)) for k in n]
 

@@ -184,3 +184,79 @@ def test_license_scan_matches_brute_force(spark):
     got = [(r["doc_id"], tuple(r["licences"]), round(r["dice"], 9)) for r in license_scan.scan(df).collect()]
     assert sorted(got) == sorted(want) and sum(1 for w in want if w[1]) >= 6
     assert license_scan.scan(df.limit(0)).count() == 0
+
+
+def unnamed_page(rng, k, paragraphs=6):
+    """A page whose class names mean nothing and which has no article or main."""
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(rng.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + "."
+    body = [" ".join(sentence(rng.randint(8, 15)) for _ in range(3)) for _ in range(paragraphs)]
+    menu = "".join(f'<li><a href="/{word()}">{word()}</a></li>' for _ in range(8))
+    foot = "".join(f'<a href="#">{word()} {word()}</a> ' for _ in range(4))
+    title = " ".join(word() for _ in range(4))
+    html = (f'<html><head><title>{title}</title></head><body><div class="x1"><ul>{menu}</ul></div><div class="x2">'
+            f"<h1>{title}</h1>" + "".join(f"<p>{p}</p>" for p in body) + f'</div><div class="x3">{foot}</div></body></html>')
+    return html, body, menu
+
+
+def test_pages_without_named_parts_give_their_article(spark):
+    rng = random.Random(21)
+    made = [unnamed_page(rng, k) for k in range(60)]
+    pages = spark.createDataFrame([(k, f"u{k}", m[0]) for k, m in enumerate(made)], "page_id long, url string, html string")
+    out = {r["_row"]["page_id"]: r["text"] for r in html_extract.extract(pages, html_extract.train(pages)).collect()}
+    found = sum(p in out[k] for k, m in enumerate(made) for p in m[1])
+    assert found >= 0.95 * sum(len(m[1]) for m in made)
+    link = lambda m: [x.split(">")[-1] for x in m[2].split("</a>")[:-1]]
+    assert sum(w in out[k].split("\n\n") for k, m in enumerate(made) for w in link(m)) <= 0.05 * 60 * 8
+
+
+def test_a_table_of_long_pages_only(spark):
+    rng = random.Random(22)
+    made = [unnamed_page(rng, k, 500) for k in range(8)]
+    assert min(len(m[0]) for m in made) > html_extract.SAMPLE_CHARS
+    pages = spark.createDataFrame([(k, "", m[0]) for k, m in enumerate(made)] * 2, "page_id long, url string, html string")
+    out = {r["_row"]["page_id"]: r["text"] for r in html_extract.extract(pages, html_extract.train(pages)).collect()}
+    assert sum(p in out[k] for k, m in enumerate(made) for p in m[1]) >= 0.9 * sum(len(m[1]) for m in made)
+
+
+def test_long_pages_are_labelled_alike(monkeypatch):
+    """A page read in chunks has the labels of one read at once."""
+    rng = random.Random(23)
+    model = html_extract.Labeller().fit([html_extract.labelled(html_extract.leaves(unnamed_page(rng, k)[0])) for k in range(20)])
+    page = html_extract.leaves("".join(unnamed_page(rng, k)[0] for k in range(9)))
+    whole = model.label([page])[0]
+    assert whole.any() and not whole.all()
+    monkeypatch.setattr(html_extract, "STEP_BLOCKS", 17)
+    assert (model.label([page])[0] == whole).all()
+
+
+def test_stated_labels_go_before_measured_ones():
+    html = "<body><nav><a>one</a></nav><article><p>Short.</p></article><div><p>" + "Long running text, here. " * 20 + "</p></div></body>"
+    assert [y for _, y in html_extract.labelled(html_extract.leaves(html))] == [0, 1, 0]
+    assert html_extract.labelled(html_extract.leaves("<p>x</p>"))[0][1] == 0
+
+
+def test_quality_sample_of_repeated_labels_and_documents(spark):
+    """A third of the labels and documents on one id: nothing multiplies, and the sample holds distinct ids."""
+    rng = random.Random(24)
+    good = lambda: " ".join(rng.choice(["plain", "words", "that", "read", "well"]) for _ in range(30))
+    bad = lambda: " ".join(rng.choice(["BUY", "!!!", "now", "$$$"]) for _ in range(30))
+    docs = [(k, good() if k % 2 else bad()) for k in range(400)] + [(3, good())] * 200 + [(3, "other text")] * 3
+    labels = [(k, k % 2) for k in range(400)] + [(3, 1)] * 3000 + [(None, 1), (5, None)]
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    rows = []
+    fit = quality_model.Model.fit
+    try:
+        quality_model.Model.fit = lambda self, texts, y, **kw: rows.append((texts, y)) or fit(self, texts, y, **kw)
+        model = quality_model.train(d, spark.createDataFrame(labels, "doc_id long, quality int"), sample=100)
+    finally:
+        quality_model.Model.fit = fit
+    texts, y = rows[0]
+    assert 80 <= len(texts) <= 100 and len(set(texts)) >= 80 and 20 < y.sum() < 80
+    out = quality_model.scores(d, model).collect()
+    assert len(out) == len(docs)
+    mean = lambda v: sum(v) / len(v)
+    assert mean([r["score"] for r in out if r["doc_id"] % 2]) > 0.8 > 0.2 > mean([r["score"] for r in out if r["doc_id"] % 2 == 0])
+    empty = spark.createDataFrame([], "doc_id long, quality int")
+    assert {r["score"] for r in quality_model.scores(d, quality_model.train(d, empty)).collect()} == {0.5}
+    assert quality_model.scores(d.limit(0), quality_model.train(d.limit(0), empty)).count() == 0
