@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import hash_sample, opened, packed, share, ship
+from .common import hash_sample, opened, packed, settled, share, ship
 
 SAMPLE, SAMPLE_CHARS = 6000, 50_000
 FOLDS, THRESHOLD = 5, 0.3
@@ -169,21 +169,17 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     known = packed(labels.select(id_col, label_col), id_col, label_col).filter(
         F.col("_0").isNotNull() & ~held_out("_0") & F.col("_1").isNotNull())
     # repeated labels count once: the sample is of distinct (id, label) pairs
-    picked = hash_sample(known.select("_0", "_1").distinct(), sample, "_0", "_1").collect()
-    spark = docs.sparkSession
-    ids = spark.createDataFrame(sorted({(r["_0"],) for r in picked}), known.select("_0").schema)
+    picked = settled(hash_sample(known.select("_0", "_1").distinct(), sample, "_0", "_1"))
     texts = packed(docs.select(id_col, text_col), id_col, text_col).select(F.col("_0").alias("_id"), F.col("_1").alias("_t"))
     texts = texts.filter(F.length("_t") <= SAMPLE_CHARS).withColumn("_d", F.sha2("_t", 256))
     # at most ``sample`` ids and digests: the broadcasts have a fixed bound, and so has what reaches the
     # driver. A semi-join keeps a document's row once however often its label is repeated, and equal
     # rows are merged by digest before any text moves.
-    known_texts = texts.join(F.broadcast(ids), F.col("_id") == F.col("_0"), "left_semi")
+    known_texts = texts.join(F.broadcast(picked), F.col("_id") == F.col("_0"), "left_semi")
     cut = hash_sample(known_texts.select("_id", "_d").distinct(), sample, "_id", "_d")
-    rows = known_texts.join(F.broadcast(cut), ["_id", "_d"]).dropDuplicates(["_id", "_d"]).select("_id", "_t").collect()
-    label = {}
-    for r in picked:
-        label.setdefault(r["_0"], set()).add(int(r["_1"]))
-    rows = sorted((str(r["_id"]), r["_t"], y) for r in rows for y in label.get(r["_id"], ()))[:sample]
+    rows = known_texts.join(F.broadcast(cut), ["_id", "_d"]).dropDuplicates(["_id", "_d"]).select("_id", "_t")
+    rows = rows.join(F.broadcast(picked), F.col("_id") == F.col("_0")).select("_id", "_t", "_1").collect()
+    rows = sorted((str(r[0]), r[1], int(r[2])) for r in rows)[:sample]
     return Model().fit([r[1] for r in rows], np.array([r[2] for r in rows], np.float32))
 
 
