@@ -106,19 +106,22 @@ def arr_dot(a, b) -> Column:
     return arr_sum(F.zip_with(_c(a), _c(b), lambda x, y: x * y))
 
 
+def let(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often it is used inside.
+
+    A column expression used in a lambda is evaluated again for every
+    element; bound as a lambda's own variable it is not.
+    """
+    return F.element_at(F.transform(F.array(value), use), 1)
+
+
 def softmax(arr) -> Column:
     """Numerically stable softmax of an array<double> (max-shifted)."""
-    a = _c(arr)
-    m = F.array_max(a)
-    ex = F.transform(a, lambda v: F.exp(v - m))
-    total = arr_sum(ex)
-    return F.transform(ex, lambda v: v / total)
+    return let(_c(arr), lambda a: let(F.array_max(a), lambda m: normalise(F.transform(a, lambda v: F.exp(v - m)))))
 
 
 def normalise(arr) -> Column:
-    a = _c(arr)
-    total = arr_sum(a)
-    return F.transform(a, lambda v: v / total)
+    return let(_c(arr), lambda a: let(arr_sum(a), lambda total: F.transform(a, lambda v: v / total)))
 
 
 def zeros(n) -> Column:

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from ..functions.scalar import arr_dot, arr_sum, inv_logit, log0, logit, normalise, nullable_array, softmax, zeros  # noqa: F401,E501
+from ..functions.scalar import arr_dot, arr_sum, inv_logit, let, log0, logit, normalise, nullable_array, softmax, zeros
 
 
 def _c(x) -> Column:
@@ -115,8 +115,7 @@ def initial_total(raw, scale: float = 0.7, centre: float = 7.0) -> Column:
 
 def log_ratio_reference(props, ref: int = 10) -> Column:
     """log(p / p[ref]) of a share vector (reference index 10 in the models)."""
-    p = _c(props)
-    return F.transform(p, lambda v: F.ln(v / _at(p, ref)))
+    return let(_c(props), lambda p: let(_at(p, ref), lambda base: F.transform(p, lambda v: F.ln(v / base))))
 
 
 def shares_softmax(raw, props, sd: float | Column = 1.0, ref: int = 10) -> Column:
@@ -131,8 +130,7 @@ def shares_gamma(gammas) -> Column:
 
 
 def scale_vector(v, k) -> Column:
-    k = _c(k)
-    return F.transform(_c(v), lambda x: x * k)
+    return let(_c(k), lambda by: F.transform(_c(v), lambda x: x * by))
 
 
 # ---------------------------------------------------------------- disaggregated model

@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.scalar import bin_lower_edge, to_number
+from ..functions.scalar import bin_lower_edge, once, to_number
 from .dims import complete_grid
 
 
@@ -62,9 +62,13 @@ PERSON_COLUMNS = {"gender": "basic_gender", "age": "basic_age", "year": "year_mi
 
 
 def _binned(counts: DataFrame, bins: dict[str, Column], by: Sequence[str] = ()) -> DataFrame:
-    """Counts of raw values -> counts of bins; a value outside the edges has a NULL bin."""
-    return counts.select(*by, "n", *[c.alias(k) for k, c in bins.items()]).groupBy(*by, *bins).agg(
-        F.sum("n").alias("n"))
+    """Counts of raw values -> counts of bins; a value outside the edges has a NULL bin.
+
+    The bins come out of a generator: a filter on them stays above the
+    counts instead of binning every person at the scan.
+    """
+    binned = once(counts, **bins).select(*by, "n", *bins)
+    return binned.groupBy(*by, *bins).agg(F.sum("n").alias("n"))
 
 
 def _women(persons: DataFrame, gender: int | None, cols: dict) -> DataFrame:
@@ -195,9 +199,9 @@ def banded_migrants(survey: DataFrame, axes: DataFrame, inclusive_end: bool = Fa
     m = m.withColumn("mig_year", to_number("mig")).where(F.col("mig_year") > F.element_at(ax.getField("period_edges"), 1))
     counts = count_by(m, ["age_member", "mig_year"])
     spread = spread_bands(counts, "age_member", keep=["mig_year"], inclusive_end=inclusive_end).withColumn("_ax", ax)
-    binned = spread.select(
-        bin_lower_edge("mig_year", F.col("_ax.period_edges")).cast("int").alias("mig_year"),
-        bin_lower_edge("age", F.col("_ax.age_edges")).cast("int").alias("age"), "n")
+    binned = once(spread.select("n", "_ax", F.col("mig_year").alias("_y"), F.col("age").alias("_a")),
+                  mig_year=bin_lower_edge("_y", F.col("_ax.period_edges")).cast("int"),
+                  age=bin_lower_edge("_a", F.col("_ax.age_edges")).cast("int"))
     sums = binned.where(F.col("mig_year").isNotNull() & F.col("age").isNotNull()) \
                  .groupBy("mig_year", "age").agg(F.sum("n").alias("n"))
     return complete_grid(sums, {"mig_year": ax.getField("years"), "age": ax.getField("ages")})

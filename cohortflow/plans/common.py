@@ -44,7 +44,7 @@ class QueryInputs:
     @property
     def survival(self) -> DataFrame:
         if self._surv is None:
-            self._surv = rates.survival_ratios(fixture(self.spark, self.sf_dir, "v_life")).checkpoint()
+            self._surv = rates.survival_ratios(fixture(self.spark, self.sf_dir, "v_life"))
         return self._surv
 
 
@@ -178,7 +178,7 @@ def draw_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     # only the narrow draws move, to spread their work over the cores; the
     # population records (a few KB each) go to them while they are few
     rows = balance(fixture(spark, sf_dir, "v_rows"), "region", "draw")
-    if mi.select("region").distinct().count() <= BROADCAST_POPULATIONS:
+    if surv.select("region").distinct().count() <= BROADCAST_POPULATIONS:
         pops = F.broadcast(pops)
     rows = rows.join(pops, "region")
     K, T, NF = F.col("K"), F.col("Time"), F.col("n_fert_ages")
