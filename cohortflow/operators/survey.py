@@ -67,7 +67,7 @@ def _binned(counts: DataFrame, bins: dict[str, Column], by: Sequence[str] = ())
     The bins come out of a generator: a filter on them stays above the
     counts instead of binning every person at the scan.
     """
-    binned = once(counts, **bins).select(*by, "n", *bins)
+    binned = counts.select(*by, "n", F.inline(F.array(F.struct(*[c.alias(k) for k, c in bins.items()]))))
     return binned.groupBy(*by, *bins).agg(F.sum("n").alias("n"))
 
 
