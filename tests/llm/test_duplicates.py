@@ -258,6 +258,35 @@ def test_line_dedup_recall_on_the_documents(spark):
     assert pairs >= 200 and share >= 0.98
 
 
+def test_line_dedup_loses_no_link_at_the_threshold(spark):
+    """Pairs just above the similarity, short lines too: every true pair is linked."""
+    rng = random.Random(19)
+    texts = []
+    for low, high in ((10, 17), (40, 70), (70, 100), (300, 400)):
+        for _ in range(250):
+            line = "".join(rng.choice("abcdefghij ") for _ in range(rng.randint(low, high)))
+            texts += [line, near(line, 0.8, rng, "abcdefghij "), line + line[:max(1, len(line) // 6)]]
+    texts = sorted({x.strip() for x in texts if len(x.strip()) >= 10})
+    share, pairs = recall_of(spark, texts)
+    assert pairs > 1000 and share == 1
+
+
+def test_windows_of_similar_lines_meet():
+    rng = random.Random(20)
+    for letters in ("ab", "abcd", "abcdefghijklmnopqrstuvwxyz "):
+        texts = []
+        for _ in range(150):
+            line = "".join(rng.choice(letters) for _ in range(rng.choice([10, 12, 14, 15, 16, 18, 25, 60, 200])))
+            texts += [line, near(line, 0.8, rng, letters), line + line[:6]]
+        texts = sorted(set(texts))
+        owner, key = line_dedup.windows(*line_dedup.shingle_sets(texts))
+        own = {}
+        for i, k in zip(owner.tolist(), key.tolist()):
+            own.setdefault(i, set()).add(k)
+        true = true_pairs([shingles(x) for x in texts])
+        assert len(true) > 50 and all(own[i] & own[j] for i, j in true)
+
+
 def test_shingle_sets_equal_plain_sets():
     rng = random.Random(18)
     lines = ["x" * 8, "short", "é" * 40, "abcdefgh" * 30] + ["".join(rng.choice("abc") for _ in range(k)) for k in range(8, 90)]
