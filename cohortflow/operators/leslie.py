@@ -11,10 +11,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import settle
+from ..session import balance, settle
 from .cohort import leslie_entries
 
 
@@ -57,18 +57,31 @@ def product(matrices: DataFrame, keys: Sequence[str], periods: int) -> DataFrame
 
     Block ``t0`` holds periods t0 + 1 .. t0 + periods (a last, shorter block
     too); later periods multiply from the left. Neighbours are multiplied
-    pairwise, so the number of joins is the logarithm of the block's length.
+    pairwise, so the number of steps is the logarithm of the block's length.
+    The entries are dealt by block once. In a step a column of the later
+    matrix meets the row of the earlier one that has its inner index, and
+    the products are summed where they are: nothing moves again.
     """
+    group, left = [*keys, "t0"], periods
     at = matrices.select(*keys, (F.floor((F.col("t") - 1) / periods) * periods).cast("int").alias("t0"),
                          ((F.col("t") - 1) % periods).alias("j"), "row", "col", "value")
-    group, left = [*keys, "t0"], periods
+    if left > 1:
+        at = balance(at, *group)
     while left > 1:
-        pairs = at.withColumns({"odd": F.col("j") % 2, "j": F.floor(F.col("j") / 2).cast("int")})
-        one, other = pairs.where("odd = 0").drop("odd"), pairs.where("odd = 1").drop("odd")
-        made = times_matrix(other, one, [*group, "j"])
-        # in a block of odd length the last one has no neighbour
-        alone = one.join(other.select(*group, "j").distinct(), [*group, "j"], "left_anti")
-        at = settle(made.unionByName(alone.select(*made.columns)))
+        at = at.withColumns({"odd": F.col("j") % 2, "j": F.floor(F.col("j") / 2).cast("int")})
+        # in a block of odd length the last one has no neighbour, and its entries stay as they are
+        at = at.withColumn("paired", F.max("odd").over(Window.partitionBy(*group, "j")) == 1)
+        odd = F.col("odd") == 1
+        met = at.groupBy(*group, "j", "paired", F.when(odd, F.col("col")).otherwise(F.col("row")).alias("_k")).agg(
+            F.collect_list(F.when(odd, F.struct("row", "value"))).alias("_l"),
+            F.collect_list(F.when(~odd, F.struct("col", "value"))).alias("_r"))
+        alone = F.array(F.struct(F.col("_k").alias("row"), F.lit(1.0).alias("value")))
+        met = met.select(*group, "j", "paired", F.posexplode("_r").alias("_n", "_e"),
+                         F.when(F.col("paired"), F.col("_l")).otherwise(alone).alias("_l"))
+        met = met.select(*group, "j", "paired", F.when(~F.col("paired"), F.col("_n")).alias("_n"), "_e", F.explode("_l").alias("_o"))
+        term = F.when(F.col("paired"), F.col("_o.value") * F.col("_e.value")).otherwise(F.col("_e.value"))
+        by = [*group, "j", "paired", "_n", F.col("_o.row").alias("row"), F.col("_e.col").alias("col")]
+        at = _summed(met, by, term).select(*group, "j", "row", "col", "value")
         left = (left + 1) // 2
     return at.drop("j")
 

@@ -41,6 +41,17 @@ def test_products_equal_dense(spark, periods):
             assert np.allclose(as_dense([r for r in got if r.draw == k and r.t0 == t0], 5), want)
 
 
+def test_product_moves_its_entries_once(spark):
+    """One shuffle for all steps, no copy of the entries in between; a block without a neighbour keeps repeated entries."""
+    rows = [(1, 1, 1, 1, 2.0), (1, 1, 1, 2, 3.0), (1, 2, 1, 1, 5.0), (1, 2, 2, 1, 7.0), (1, 3, 1, 2, 0.5), (1, 3, 1, 2, 0.5), (1, 3, 2, 2, None)]
+    m = spark.createDataFrame(rows, "k int, t int, row int, col int, value double")
+    out = leslie.product(m, ["k"], 2)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.split("Initial Plan")[-1].count("Exchange hashpartitioning") == 1 and "Join" not in plan
+    got = sorted(((r.t0, r.row, r.col, r.value) for r in out.collect()), key=str)
+    assert got == [(0, 1, 1, 10.0), (0, 1, 2, 15.0), (0, 2, 1, 14.0), (0, 2, 2, 21.0), (2, 1, 2, 0.5), (2, 1, 2, 0.5), (2, 2, 2, None)]
+
+
 def test_projection_and_no_births(spark):
     df, dense = matrices(spark)
     m = leslie.triplets(df, ["draw"])
