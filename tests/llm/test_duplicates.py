@@ -287,6 +287,46 @@ def test_windows_of_similar_lines_meet():
         assert len(true) > 50 and all(own[i] & own[j] for i, j in true)
 
 
+def test_line_dedup_pairs_grow_with_the_lines(spark, monkeypatch):
+    """Clusters that all share a passage: few pairs are compared, however many lines a window has, and all links are found."""
+    rng, compared = random.Random(21), []
+    own = line_dedup._compared
+
+    def counted(pairs, texts, labels):
+        compared.append(pairs.count())
+        return own(pairs, texts, labels)
+
+    monkeypatch.setattr(line_dedup, "_compared", counted)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choice(letters) for _ in range(120))
+    texts = []
+    for _ in range(12):
+        base = passage + "".join(rng.choice(letters) for _ in range(120))
+        texts += [base[:k] + "!" + base[k + 1:] for k in range(200, 240)]
+    lines = spark.createDataFrame([(k, k, x) for k, x in enumerate(texts)], "d1 long, d2 long, line string")
+    found = {r["node"]: r["root"] for r in line_dedup.components(None, lines).collect()}
+    name = lambda k: f"{k:016X}" * 2
+    assert found == {name(k): name(k - k % 40) for k in range(len(texts))}
+    # all pairs in the clusters would be 9360
+    assert compared[0] <= line_dedup.GATHER * len(texts) / 2 and compared[1] <= len(texts) / 2
+
+
+def test_line_dedup_in_turns(spark, monkeypatch, tmp_path):
+    """The turns share out the windows, give the same components and leave no files."""
+    rng = random.Random(22)
+    texts = ["".join(rng.choice("abcdef ") for _ in range(rng.randint(10, 90))).strip() for _ in range(150)]
+    texts = sorted({y for x in texts for y in (x, near(x, 0.8, rng, "abcdef ").strip()) if len(y) >= 10})
+    sets = line_dedup.shingle_sets(texts)
+    turns = [np.stack(line_dedup.windows(*sets, None, turn, 3)) for turn in range(3)]
+    assert sorted(np.concatenate(turns, axis=1).T.tolist()) == sorted(np.stack(line_dedup.windows(*sets)).T.tolist())
+    assert all(turns[a][1].tolist() and not set(turns[a][1].tolist()) & set(turns[a - 1][1].tolist()) for a in range(3))
+    monkeypatch.setattr(line_dedup, "TURN_CHARS", 2000)
+    folder = (tmp_path / "kept").as_uri()
+    monkeypatch.setattr(line_dedup, "ensure_checkpoint_dir", lambda spark: folder)
+    share, pairs = recall_of(spark, texts)
+    assert pairs >= 30 and share == 1 and not list(tmp_path.glob("kept/lines-*"))
+
+
 def test_shingle_sets_equal_plain_sets():
     rng = random.Random(18)
     lines = ["x" * 8, "short", "é" * 40, "abcdefgh" * 30] + ["".join(rng.choice("abc") for _ in range(k)) for k in range(8, 90)]
