@@ -6,6 +6,8 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import pytest
 import xxhash
 
@@ -408,3 +410,59 @@ def test_every_window_has_one_anchor():
     _, _, first, last, place = suffix_dedup.anchors(raw)
     assert first[0] == 0 and last[-1] == len(raw) - 200 and (first[1:] == last[:-1] + 1).all()
     assert (place >= last).all() and (place + suffix_dedup.GRAM <= first + suffix_dedup.WINDOW).all()
+
+
+def test_lines_with_company_keeps_all_pairs_and_drops_strangers(spark, tmp_path, monkeypatch):
+    """Of lines that share a passage only those with a line at the similarity are left; blocks and turns don't matter."""
+    rng = random.Random(23)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    passage = "".join(rng.choice(letters) for _ in range(60))
+    texts = [passage + "".join(rng.choice(letters) for _ in range(120)) for _ in range(60)]
+    for low, high in ((16, 24), (40, 70), (300, 400)):
+        for _ in range(30):
+            line = "".join(rng.choice(letters) for _ in range(rng.randint(low, high)))
+            texts += [line, near(line, 0.8, rng, letters)]
+    texts = sorted(set(texts))
+    want = {k for pair in true_pairs([shingles(x) for x in texts]) for k in pair}
+    monkeypatch.setattr(line_dedup, "BLOCK", 16)
+    monkeypatch.setattr(line_dedup, "COUNT_CHARS", 4000)
+    rows = spark.createDataFrame([(k, k, x, 1, k) for k, x in enumerate(texts)], "d1 long, d2 long, line string, n_lines long, no long")
+    with line_dedup.shuffles_dropped(spark):
+        left = {r["no"] for r in line_dedup.lines_with_company(spark, (tmp_path / "kept").as_uri(), rows.repartition(3)).collect()}
+    assert len(want) >= 60 and want <= left and len(left) <= len(want) + 5
+
+
+def test_pairs_of_a_window_are_made_in_arrays():
+    """All pairs of different components and like sizes of a key, none of the same component."""
+    rng = np.random.default_rng(24)
+    key, c, n = rng.integers(0, 6, 400), rng.integers(0, 9, 400), rng.integers(8, 60, 400)
+    key[:30], c[:30] = 7, 3  # one component alone has this key
+    got = sorted((min(a, b), max(a, b)) for one, other in line_dedup.meetings(key, c, n) for a, b in zip(one.tolist(), other.tolist()))
+    want = [(a, b) for a in range(400) for b in range(a + 1, 400)
+            if key[a] == key[b] and c[a] != c[b] and 4 * max(n[a], n[b]) <= 5 * min(n[a], n[b])]
+    assert got == want
+
+
+def test_packed_pairs_are_those_of_like_parities(spark):
+    """Pairs far apart by parities go, those of the similarity stay, each once; the top bit of a word counts as any other."""
+    rng = random.Random(25)
+    letters = "abcdefghijklmnopqrstuvwxyz"
+    texts = []
+    for _ in range(40):
+        line = "".join(rng.choice(letters) for _ in range(rng.randint(60, 300)))
+        texts += [line, near(line, 0.8, rng, letters), line[:len(line) // 2] + "".join(rng.choice(letters) for _ in range(len(line) // 2))]
+    hashes, borders = line_dedup.shingle_sets(texts)
+    n, bits = np.diff(borders), line_dedup.parities(hashes, borders)
+    cols = [np.arange(len(texts)), np.arange(len(texts)), n, *bits.T]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), *[pa.array(np.ascontiguousarray(x, np.int64)) for x in cols]],
+                                       names=["line", *line_dedup.LINE])
+    packed = list(line_dedup._met(3)(line_dedup._dealt_keys(0, 1, 4)([batch])))
+    got = []
+    for k in range(3):
+        once = line_dedup._each_once(iter([x.filter(pc.equal(x.column("share"), k)) for x in packed]))
+        got += [(a, b) for x in once for a, b in zip(x.column("a").to_pylist(), x.column("b").to_pylist())]
+    assert len(got) == len(set(got))
+    own = [set(hashes[borders[i]:borders[i + 1]].tolist()) for i in range(len(texts))]
+    true = {(min(i, j), max(i, j)) for i, j in true_pairs(own)}
+    apart = lambda a, b: sum(((int(x) ^ int(y)) & (1 << 64) - 1).bit_count() for x, y in zip(bits[a], bits[b]))
+    assert len(true) >= 40 and true <= set(got) and all(9 * apart(a, b) <= n[a] + n[b] for a, b in got)
